@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts
+from . import bpe, packing, quality_rules, secrets, token_counts
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    s = F.col("spans")
+    return found.select(
+        "doc_id",
+        *[secrets.count(s, k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.joined(s, ("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(s).alias("spans"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -23,7 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op7_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op6_secret_scans, op7_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
