@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,5 +146,18 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def bitmap_any(df: DataFrame, column: str) -> bool:
-    return bool(df.select(F.col(column)).head(1))
+def keyed_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that come in the key's order. Holds one key's rows and a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if held and held[0].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
