@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality_rules, secrets, substring_dedup, token_counts
+from . import bpe, embedding_dedup, ngram_join, packing, quality_rules, secrets, substring_dedup, token_counts
 from .common import table
 
 
@@ -42,12 +42,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest_kept(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_ngram_jaccard, op6_secret_scans, op7_token_counts, op8_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_ngram_jaccard, op6_secret_scans, op7_token_counts, op8_substring_dedup, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
