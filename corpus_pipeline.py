@@ -1,22 +1,67 @@
-"""Cleaning pipeline over `documents`."""
+"""Cleaning pipeline over `documents`: rules, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written and read again.
+All but the last return the columns of `documents`; where a stage changes `text`, `n_chars` follows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from warpspark.llm import ngram_join, packing, quality_rules, secrets, substring_dedup
+from warpspark.llm.common import written
+
+
+def _resized(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars follows the text (rows without a text keep theirs), if there is such a column."""
+    if "n_chars" not in docs.columns:
+        return changed.select(*docs.columns)
+    size = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return changed.withColumn("n_chars", size).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie beyond the adaptive cutoffs go."""
+    kept = quality_rules.judge(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    groups = ngram_join.similar_groups(docs, n=5, percent=80)
+    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 20-word windows that also stand earlier are taken out; a document left without words goes."""
+    cut = _resized(substring_dedup.cut_repeats(docs), docs)
+    return cut.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
 
-from warpspark.llm import packing
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; no document goes."""
+    return _resized(secrets.find_secrets(docs, redact=True), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 1024 tokens."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("secret_scans", secret_redaction),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # similarity links and subtrees are beyond SQL; tests/llm holds a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

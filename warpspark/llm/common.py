@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
+LETTER = np.zeros(256, bool)  # lower-cased ASCII letters and digits, and all of longer characters
+LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 CONTINUATION = bytes(range(0x80, 0xC0))
 CHUNK = 4 << 20  # bytes of text hashed at once; bounds the temporaries of a Python worker
 
@@ -101,7 +103,8 @@ class Words:
     with its length; all texts of a chunk are hashed with a few numpy passes and no loop over words.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, letters: np.ndarray | None = None):
+        """letters: which bytes (after lower-casing) are of words; all but white space if not given."""
         joined = b"\n".join(texts)
         if lower:
             joined = joined.lower()  # bytes.lower() changes A-Z only
@@ -112,7 +115,7 @@ class Words:
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         inside = np.empty(n + 2, bool)
         inside[0] = inside[-1] = False
-        np.logical_not(SPACE[buf], out=inside[1:-1])
+        inside[1:-1] = (~SPACE if letters is None else letters)[buf]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
         cut = np.searchsorted(self.start, self.text_start)

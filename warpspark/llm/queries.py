@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, ngram_join, packing, quality_rules, secrets, substring_dedup, token_counts
+from . import bpe, embedding_dedup, ngram_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -23,6 +23,22 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(4) == 2
+    scored = quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(5) == 0
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     s = F.col("spans")
@@ -51,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_ngram_jaccard, op6_secret_scans, op7_token_counts, op8_substring_dedup, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_ngram_jaccard, op4_quality_classifier, op5_toxicity, op6_secret_scans, op7_token_counts, op8_substring_dedup, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
