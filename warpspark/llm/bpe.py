@@ -33,10 +33,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: UTF-8 of the white space beyond blank and line end that the pattern's \s knows.
 _RARE = (b"\t", b"\x0b", b"\x0c", b"\r", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _STOPS = (b".", b",")
+_LETTERS = regex.compile(r"\p{L}+").fullmatch
 _TWO = (b"  ", b" \n", b"\n ", b"\n\n")
 _GENERAL = regex.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-CACHE_WORDS = 200_000  # entries of each of the two generations of a worker's word cache
-CACHE_PIECES = 100_000
+CACHE_WORDS = 400_000  # entries of each of the two generations of a worker's word cache
+CACHE_PIECES = 150_000
 CACHE_WORD_BYTES = 48  # longer words are not kept
 
 
@@ -242,8 +243,11 @@ class _WordCache(dict):
             elif word[-1:] in _STOPS and word[:-1].isalpha():
                 ids = self[word[:-1]] + self.stops[word[-1:]]
             else:
-                text = (word if word[:1] == b"\n" else b" " + word).decode("utf-8", "replace")
-                ids = self.encoder.segment(text)
+                text = word.decode("utf-8", "replace")
+                if _LETTERS(text):  # so are other letters; marks and digits take the pattern
+                    ids = self.encoder.piece(b" " + word)
+                else:
+                    ids = self.encoder.segment(text if word[:1] == b"\n" else " " + text)
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
@@ -252,6 +256,26 @@ class _WordCache(dict):
         return ids
 
 
+class RankedEncoder(Encoder):
+    """The same ids by a library's ranked merges of single pieces, for operators that only need ids."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        v = Vocabulary(path)
+        core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens={})
+        self._merge = core._encode_single_piece
+        super().__init__(path)
+
+    def piece(self, piece: bytes) -> bytes:
+        return array("I", self._merge(piece)).tobytes()
+
+
+@lru_cache(maxsize=2)
+def ranked_encoder(path: str) -> Encoder:
+    return RankedEncoder(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import default_vocabulary, encoder
+from .bpe import default_vocabulary, ranked_encoder
 from .common import text_bytes
 
 LENGTH = 1024
@@ -100,7 +100,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = ranked_encoder(path)
         base, count = TaskContext.get().partitionId() << 36, 0
         rows: list[tuple] = []  # whole windows
         parts: list[tuple] = []

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import default_vocabulary, encoder
+from .bpe import default_vocabulary, ranked_encoder
 from .common import text_bytes
 
 _LEAD = np.ones(256, bool)
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, sections: str |
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = ranked_encoder(path)
         lengths = enc.vocabulary.length
         for batch in batches:
             given = batch.column("sections").to_pylist() if sections else None
