@@ -1,9 +1,663 @@
-"""The registered queries of the engine's own operators."""
+"""The registered queries of the engine's own operators, each over whole tables, with the same as DuckDB SQL where
+SQL can express it. Names begin with the operator's id in the survey.
 
+Series A are the embeddings (64 values), B a supplier's monthly revenue, C a user's daily values.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
 
-def oracle_sql() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dtw as D
+from ..functions import series as S
+from ..operators import align, barycenter, evaluation, forest, kmeans, minibatch, pairwise, seeding, silhouette
+from ..operators.trees import TreeConfig
+from ..rng import uniform, uniform_sql
+from ..sources import readers, writers
+
+R = 2  # band radius of all queries
+SEED = 42
+MONTHS = 84  # from 1992-01 on
+ROUND = 6
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c: Column | str) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(c, ROUND) + F.lit(0.0)
+
+
+def series_a(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("series"), F.col("label").alias("cluster"))
+
+
+def label_centroids(spark: SparkSession, d: str) -> np.ndarray:
+    """The element means of the labels, in their order: ten rows."""
+    rows = barycenter.element_mean(series_a(spark, d), "cluster").withColumn("value", _r("value")).collect()
+    out = np.zeros((max(r["group"] for r in rows) + 1, max(r["pos"] for r in rows) + 1))
+    for r in rows:
+        out[r["group"], r["pos"]] = r["value"]
+    return out
+
+
+def _exploded(df: DataFrame, column: Column | str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(column).alias("pos", "value")).withColumn("value", _r("value"))
+
+
+# SQL pieces
+
+_A = "a AS (SELECT vec_id AS id, label AS cluster, list_transform(embedding, x -> x::DOUBLE) AS s FROM embeddings)"
+_AX = "ax AS (SELECT id, cluster, unnest(s) AS v, unnest(range(len(s))) AS pos FROM a)"
+_CENT = f"cent AS (SELECT cluster AS c, list(v ORDER BY pos) AS s FROM (SELECT cluster, pos, round(avg(v), {ROUND}) + 0.0 AS v FROM ax GROUP BY ALL) GROUP BY cluster)"
+
+
+def _out(x: str) -> str:
+    return f"round({x}, {ROUND}) + 0.0"
+
+
+def _zlist(s: str) -> str:
+    return f"list_transform({s}, x -> (x - list_avg({s})) / list_stddev_pop({s}))"
+
+
+def _dlist(s: str) -> str:
+    return f"list_transform(range(2, len({s})), i -> (({s}[i] - {s}[i-1]) + ({s}[i+1] - {s}[i-1]) / 2) / 2)"
+
+
+def _envelope(s: str, what: str) -> str:
+    return f"list_transform(range(1, len({s}) + 1), i -> list_{what}({s}[greatest(i-{R}, 1):least(i+{R}, len({s}))]))"
+
+
+def _gap(x: str, up: str, low: str) -> str:
+    return f"greatest({x} - {up}, {low} - {x}, 0.0)"
+
+
+def dtw_cte(pairs: str, left: str, right: str, name: str = "dist") -> str:
+    """CTEs: banded distances (i, j, dist) of pairs (i, j); left, right: tables (id, s). Each recursive step is a row
+    of the matrix, and its five columns are the band of radius 2."""
+    cost = lambda o: f"(x.s[d.t + 1] - y.s[d.t + 1 + ({o})]) ** 2"
+    first = lambda o: f"(x.s[1] - y.s[{1 + o}]) ** 2"
+    inf = "'Infinity'::DOUBLE"
+    step = [
+        f"CASE WHEN d.t - 1 >= 1 THEN {cost(-2)} + least(c0, c1) ELSE {inf} END AS n0",
+        f"CASE WHEN d.t >= 1 THEN {cost(-1)} + least(c1, c2, n0) ELSE {inf} END AS n1",
+        f"{cost(0)} + least(c2, c3, n1) AS n2",
+        f"CASE WHEN d.t + 2 <= len(y.s) THEN {cost(1)} + least(c3, c4, n2) ELSE {inf} END AS n3",
+        f"CASE WHEN d.t + 3 <= len(y.s) THEN {cost(2)} + least(c4, n3) ELSE {inf} END AS n4",
+    ]
+    return f"""{name}_rows AS (
+      SELECT p.i, p.j, 1 AS t, {inf} AS c0, {inf} AS c1, {first(0)} AS c2, {first(0)} + {first(1)} AS c3, {first(0)} + {first(1)} + {first(2)} AS c4, len(x.s) AS n
+      FROM {pairs} p JOIN {left} x ON x.id = p.i JOIN {right} y ON y.id = p.j
+      UNION ALL
+      SELECT i, j, t + 1, n0, n1, n2, n3, n4, n FROM (
+        SELECT d.i, d.j, d.t, d.n, c0, c1, c2, c3, c4, {', '.join(step)}
+        FROM {name}_rows d JOIN {left} x ON x.id = d.i JOIN {right} y ON y.id = d.j WHERE d.t < d.n)
+    ), {name} AS (SELECT i, j, sqrt(c2) AS dist FROM {name}_rows WHERE t = n)"""
+
+
+_CENT_ID = "cent_id AS (SELECT c AS id, s FROM cent)"
+_TO_CENT = f"WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT a.id AS i, cent.c AS j FROM a, cent), " + dtw_cte("pairs", "a", "cent_id")
+_ALL_PAIRS = f"WITH RECURSIVE {_A}, pairs AS (SELECT x.id AS i, y.id AS j FROM a x, a y WHERE x.id > y.id), " + dtw_cte("pairs", "a", "a")
+_NEAREST = "nearest AS (SELECT i AS id, arg_min(j, (dist, j)) AS cluster, min(dist) AS dist FROM dist GROUP BY i)"
+
+
+# Scalars over series
+
+
+@query(f"WITH {_A} SELECT id, unnest(range(len(s))) AS pos, {_out('unnest(z)')} AS value FROM (SELECT id, s, {_zlist('s')} AS z FROM a)")
+def a01_z_normalize(spark, d):
+    return _exploded(series_a(spark, d).withColumn("z", S.z_normalize(F.col("series"))), "z", "id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_A} SELECT id, unnest(range(len(z))) AS pos, {_out('unnest(z)')} AS value FROM (SELECT id, {_dlist('s')} AS z FROM a)")
+def a03_derivative(spark, d):
+    return _exploded(series_a(spark, d).withColumn("z", S.derivative(F.col("series"))), "z", "id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_A}, z AS (SELECT id, {_zlist('s')} AS s FROM a) SELECT id, unnest(range(len(v))) AS pos, {_out('unnest(v)')} AS value FROM (SELECT id, {_dlist('s')} AS v FROM z)")
+def a04_preprocess(spark, d):
+    df = S.preprocess(series_a(spark, d), normalize=True, slope=True)
+    return _exploded(df, "series", "id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH {_A} SELECT id, unnest(range(len(u))) AS pos, {_out('unnest(u)')} AS upper, {_out('unnest(l)')} AS lower FROM (SELECT id, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM a)")
+def a05_envelope(spark, d):
+    env = S.envelope(F.col("series"), R)
+    zipped = series_a(spark, d).select("id", F.arrays_zip(env["upper"].alias("u"), env["lower"].alias("l")).alias("z"))
+    rows = zipped.select("id", F.posexplode("z").alias("pos", "z"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), _r("z.u").alias("upper"), _r("z.l").alias("lower"))
+
+
+def _with_centroids(spark, d) -> DataFrame:
+    """Each series beside each of the ten centroids."""
+    c = label_centroids(spark, d)
+    every = F.array(*[F.struct(F.lit(i).alias("c"), F.array(*map(F.lit, map(float, row))).alias("s")) for i, row in enumerate(c)])
+    return series_a(spark, d).select("id", "series", F.explode(every).alias("x")).select("id", "series", "x.c", F.col("x.s").alias("centroid"))
+
+
+_BOUNDS = f"""WITH {_A}, {_AX}, {_CENT},
+  ce AS (SELECT c, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM cent), qe AS (SELECT id, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM a)"""
+
+
+@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(a.s) + 1), i -> ' + _gap('a.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2)))')} AS bound FROM a, ce")
+def a06_lb_keogh(spark, d):
+    rows = _with_centroids(spark, d)
+    return rows.select("id", "c", _r(S.lb_keogh(F.col("series"), S.envelope(F.col("centroid"), R))).alias("bound"))
+
+
+_OTHER = "(CASE WHEN qe.s[i] > ce.u[i] THEN ce.u[i] WHEN qe.s[i] < ce.l[i] THEN ce.l[i] ELSE ce.s[i] END)"
+
+
+@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(qe.s) + 1), i -> ' + _gap('qe.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2 + ' + _gap(_OTHER, 'qe.u[i]', 'qe.l[i]') + ' ** 2)))')} AS bound FROM qe, ce")
+def a07_lb_improved_compat(spark, d):
+    rows = _with_centroids(spark, d).withColumns({"eq": S.envelope(F.col("series"), R), "ec": S.envelope(F.col("centroid"), R)})
+    return rows.select("id", "c", _r(S.lb_improved_compat(F.col("series"), F.col("eq"), F.col("centroid"), F.col("ec"))).alias("bound"))
+
+
+@query(f"""{_BOUNDS}, clipped AS (SELECT id, c, qe.s AS q, ce.s AS s, ce.u, ce.l, list_transform(range(1, len(qe.s) + 1), i -> greatest(least(qe.s[i], ce.u[i]), ce.l[i])) AS h FROM qe, ce),
+  h AS (SELECT *, {_envelope('h', 'max')} AS hu, {_envelope('h', 'min')} AS hl FROM clipped)
+  SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(q) + 1), i -> ' + _gap('q[i]', 'u[i]', 'l[i]') + ' ** 2 + ' + _gap('s[i]', 'hu[i]', 'hl[i]') + ' ** 2)))')} AS bound FROM h""")
+def a07b_lb_two_pass(spark, d):
+    rows = _with_centroids(spark, d).withColumn("ec", S.envelope(F.col("centroid"), R))
+    return rows.select("id", "c", _r(S.lb_two_pass(F.col("series"), F.col("centroid"), F.col("ec"), R)).alias("bound"))
+
+
+@query(f"{_TO_CENT} SELECT i AS id, j AS cluster, {_out('dist')} AS dist FROM dist")
+def a08_dtw_banded(spark, d):
+    return pairwise.against(series_a(spark, d), label_centroids(spark, d), R).withColumn("dist", _r("dist"))
+
+
+@query(f"{_TO_CENT} SELECT i AS id, j AS c, {_out('dist')} AS dist FROM dist")
+def a08b_dtw_udf(spark, d):
+    return _with_centroids(spark, d).select("id", "c", _r(D.dtw(F.col("series"), F.col("centroid"), R)).alias("dist"))
+
+
+_CUT = f"{_TO_CENT}, cut AS (SELECT i, median(dist) AS m FROM dist GROUP BY i) SELECT i AS id, j AS c, CASE WHEN dist > round(m, 3) THEN NULL ELSE {_out('dist')} END AS dist FROM dist JOIN cut USING (i)"
+
+
+def _cutoffs(spark, d) -> DataFrame:
+    """Each series' median distance to the centroids is its cutoff."""
+    far = pairwise.against(series_a(spark, d), label_centroids(spark, d), R).groupBy("id").agg(F.round(F.percentile("dist", F.lit(0.5)), 3).alias("cutoff"))
+    return _with_centroids(spark, d).join(far, "id")
+
+
+def _finite(c: Column) -> Column:
+    return F.when(c < float("inf"), _r(c))
+
+
+@query(_CUT)
+def a09_dtw_cutoff(spark, d):
+    rows = _cutoffs(spark, d).select("id", "c", D.dtw_cutoff(F.col("series"), F.col("centroid"), F.col("cutoff"), R).alias("dist"))
+    return rows.select("id", "c", _finite(F.col("dist")).alias("dist"))
+
+
+@query(_CUT)
+def a10_dtw_pruned(spark, d):
+    rows = _cutoffs(spark, d).select("id", "c", D.dtw_pruned(F.col("series"), F.col("centroid"), F.col("cutoff"), R).alias("dist"))
+    return rows.select("id", "c", _finite(F.col("dist")).alias("dist"))
+
+
+@query()
+def a11_dtw_path(spark, d):
+    c = label_centroids(spark, d)
+    own = F.array(*[F.array(*map(F.lit, map(float, row))) for row in c])
+    rows = series_a(spark, d).select("id", D.dtw_path(F.get(own, F.col("cluster")), F.col("series"), R).alias("path"))
+    return rows.select("id", F.posexplode("path").alias("step", "p")).select("id", "step", "p.a", "p.b")
+
+
+# Aggregates
+
+_SEG = "seg AS (SELECT c_nationkey AS nation, c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY ALL), tot AS (SELECT nation, sum(n) AS t FROM seg GROUP BY nation)"
+
+
+def _segment_counts(spark, d) -> DataFrame:
+    counts = _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg")).count()
+    return counts.groupBy("nation").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg", "count"))), lambda s: s["count"]).alias("counts"))
+
+
+@query(f"WITH {_SEG} SELECT nation, {_out('1 - sum((n / t) ** 2)')} AS gini, {_out('-sum((n / t) * ln(n / t))')} AS entropy FROM seg JOIN tot USING (nation) GROUP BY nation")
+def a14_impurity(spark, d):
+    c = F.col("counts")
+    return _segment_counts(spark, d).select("nation", _r(S.gini(c)).alias("gini"), _r(S.entropy(c)).alias("entropy"))
+
+
+def _distributions(spark, d) -> DataFrame:
+    c = F.col("counts")
+    return _segment_counts(spark, d).select("nation", F.transform(c, lambda x: x / F.aggregate(c, F.lit(0).cast("long"), lambda a, y: a + y)).alias("p"))
+
+
+@query(f"WITH {_SEG}, p AS (SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY seg) - 1 AS class, n / t AS p FROM seg JOIN tot USING (nation)), r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p DESC, class) AS rank FROM p) SELECT nation, rank, class, {_out('p')} AS probability FROM r WHERE rank <= 3")
+def a16_top_k(spark, d):
+    rows = _distributions(spark, d).select("nation", F.posexplode(S.top_k(F.col("p"), 3)).alias("rank", "t"))
+    return rows.select("nation", (F.col("rank") + 1).cast("long").alias("rank"), F.col("t.class").cast("long").alias("class"), _r("t.probability").alias("probability"))
+
+
+@query(f"WITH {_SEG}, p AS (SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY seg) - 1 AS class, n FROM seg) SELECT nation, arg_max(class, (n, class)) AS predicted FROM p GROUP BY nation")
+def a17_predicted_class(spark, d):
+    return _distributions(spark, d).select("nation", S.predicted_class(F.col("p")).cast("long").alias("predicted"))
+
+
+_EDGES = "e AS (SELECT list_distinct(quantile_cont(p_retailprice, list_transform(range(1, 16), i -> i / 16.0))) AS raw, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), edges AS (SELECT unnest(raw) AS edge, lo, hi FROM e)"
+
+
+@query(f"WITH {_EDGES} SELECT {_out('edge')} AS edge FROM edges WHERE edge > lo AND edge < hi")
+def g21_quantile_edges(spark, d):
+    return _t(spark, d, "part").agg(S.quantile_edges(F.col("p_retailprice"), 16).alias("e")).select(_r(F.explode("e")).alias("edge"))
+
+
+@query(f"WITH {_EDGES}, ok AS (SELECT round(edge, 6) AS edge FROM edges WHERE edge > lo AND edge < hi), p AS (SELECT round(p_retailprice, 6) AS v FROM part), b AS (SELECT (SELECT count(*) FROM ok WHERE edge < v) AS bin FROM p) SELECT bin, count(*) AS n FROM b GROUP BY bin")
+def a18_bin_index(spark, d):
+    edges = [r["edge"] for r in g21_quantile_edges(spark, d).collect()]  # fifteen
+    bins = S.bin_index(F.array(*map(F.lit, edges)), F.round("p_retailprice", 6))
+    return _t(spark, d, "part").groupBy(bins.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_A}, {_AX} SELECT cluster, pos, {_out('avg(v)')} AS value FROM ax GROUP BY ALL")
+def g04_element_mean(spark, d):
+    rows = barycenter.element_mean(series_a(spark, d), "cluster")
+    return rows.select(F.col("group").alias("cluster"), F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
+
+
+_SAME = f"WITH RECURSIVE {_A}, pairs AS (SELECT x.id AS i, y.id AS j FROM a x, a y WHERE x.id > y.id AND x.cluster = y.cluster), " + dtw_cte("pairs", "a", "a")
+_BOTH = "both_ways AS (SELECT i, j, dist FROM dist UNION ALL SELECT j, i, dist FROM dist)"
+
+
+@query(f"{_SAME}, {_BOTH}, t AS (SELECT i, sum(dist) AS total FROM both_ways GROUP BY i) SELECT a.cluster, arg_min(i, (total, i)) AS medoid, {_out('min(total)')} AS total FROM t JOIN a ON a.id = t.i GROUP BY a.cluster")
+def g05_medoid(spark, d):
+    rows = pairwise.medoid(series_a(spark, d), "cluster", R)
+    return rows.select(F.col("group").alias("cluster"), "medoid", _r("total").alias("total"))
+
+
+_PRED = "p AS (SELECT (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS label, c_nationkey % 5 AS predicted FROM customer)"
+
+
+def _predicted(spark, d) -> DataFrame:
+    c = _t(spark, d, "customer")
+    names = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five segments
+    return c.select((F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment")) - 1).cast("int").alias("label"), (F.col("c_nationkey") % 5).alias("predicted"))
+
+
+_GRID = f"WITH {_PRED}, k AS (SELECT unnest(range(5))::INT AS c), grid AS (SELECT x.c AS true_class, y.c AS pred_class FROM k x, k y), m AS (SELECT true_class, pred_class, count(label) AS n FROM grid LEFT JOIN p ON label = true_class AND predicted = pred_class GROUP BY ALL)"
+
+
+@query(f"{_GRID} SELECT true_class, pred_class, n FROM m")
+def g07_confusion(spark, d):
+    return evaluation.confusion(_predicted(spark, d), 5)
+
+
+@query(f"WITH {_PRED} SELECT {_out('avg((label = predicted)::INT)')} AS accuracy FROM p")
+def g08_accuracy(spark, d):
+    return evaluation.accuracy(_predicted(spark, d)).select(_r("accuracy").alias("accuracy"))
+
+
+@query(f"""{_GRID}, r AS (SELECT true_class AS class, sum(n)::BIGINT AS support, sum(CASE WHEN true_class = pred_class THEN n ELSE 0 END) AS tp FROM m GROUP BY 1), s AS (SELECT pred_class AS class, sum(n) AS said FROM m GROUP BY 1),
+  q AS (SELECT class, support, coalesce(tp / nullif(said, 0), 0.0) AS pr, coalesce(tp / nullif(support, 0), 0.0) AS re FROM r JOIN s USING (class))
+  SELECT class, {_out('pr')} AS precision, {_out('re')} AS recall, {_out('coalesce(2 * pr * re / nullif(pr + re, 0), 0.0)')} AS f1, support FROM q""")
+def g09_class_metrics(spark, d):
+    m = evaluation.class_metrics(evaluation.confusion(_predicted(spark, d), 5))
+    return m.select("class", _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1"), "support")
+
+
+@query(f"WITH {_PRED}, f AS (SELECT label AS fold, avg((label = predicted)::INT) AS a FROM p GROUP BY label) SELECT {_out('avg(a)')} AS mean, {_out('stddev_pop(a)')} AS std FROM f")
+def g10_fold_stats(spark, d):
+    folds = _predicted(spark, d).groupBy("label").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("a"))
+    return folds.agg(_r(F.avg("a")).alias("mean"), _r(F.stddev_pop("a")).alias("std"))
+
+
+_ELBOW = "e AS (SELECT month(o_orderdate)::INT AS k, sum(o_totalprice) AS inertia FROM orders GROUP BY 1)"
+
+
+@query(f"WITH {_ELBOW}, b AS (SELECT k, lag(inertia) OVER (ORDER BY k) - 2 * inertia + lead(inertia) OVER (ORDER BY k) AS bend FROM e) SELECT arg_max(k, (bend, k)) AS best_k FROM b WHERE bend IS NOT NULL")
+def g22_best_k(spark, d):
+    e = _t(spark, d, "orders").groupBy(F.month("o_orderdate").alias("k")).agg(F.sum("o_totalprice").alias("inertia"))
+    return kmeans.best_k_table(e)
+
+
+@query("SELECT p_brand AS node, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand")
+def g20_feature_range(spark, d):
+    return _t(spark, d, "part").groupBy(F.col("p_brand").alias("node")).agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+
+
+# Joins and pairs
+
+
+@query(f"{_ALL_PAIRS} SELECT i, j, {_out('dist')} AS dist FROM dist")
+def j04_pairwise(spark, d):
+    return pairwise.pairwise(series_a(spark, d), R).withColumn("dist", _r("dist"))
+
+
+_B = "b AS (SELECT l_suppkey AS id, count(*) AS lines FROM lineitem GROUP BY 1)"
+
+
+def _labels_b(spark, d) -> DataFrame:
+    return _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("lines"))
+
+
+def _attributes(spark, d) -> DataFrame:
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", "s_nationkey")
+
+
+@query(f"WITH {_B} SELECT b.id, lines, s_acctbal, s_nationkey FROM b JOIN supplier ON s_suppkey = b.id")
+def j01_align(spark, d):
+    return align.align(_labels_b(spark, d), _attributes(spark, d))[0]
+
+
+@query("SELECT o_custkey AS id, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') GROUP BY 1")
+def j02_missing(spark, d):
+    orders = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    return align.missing(orders, _t(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id")))
+
+
+@query("SELECT c_custkey AS id, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j03_extra(spark, d):
+    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    return align.extra(orders, _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"))
+
+
+# Sources
+
+
+@query(f"WITH m AS (SELECT l_suppkey AS id, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS pos, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem GROUP BY ALL), g AS (SELECT DISTINCT l_suppkey AS id FROM lineitem) SELECT g.id, p.pos, {_out('coalesce(v, 0.0)')} AS value FROM g, (SELECT unnest(range({MONTHS})) AS pos) p LEFT JOIN m ON m.id = g.id AND m.pos = p.pos")
+def s10_supplier_months(spark, d):
+    pos = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
+    df = S.from_events(_t(spark, d, "lineitem"), "l_suppkey", pos, F.col("l_extendedprice") * (1 - F.col("l_discount")), F.sequence(F.lit(0), F.lit(MONTHS - 1)))
+    return _exploded(df, "series", "id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"WITH m AS (SELECT user_id AS id, day(ts) - 1 AS pos, sum(value) AS v FROM events GROUP BY ALL), g AS (SELECT DISTINCT user_id AS id FROM events) SELECT g.id, p.pos, {_out('coalesce(v, 0.0)')} AS value FROM g, (SELECT unnest(range(31)) AS pos) p LEFT JOIN m ON m.id = g.id AND m.pos = p.pos")
+def s10_user_days(spark, d):
+    df = S.from_events(_t(spark, d, "events"), "user_id", F.dayofmonth("ts") - 1, F.col("value"), F.sequence(F.lit(0), F.lit(30)))
+    return _exploded(df, "series", "id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("WITH c AS (SELECT p_partkey AS id, unnest([0, 1]) AS col, unnest([p_size::VARCHAR, p_type]) AS raw FROM part) SELECT id, col, raw FROM c WHERE NOT regexp_full_match(raw, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')")
+def s06_bad_cells(spark, d):
+    cells = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.array(F.col("p_size").cast("string"), F.col("p_type"))).alias("col", "raw"))
+    return readers.bad_cells(cells)
+
+
+@query("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def s05_duplicate_ids(spark, d):
+    return readers.duplicate_ids(_t(spark, d, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query("SELECT vec_id AS id, len(embedding)::INT AS n, len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
+def s01_valid_series(spark, d):
+    return series_a(spark, d).select("id", F.size("series").alias("n"), S.is_valid(F.col("series")).alias("valid"))
+
+
+@query(f"WITH {_SEG}, p AS (SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY seg) - 1 AS class, n / t AS p FROM seg JOIN tot USING (nation)) SELECT nation::VARCHAR AS basin_id, arg_max(class, (p, -class)) AS predicted_class FROM p GROUP BY nation")
+def k05_predictions(spark, d):
+    rows = writers.ranked(_distributions(spark, d).select(F.col("nation").cast("string").alias("name"), F.col("p").alias("distribution")), 3)
+    return rows.select("basin_id", F.col("predicted_class").cast("long").alias("predicted_class"))
+
+
+# Clustering
+
+
+@query(f"{_TO_CENT}, {_NEAREST} SELECT id, cluster, {_out('dist')} AS dist FROM nearest")
+def c01_assign(spark, d):
+    return pairwise.assign(series_a(spark, d), label_centroids(spark, d), R).withColumn("dist", _r("dist"))
+
+
+@query(f"{_TO_CENT}, {_NEAREST} SELECT {_out('sum(dist * dist)')} AS inertia FROM nearest")
+def g01_inertia(spark, d):
+    return kmeans.inertia(pairwise.assign(series_a(spark, d), label_centroids(spark, d), R)).select(_r("inertia").alias("inertia"))
+
+
+@query(f"{_TO_CENT}, {_NEAREST} SELECT k.c AS cluster, count(id) AS n FROM cent k LEFT JOIN nearest ON cluster = k.c GROUP BY 1")
+def g02_cluster_sizes(spark, d):
+    c = label_centroids(spark, d)
+    return kmeans.cluster_sizes(pairwise.assign(series_a(spark, d), c, R), len(c))
+
+
+@query(f"WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT x.id AS i, y.id AS j FROM cent_id x, cent_id y WHERE x.id > y.id), {dtw_cte('pairs', 'cent_id', 'cent_id')}, {_BOTH} SELECT i AS cluster, {_out('min(dist) / 2')} AS half FROM both_ways GROUP BY i")
+def c04_half_nearest(spark, d):
+    half = pairwise.half_nearest(label_centroids(spark, d), R)[1]
+    return spark.createDataFrame([(i, float(h)) for i, h in enumerate(half)], "cluster int, half double").withColumn("half", _r("half"))
+
+
+@query(f"{_TO_CENT}, {_NEAREST}, s AS (SELECT i, j, 0.01 * (j + 1) AS shift, dist FROM dist) SELECT s.i AS id, s.j AS c, {_out('greatest(0.0, s.dist - shift)')} AS lower, {_out('n.dist + 0.01 * (n.cluster + 1)')} AS upper FROM s JOIN nearest n ON n.id = s.i")
+def c05_update_bounds(spark, d):
+    rows = pairwise.against(series_a(spark, d), label_centroids(spark, d), R)
+    by = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "dist"))), lambda s: s["dist"]).alias("lb"), F.min(F.struct("dist", "cluster")).alias("best"))
+    moved = F.transform("lb", lambda x, c: F.greatest(F.lit(0.0), x - 0.01 * (c + 1)))
+    up = F.col("best.dist") + 0.01 * (F.col("best.cluster") + 1)
+    return by.select("id", up.alias("upper"), F.posexplode(moved).alias("c", "lower")).select("id", "c", _r("lower").alias("lower"), _r("upper").alias("upper"))
+
+
+_D2 = f"{_TO_CENT}, w AS (SELECT i AS id, min(dist) ** 2 AS d2 FROM dist GROUP BY i)"
+
+
+@query(f"{_D2} SELECT arg_min(id, (-ln(1 - {uniform_sql(SEED, chr(39) + 'race' + chr(39), '1', 'id')}) / d2, id)) AS id FROM w WHERE d2 > 0")
+def c11_plus_plus_round(spark, d):
+    return seeding.exponential_race(seeding.least_squares(series_a(spark, d), label_centroids(spark, d), R), SEED, 1)
+
+
+@query(f"{_D2} SELECT id FROM w, (SELECT sum(d2) AS cost FROM w) WHERE {uniform_sql(SEED, chr(39) + 'bernoulli' + chr(39), '0', 'id')} < least(1.0, 20.0 * d2 / cost)")
+def c13_parallel_round(spark, d):
+    return seeding.bernoulli_round(seeding.least_squares(series_a(spark, d), label_centroids(spark, d), R), 20.0, SEED, 0)
+
+
+@query("WITH w AS (SELECT c_custkey AS id, sum(c_acctbal) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS run, sum(c_acctbal) OVER () AS t FROM customer WHERE c_acctbal > 0) SELECT min(id) AS id FROM w WHERE run > 0.37 * t")
+def w03_weighted_draw(spark, d):
+    return seeding.weighted_draw(_t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("w")), 0.37)
+
+
+@query(f"SELECT vec_id AS id FROM embeddings ORDER BY {uniform_sql(SEED, chr(39) + 'batch' + chr(39), '1', 'vec_id')}, vec_id LIMIT 256")
+def w09_batch_sample(spark, d):
+    return minibatch.sample(series_a(spark, d), 256, SEED, 1).select("id")
+
+
+@query(f"{_ALL_PAIRS}, {_BOTH}, m AS (SELECT i, a.cluster AS cj, avg(dist) AS m FROM both_ways JOIN a ON a.id = j GROUP BY ALL), s AS (SELECT i AS id, b.cluster, coalesce(max(CASE WHEN cj = b.cluster THEN m END), 0.0) AS a, min(CASE WHEN cj <> b.cluster THEN m END) AS b FROM m JOIN a b ON b.id = i GROUP BY ALL) SELECT id, cluster, {_out('a')} AS a, {_out('b')} AS b, {_out('CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END')} AS score FROM s")
+def c19_silhouette(spark, d):
+    a = series_a(spark, d)
+    rows = silhouette.samples(pairwise.pairwise(a, R), a.select("id", "cluster"))
+    return rows.select("id", "cluster", _r("a").alias("a"), _r("b").alias("b"), _r("score").alias("score"))
+
+
+@query()
+def c08_dba(spark, d):
+    return barycenter.averages(series_a(spark, d), "cluster", R)
+
+
+@query()
+def c08b_dba_medoid_init(spark, d):
+    return barycenter.averages(series_a(spark, d), "cluster", R, init="medoid")
+
+
+@query()
+def c09_stochastic_dba(spark, d):
+    return barycenter.averages(series_a(spark, d), "cluster", R, fraction=0.5)
+
+
+@query()
+def c10_ssg(spark, d):
+    return barycenter.averages(series_a(spark, d), "cluster", R, method="ssg", max_epochs=2)
+
+
+@query()
+def g06_align_partials(spark, d):
+    return barycenter.align_partials(series_a(spark, d), label_centroids(spark, d), R)
+
+
+def _months(spark, d) -> DataFrame:
+    """Supplier series, normalised. One user's or supplier's constant series would fail the batch."""
+    pos = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
+    df = S.from_events(_t(spark, d, "lineitem"), "l_suppkey", pos, F.col("l_extendedprice"), F.sequence(F.lit(0), F.lit(MONTHS - 1)))
+    return S.preprocess(df, normalize=True)
+
+
+@query()
+def c16_kmeans(spark, d):
+    return kmeans.fit(_months(spark, d), kmeans.KMeansConfig(k=4, n_init=4, max_iter=10)).assignments
+
+
+@query()
+def c16b_kmeans_parallel_init(spark, d):
+    return kmeans.fit(_months(spark, d), kmeans.KMeansConfig(k=4, n_init=2, max_iter=10, init="parallel", elkan=True)).assignments
+
+
+@query()
+def c17_optimize(spark, d):
+    results, best = kmeans.optimize(_months(spark, d), 2, 5, kmeans.KMeansConfig(k=1, n_init=2, max_iter=5))
+    return spark.createDataFrame([(k, float(v), k == best) for k, v in results], "k int, inertia double, best boolean")
+
+
+@query()
+def c18_mini_batch(spark, d):
+    return minibatch.fit(series_a(spark, d), minibatch.MiniBatchConfig(k=5, max_iter=10, n_init=2)).assignments
+
+
+# Forest
+
+_PART = "p AS (SELECT p_partkey AS id, p_size::DOUBLE AS p_size, p_retailprice, (p_brand LIKE '%1')::INT + 2 * (p_brand LIKE '%2')::INT AS label FROM part)"
+FEATURES = ["p_size", "p_retailprice"]
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    brand = F.col("p_brand")
+    label = brand.endswith("1").cast("int") + 2 * brand.endswith("2").cast("int")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice", label.alias("label"))
+
+
+_LONG = f"{_PART}, long AS (SELECT label, 'p_size' AS feature, p_size AS value FROM p UNION ALL SELECT label, 'p_retailprice', p_retailprice FROM p)"
+_TERM = "sum(l * l) / sum(l) + sum((t - l) * (t - l)) / sum(t - l) - sum(t * t) / sum(t)"
+
+
+@query(f"""WITH {_LONG}, tot AS (SELECT feature, label, count(*) AS t FROM long GROUP BY ALL), vals AS (SELECT feature, value, lead(value) OVER (PARTITION BY feature ORDER BY value) AS nxt FROM (SELECT DISTINCT feature, value FROM long)),
+  cnt AS (SELECT feature, value, label, count(*) AS n FROM long GROUP BY ALL),
+  cum AS (SELECT v.feature, v.value, v.nxt, tot.label, tot.t, sum(coalesce(c.n, 0)) OVER (PARTITION BY v.feature, tot.label ORDER BY v.value ROWS UNBOUNDED PRECEDING) AS l FROM vals v JOIN tot ON tot.feature = v.feature LEFT JOIN cnt c ON c.feature = v.feature AND c.value = v.value AND c.label = tot.label),
+  s AS (SELECT feature, (value + nxt) / 2 AS threshold, {_TERM} AS decrease FROM cum WHERE nxt IS NOT NULL GROUP BY ALL)
+  SELECT feature, {_out('arg_max(threshold, (round(decrease, 9), -threshold))')} AS threshold, {_out('max(decrease)')} AS decrease FROM s GROUP BY feature""")
+def f01_exact_split(spark, d):
+    return forest.exact_splits(parts(spark, d), FEATURES, "label").select("feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
+
+
+_SPLIT_AT = f"l AS (SELECT feature, threshold, label, sum((value <= threshold)::INT) AS l, count(*) AS t FROM long JOIN th USING (feature) GROUP BY ALL) SELECT feature, {_out('threshold')} AS threshold, {_out(_TERM)} AS decrease FROM l GROUP BY feature, threshold"
+
+
+@query(f"WITH {_LONG}, th AS (SELECT feature, min(value) + {uniform_sql(SEED, chr(39) + 'extra' + chr(39), 'feature')} * (max(value) - min(value)) AS threshold FROM long GROUP BY feature), {_SPLIT_AT}")
+def f02_extra_trees_split(spark, d):
+    p = parts(spark, d)
+    rows = forest.threshold_splits(p, forest.random_thresholds(p, FEATURES, SEED), FEATURES, "label")
+    return rows.select("feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
+
+
+@query(f"WITH {_LONG}, e AS (SELECT feature, min(value) AS lo, max(value) AS hi, list_distinct(quantile_cont(value, list_transform(range(1, 16), i -> i / 16.0))) AS raw FROM long GROUP BY feature), th AS (SELECT feature, threshold FROM (SELECT feature, lo, hi, unnest(raw) AS threshold FROM e) WHERE threshold > lo AND threshold < hi), {_SPLIT_AT}")
+def f03_histogram_split(spark, d):
+    p = parts(spark, d)
+    edges = p.agg(*[S.quantile_edges(F.col(f), 16).alias(f) for f in FEATURES])
+    th = edges.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("e")) for f in FEATURES])).alias("s")).select("s.feature", F.explode("s.e").alias("threshold"))
+    rows = forest.threshold_splits(p, th, FEATURES, "label")
+    return rows.select("feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
+
+
+@query(f"WITH t AS (SELECT i AS k FROM range(5) r(i)), dr AS (SELECT k AS tree_id, x.draw AS draw, floor({uniform_sql(SEED, chr(39) + 'draw' + chr(39), 'k', 'x.draw')} * (SELECT count(*) FROM part))::BIGINT AS row_idx FROM t, (SELECT i AS draw FROM range((SELECT count(*) FROM part)) r(i)) x) SELECT tree_id::INT AS tree_id, draw, row_idx FROM dr")
+def w10_bootstrap(spark, d):
+    n = _t(spark, d, "part").count()
+    return forest.bootstrap_draws(spark, n, n, 5, SEED)
+
+
+@query(f"WITH {_PART} SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(SEED, chr(39) + 'fold' + chr(39), 'id')}, id) - 1) % 5)::INT AS fold FROM p")
+def w11_stratified_folds(spark, d):
+    return evaluation.stratified_folds(parts(spark, d), 5, SEED).select("id", "label", "fold")
+
+
+@query(f"WITH {_PART}, x AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY {uniform_sql(SEED, chr(39) + 'permute' + chr(39), 'id')}, id) AS n FROM p), y AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM p) SELECT id, v FROM x JOIN y USING (n)")
+def w13_permutation(spark, d):
+    from pyspark.sql import Window as W
+
+    p = parts(spark, d)
+    x = p.select(F.col("p_retailprice").alias("v"), F.row_number().over(W.orderBy(uniform(SEED, "permute", F.col("id")), "id")).alias("n"))
+    y = p.select("id", F.row_number().over(W.orderBy("id")).alias("n"))
+    return x.join(y, "n").select("id", "v")
+
+
+def _training(spark, d) -> DataFrame:
+    x = F.col("series")
+    features = F.array(S.array_mean(x), S.array_std(x), F.array_min(x), F.array_max(x), F.get(x, F.lit(0)), F.get(x, F.lit(1)), F.get(x, F.lit(2)), F.get(x, F.lit(3)))
+    return series_a(spark, d).select("id", features.alias("features"), F.col("cluster").alias("label"))
+
+
+NAMES = ["mean", "std", "low", "high", "v0", "v1", "v2", "v3"]
+FOREST = forest.ForestConfig(n_trees=20, tree=TreeConfig(max_depth=8))
+
+
+@cache
+def _model(spark: SparkSession, d: str) -> forest.Forest:
+    return forest.train(_training(spark, d), FOREST, NAMES)
+
+
+@query()
+def f09_forest(spark, d):
+    return forest.train(_training(spark, d), FOREST, NAMES).nodes
+
+
+@query()
+def f09b_forest_extra_trees(spark, d):
+    return forest.train(_training(spark, d), forest.ForestConfig(20, TreeConfig(split="extra-trees", max_depth=8, criterion="entropy")), NAMES).nodes
+
+
+@query()
+def f09c_forest_histogram(spark, d):
+    return forest.train(_training(spark, d), forest.ForestConfig(20, TreeConfig(split="histogram", max_depth=8, bins=32)), NAMES).nodes
+
+
+@query()
+def f08_tree_stats(spark, d):
+    return _model(spark, d).stats()
+
+
+@query()
+def f10_oob(spark, d):
+    return forest.oob_predictions(_model(spark, d), _training(spark, d))
+
+
+@query()
+def f11_predict(spark, d):
+    return forest.predict(_model(spark, d), _training(spark, d)).select("id", "label", "predicted", "distribution")
+
+
+@query()
+def f12_importances(spark, d):
+    return forest.importances(_model(spark, d).nodes, NAMES)
+
+
+@query()
+def f13_permutation_importances(spark, d):
+    return forest.permutation_importances(_model(spark, d), _training(spark, d), SEED)
+
+
+@query()
+def f14_cross_validation(spark, d):
+    cv = evaluation.cross_validate(_training(spark, d), forest.ForestConfig(n_trees=5, tree=TreeConfig(max_depth=6)), 3, NAMES)
+    return spark.createDataFrame([(i, a) for i, a in enumerate(cv["fold_accuracies"])], "fold int, accuracy double")
