@@ -12,6 +12,12 @@ def _at(s: Column, i: Column) -> Column:
     return F.get(s, i)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value made once for each row, however often body uses it: lambdas over arrays are
+    evaluated anew for each use otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _positions(s: Column) -> Column:
     return F.sequence(F.lit(0), F.size(s) - 1)
 
@@ -26,8 +32,12 @@ def array_mean(s: Column) -> Column:
 
 def array_std(s: Column) -> Column:
     """Population standard deviation."""
-    mean = array_mean(s)
-    return F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(s))
+
+    def of(s: Column) -> Column:
+        squares = lambda mean: F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return F.sqrt(let(array_mean(s), squares) / F.size(s))
+
+    return let(s, of)
 
 
 def is_valid(s: Column) -> Column:
@@ -37,28 +47,39 @@ def is_valid(s: Column) -> Column:
 
 
 def z_normalize(s: Column) -> Column:
-    """(x - mean) / population deviation; null for a constant series (z_normalized() raises on one)."""
-    mean, std = array_mean(s), array_std(s)
-    return F.when(std != 0, F.transform(s, lambda x: (x - mean) / std))
+    """(x - mean) / population deviation; null for a constant series (preprocess() raises on one)."""
+
+    def scaled(s: Column) -> Column:
+        moments = F.struct(array_mean(s).alias("mean"), array_std(s).alias("std"))
+        return let(moments, lambda m: F.when(m["std"] != 0, F.transform(s, lambda x: (x - m["mean"]) / m["std"])))
+
+    return let(s, scaled)
 
 
 def derivative(s: Column) -> Column:
     """Keogh-Pazzani slope of inner points, two values shorter; null if there are fewer than three."""
-    inner = F.sequence(F.lit(1), F.size(s) - 2)
-    slope = lambda i: ((_at(s, i) - _at(s, i - 1)) + (_at(s, i + 1) - _at(s, i - 1)) / 2) / 2
-    return F.when(F.size(s) >= 3, F.transform(inner, slope))
+
+    def slopes(s: Column) -> Column:
+        slope = lambda i: ((_at(s, i) - _at(s, i - 1)) + (_at(s, i + 1) - _at(s, i - 1)) / 2) / 2
+        return F.when(F.size(s) >= 3, F.transform(F.sequence(F.lit(1), F.size(s) - 2), slope))
+
+    return let(s, slopes)
 
 
 def envelope(s: Column, radius: int | None) -> Column:
     """struct<upper, lower>: the largest and least value within radius of each place (of all, if None)."""
-    if radius is None:
-        part = lambda i: s
-    else:
-        part = lambda i: F.slice(s, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, F.size(s) - 1) - F.greatest(i - radius, F.lit(0)) + 1)
-    return F.struct(
-        F.transform(_positions(s), lambda i: F.array_max(part(i))).alias("upper"),
-        F.transform(_positions(s), lambda i: F.array_min(part(i))).alias("lower"),
-    )
+
+    def of(s: Column) -> Column:
+        if radius is None:
+            high, low = F.array_repeat(F.array_max(s), F.size(s)), F.array_repeat(F.array_min(s), F.size(s))
+        else:
+            first = lambda i: F.greatest(i - radius, F.lit(0))
+            part = lambda i: F.slice(s, first(i) + 1, F.least(i + radius, F.size(s) - 1) - first(i) + 1)
+            high = F.transform(_positions(s), lambda i: F.array_max(part(i)))
+            low = F.transform(_positions(s), lambda i: F.array_min(part(i)))
+        return F.struct(high.alias("upper"), low.alias("lower"))
+
+    return let(s, of)
 
 
 def _gap(x: Column, upper: Column, lower: Column) -> Column:
@@ -67,44 +88,57 @@ def _gap(x: Column, upper: Column, lower: Column) -> Column:
 
 def lb_keogh(q: Column, env: Column) -> Column:
     """Distance of a series to an envelope, over the shorter of both lengths."""
-    n = F.least(F.size(q), F.size(env["upper"]))
-    gaps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _gap(_at(q, i), _at(env["upper"], i), _at(env["lower"], i)))
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g * g))
+
+    def of(v: Column) -> Column:
+        n = F.least(F.size(v["q"]), F.size(v["e"]["upper"]))
+        gaps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _gap(_at(v["q"], i), _at(v["e"]["upper"], i), _at(v["e"]["lower"], i)))
+        return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g * g))
+
+    return let(F.struct(q.alias("q"), env.alias("e")), of)
 
 
 def lb_improved_compat(q: Column, env_q: Column, c: Column, env_c: Column) -> Column:
     """The position-wise two-sided formula. It can exceed the distance, so nothing is pruned by it."""
-    n = F.least(F.size(q), F.size(c), F.size(env_q["upper"]), F.size(env_c["upper"]))
 
-    def term(i: Column) -> Column:
-        x, y = _at(q, i), _at(c, i)
-        up, low = _at(env_c["upper"], i), _at(env_c["lower"], i)
-        other = F.when(x > up, up).when(x < low, low).otherwise(y)
-        first = _gap(x, up, low)
-        second = _gap(other, _at(env_q["upper"], i), _at(env_q["lower"], i))
-        return first * first + second * second
+    def of(v: Column) -> Column:
+        n = F.least(F.size(v["q"]), F.size(v["c"]), F.size(v["eq"]["upper"]), F.size(v["ec"]["upper"]))
 
-    return F.sqrt(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), term), F.lit(0.0), lambda a, t: a + t))
+        def term(i: Column) -> Column:
+            x, y = _at(v["q"], i), _at(v["c"], i)
+            up, low = _at(v["ec"]["upper"], i), _at(v["ec"]["lower"], i)
+            other = F.when(x > up, up).when(x < low, low).otherwise(y)
+            first = _gap(x, up, low)
+            second = _gap(other, _at(v["eq"]["upper"], i), _at(v["eq"]["lower"], i))
+            return first * first + second * second
+
+        return F.sqrt(F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), term), F.lit(0.0), lambda a, t: a + t))
+
+    return let(F.struct(q.alias("q"), env_q.alias("eq"), c.alias("c"), env_c.alias("ec")), of)
 
 
 def lb_two_pass(q: Column, c: Column, env_c: Column, radius: int | None) -> Column:
     """Lemire's bound: the series is clipped to the envelope, and the other's distance to the clipped series'
     envelope is added. Never above the banded distance of series of one length."""
-    clipped = F.transform(_positions(q), lambda i: F.greatest(F.least(_at(q, i), _at(env_c["upper"], i)), _at(env_c["lower"], i)))
-    first, second = lb_keogh(q, env_c), lb_keogh(c, envelope(clipped, radius))
-    return F.sqrt(first * first + second * second)
+
+    def of(v: Column) -> Column:
+        x, e = v["q"], v["e"]
+        clipped = F.transform(_positions(x), lambda i: F.greatest(F.least(_at(x, i), _at(e["upper"], i)), _at(e["lower"], i)))
+        both = F.struct(lb_keogh(x, e).alias("a"), lb_keogh(v["c"], envelope(clipped, radius)).alias("b"))
+        return let(both, lambda t: F.sqrt(t["a"] * t["a"] + t["b"] * t["b"]))
+
+    return let(F.struct(q.alias("q"), c.alias("c"), env_c.alias("e")), of)
 
 
 def gini(counts: Column) -> Column:
-    n = array_sum(F.transform(counts, lambda x: x.cast("double")))
-    return F.when(n > 0, 1 - F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x / n) * (x / n))).otherwise(0.0)
+    total = array_sum(F.transform(counts, lambda x: x.cast("double")))
+    return let(total, lambda n: F.when(n > 0, 1 - F.aggregate(counts, F.lit(0.0), lambda a, x: a + (x / n) * (x / n))).otherwise(0.0))
 
 
 def entropy(counts: Column) -> Column:
     """In nats."""
-    n = array_sum(F.transform(counts, lambda x: x.cast("double")))
-    part = lambda a, x: a - F.when(x > 0, (x / n) * F.ln(x / n)).otherwise(0.0)
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), part)).otherwise(0.0)
+    total = array_sum(F.transform(counts, lambda x: x.cast("double")))
+    part = lambda n: lambda a, x: a - F.when(x > 0, (x / n) * F.ln(x / n)).otherwise(0.0)
+    return let(total, lambda n: F.when(n > 0, F.aggregate(counts, F.lit(0.0), part(n))).otherwise(0.0))
 
 
 def top_k(probabilities: Column, k: int) -> Column:

@@ -75,7 +75,7 @@ def _exploded(df: DataFrame, column: Column | str, *keep: str) -> DataFrame:
 
 # SQL pieces
 
-_A = "a AS (SELECT vec_id AS id, label AS cluster, list_transform(embedding, x -> x::DOUBLE) AS s FROM embeddings)"
+_A = "a AS (SELECT vec_id AS id, label AS cluster, list_transform(embedding, lambda x: x::DOUBLE) AS s FROM embeddings)"
 _AX = "ax AS (SELECT id, cluster, unnest(s) AS v, unnest(range(len(s))) AS pos FROM a)"
 _CENT = f"cent AS (SELECT cluster AS c, list(v ORDER BY pos) AS s FROM (SELECT cluster, pos, round(avg(v), {ROUND}) + 0.0 AS v FROM ax GROUP BY ALL) GROUP BY cluster)"
 
@@ -85,15 +85,15 @@ def _out(x: str) -> str:
 
 
 def _zlist(s: str) -> str:
-    return f"list_transform({s}, x -> (x - list_avg({s})) / list_stddev_pop({s}))"
+    return f"list_transform({s}, lambda x: (x - list_avg({s})) / list_stddev_pop({s}))"
 
 
 def _dlist(s: str) -> str:
-    return f"list_transform(range(2, len({s})), i -> (({s}[i] - {s}[i-1]) + ({s}[i+1] - {s}[i-1]) / 2) / 2)"
+    return f"list_transform(range(2, len({s})), lambda i: (({s}[i] - {s}[i-1]) + ({s}[i+1] - {s}[i-1]) / 2) / 2)"
 
 
 def _envelope(s: str, what: str) -> str:
-    return f"list_transform(range(1, len({s}) + 1), i -> list_{what}({s}[greatest(i-{R}, 1):least(i+{R}, len({s}))]))"
+    return f"list_transform(range(1, len({s}) + 1), lambda i: list_{what}({s}[greatest(i-{R}, 1):least(i+{R}, len({s}))]))"
 
 
 def _gap(x: str, up: str, low: str) -> str:
@@ -167,7 +167,7 @@ _BOUNDS = f"""WITH {_A}, {_AX}, {_CENT},
   ce AS (SELECT c, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM cent), qe AS (SELECT id, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM a)"""
 
 
-@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(a.s) + 1), i -> ' + _gap('a.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2)))')} AS bound FROM a, ce")
+@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(a.s) + 1), lambda i: ' + _gap('a.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2)))')} AS bound FROM a, ce")
 def a06_lb_keogh(spark, d):
     rows = _with_centroids(spark, d)
     return rows.select("id", "c", _r(S.lb_keogh(F.col("series"), S.envelope(F.col("centroid"), R))).alias("bound"))
@@ -176,15 +176,15 @@ def a06_lb_keogh(spark, d):
 _OTHER = "(CASE WHEN qe.s[i] > ce.u[i] THEN ce.u[i] WHEN qe.s[i] < ce.l[i] THEN ce.l[i] ELSE ce.s[i] END)"
 
 
-@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(qe.s) + 1), i -> ' + _gap('qe.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2 + ' + _gap(_OTHER, 'qe.u[i]', 'qe.l[i]') + ' ** 2)))')} AS bound FROM qe, ce")
+@query(f"{_BOUNDS} SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(qe.s) + 1), lambda i: ' + _gap('qe.s[i]', 'ce.u[i]', 'ce.l[i]') + ' ** 2 + ' + _gap(_OTHER, 'qe.u[i]', 'qe.l[i]') + ' ** 2)))')} AS bound FROM qe, ce")
 def a07_lb_improved_compat(spark, d):
     rows = _with_centroids(spark, d).withColumns({"eq": S.envelope(F.col("series"), R), "ec": S.envelope(F.col("centroid"), R)})
     return rows.select("id", "c", _r(S.lb_improved_compat(F.col("series"), F.col("eq"), F.col("centroid"), F.col("ec"))).alias("bound"))
 
 
-@query(f"""{_BOUNDS}, clipped AS (SELECT id, c, qe.s AS q, ce.s AS s, ce.u, ce.l, list_transform(range(1, len(qe.s) + 1), i -> greatest(least(qe.s[i], ce.u[i]), ce.l[i])) AS h FROM qe, ce),
+@query(f"""{_BOUNDS}, clipped AS (SELECT id, c, qe.s AS q, ce.s AS s, ce.u, ce.l, list_transform(range(1, len(qe.s) + 1), lambda i: greatest(least(qe.s[i], ce.u[i]), ce.l[i])) AS h FROM qe, ce),
   h AS (SELECT *, {_envelope('h', 'max')} AS hu, {_envelope('h', 'min')} AS hl FROM clipped)
-  SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(q) + 1), i -> ' + _gap('q[i]', 'u[i]', 'l[i]') + ' ** 2 + ' + _gap('s[i]', 'hu[i]', 'hl[i]') + ' ** 2)))')} AS bound FROM h""")
+  SELECT id, c, {_out('sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: ' + _gap('q[i]', 'u[i]', 'l[i]') + ' ** 2 + ' + _gap('s[i]', 'hu[i]', 'hl[i]') + ' ** 2)))')} AS bound FROM h""")
 def a07b_lb_two_pass(spark, d):
     rows = _with_centroids(spark, d).withColumn("ec", S.envelope(F.col("centroid"), R))
     return rows.select("id", "c", _r(S.lb_two_pass(F.col("series"), F.col("centroid"), F.col("ec"), R)).alias("bound"))
@@ -265,7 +265,7 @@ def a17_predicted_class(spark, d):
     return _distributions(spark, d).select("nation", S.predicted_class(F.col("p")).cast("long").alias("predicted"))
 
 
-_EDGES = "e AS (SELECT list_distinct(quantile_cont(p_retailprice, list_transform(range(1, 16), i -> i / 16.0))) AS raw, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), edges AS (SELECT unnest(raw) AS edge, lo, hi FROM e)"
+_EDGES = "e AS (SELECT list_distinct(quantile_cont(p_retailprice, list_transform(range(1, 16), lambda i: i / 16.0))) AS raw, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), edges AS (SELECT unnest(raw) AS edge, lo, hi FROM e)"
 
 
 @query(f"WITH {_EDGES} SELECT {_out('edge')} AS edge FROM edges WHERE edge > lo AND edge < hi")
@@ -409,7 +409,7 @@ def s05_duplicate_ids(spark, d):
     return readers.duplicate_ids(_t(spark, d, "orders").select(F.col("o_custkey").alias("id")))
 
 
-@query("SELECT vec_id AS id, len(embedding)::INT AS n, len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
+@query("SELECT vec_id AS id, len(embedding)::INT AS n, len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
 def s01_valid_series(spark, d):
     return series_a(spark, d).select("id", F.size("series").alias("n"), S.is_valid(F.col("series")).alias("valid"))
 
@@ -572,7 +572,7 @@ def f02_extra_trees_split(spark, d):
     return rows.select("feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
 
 
-@query(f"WITH {_LONG}, e AS (SELECT feature, min(value) AS lo, max(value) AS hi, list_distinct(quantile_cont(value, list_transform(range(1, 16), i -> i / 16.0))) AS raw FROM long GROUP BY feature), th AS (SELECT feature, threshold FROM (SELECT feature, lo, hi, unnest(raw) AS threshold FROM e) WHERE threshold > lo AND threshold < hi), {_SPLIT_AT}")
+@query(f"WITH {_LONG}, e AS (SELECT feature, min(value) AS lo, max(value) AS hi, list_distinct(quantile_cont(value, list_transform(range(1, 16), lambda i: i / 16.0))) AS raw FROM long GROUP BY feature), th AS (SELECT feature, threshold FROM (SELECT feature, lo, hi, unnest(raw) AS threshold FROM e) WHERE threshold > lo AND threshold < hi), {_SPLIT_AT}")
 def f03_histogram_split(spark, d):
     p = parts(spark, d)
     edges = p.agg(*[S.quantile_edges(F.col(f), 16).alias(f) for f in FEATURES])
