@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors
 from ..functions import series as S
 from ..rng import derived_seed, uniform
+from .pairwise import matrix
 from .trees import NODE_SCHEMA, Tree, TreeConfig, grow, resolve_max_features
 
 LOCAL_VALUES = 16_000_000
@@ -149,15 +151,15 @@ def predict_proba(forest: Forest, df: DataFrame) -> DataFrame:
         raise errors.PredictionFeatureMismatch(expected=forest.n_features, got=width)
     sent = df.sparkSession.sparkContext.broadcast(list(forest.trees().values()))  # the model
 
-    @F.pandas_udf("array<double>")
-    def run(features: pd.Series) -> pd.Series:
-        if not len(features):
-            return pd.Series([], dtype=object)
-        x = np.stack(features.to_list())
-        total = sum(t.distribution[t.leaves(x)] for t in sent.value)
-        return pd.Series(list(total / len(sent.value)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("features"))
+                mean = sum(t.distribution[t.leaves(x)] for t in sent.value) / len(sent.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "distribution"])
 
-    return df.withColumn("distribution", run("features"))
+    schema = T.StructType([*df.schema.fields, T.StructField("distribution", T.ArrayType(T.DoubleType()))])
+    return df.mapInArrow(run, schema)
 
 
 def predict(forest: Forest, df: DataFrame) -> DataFrame:

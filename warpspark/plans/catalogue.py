@@ -200,7 +200,7 @@ def a08b_dtw_udf(spark, d):
     return _with_centroids(spark, d).select("id", "c", _r(D.dtw(F.col("series"), F.col("centroid"), R)).alias("dist"))
 
 
-_CUT = f"{_TO_CENT}, cut AS (SELECT i, median(dist) AS m FROM dist GROUP BY i) SELECT i AS id, j AS c, CASE WHEN dist > round(m, 3) THEN NULL ELSE {_out('dist')} END AS dist FROM dist JOIN cut USING (i)"
+_CUT = f"{_TO_CENT}, cut AS (SELECT i, median(dist) AS m FROM dist GROUP BY i) SELECT i AS id, j AS c, CASE WHEN dist > round(m, 3) THEN -1.0 ELSE {_out('dist')} END AS dist FROM dist JOIN cut USING (i)"
 
 
 def _cutoffs(spark, d) -> DataFrame:
@@ -210,7 +210,8 @@ def _cutoffs(spark, d) -> DataFrame:
 
 
 def _finite(c: Column) -> Column:
-    return F.when(c < float("inf"), _r(c))
+    """-1 for infinity."""
+    return F.when(c < float("inf"), _r(c)).otherwise(-1.0)
 
 
 @query(_CUT)
@@ -270,7 +271,7 @@ _EDGES = "e AS (SELECT list_distinct(quantile_cont(p_retailprice, list_transform
 
 @query(f"WITH {_EDGES} SELECT {_out('edge')} AS edge FROM edges WHERE edge > lo AND edge < hi")
 def g21_quantile_edges(spark, d):
-    return _t(spark, d, "part").agg(S.quantile_edges(F.col("p_retailprice"), 16).alias("e")).select(_r(F.explode("e")).alias("edge"))
+    return _t(spark, d, "part").agg(S.quantile_edges(F.col("p_retailprice"), 16).alias("e")).select(F.explode("e").alias("edge")).select(_r("edge").alias("edge"))
 
 
 @query(f"WITH {_EDGES}, ok AS (SELECT round(edge, 6) AS edge FROM edges WHERE edge > lo AND edge < hi), p AS (SELECT round(p_retailprice, 6) AS v FROM part), b AS (SELECT (SELECT count(*) FROM ok WHERE edge < v) AS bin FROM p) SELECT bin, count(*) AS n FROM b GROUP BY bin")
