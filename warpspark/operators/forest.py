@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import errors
 from ..functions import series as S
@@ -137,8 +138,9 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
             y = np.repeat(table.column("label").to_numpy(), times)
             nodes = pd.DataFrame(grow(x, y, n_classes, cfg.tree, derived_seed(cfg.seed, "tree", key[0].as_py())))
             nodes.insert(0, "tree_id", key[0].as_py())
-            return pa.Table.from_pandas(nodes, preserve_index=False)
+            return pa.Table.from_pandas(nodes, schema=to_arrow_schema(nodes_type), preserve_index=False)
 
+        nodes_type = spark.createDataFrame([], FOREST_SCHEMA).schema
         nodes = used.groupBy("tree_id").applyInArrow(one, FOREST_SCHEMA).persist()
         oob = counts.filter("n = 0").select("tree_id", "id")
     return Forest(nodes, cfg.n_trees, n_features, n_classes, names, oob)
