@@ -34,7 +34,8 @@ PREFIX_BITS = 6  # of each of the two prefix levels
 PREFIX_WORDS = 4
 LOG_BITS = (20, 29)  # of the anchor filter: 64 MB at most
 BUCKETS = 128
-FLUSH = 1 << 21
+FLUSH = 1 << 20
+UNIT = 8 << 20  # bytes of text whose windows a worker holds at once
 
 
 def window_anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,6 +205,14 @@ def _doc_rows(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes
     return ids, [runs(part).tobytes() for part in np.split(start, cut)] if len(doc) else []
 
 
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and texts of documents whose repeats are found together before anything is dealt."""
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_numpy(), text_bytes(batch.column("text"))
+        for a, b in chunks(texts, UNIT):
+            yield ids[a:b], texts[a:b]
+
+
 def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, places): windows whose words also begin earlier, as packed (start, length) runs of starts;
     several rows for a document."""
@@ -222,9 +231,7 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = sent.value
         names = ["group", "ids", "one", "two", "at"]
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            texts = text_bytes(batch.column("text"))
+        for ids, texts in units(batches):
             order = np.argsort(ids, kind="stable")  # so that places rise with doc_id and start
             ids, texts = ids[order], [texts[i] for i in order]
             kept: list[tuple] = []
