@@ -20,7 +20,7 @@ WHITE = bytes([0x20, *range(0x09, 0x0E)])
 LETTER = np.zeros(256, bool)  # lower-cased ASCII letters and digits, and all of longer characters
 LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 CONTINUATION = bytes(range(0x80, 0xC0))
-CHUNK = 4 << 20  # bytes of text hashed at once; bounds the temporaries of a Python worker
+CHUNK = 1 << 20  # bytes of text hashed at once; bounds the temporaries of a Python worker
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,13 @@ from .common import Words, chunks, grams, keyed_runs, mix, text_bytes, written
 
 WINDOW = 20
 ANCHOR = 10
-GROUP = 1 << 20  # suffixes of a group, before the filter
+GROUP = 1 << 19  # suffixes of a group, before the filter
 PREFIX_BITS = 6  # of each of the two prefix levels
 PREFIX_WORDS = 4
 LOG_BITS = (20, 29)  # of the anchor filter: 64 MB at most
 BUCKETS = 128
 FLUSH = 1 << 20
-UNIT = 8 << 20  # bytes of text whose windows a worker holds at once
+UNIT = 6 << 20  # bytes of text whose windows a worker holds at once
 
 
 def window_anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,10 +165,10 @@ def recurring(anchors: DataFrame) -> DataFrame:
 
 
 def anchor_filter(found: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
-    """A bit for each recurring anchor: eight bits for each of them, between the bounds. What comes to the
+    """A bit for each recurring anchor: 32 bits for each of them, between the bounds. What comes to the
     driver are the slices of the filter, not the anchors."""
     total = found.agg(F.sum("n")).first()[0] or 0
-    log = min(max(int(8 * total).bit_length(), LOG_BITS[0]), LOG_BITS[1])
+    log = min(max(int(32 * total).bit_length() - 1, LOG_BITS[0]), LOG_BITS[1])
     log = max(log, int(buckets - 1).bit_length() + 3)
     each = (1 << log) // buckets
 
@@ -205,6 +206,27 @@ def _doc_rows(doc: np.ndarray, start: np.ndarray) -> tuple[list[int], list[bytes
     return ids, [runs(part).tobytes() for part in np.split(start, cut)] if len(doc) else []
 
 
+def _place_rows(doc: np.ndarray, start: np.ndarray, buckets: int, sign: int) -> pa.RecordBatch:
+    """Places packed for each bucket of documents; sign -1 numbers the buckets -1, -2, ..."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    bucket = np.abs(doc) % buckets
+    by = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cut))
+    parts = [by[cut[i] : cut[i + 1]] for i in used]
+    keys = used if sign > 0 else -1 - used
+    blobs = [np.concatenate([doc[p].astype(np.int64).view(np.uint8), start[p].astype(np.int32).view(np.uint8)]).tobytes() for p in parts]
+    none = pa.nulls(len(parts), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), none, none, pa.array(blobs, pa.binary())], ["group", "one", "two", "at"])
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and starts of packed places."""
+    doc = np.concatenate([np.frombuffer(x[: len(x) // 12 * 8], np.int64) for x in blobs])
+    return doc, np.concatenate([np.frombuffer(x[len(x) // 12 * 8 :], np.int32) for x in blobs])
+
+
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids and texts of documents whose repeats are found together before anything is dealt."""
     for batch in batches:
@@ -214,8 +236,8 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
 
 def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, places): windows whose words also begin earlier, as packed (start, length) runs of starts;
-    several rows for a document."""
+    """(doc_id, places): windows whose words also begin earlier, as packed (start, length) runs of starts, one
+    row for each document that has any."""
     spark = docs.sparkSession
     wanted = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << int(wanted - 1).bit_length()
@@ -230,7 +252,7 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = sent.value
-        names = ["group", "ids", "one", "two", "at"]
+        names = ["group", "one", "two", "at"]
         for ids, texts in units(batches):
             order = np.argsort(ids, kind="stable")  # so that places rise with doc_id and start
             ids, texts = ids[order], [texts[i] for i in order]
@@ -253,13 +275,8 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
             head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             later = order[(doc[order] != doc[head]) | (start[order] != start[head])]
-            own, places = _doc_rows(doc[later], start[later])
-            for i in range(0, len(own), 5000):
-                part = own[i : i + 5000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1 - (x % buckets) for x in part], pa.int64()), pa.array(part, pa.int64()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(places[i : i + 5000], pa.binary())],
-                    names,
-                )
+            if len(later):
+                yield _place_rows(doc[later], start[later], buckets, -1)
             first = np.sort(order[new])
             first = first[may[first]]
             group = base[cell[first]] + (one[first] % splits[cell[first]].astype(np.uint64)).astype(np.int64)
@@ -274,7 +291,6 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(heads[i : i + 256]),
-                        pa.nulls(len(some), pa.int64()),
                         blob(lambda p: one[p]),
                         blob(lambda p: two[p]),
                         blob(lambda p: np.concatenate([doc[p].view(np.uint8), start[p].view(np.uint8)])),
@@ -282,7 +298,7 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names,
                 )
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "group long, ids long, one binary, two binary, at binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "group long, one binary, two binary, at binary")
     dealt = dealt.repartition("group").sortWithinPartitions("group")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +306,19 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         starts_held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            ids, places = _doc_rows(np.concatenate(docs_held), np.concatenate(starts_held))
+            made = _place_rows(np.concatenate(docs_held), np.concatenate(starts_held), buckets, 1)
             docs_held.clear()
             starts_held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "places"])
+            return made.select(["group", "at"])
 
         for rows in keyed_runs(batches, "group"):
             if rows.column("group")[0].as_py() < 0:
-                for batch in rows.select(["ids", "at"]).to_batches():
-                    yield pa.RecordBatch.from_arrays(batch.columns, ["doc_id", "places"])
+                for batch in rows.select(["group", "at"]).to_batches():
+                    yield pa.RecordBatch.from_arrays([pc.subtract(-1, batch.column(0)), batch.column(1)], ["group", "at"])
                 continue
             one = np.frombuffer(b"".join(rows.column("one").to_pylist()), np.uint64)
             two = np.frombuffer(b"".join(rows.column("two").to_pylist()), np.uint32)
-            at = rows.column("at").to_pylist()
-            doc = np.concatenate([np.frombuffer(x[: len(x) // 12 * 8], np.int64) for x in at])
-            start = np.concatenate([np.frombuffer(x[len(x) // 12 * 8 :], np.int32) for x in at])
+            doc, start = _unpack(rows.column("at").to_pylist())
             order = np.lexsort((start, doc, two, one))
             one, two, doc, start = one[order], two[order], doc[order], start[order]
             new = np.ones(len(one), bool)
@@ -318,21 +332,28 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if docs_held:
             yield flush()
 
-    return dealt.mapInArrow(subtrees, "doc_id long, places binary")
+    found = dealt.mapInArrow(subtrees, "group long, at binary").repartition("group").sortWithinPartitions("group")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in keyed_runs(batches, "group"):
+            ids, places = _doc_rows(*_unpack(rows.column("at").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "places"])
+
+    return found.mapInArrow(gather, "doc_id long, places binary")
 
 
-def removed_words(places: list[bytes], n_words: int, window: int) -> np.ndarray:
+def removed_words(places: bytes | None, n_words: int, window: int) -> np.ndarray:
     """The words that the windows at these places cover."""
     change = np.zeros(n_words + 1, np.int32)
-    for raw in places:
-        pairs = np.frombuffer(raw, np.int32).reshape(-1, 2)
+    if places:
+        pairs = np.frombuffer(places, np.int32).reshape(-1, 2)
         np.add.at(change, pairs[:, 0], 1)
         np.add.at(change, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def with_places(docs: DataFrame, window: int) -> DataFrame:
-    places = repeat_places(docs, window).groupBy(F.col("doc_id").alias("place_doc")).agg(F.collect_list("places").alias("repeat_places"))
+    places = repeat_places(docs, window).select(F.col("doc_id").alias("place_doc"), F.col("places").alias("repeat_places"))
     return docs.join(places, docs["doc_id"] == places["place_doc"], "left").drop("place_doc")
 
 
@@ -348,7 +369,7 @@ def digest_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             n, removed, digest = [], [], []
             for text, places in zip(text_bytes(batch.column("text")), batch.column("repeat_places").to_pylist()):
                 words = text.split()
-                gone = removed_words(places or [], len(words), window)
+                gone = removed_words(places, len(words), window)
                 n.append(len(words))
                 removed.append(int(gone.sum()))
                 kept = words if not places else [w for w, g in zip(words, gone.tolist()) if not g]
