@@ -1,7 +1,9 @@
 """Cleaning pipeline over `documents`: rules, near-duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written and read again.
-All but the last return the columns of `documents`; where a stage changes `text`, `n_chars` follows.
+All but the last return the columns of `documents`; where a stage changes `text`, `n_chars` follows. Rows are named
+by doc_id: rows that repeat one are judged alike, and rows without one go in the first stage. Null texts have no
+words, so they fail the base rules.
 """
 
 from __future__ import annotations

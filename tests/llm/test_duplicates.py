@@ -69,6 +69,8 @@ def test_ngram_join_small_cases(docs):
     assert ngram_join.similar_groups(docs([])).count() == 0
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs([(5, None), (6, ""), (7, "a b"), (3, "A B"), (3, "A B")])).collect()}
     assert got == {5: (0, 5), 6: (0, 6), 7: (1, 3), 3: (1, 3)}
+    rows = sorted(tuple(r)[1:] for r in ngram_join.similar_groups(docs([(None, "a b"), (None, None), (8, "a b c d e")])).collect() if r["doc_id"] is None)
+    assert rows == [(0, None), (1, None)]
 
 
 def test_tile_links_join_all_links():
@@ -116,6 +118,8 @@ def test_substring_dedup_cases(docs):
     assert got == {1: 20, 2: 0, 3: 0, 4: 0}
     assert substring_dedup.digest_kept(docs([])).count() == 0
     passage = " ".join(f"p{i}" for i in range(25))
+    nameless = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest_kept(docs([(None, passage), (4, passage)])).collect()}
+    assert nameless == {None: 0, 4: 0}
     out = {r["doc_id"]: r for r in substring_dedup.cut_repeats(docs([(1, f"a\n{passage}\nb"), (2, f"c d\n{passage}\ne  f"), (3, None)])).collect()}
     assert out[1]["text"] == f"a\n{passage}\nb" and out[2]["text"] == "c d\ne  f" and out[3]["text"] is None and out[2]["n"] == 7
 
@@ -150,6 +154,8 @@ def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
         assert got[i]["n_links"] == 0 and got[i]["kept"]
     assert got[605]["component_id"] == 604 and got[605]["n_links"] == 1 and not got[605]["kept"]
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
+    nameless = embedding_dedup.near_duplicates(vectors(spark, [(None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (3, [1.0, 2.0], 0)])).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["kept"]) for r in nameless) == [(0, 0, True), (0, 0, True), (3, 0, True)]
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0, 0.0], 0)])).collect()[0]["kept"]
 
 

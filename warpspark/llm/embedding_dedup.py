@@ -124,11 +124,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Null or zero vectors, and those with null or non-finite components, link with nothing. Vectors of different
     lengths don't link; vectors of another length than most are compared in full with one another. Rows that
-    repeat a vec_id with the same vector count once. An empty table gives an empty table.
+    repeat a vec_id with the same vector count once. A row without a vec_id links with nothing and is kept. An
+    empty table gives an empty table.
     """
     spark = vectors.sparkSession
     blobs = written(vector_blobs(vectors), "vectors")
-    alike = blobs.filter("vector is not null").select("vec_id", "dim", "vector", F.md5("vector").alias("digest"))
+    alike = blobs.filter("vector is not null and vec_id is not null").select("vec_id", "dim", "vector", F.md5("vector").alias("digest"))
     classes = written(
         alike.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector")),
         "vector-classes",
@@ -198,9 +199,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     links = found.filter("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     by_class = classes.select("digest", "rep", "copies").join(joined, "rep", "left").join(links, "rep", "left")
     by_class = by_class.select("digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = blobs.select("vec_id", F.md5("vector").alias("digest")).join(by_class, "digest", "left")
+    digest = F.when(F.col("vec_id").isNotNull(), F.md5("vector")).alias("digest")
+    out = blobs.select("vec_id", digest).join(by_class, "digest", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast(T.LongType()).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast(T.LongType()).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _pairs(found: list[tuple]) -> pa.RecordBatch:

@@ -202,8 +202,8 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach).
 
     Documents without words, or with a null text, have an empty set and no links. Equal sets always link.
-    Repeated rows of one doc_id with equal texts give a row each. An empty table gives an empty table. Other
-    columns are ignored.
+    Repeated rows of one doc_id with equal texts give a row each. A row without a doc_id starts no link and joins
+    just the class of its own set. An empty table gives an empty table. Other columns are ignored.
     """
     spark = docs.sparkSession
     threshold = percent / 100

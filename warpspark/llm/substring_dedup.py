@@ -298,7 +298,7 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names,
                 )
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "group long, one binary, two binary, at binary")
+    dealt = docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(deal, "group long, one binary, two binary, at binary")
     dealt = dealt.repartition("group").sortWithinPartitions("group")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,21 +353,22 @@ def removed_words(places: bytes | None, n_words: int, window: int) -> np.ndarray
 
 
 def with_places(docs: DataFrame, window: int) -> DataFrame:
-    places = repeat_places(docs, window).select(F.col("doc_id").alias("place_doc"), F.col("places").alias("repeat_places"))
-    return docs.join(places, docs["doc_id"] == places["place_doc"], "left").drop("place_doc")
+    places = repeat_places(docs, window).select(F.col("doc_id").alias("__place_doc"), F.col("places").alias("__places"))
+    return docs.join(places, docs["doc_id"] == places["__place_doc"], "left").drop("__place_doc")
 
 
 def digest_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words joined by one blank.
 
     Null texts have no words. Windows are judged on the input. Rows that repeat a doc_id with the same text
-    count as one document. Texts of fewer words than a window lose nothing.
+    count as one document. Texts of fewer words than a window lose nothing, nor do rows without a doc_id, which
+    take no part in the comparison.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, digest = [], [], []
-            for text, places in zip(text_bytes(batch.column("text")), batch.column("repeat_places").to_pylist()):
+            for text, places in zip(text_bytes(batch.column("text")), batch.column("__places").to_pylist()):
                 words = text.split()
                 gone = removed_words(places, len(words), window)
                 n.append(len(words))
@@ -379,7 +380,7 @@ def digest_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = with_places(docs.select("doc_id", "text"), window).select("doc_id", "text", "repeat_places")
+    rows = with_places(docs.select("doc_id", "text"), window).select("doc_id", "text", "__places")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -391,7 +392,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             raw = batch.column(at).cast(pa.large_binary()).to_pylist()
-            places = batch.column("repeat_places").to_pylist()
+            places = batch.column("__places").to_pylist()
             out = []
             for text, found in zip(raw, places):
                 if text and found:
@@ -403,7 +404,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = batch.columns
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             names = batch.schema.names
-            keep = [i for i, name in enumerate(names) if name != "repeat_places"]
+            keep = [i for i, name in enumerate(names) if name != "__places"]
             yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [names[i] for i in keep])
 
     return with_places(docs, window).mapInArrow(run, docs.schema)
