@@ -67,8 +67,8 @@ def test_preprocess_errors(spark):
 
 def test_ranking_impurity_and_edges(spark):
     df = spark.createDataFrame([([0.4, 0.4, 0.2], [5, 5], [10, 0, 0])], "p array<double>, c array<long>, d array<long>")
-    row = df.select(S.top_k(F.col("p"), 2).alias("t"), S.predicted_class(F.col("p")).alias("c"), S.gini(F.col("c")).alias("g"), S.gini(F.col("d")).alias("z"), S.entropy(F.col("c")).alias("e")).first()
-    assert [t["class"] for t in row["t"]] == [0, 1] and row["c"] == 1 and row["g"] == 0.5 and row["z"] == 0 and row["e"] == pytest.approx(np.log(2))
+    row = df.select(S.top_k(F.col("p"), 2).alias("t"), S.predicted_class(F.col("p")).alias("k"), S.gini(F.col("c")).alias("g"), S.gini(F.col("d")).alias("z"), S.entropy(F.col("c")).alias("e")).first()
+    assert [t["class"] for t in row["t"]] == [0, 1] and row["k"] == 1 and row["g"] == 0.5 and row["z"] == 0 and row["e"] == pytest.approx(np.log(2))
     values = spark.range(1, 11).select(F.col("id").cast("double").alias("v"))
     assert values.agg(S.quantile_edges(F.col("v"), 4)).first()[0] == [3.25, 5.5, 7.75]
     assert values.select(F.lit(5.0).alias("v")).agg(S.quantile_edges(F.col("v"), 4)).first()[0] == []
