@@ -69,8 +69,15 @@ class Index:
         return np.stack(out[: self.tables], 1)
 
 
-def vector_blobs(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, vector): the components as doubles, at length 1; null if the vector links with nothing."""
+def unit_rows(raw: list[bytes], dtype: type) -> np.ndarray:
+    """Vectors as rows of doubles of length 1. Scaling by the largest component first avoids overflow."""
+    x = np.stack([np.frombuffer(v, dtype) for v in raw]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def vector_blobs(vectors: DataFrame, dtype: type) -> DataFrame:
+    """(vec_id, dim, vector): the components as they are; null if the vector links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +85,9 @@ def vector_blobs(vectors: DataFrame) -> DataFrame:
             for v in batch.column("embedding"):
                 x = v.values
                 good = x is not None and len(x) > 0 and x.null_count == 0
-                a = x.to_numpy(zero_copy_only=False).astype(np.float64) if good else None
-                if good and np.isfinite(a).all() and np.isfinite(s := float(np.abs(a).max())) and s > 0:
-                    norm = np.linalg.norm(a / s)
-                    blobs.append((a / s / norm).tobytes())
+                a = x.to_numpy(zero_copy_only=False).astype(dtype) if good else None
+                if good and np.isfinite(a).all() and a.any():
+                    blobs.append(a.tobytes())
                     dims.append(len(a))
                 else:
                     blobs.append(None)
@@ -128,7 +134,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    blobs = written(vector_blobs(vectors), "vectors")
+    kind = vectors.schema["embedding"].dataType
+    dtype = np.float32 if kind == T.ArrayType(T.FloatType(), kind.containsNull) else np.float64
+    blobs = written(vector_blobs(vectors, dtype), "vectors")
     alike = blobs.filter("vector is not null and vec_id is not null").select("vec_id", "dim", "vector", F.md5("vector").alias("digest"))
     classes = written(
         alike.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector")),
@@ -140,30 +148,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         return none
     dim, rows = int(top["dim"]), int(top["count"])
     picked = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").collect()
-    sent = spark.sparkContext.broadcast(Index(np.stack([np.frombuffer(r["vector"]) for r in picked]), rows, threshold))
+    sent = spark.sparkContext.broadcast(Index(unit_rows([r["vector"] for r in picked], dtype), rows, threshold))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             raw = batch.column("vector").to_pylist()
-            codes: list[list[int]] = [[] for _ in raw]
+            codes = [b""] * len(raw)
             main = np.flatnonzero(dims == dim)
             if len(main):
-                x = np.frombuffer(b"".join(raw[i] for i in main)).reshape(-1, dim)
-                for i, row in zip(main.tolist(), index.substrings(x).tolist()):
-                    codes[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
+                found = index.substrings(unit_rows([raw[i] for i in main], dtype)).astype(np.int32)
+                for i, row in zip(main.tolist(), found):
+                    codes[i] = row.tobytes()
+            places = [np.frombuffer(c, np.int32).tolist() for c in codes]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(places, pa.list_(pa.int32()))], [*batch.schema.names, "codes", "places"])
 
-    coded = written(classes.select("rep", "copies", "dim", "vector").mapInArrow(encode, "rep long, copies long, dim int, vector binary, codes array<long>"), "codes")
+    coded = written(classes.select("rep", "copies", "dim", "vector").mapInArrow(encode, "rep long, copies long, dim int, vector binary, codes binary, places array<int>"), "codes")
     # The bucket of each table; vectors of another length share one bucket for each length, as table -length.
-    odd = F.array(F.struct((-F.col("dim")).alias("table"), F.lit(0).cast("long").alias("code")))
-    usual = F.transform("codes", lambda c, t: F.struct(t.alias("table"), c.alias("code")))
-    places = F.when(F.size("codes") > 0, usual).otherwise(odd)
-    dealt = coded.withColumn("place", F.explode(places)).select("rep", "copies", "vector", "codes", "place.table", "place.code")
-    counts = coded.select(F.explode(places).alias("place")).groupBy("place.table", "place.code").count()
-    counts = counts.filter("count > 1").select("table", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(counts, ["table", "code"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    odd = F.array(F.struct((-F.col("dim")).alias("table"), F.lit(0).alias("code")))
+    usual = F.transform("places", lambda c, t: F.struct(t.alias("table"), c.alias("code")))
+    place = F.explode(F.when(F.size("places") > 0, usual).otherwise(odd)).alias("place")
+    dealt = coded.select("rep", "copies", "vector", "codes", place).select("rep", "copies", "vector", "codes", "place.table", "place.code")
+    # Just crowded buckets are cut into blocks. They are few (each has over BLOCK rows) and written first, so Spark
+    # knows their size and sends them to the rows if they are small, instead of dealing all rows twice.
+    counts = coded.select(place).groupBy("place.table", "place.code").count().filter(F.col("count") > BLOCK)
+    crowded = written(counts.select("table", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
+    dealt = dealt.join(crowded, ["table", "code"], "left").na.fill(1, ["blocks"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     me, other = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
     side = lambda x: F.when(x == me, 0).when(me < x, 1).otherwise(2)
     tiles = F.transform(other, lambda x: F.struct(F.least(me, x).alias("i"), F.greatest(me, x).alias("j"), side(x).alias("side")))
@@ -180,14 +192,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             named = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in order[1:]], 1)
             cut = np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1  # keys that hash alike are kept apart
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(named)]):
+                if b - a < 2:
+                    continue
                 part = whole.slice(a, b - a)
-                codes = part.column("codes").to_pylist()
-                edges.append(
-                    link_block(
-                        part.column("rep").to_numpy(), part.column("side").to_numpy(), np.array(codes, np.int64).reshape(len(codes), -1),
-                        part.column("copies").to_numpy(), np.stack([np.frombuffer(v) for v in part.column("vector").to_pylist()]), int(named[a, 0]), threshold,
-                    )
-                )
+                codes = np.stack([np.frombuffer(c, np.int32) for c in part.column("codes").to_pylist()])
+                x = unit_rows(part.column("vector").to_pylist(), dtype)
+                edges.append(link_block(part.column("rep").to_numpy(), part.column("side").to_numpy(), codes, part.column("copies").to_numpy(), x, int(named[a, 0]), threshold))
             if len(edges) >= 2000:
                 yield _pairs(edges)
                 edges = []
