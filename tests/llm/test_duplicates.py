@@ -52,8 +52,10 @@ def test_ngram_join_matches_brute_force(docs, n, percent):
     assert got == {i: (len(sets[i]), group[i]) for i in sets}
 
 
-def test_ngram_join_tiles_of_crowded_groups(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 5)
+@pytest.mark.parametrize("name,value", [("TILE", 5), ("TILE_BYTES", 5_000)])
+def test_ngram_join_tiles_of_crowded_groups(docs, monkeypatch, name, value):
+    monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 100)
     rng = random.Random(1)
     base = prose(rng, 120).split()
     rows = []
@@ -107,6 +109,8 @@ def windows_removed(rows, window):
 def test_substring_dedup_matches_brute_force(docs, monkeypatch, group, unit):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     monkeypatch.setattr(substring_dedup, "UNIT", unit)
+    if group == 300:
+        monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 100)
     rows = corpus()
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.digest_kept(docs(rows).repartition(3)).collect()}
     assert got == windows_removed(rows, 20)

@@ -34,7 +34,9 @@ ROWS = 6
 MISS = 1e-9
 BITS = 1024
 TILE = 2048  # sets of a block; a tile holds two at most
-BUCKETS = 128  # groups of band keys for one shuffle task each, at least
+TILE_BYTES = 32 << 20  # of a block's elements, so that long texts don't make a large tile
+BUCKETS = 128  # groups of band keys, at least
+BUCKET_BYTES = 64 << 20  # of a group's keys and ids
 _FILTER_BITS = 1 << 23  # of the fixed-size filter of candidates
 
 
@@ -212,7 +214,8 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     joined = written(sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left"), "classes")
     reps = joined.filter("doc_id = rep").select("doc_id").distinct()
     keyed = sets.filter("n_shingles > 0").select("doc_id", "keys").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_set = 16 * bands(threshold)  # bytes of a set's keys and ids
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * per_set // BUCKET_BYTES))
     groups = components(candidate_edges(keyed, buckets))
     candidates = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     links = tile_links(docs, candidates, n, percent)
@@ -250,10 +253,11 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     sets = docs.select("doc_id", "text", h).mapInArrow(make, "doc_id long, size long, elements binary")
     sets = sets.filter("size > 0").join(candidates, "doc_id")
     sets = written(sets.withColumn("band", F.floor(F.log(F.col("size")) / -math.log(percent / 100)).cast("int")), "members")
-    counts = sets.groupBy("group", "band").agg(F.count("*").alias("n"))
+    # The share of a block that a band or group fills, by sets or by bytes of elements.
+    counts = sets.groupBy("group", "band").agg(F.greatest(F.count("*") / TILE, F.sum("size") * 8 / TILE_BYTES).alias("n"))
     # Blocks of a band: as many as it needs, so no tile holds more than two of them.
-    blocks = counts.select("group", "band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
-    whole = counts.groupBy("group").agg(F.sum("n").alias("n")).select("group", (F.col("n") <= TILE).alias("whole"))
+    blocks = counts.select("group", "band", F.ceil("n").cast("int").alias("blocks"))
+    whole = counts.groupBy("group").agg((F.sum("n") <= 1).alias("whole"))
     after = blocks.select("group", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
     before = blocks.select("group", (F.col("band") + 1).alias("band"), F.col("blocks").alias("previous"))
     plan = blocks.join(after, ["group", "band"], "left").join(before, ["group", "band"], "left").join(whole, "group").na.fill(0, ["next", "previous"])

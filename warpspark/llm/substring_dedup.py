@@ -35,6 +35,7 @@ PREFIX_BITS = 6  # of each of the two prefix levels
 PREFIX_WORDS = 4
 LOG_BITS = (20, 29)  # of the anchor filter: 64 MB at most
 BUCKETS = 128
+BUCKET_BYTES = 64 << 20  # of a bucket's anchors
 FLUSH = 1 << 20
 UNIT = 6 << 20  # bytes of text whose windows a worker holds at once
 
@@ -99,8 +100,8 @@ def _by_bucket(values: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator
 
 
 def anchor_table(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(bucket, one, more, n): anchors of one document and of more within a batch, by range of hashes; and
-    the suffixes of each cell (bucket = -1 - cell)."""
+    """(bucket, one, more, n): anchors of one document and of more within a batch, by range of hashes, and their
+    number; and the suffixes of each cell (bucket = -1 - cell)."""
     shift = np.uint64(64 - int(buckets - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,7 @@ def anchor_table(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     pa.array(keys, pa.int64()),
                     pa.array([blob(one, k) for k in keys], pa.binary()),
                     pa.array([blob(more, k) for k in keys], pa.binary()),
-                    pa.array([0] * len(keys), pa.int64()),
+                    pa.array([sum(len(d[k]) for d in (one, more) if k in d) for k in keys], pa.int64()),
                 ],
                 ["bucket", "one", "more", "n"],
             )
@@ -147,6 +148,27 @@ def anchor_table(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket long, one binary, more binary, n long")
 
 
+def split_buckets(anchors: DataFrame, buckets: int, by: int) -> DataFrame:
+    """Each of the buckets as `by` smaller ranges of hashes; both are powers of two."""
+    shift, mask = np.uint64(64 - (buckets * by).bit_length() + 1), np.uint64(by - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, *blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "one", "more"))):
+                one, more = ({k: v.tobytes() for k, v in _by_bucket(x, (x >> shift & mask).astype(np.int64), by)} for x in (np.frombuffer(b, np.uint64) for b in blobs))
+                keys = sorted({*one, *more})
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([bucket * by + k for k in keys], pa.int64()),
+                        pa.array([one.get(k, b"") for k in keys], pa.binary()),
+                        pa.array([more.get(k, b"") for k in keys], pa.binary()),
+                    ],
+                    ["bucket", "one", "more"],
+                )
+
+    return anchors.filter("bucket >= 0").select("bucket", "one", "more").mapInArrow(run, "bucket long, one binary, more binary")
+
+
 def recurring(anchors: DataFrame) -> DataFrame:
     """(bucket, found, n): the anchors of two or more documents of each bucket."""
 
@@ -246,6 +268,11 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for row in anchors.filter("bucket < 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row for each cell
         counts[-1 - row["bucket"]] = row["n"]
     base, splits = plan_groups(counts, GROUP)
+    # The first pass can't know how many anchors there are; if too many for its buckets, they are split.
+    total = anchors.filter("bucket >= 0").agg(F.sum("n")).first()[0] or 0
+    by = 1 << int(8 * total // (buckets * BUCKET_BYTES)).bit_length()
+    if by > 1:
+        anchors, buckets = split_buckets(anchors, buckets, by), buckets * by
     bits, log = anchor_filter(written(recurring(anchors), "recurring"), buckets)
     sent = spark.sparkContext.broadcast(bits)  # of bounded size, see LOG_BITS
     shift = np.uint64(64 - log)
