@@ -83,26 +83,36 @@ def band_keys(elements: np.ndarray, count: int, coefficients: tuple[np.ndarray,
 
 
 def documents_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys): the digest of each set and its band keys, packed."""
+    """(doc_id, docs, n_shingles, digest, keys): the digest of each set and its band keys, packed. Documents of a
+    batch with equal sets are one row, named by the least of their ids, so a set that very many documents share
+    has a row for each batch wherever its digest is shuffled."""
     count = bands(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coefficients = _coefficients(count * ROWS)
         for batch in batches:
-            sizes, digests, keys, seen = [], [], [], {}
-            for s in gram_sets(text_bytes(batch.column("text")), n):
+            members: dict[bytes, list] = {}
+            sizes, keys = [], []
+            for doc, s in zip(batch.column("doc_id").to_pylist(), gram_sets(text_bytes(batch.column("text")), n)):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                sizes.append(len(s))
-                digests.append(digest)
-                if len(s) and digest not in seen:
-                    seen[digest] = band_keys(s, count, coefficients).tobytes()
-                keys.append(seen.get(digest) if len(s) else None)
+                if digest not in members:
+                    members[digest] = []
+                    sizes.append(len(s))
+                    keys.append(band_keys(s, count, coefficients).tobytes() if len(s) else None)
+                members[digest].append(doc)
+            least = [min((d for d in some if d is not None), default=None) for some in members.values()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "keys"],
+                [
+                    pa.array(least, pa.int64()),
+                    pa.array(list(members.values()), pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(list(members), pa.binary()),
+                    pa.array(keys, pa.binary()),
+                ],
+                ["doc_id", "docs", "n_shingles", "digest", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, docs array<long>, n_shingles long, digest binary, keys binary")
 
 
 def star_edges(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +221,7 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     threshold = percent / 100
     sets = written(documents_sets(docs, n, threshold), "sets")
     classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    joined = written(sets.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left"), "classes")
+    joined = written(sets.select("doc_id", "docs", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "classes")
     reps = joined.filter("doc_id = rep").select("doc_id").distinct()
     keyed = sets.filter("n_shingles > 0").select("doc_id", "keys").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     per_set = 16 * bands(threshold)  # bytes of a set's keys and ids
@@ -220,10 +230,9 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     candidates = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     links = tile_links(docs, candidates, n, percent)
     found = components(links)
-    return (
-        joined.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
+    named = joined.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    each = named.select(F.explode("docs").alias("doc_id"), "n_shingles", "component", "rep")
+    return each.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
