@@ -270,6 +270,9 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     after = blocks.select("group", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
     before = blocks.select("group", (F.col("band") + 1).alias("band"), F.col("blocks").alias("previous"))
     plan = blocks.join(after, ["group", "band"], "left").join(before, ["group", "band"], "left").join(whole, "group").na.fill(0, ["next", "previous"])
+    # Written first: the join then has plain shuffles on both sides, so Spark can deal a crowded band out anew, or sends
+    # the plan to the sets if it is small.
+    plan = written(plan, "tiles")
     placed = sets.join(plan, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda band, kind, i, j: F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
