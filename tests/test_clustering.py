@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from warpspark import errors
-from warpspark.operators import align, kmeans, minibatch, pairwise, seeding, silhouette
+from warpspark.functions import kernels
+from warpspark.operators import align, barycenter, kmeans, minibatch, pairwise, seeding, silhouette
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,56 @@ def test_distributed_way_agrees(archetypes, monkeypatch):
     assert groups(found) == WANTED and found.inertia < 0.1
 
 
+@pytest.mark.parametrize("options", [{}, {"centroid_method": "ssg"}, {"dba_init": "medoid"}, {"dba_fraction": 0.5}])
+def test_distributed_way_honours_options(archetypes, monkeypatch, options):
+    cfg = kmeans.KMeansConfig(k=3, n_init=2, max_iter=6, dba_max_iter=1, **options)
+    labelled = archetypes.selectExpr("id", "int(id / 3) as cluster", "series")
+    x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
+    got = kmeans._averaged(labelled, np.zeros((3, 4)), cfg, 7)
+    sampled = [(0, 1), (0, 2), (1, 2)]
+    for c in range(3):
+        own = x[3 * c : 3 * c + 3]
+        if "dba_fraction" in options:  # one of the samples of two, from the mean of all
+            each = [s / n for m in sampled for s, n in [kernels.align_sums(own[list(m)], own.mean(axis=0), cfg.radius)]]
+            assert min(np.abs(e - got[c]).max() for e in each) < 1e-9
+        elif "centroid_method" in options:  # orders of members differ
+            assert got[c] == pytest.approx(kernels.ssg(own, cfg.radius, seed=7)[0], abs=0.02)
+            assert np.abs(got[c] - kernels.dba(own, cfg.radius, max_iter=1)[0]).max() > 1e-6
+        else:
+            assert got[c] == pytest.approx(kernels.dba(own, cfg.radius, cfg.dba_init, 1)[0])
+    monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
+    found = kmeans.fit(archetypes, cfg)
+    assert groups(found) == WANTED and found.inertia < 0.1
+
+
+@pytest.mark.parametrize("options", [{"centroid_method": "ssg"}, {"dba_init": "medoid"}, {"dba_fraction": 0.5}])
+def test_options_change_the_distributed_fit(spark, monkeypatch, options):
+    monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
+    x = np.random.default_rng(3).normal(size=(9, 8)).cumsum(axis=1)
+    walks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")
+    one = {"k": 1, "n_init": 1, "max_iter": 1, "dba_max_iter": 1}
+    got = kmeans.fit(walks, kmeans.KMeansConfig(**one, **options)).centroids[0]
+    assert np.abs(got - kernels.dba(x, 2, max_iter=1)[0]).max() > 1e-3  # what it was whatever the options
+    if "dba_init" in options:
+        assert got == pytest.approx(kernels.dba(x, 2, "medoid", 1)[0])
+    if "centroid_method" in options:
+        assert got == pytest.approx(kernels.ssg(x, 2)[0], abs=0.5)
+
+
+def test_sample_of_members_is_exact(spark):
+    df = spark.range(1000).selectExpr("id", "int(id % 7 = 0) as cluster", "array(double(id)) as series")
+    one, two = ({(r["id"], r["cluster"]) for r in barycenter.members_sample(df.repartition(3), 0.3, 5, n).collect()} for n in (0, 1))
+    for got in (one, two):
+        assert sorted(c for _, c in got) == [0] * 258 + [1] * 43  # ceil(0.3 * 857) and ceil(0.3 * 143)
+    assert one != two
+
+
+def test_distributed_rescue_takes_the_member_from_its_donor(spark):
+    df = spark.createDataFrame([(i, 0, float(i), [float(i)] * 2) for i in range(4)], "id long, cluster int, dist double, series array<double>")
+    got = kmeans._rescued(df, [{"cluster": 0, "n": 4}], 3, 1)
+    assert sorted((r["id"], r["cluster"]) for r in got.collect()) == [(0, 0), (1, 0), (2, 2), (3, 1)]
+
+
 def test_limits(archetypes):
     assert kmeans.fit(archetypes, kmeans.KMeansConfig(k=1, n_init=1, radius=None)).inertia == pytest.approx(600.04, rel=0.01)
     assert kmeans.fit(archetypes, kmeans.KMeansConfig(k=9, n_init=2)).inertia == pytest.approx(0, abs=1e-9)

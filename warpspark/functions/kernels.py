@@ -167,16 +167,22 @@ def ssg(x: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0
     centroid, rng = x.mean(axis=0), np.random.default_rng(seed)
     steps, epoch, converged = 0, 0, False
     for epoch in range(1, max_epochs + 1):
-        largest = 0.0
-        for k in rng.permutation(len(x)):
-            steps += 1
-            lr = rate / (1 + decay * steps)
-            _, _, i, j = paths(centroid[None, :], x[k][None, :], radius)
-            for p, q in zip(i, j):
-                move = lr * (x[k, q] - centroid[p])
-                centroid[p] += move
-                largest = max(largest, abs(move))
+        steps, largest = ssg_pass(x[rng.permutation(len(x))], centroid, radius, steps, rate, decay)
         if largest < tol:
             converged = True
             break
     return centroid, converged, epoch, steps
+
+
+def ssg_pass(x: np.ndarray, centroid: np.ndarray, radius: int | None, steps: int, rate: float, decay: float) -> tuple[int, float]:
+    """Moves the centroid by the rows in their order. (steps so far, largest move)."""
+    largest = 0.0
+    for row in x:
+        steps += 1
+        lr = rate / (1 + decay * steps)
+        _, _, i, j = paths(centroid[None, :], row[None, :], radius)
+        for p, q in zip(i, j):
+            move = lr * (row[q] - centroid[p])
+            centroid[p] += move
+            largest = max(largest, abs(move))
+    return steps, largest

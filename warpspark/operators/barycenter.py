@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions import kernels
-from .pairwise import matrix
+from ..rng import uniform
+from .pairwise import matrix, medoid
 
 
 def element_mean(df: DataFrame, group: str) -> DataFrame:
@@ -61,16 +63,98 @@ def align_partials(df: DataFrame, centroids: np.ndarray, radius: int | None = No
     return part.groupBy("cluster", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_iter: int = 10, tol: float = 1e-5) -> np.ndarray:
-    """Averaging steps over a (cached) DataFrame until no centroid moves; only centroids come to the driver."""
+def members_sample(labelled: DataFrame, fraction: float, seed: int, round_no: int) -> DataFrame:
+    """(id, cluster, series) of ceil(fraction n) members of each cluster, drawn anew for each round: those of the
+    least keyed numbers. Cells of these numbers are counted, and finer ones where the sample ends, until what is
+    left there is little."""
+    keyed = labelled.select("id", "cluster", "series", F.floor(uniform(seed, "members", round_no, F.col("id")) * float(1 << 32)).alias("u"))
+    sizes = {r["cluster"]: r["count"] for r in labelled.groupBy("cluster").count().collect()}
+    need = {c: max(1, int(np.ceil(n * fraction))) for c, n in sizes.items()}
+    prefix = dict.fromkeys(sizes, 0)  # the cell where a cluster's sample ends
+    within = lambda shift: _any([(F.col("cluster") == c) & (F.shiftright("u", shift) == p) for c, p in prefix.items()])
+    for shift in (20, 8):
+        rows = keyed if shift == 20 else keyed.filter(within(20))
+        counts = sorted(tuple(r) for r in rows.groupBy("cluster", F.shiftright("u", shift).alias("cell")).count().collect())  # 4,096 of a cluster
+        done = set()
+        for c, cell, n in counts:
+            if c in done:
+                continue
+            prefix[c] = cell
+            if need[c] <= n:
+                done.add(c)
+            else:
+                need[c] -= n
+    last: dict[int, list] = {}
+    for r in keyed.filter(within(8)).select("cluster", "u", "id").collect():  # a 2^24th of the members
+        last.setdefault(r["cluster"], []).append((r["u"], r["id"]))
+    ends = {c: sorted(rows)[need[c] - 1] for c, rows in last.items()}
+    taken = _any([(F.col("cluster") == c) & ((F.col("u") < u) | ((F.col("u") == u) & (F.col("id") <= i))) for c, (u, i) in ends.items()])
+    return keyed.filter(taken).select("id", "cluster", "series")
+
+
+def _any(conditions: list) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42) -> np.ndarray:
+    """Averaging steps over a (cached) DataFrame until no centroid moves; only centroids come to the driver. As in
+    kernels.dba each cluster stops by itself. Below a fraction of 1 each step is over a sample of the members."""
     centroids = centroids.copy()
-    for _ in range(max_iter):
-        change = 0.0
+    going = set(range(len(centroids)))
+    for round_no in range(max_iter):
         new = centroids.copy()
-        for r in align_partials(labelled, centroids, radius).collect():  # k centroids
+        part = labelled.filter(F.col("cluster").isin(list(going)))
+        if fraction < 1:
+            part = members_sample(part, fraction, seed, round_no)
+        for r in align_partials(part, centroids, radius).collect():  # k centroids
             new[r["cluster"], r["pos"]] = r["total"] / r["n"]
-        change = float(np.abs(new - centroids).max())
+        change = np.abs(new - centroids).max(axis=1)
         centroids = new
-        if change < tol:
+        going = {c for c in going if change[c] >= tol}
+        if not going:
+            break
+    return centroids
+
+
+def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42) -> np.ndarray:
+    """kernels.ssg of each cluster from the given means. The method takes members one after the other, so each
+    cluster is one task's stream, in an order drawn anew for each epoch; the task holds a batch of it at a time."""
+    centroids = centroids.copy()
+    steps = dict.fromkeys(range(len(centroids)), 0)
+    going = set(steps)
+    for epoch in range(1, max_epochs + 1):
+        at, before = centroids, dict(steps)
+
+        def run(batches: Iterator[pa.RecordBatch], at=at, before=before) -> Iterator[pa.RecordBatch]:
+            state: dict[int, list] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                label, x = batch.column("cluster").to_numpy(), matrix(batch.column("series"))
+                for c in np.unique(label).tolist():
+                    here = state.setdefault(c, [at[c].copy(), before[c], 0.0])
+                    here[1], largest = kernels.ssg_pass(x[label == c], here[0], radius, here[1], rate, decay)
+                    here[2] = max(here[2], largest)
+            for c, (centroid, n, largest) in state.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([centroid.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64()), pa.array([float(largest)])], ["cluster", "centroid", "steps", "largest"])
+
+        order = labelled.filter(F.col("cluster").isin(list(going))).withColumn("u", uniform(seed, "ssg", epoch, F.col("id")))
+        dealt = order.repartition(max(1, len(going)), "cluster").sortWithinPartitions("cluster", "u", "id").select("cluster", "series")
+        centroids = centroids.copy()
+        for r in dealt.mapInArrow(run, "cluster int, centroid array<double>, steps long, largest double").collect():  # k centroids
+            centroids[r["cluster"]] = r["centroid"]
+            steps[r["cluster"]] = r["steps"]
+            if r["largest"] < tol:
+                going.discard(r["cluster"])
+        if not going:
             break
     return centroids
+
+
+def medoids(members: DataFrame, radius: int | None = None) -> DataFrame:
+    """(medoid) of each cluster: just pairs within a cluster are compared."""
+    found = None
+    for c in sorted(r["cluster"] for r in members.select("cluster").distinct().collect()):
+        one = medoid(members.filter(F.col("cluster") == c), "cluster", radius).select(F.col("group").alias("cluster"), "medoid")
+        found = one if found is None else found.unionByName(one)
+    return found.drop("cluster")

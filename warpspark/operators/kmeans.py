@@ -2,8 +2,9 @@
 
 Two ways with one meaning. A table of at most LOCAL_VALUES numbers (its size is counted first) is sent to the
 executors, and each restart runs there as one task. A larger one stays where it is: restarts run one after the
-other, each iteration is one pass that assigns and a few that add up partial averages, and just centroids and
-sums come to the driver.
+other, each iteration is one pass that assigns and a few that average by the method of the configuration, and
+just centroids and sums come to the driver. Options that are dear stay what they are: medoids compare all pairs of
+a cluster, and the subgradient method takes a cluster's members one by one, in one task for each cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .. import errors
 from ..functions import kernels
 from ..rng import derived_seed
 from . import seeding
-from .barycenter import dba_distributed
+from .barycenter import dba_distributed, element_mean, medoids, ssg_distributed
 from .pairwise import assign, half_nearest, pairwise
 
 LOCAL_VALUES = 8_000_000  # 64 MB
@@ -175,8 +176,42 @@ def _fit_local(df: DataFrame, cfg: KMeansConfig, distances: np.ndarray | None) -
     return KMeansResult(assignments, np.array(best["centroids"]).reshape(cfg.k, -1), best["inertia"], best["converged"], best["iterations"], cfg.n_init, cfg, best["skipped"], by_restart)
 
 
+def _rescued(labelled: DataFrame, stats: list, k: int, step: int) -> DataFrame:
+    """rescue() on a DataFrame: labels of the members of each cluster for its average; those of `labelled` stay."""
+    sizes = {r["cluster"]: r["n"] for r in stats}
+    moved: dict[int, int] = {}
+    for c in [c for c in range(k) if c not in sizes]:
+        donor = max(sizes, key=lambda i: (sizes[i], i))
+        if sizes[donor] <= 1:
+            raise errors.EmptyCluster(label=c, iteration=step)
+        far = labelled.filter((F.col("cluster") == donor) & ~F.col("id").isin(list(moved))).orderBy(F.desc("dist"), F.desc("id")).first()
+        moved[far["id"]] = c
+        sizes[donor] -= 1
+        sizes[c] = 1
+    label = F.col("cluster")
+    for i, c in moved.items():  # fewer than k
+        label = F.when(F.col("id") == i, c).otherwise(label)
+    return labelled.select("id", label.cast("int").alias("cluster"), "series")
+
+
+def _averaged(members: DataFrame, centroids: np.ndarray, cfg: KMeansConfig, seed: int) -> np.ndarray:
+    """The average of each cluster's members (id, cluster, series), by the method that cfg names."""
+    centroids = centroids.copy()
+    if cfg.centroid_method == "dba" and cfg.dba_init == "medoid":
+        start = members.join(F.broadcast(medoids(members, cfg.radius).withColumnRenamed("medoid", "id")), "id").select("cluster", "series")
+        for r in start.collect():  # k centroids
+            centroids[r["cluster"]] = r["series"]
+    else:
+        means = element_mean(members, "cluster")
+        for r in means.collect():  # k centroids
+            centroids[r["group"], r["pos"]] = r["value"]
+    if cfg.centroid_method == "ssg":
+        return ssg_distributed(members, centroids, cfg.radius, seed=seed)
+    return dba_distributed(members, centroids, cfg.radius, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, seed)
+
+
 def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
-    """Averages start from element means and use all members; rescue works on sums."""
+    """The same steps as fit_matrix; draws of samples and orders are keyed by id."""
     df = df.select("id", "series").persist()
     best: KMeansResult | None = None
     totals = []
@@ -193,22 +228,8 @@ def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
                 labelled.unpersist()
                 break
             before = total
-            used = centroids.copy()
-            sizes = {r["cluster"]: r["n"] for r in stats}
-            means = labelled.select("cluster", F.posexplode("series").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("v"))
-            for r in means.collect():  # k centroids
-                centroids[r["cluster"], r["pos"]] = r["v"]
-            centroids = dba_distributed(labelled, centroids, cfg.radius, cfg.dba_max_iter, cfg.dba_tol)
-            taken: list[int] = []
-            for c in [c for c in range(cfg.k) if c not in sizes]:
-                donor = max(sizes, key=lambda i: (sizes[i], i))
-                if sizes[donor] <= 1:
-                    raise errors.EmptyCluster(label=c, iteration=step)
-                far = labelled.filter((F.col("cluster") == donor) & ~F.col("id").isin(taken)).orderBy(F.desc("dist"), F.desc("id")).first()
-                taken.append(far["id"])
-                centroids[c] = far["series"]
-                sizes[donor] -= 1
-                sizes[c] = 1
+            used = centroids
+            centroids = _averaged(_rescued(labelled, stats, cfg.k, step), centroids, cfg, seed)
             labelled.unpersist()
         totals.append(total)
         if best is None or total < best.inertia:
