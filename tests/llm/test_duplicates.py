@@ -67,6 +67,32 @@ def test_ngram_join_tiles_of_crowded_groups(docs, monkeypatch, name, value):
     assert {r["component_id"] for r in got} == {0}
 
 
+@pytest.mark.parametrize("name,value", [("TILE", 2048), ("TILE", 5), ("TILE_BYTES", 5_000), ("PART", 300)])
+def test_ngram_join_counts_all_links(docs, monkeypatch, name, value):
+    monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(2)
+    base = prose(rng, 150).split()
+    texts = [t for _, t in corpus()]
+    for i in range(60):
+        w = base[: 150 - i // 2]
+        for _ in range(i % 7):
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts += [" ".join(w)] * (1 + i % 3)
+    rows = list(enumerate(texts))
+    sets = {i: sets_of(t, 4) for i, t in rows}
+    similar = lambda a, b: bool(a & b) and 100 * len(a & b) >= 85 * len(a | b)
+    wanted = {i: sum(i != j and similar(sets[i], sets[j]) for j in sets) for i in sets}
+    assert max(wanted.values()) > 40
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_links(docs(rows + rows[:40]).repartition(3), 4, 85).collect()}
+    assert got == wanted
+
+
+def test_ngram_join_links_of_small_cases(docs):
+    rows = [(5, None), (6, ""), (7, "a b"), (3, "A B"), (3, "A B"), (None, "a b"), (None, "x y"), (8, "z")]
+    got = sorted((r["doc_id"] or 0, r["n_links"]) for r in ngram_join.similar_links(docs(rows)).collect())
+    assert got == [(0, 0), (0, 2), (3, 1), (3, 1), (5, 0), (6, 0), (7, 1), (8, 0)]
+
+
 def test_ngram_join_small_cases(docs):
     assert ngram_join.similar_groups(docs([])).count() == 0
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs([(5, None), (6, ""), (7, "a b"), (3, "A B"), (3, "A B")])).collect()}

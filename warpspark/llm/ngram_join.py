@@ -11,8 +11,8 @@
    many sets is cut further into blocks, and pairs of blocks are tiles.
 4. In a tile each set has a bitmap of the parities of its hashed elements. The bits in which two bitmaps differ
    are at most the elements in which the sets differ, so they bound the overlap from above; only pairs within
-   the bound are intersected exactly. Pairs that links found before already join are skipped: what is asked
-   for are the groups, and a tile never gives more links than it has sets.
+   the bound are intersected exactly. Each pair is compared in one tile, and all links are counted there; what
+   a tile gives are a count for each set and a spanning forest, never more rows than twice its sets.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ MISS = 1e-9
 BITS = 1024
 TILE = 2048  # sets of a block; a tile holds two at most
 TILE_BYTES = 32 << 20  # of a block's elements, so that long texts don't make a large tile
+PART = 1 << 20  # elements of sets that are intersected with one set at once
 BUCKETS = 128  # groups of band keys, at least
 BUCKET_BYTES = 64 << 20  # of a group's keys and ids
 _FILTER_BITS = 1 << 23  # of the fixed-size filter of candidates
@@ -175,30 +176,51 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def link_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all of the tile's sets that links join: a spanning forest."""
+def count_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int, copies: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """(links that join all of the tile's sets that links join: a spanning forest; the number of links of each id,
+    weighted by the copies of the other end). side: sets of side 1 meet sets of side 2 only, those of 0 all."""
     order = np.lexsort((ids, [len(s) for s in sets]))
-    sets = [sets[i] for i in order]
     ids = ids[order]
-    size = np.array([len(s) for s in sets], np.int64)
-    marks = bitmaps(sets)
-    group = np.arange(len(sets))
-    links = []
+    copies = np.ones(len(ids), np.int64) if copies is None else copies[order]
+    side = np.zeros(len(ids), np.int64) if side is None else side[order]
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    marks = bitmaps([sets[i] for i in order])
+    # Elements by number, so that one row of marks says which of them a set has.
+    _, number = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    number = np.split(number.astype(np.int32), np.cumsum(size)[:-1])
+    has = np.zeros(1 + max((int(x.max()) for x in number if len(x)), default=0), bool)
+    group = np.arange(len(ids))
+    links, found = [], np.zeros(len(ids), np.int64)
     # 100 |A&B| >= percent |A|B| means |A^B| <= (100 - percent) / (100 + percent) (|A| + |B|).
-    for i in range(1, len(sets)):
+    for i in range(1, len(ids)):
         low = np.searchsorted(size[:i], -(-percent * size[i] // 100))
         if low == i:
             continue
         differ = np.bitwise_count(marks[low:i] ^ marks[i]).sum(axis=1)
-        near = low + np.flatnonzero((100 + percent) * differ.astype(np.int64) <= (100 - percent) * (size[low:i] + size[i]))
-        while len(near):
-            j = near[-1]
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                links.append((int(ids[i]), int(ids[j])))
-                group[group == group[i]] = group[j]
-            near = near[:-1][group[near[:-1]] != group[i]]
-    return links
+        near = (100 + percent) * differ.astype(np.int64) <= (100 - percent) * (size[low:i] + size[i])
+        near &= (ids[low:i] != ids[i]) & ((side[low:i] != side[i]) | (side[i] == 0))
+        near = low + np.flatnonzero(near)
+        has[number[i]] = True
+        for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(size[near]) // PART)) + 1):
+            if not len(part):
+                continue
+            both = np.add.reduceat(has[np.concatenate([number[j] for j in part])].astype(np.int64), np.cumsum(size[part]) - size[part])
+            part = part[100 * both >= percent * (size[i] + size[part] - both)]
+            found[i] += copies[part].sum()
+            found[part] += copies[i]
+            other, first = np.unique(group[part], return_index=True)
+            fresh = other != group[i]
+            links += [(int(ids[i]), int(ids[j])) for j in part[first[fresh]]]
+            if fresh.any():
+                group[np.isin(group, other[fresh])] = group[i]
+        has[number[i]] = False
+    some = np.flatnonzero(found)
+    return links, dict(zip(ids[some].tolist(), found[some].tolist()))
+
+
+def link_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all of the tile's sets that links join: a spanning forest."""
+    return count_tile(ids, sets, percent)[0]
 
 
 def _candidates_filter(members: DataFrame):
@@ -211,32 +233,44 @@ def _candidates_filter(members: DataFrame):
 
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach).
+    """similar_links() without n_links: doc_id, n_shingles, component_id."""
+    return similar_links(docs, n, percent).drop("n_links")
+
+
+def similar_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach), n_links
+    (the number of other doc_ids whose set is similar, those with an equal set included).
 
     Documents without words, or with a null text, have an empty set and no links. Equal sets always link.
-    Repeated rows of one doc_id with equal texts give a row each. A row without a doc_id starts no link and joins
-    just the class of its own set. An empty table gives an empty table. Other columns are ignored.
+    Repeated rows of one doc_id with equal texts give a row each and count once. A row without a doc_id is no link of
+    others and joins just the class of its own set, whose links it has. An empty table gives an empty table. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     threshold = percent / 100
     sets = written(documents_sets(docs, n, threshold), "sets")
-    classes = sets.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    named = sets.filter("n_shingles > 0").select("digest", F.explode("docs").alias("doc"))
+    classes = named.groupBy("digest").agg(F.min("doc").alias("rep"), F.count_distinct("doc").alias("copies"))
     joined = written(sets.select("doc_id", "docs", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "classes")
     reps = joined.filter("doc_id = rep").select("doc_id").distinct()
     keyed = sets.filter("n_shingles > 0").select("doc_id", "keys").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     per_set = 16 * bands(threshold)  # bytes of a set's keys and ids
     buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * per_set // BUCKET_BYTES))
     groups = components(candidate_edges(keyed, buckets))
-    candidates = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
-    links = tile_links(docs, candidates, n, percent)
-    found = components(links)
-    named = joined.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    each = named.select(F.explode("docs").alias("doc_id"), "n_shingles", "component", "rep")
-    return each.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    copies = joined.filter("doc_id = rep").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    candidates = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")).join(copies, "doc_id")
+    links = written(tile_links(docs, candidates, n, percent), "links")
+    found = components(links.filter("n is null").select("a", "b"))
+    counts = links.filter("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    named = joined.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").join(counts, "rep", "left")
+    each = named.select(F.explode("docs").alias("doc_id"), "n_shingles", "component", "rep", "copies", "links")
+    own = F.coalesce("copies", F.lit(0)) - (F.col("rep").isNotNull() & F.col("doc_id").isNotNull()).cast("long")
+    return each.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), (own + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
-    """Exact links (a, b) within the candidate groups, as spanning forests of their tiles."""
+    """Exact links (a, b, null) within the candidate groups, as spanning forests of their tiles, and (a, null, n): n
+    links of a that its tile has. Each pair is in one tile. candidates: (doc_id, group, copies)."""
     spark = docs.sparkSession
     candidates = written(candidates, "candidates")
     maybe = np.zeros(_FILTER_BITS // 64, np.int64)
@@ -275,21 +309,33 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     plan = written(plan, "tiles")
     placed = sets.join(plan, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda band, kind, i, j: F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    tile = lambda band, kind, i, j, side: F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     me, band = F.col("block"), F.col("band")
-    own = F.transform(seq(F.col("blocks")), lambda x: tile(band, 0, F.least(me, x), F.greatest(me, x)))
-    up = F.transform(seq(F.col("next")), lambda x: tile(band, 1, me, x))
-    down = F.transform(seq(F.col("previous")), lambda x: tile(band - 1, 1, x, me))
-    single = F.array(tile(F.lit(0), 2, F.lit(0), F.lit(0)))
+    half = lambda x: F.when(x == me, 0).when(me < x, 1).otherwise(2)
+    own = F.transform(seq(F.col("blocks")), lambda x: tile(band, 0, F.least(me, x), F.greatest(me, x), half(x)))
+    up = F.transform(seq(F.col("next")), lambda x: tile(band, 1, me, x, F.lit(1)))
+    down = F.transform(seq(F.col("previous")), lambda x: tile(band - 1, 1, x, me, F.lit(2)))
+    single = F.array(tile(F.lit(0), 2, F.lit(0), F.lit(0), F.lit(0)))
     tiles = F.when(F.col("whole"), single).otherwise(F.concat(own, up, down))
-    # Two tiles whose keys hash alike are compared as one, which only costs time.
-    dealt = placed.select("group", "doc_id", "elements", F.explode(tiles).alias("tile"))
-    dealt = dealt.select(F.xxhash64("group", "tile").alias("key"), "doc_id", "elements").repartition("key").sortWithinPartitions("key")
+    dealt = placed.select("group", "doc_id", "copies", "elements", F.explode(tiles).alias("tile"))
+    place = ["group", "band", "kind", "i", "j"]
+    dealt = dealt.select(F.xxhash64("group", "tile.band", "tile.kind", "tile.i", "tile.j").alias("key"), "group", *[F.col(f"tile.{c}") for c in (*place[1:], "side")], "doc_id", "copies", "elements")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", *place)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in keyed_runs(batches, "key"):
-            sets = [np.frombuffer(x, np.uint64) for x in run.column("elements").to_pylist()]
-            rows = np.array(link_tile(run.column("doc_id").to_numpy(), sets, percent), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
-
-    return dealt.mapInArrow(link, "a long, b long")
+            whole = run.combine_chunks().to_batches()[0]
+            named = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in place], 1)
+            cut = np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1  # keys that hash alike are kept apart
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(named)]):
+                part = whole.slice(a, b - a)
+                _, once = np.unique(part.column("doc_id").to_numpy(), return_index=True)  # rows may repeat a doc_id
+                part = part.take(pa.array(once))
+                sets = [np.frombuffer(x, np.uint64) for x in part.column("elements").to_pylist()]
+                ids, copies, side = (part.column(c).to_numpy() for c in ("doc_id", "copies", "side"))
+                links, counts = count_tile(ids, sets, percent, copies, side)
+                x = pa.array([p for p, _ in links] + list(counts), pa.int64())
+                y = pa.array([q for _, q in links] + [None] * len(counts), pa.int64())
+                yield pa.RecordBatch.from_arrays([x, y, pa.array([None] * len(links) + list(counts.values()), pa.int64())], ["a", "b", "n"])
+
+    return dealt.mapInArrow(link, "a long, b long, n long")

@@ -20,7 +20,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), 4, 85)
+    return ngram_join.similar_links(table(spark, sf_dir, "documents"), 4, 85)
 
 
 def _remainder(of: int) -> Column:
