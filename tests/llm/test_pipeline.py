@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline as P
-from test_duplicates import sets_of
+from test_duplicates import prose, sets_of
 from test_rules_and_models import base_spans
 
 SF = "/root/testdata/sf0.01"
@@ -34,5 +36,19 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in packed} == set(d)
 
 
+def test_rows_without_or_with_a_repeated_id(docs, spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = docs([(None, a), (None, a), (1, b), (1, b), (1, "one two"), (2, b + " end"), (None, b + " end"), (None, "few"), (3, c)]).repartition(3)
+    first = P.quality(spark, rows, SF)
+    key = lambda df: sorted(((r["doc_id"] or 0), r["text"]) for r in df.collect())
+    assert key(first) == sorted([(0, a), (0, a), (1, b), (1, b), (2, b + " end"), (0, b + " end"), (3, c)])
+    assert first.schema == rows.schema
+    second = P.near_duplicates(spark, first, SF)
+    assert key(second) == sorted([(0, a), (1, b), (3, c)]) and second.schema == rows.schema
+    packed = P.pack(spark, P.secret_redaction(spark, P.repeated_passages(spark, second, SF), SF), SF)
+    assert {r["doc_id"] for r in packed.collect()} >= {1, 3}
+
+
 def test_run_gives_the_last_stage(spark):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(P.run(spark, "/root/testdata/sf0.001").columns)

@@ -66,8 +66,8 @@ def line_counts(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def count_text(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each whole text; null texts count as empty ones."""
+def count_text(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the counts of each whole text, and the columns `keep`; null texts count as empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +85,12 @@ def count_text(docs: DataFrame) -> DataFrame:
                 columns[5].append(lines)
                 columns[6].append(len(t) - len(t.translate(None, _UPPER)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(c, pa.int64()) for c in columns],
-                ["doc_id", "lang", "source", *(x.split()[0] for x in COUNTS.split(", "))],
+                [batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(c, pa.int64()) for c in columns] + [batch.column(c) for c in keep],
+                ["doc_id", "lang", "source", *(x.split()[0] for x in COUNTS.split(", ")), *keep],
             )
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, f"doc_id long, lang string, source string, {COUNTS}")
+    extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "lang", "source", "text", *keep).mapInArrow(run, f"doc_id long, lang string, source string, {COUNTS}{extra}")
 
 
 def _bin(value):
@@ -129,8 +130,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return t.groupBy("lang", "source").agg(*[of(m, c) for m in METRICS for c in ("low", "high")])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed and kept for each row of docs.
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, counts, base_failed and kept for each row of docs, with the columns `keep`.
 
     Null language or source is a group of its own (shown as ''). A text without words fails the base rule.
     Repeated rows are judged alike; an empty table gives an empty table. Texts are read once; what is written
@@ -139,7 +140,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    counted = count_text(docs).withColumns({
+    counted = count_text(docs, keep).withColumns({
         "lang": F.coalesce("lang", F.lit("")),
         "source": F.coalesce("source", F.lit("")),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
@@ -158,5 +159,5 @@ def judge(docs: DataFrame) -> DataFrame:
             inside &= F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
     joined = measured.join(cut, ["lang", "source"], "left")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), *keep
     )
