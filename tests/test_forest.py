@@ -35,6 +35,13 @@ def test_samples_dealt_by_shuffle(table, monkeypatch):
     assert forest.oob_score(m, table)[0] > 0.8
 
 
+def test_samples_dealt_by_shuffle_have_their_share(table, monkeypatch):
+    monkeypatch.setattr(forest, "LOCAL_VALUES", 0)
+    m = forest.train(table, forest.ForestConfig(n_trees=20, bootstrap=0.5))
+    assert m.oob.count() / (20 * 300) == pytest.approx(np.exp(-0.5), abs=0.03)
+    assert forest.oob_score(m, table)[0] > 0.8
+
+
 def test_cross_validation(table):
     cv = evaluation.cross_validate(table, forest.ForestConfig(n_trees=5), 5)
     assert cv["mean"] > 0.85 and len(cv["fold_accuracies"]) == 5

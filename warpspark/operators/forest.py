@@ -65,11 +65,12 @@ class Forest:
         return {t: Tree(rows) for t, rows in by.items()}
 
 
-def bootstrap_counts(ids: DataFrame, n_trees: int, seed: int) -> DataFrame:
+def bootstrap_counts(ids: DataFrame, n_trees: int, seed: int, share: float = 1.0) -> DataFrame:
     """(tree_id, id, n): how often each row is in each tree's sample, n = 0 being out of bag. Each row draws its
-    own number from the Poisson law of mean 1, the limit of draws with replacement, so no row needs the others."""
+    own number from the Poisson law of mean share, the limit of share x rows draws with replacement, so no row needs
+    the others."""
     u = uniform(seed, "bag", F.col("tree_id"), F.col("id"))
-    steps = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) if k else np.exp(-1.0) for k in range(12)])
+    steps = np.cumsum([np.exp(-share) * share**k / np.prod(np.arange(1, k + 1, dtype=float)) if k else np.exp(-share) for k in range(12)])
     n = sum(((u >= float(s)).cast("int") for s in steps), F.lit(0))
     return ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).select("tree_id", "id", n.alias("n"))
 
@@ -128,7 +129,7 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
 
         oob = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(out_of_bag, "tree_id int, id long")
     else:
-        counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed)
+        counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed, cfg.bootstrap)
         used = df.join(counts.filter("n > 0"), "id")
 
         def one(key: tuple, table: pa.Table) -> pa.Table:
