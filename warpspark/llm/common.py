@@ -6,6 +6,7 @@ character, so cutting the bytes gives the same words as cutting the characters.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (tests) one of our own if unset."""
+    """The folder that all executors share: spark.checkpoint.dir. If unset, one machine (tests) has a folder of our
+    own; a cluster has none that all can see, which is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="warpspark-")
         sc.setCheckpointDir(at)
     elif not sc.getCheckpointDir():
@@ -64,15 +68,6 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _odd_table(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_BYTE = _odd_table(7, 256)  # a random value for each byte
-_R = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; bijective."""
     x = x ^ (x >> np.uint64(31))
@@ -82,25 +77,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    key = int(base)
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + (CHUNK >> 2)), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[key] = have
-    return have[:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 128  # bytes; longer words are hashed one by one
 
 
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+def _word_hashes(buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of buf: eight bytes at a time, mixed after each, for all words at once."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * _STEP)
+    padded = buf + bytes(8)
+    blocks = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(at):
+        rest = size[at] - done
+        keep = np.minimum(rest, 8)
+        block = blocks[start[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * keep.astype(np.uint64)))
+        out[at] = mix((out[at] ^ block) * _STEP + np.uint64(done + 1))
+        at, done = at[rest > 8], done + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
     """Words of several texts: byte spans, 64-bit hashes and the range of words of each text.
 
-    A word's hash is a polynomial over random byte values modulo 2**64, read off prefix sums, then mixed
-    with its length; all texts of a chunk are hashed with a few numpy passes and no loop over words.
+    Every eight bytes of a word pass a mixing step of their own, so no arrangement of a word's bytes cancels out as
+    in polynomial hashes; two different words are equal by hash with a chance of 2**-64.
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False, letters: np.ndarray | None = None):
@@ -120,16 +124,7 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         cut = np.searchsorted(self.start, self.text_start)
         self.first = np.append(cut, len(self.start))  # words of text i: first[i]:first[i+1]
-        if n:
-            power = _powers(_R, n)
-            total = np.empty(n + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(_BYTE[buf] * power, out=total[1:])
-            inverse = _powers(_R_INVERSE, n)
-            span = (total[self.end] - total[self.start]) * inverse[self.start]
-            self.hash = mix(span + (self.end - self.start).astype(np.uint64) * _BYTE[1])
-        else:
-            self.hash = np.empty(0, np.uint64)
+        self.hash = _word_hashes(joined, self.start, self.end)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -138,15 +133,24 @@ class Words:
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _GRAM + right)
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n consecutive words (over text limits too; the caller drops those)."""
+    """Hashes of all n consecutive words (over text limits too; the caller drops those). Runs are put together
+    from runs of half their length and mixed each time."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)
-    out = hashes[: len(hashes) - n + 1].copy()
-    for i in range(1, n):
-        out *= _GRAM
-        out += hashes[i : len(hashes) - n + 1 + i]
-    return mix(out)
+    power, size, out, have = hashes, 1, None, 0
+    while True:
+        if n & size:
+            out = power if out is None else _pair(out[: len(hashes) - have - size + 1], power[have:])
+            have += size
+        if 2 * size > n:
+            return mix(out)
+        power = _pair(power[:-size], power[size:])
+        size *= 2
 
 
 def keyed_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
