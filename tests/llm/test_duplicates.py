@@ -131,13 +131,26 @@ def windows_removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("group,unit", [(1 << 19, 6 << 20), (300, 4000)])
+def thue_morse(k):
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("group,unit", [(1 << 19, 6 << 20), (300, 4000), (4, 1500)])
 def test_substring_dedup_matches_brute_force(docs, monkeypatch, group, unit):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
     monkeypatch.setattr(substring_dedup, "UNIT", unit)
-    if group == 300:
+    if group <= 300:
         monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 100)
-    rows = corpus()
+    rng = random.Random(8)
+    one, other = thue_morse(10)
+    tail = prose(rng, 30)
+    phrase = prose(rng, 12)  # a phrase before many different windows
+    rows = [t for _, t in corpus()] + [f"{one} {tail[:60]}", f"{other} {tail[:60]}", f"{one} {tail}", f"{other} {tail}"]
+    rows += [f"{phrase} {prose(rng, 15)}" for _ in range(25)]
+    rows = list(enumerate(rows))
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.digest_kept(docs(rows).repartition(3)).collect()}
     assert got == windows_removed(rows, 20)
 
@@ -154,9 +167,38 @@ def test_substring_dedup_cases(docs):
     assert out[1]["text"] == f"a\n{passage}\nb" and out[2]["text"] == "c d\ne  f" and out[3]["text"] is None and out[2]["n"] == 7
 
 
-def test_prefix_plan():
-    base, splits = substring_dedup.plan_groups(np.array([5, 5, 30, 2, 2, 9]), 10)
-    assert base.tolist() == [0, 0, 1, 4, 4, 5] and splits.tolist() == [1, 1, 3, 1, 1, 1]
+def test_prefix_plan(spark):
+    counted = spark.createDataFrame([(0, i, n) for i, n in enumerate([5, 5, 30, 2, 2, 9])], "parent long, prefix long, n long")
+    groups, crowded = substring_dedup.plan_prefixes(counted, 10)
+    assert sorted(groups) == [(0, 10), (2, 30), (3, 13)] and crowded == [2]
+
+
+def test_trees_of_suffixes():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    hashes = substring_dedup.mix(words + np.uint64(1))
+    at = np.arange(381)
+    key, mark = substring_dedup.suffix_letters(hashes, at, 20)
+    doc, start = np.zeros(381, np.int64), at.astype(np.int32)
+    order, node = substring_dedup.deep_nodes(key, mark, doc, start, 20)
+    depth = substring_dedup.common_prefixes(key[order], mark[order], 20)
+    letter = substring_dedup.suffix_letters(hashes, np.arange(393), 1)[0] >> np.uint64(56)
+    rank = [tuple(letter[i : i + 8].tolist()) for i in order]
+    assert rank == sorted(rank)
+    for i in range(1, len(order)):
+        a, b = words[order[i - 1] :][:20], words[order[i] :][:20]
+        same = next((k for k in range(20) if a[k] != b[k]), 20)
+        assert depth[i] == (20 if same == 20 else min(same, 8))
+    seen = {}
+    for i in range(381):
+        seen.setdefault(tuple(words[i : i + 20]), i)
+    assert all(seen[tuple(words[i : i + 20])] == j for i, j in zip(order, node))
+
+
+def test_maximal_repeats(docs):
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(1, f"a b {passage} c"), (2, f"x {passage} y z"), (3, "q " * 5)]
+    assert sorted(tuple(r) for r in substring_dedup.maximal_repeats(docs(rows)).collect()) == [(2, 1, 25)]
 
 
 def vectors(spark, rows):
