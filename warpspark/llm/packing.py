@@ -1,10 +1,12 @@
 """Packing of documents into windows of tokens by Karmarkar-Karp multiway differencing.
 
-A document is cut into whole windows and a rest; the rest is cut into parts of at most `part` tokens. The
-parts of some hundred windows are one group. Differencing keeps, for each partial partition, the sums of all
-windows; it always merges the two partitions with the largest imbalance, the fullest window of one with the
-emptiest of the other, so that the imbalances cancel. If the fullest window of the result is over capacity,
-the number of windows rises by one and the group is partitioned anew.
+A document is cut into whole windows and a rest; the rests of some hundred windows are one group, in which rests of
+a few tokens go together as one item. Differencing keeps, for each partial partition, the sums of all windows; it
+always merges the two partitions with the largest imbalance, the fullest window of one with the emptiest of the
+other, so that the imbalances cancel and all windows come out near-equal. What a window then holds beyond its
+capacity is cut off one of its items and put where there is room, so a rest is cut only if need be. If the pieces
+(of LEAST tokens at least) can't be placed so, capacity is exceeded: the number of windows rises by one and the group
+is partitioned anew.
 
 Groups are formed within a task, in the order of its rows: no shuffle, no state beyond one group, and a task
 that runs again gives the same rows. Every document in the table may be of one source; nothing is keyed.
@@ -25,8 +27,9 @@ from .bpe import default_vocabulary, ranked_encoder
 from .common import text_bytes
 
 LENGTH = 1024
-PART = 256  # tokens of the largest part of a document's rest
 GROUP = 128  # windows that are balanced together
+LEAST = 8  # tokens of the shortest piece that is cut off
+TINY = 64  # tokens up to which short rests go together
 
 
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -66,24 +69,66 @@ def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     return window[:m]
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item; none holds more than capacity. Items of over capacity aren't allowed."""
+def level(pieces: list[list[tuple[int, int, int]]], capacity: int, least: int, whole: set[int]) -> bool:
+    """Moves what the windows hold beyond capacity to those with room, in place; whether all of it could be placed.
+    pieces: (item, start, length) of each window; items of `whole` aren't cut."""
+    room = [capacity - sum(n for _, _, n in w) for w in pieces]
+    loose: list[tuple[int, int, int]] = []
+    for w, own in enumerate(pieces):
+        while room[w] < 0:
+            k = max(range(len(own)), key=lambda i: (own[i][0] not in whole, own[i][2]))
+            item, start, n = own[k]
+            off = max(-room[w], least)
+            if item in whole or n - off < least:
+                off = n
+                own.pop(k)
+            else:
+                own[k] = (item, start, n - off)
+            loose.append((item, start + n - off, off))
+            room[w] += off
+    for item, start, n in sorted(loose, key=lambda x: -x[2]):
+        while n:
+            fits = [w for w, r in enumerate(room) if r >= n]
+            if fits:
+                w, part = min(fits, key=lambda w: room[w]), n
+            else:  # a part of it, which leaves a rest that isn't too short
+                w = max(range(len(room)), key=lambda w: room[w])
+                part = min(room[w], n - least)
+                if item in whole or part < least:
+                    return False
+            pieces[w].append((item, start, part))
+            room[w] -= part
+            start, n = start + part, n - part
+    return True
+
+
+def pack(sizes: np.ndarray, capacity: int, least: int = LEAST, whole: set[int] = frozenset()) -> list[list[tuple[int, int, int]]]:
+    """(item, start, length) of the pieces of each window; no window holds more than capacity. Items of over capacity
+    aren't allowed, items of `whole` aren't cut."""
     windows = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        at = difference(sizes, windows)
-        if np.bincount(at, weights=sizes, minlength=1).max(initial=0) <= capacity:
-            return at
+        pieces: list[list[tuple[int, int, int]]] = [[] for _ in range(windows)]
+        for i, w in enumerate(difference(sizes, windows).tolist()):
+            pieces[w].append((i, 0, int(sizes[i])))
+        if level(pieces, capacity, least, whole):
+            return pieces
         windows += 1
 
 
-def cut(total: int, length: int, part: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: whole windows, then near-equal parts of the rest."""
-    whole, rest = divmod(total, length)
-    out = [(i * length, length) for i in range(whole)]
-    if rest:
-        k = -(-rest // part)
-        edges = [whole * length + rest * i // k for i in range(k + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:])]
+def bundles(sizes: list[int], tiny: int) -> list[list[int]]:
+    """Items: each size by itself, but those of at most tiny together up to that sum."""
+    out: list[list[int]] = []
+    filled = 0
+    last: list[int] | None = None
+    for i, n in enumerate(sizes):
+        if n > tiny:
+            out.append([i])
+        elif last is None or filled + n > tiny:
+            out.append(last := [i])
+            filled = n
+        else:
+            last.append(i)
+            filled += n
     return out
 
 
@@ -92,18 +137,19 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int =
     (and ids, if asked for).
 
     Each document is its ids and end_id, so even an empty or null text has one token. Within a sequence the
-    offsets have no gap from 0. sequence_id is the task's number and a count. Repeated rows are packed each;
-    an empty table gives an empty table; other columns are ignored.
+    offsets have no gap from 0. sequence_id is the task's number and a count, so it follows the partitions of the
+    input. Very long texts are encoded whole and give whole windows. Repeated rows are packed each; an empty table
+    gives an empty table; other columns, whatever their names, are ignored.
     """
     path = vocabulary or default_vocabulary()
-    part = min(PART, length)
+    least, tiny = max(1, min(LEAST, length // 8)), max(1, min(TINY, length // 4))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = ranked_encoder(path)
         base, count = TaskContext.get().partitionId() << 36, 0
-        rows: list[tuple] = []  # whole windows
-        parts: list[tuple] = []
+        rows: list[tuple] = []
+        rests: list[tuple[int | None, int, bytes, int]] = []  # document, start, ids, tokens of the document
         waiting = 0
 
         def emit(pieces: list[tuple]) -> pa.RecordBatch:
@@ -115,42 +161,44 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int =
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        def balanced() -> list[tuple]:
+        def add(doc: int | None, start: int, raw: bytes, total: int, offset: int) -> None:
+            rows.append((doc, start, len(raw) // 4, zlib.crc32(raw), total, base + count, offset, raw if with_ids else None))
+
+        def balance() -> None:
             nonlocal count
-            sizes = np.array([p[2] for p in parts], np.int64)
-            at = pack(sizes, length)
-            filled: dict[int, int] = {}
-            out = []
-            number = {w: base + count + i for i, w in enumerate(np.unique(at).tolist())}
-            for p, w in zip(parts, at.tolist()):
-                offset = filled.get(w, 0)
-                filled[w] = offset + p[2]
-                out.append((*p[:5], number[w], offset, p[5]))
-            count += len(number)
-            return out
+            sizes = [len(r[2]) // 4 for r in rests]
+            items = bundles(sizes, tiny)
+            together = {k for k, of in enumerate(items) if len(of) > 1}
+            for window in pack(np.array([sum(sizes[i] for i in of) for of in items], np.int64), length, least, together):
+                offset = 0
+                for k, at, n in sorted(window):
+                    for i in items[k]:
+                        doc, start, raw, total = rests[i]
+                        raw = raw if k in together else raw[4 * at : 4 * (at + n)]
+                        add(doc, start + (0 if k in together else at), raw, total, offset)
+                        offset += len(raw) // 4
+                count += bool(window)
 
         for batch in batches:
-            ids_of = batch.column("doc_id").to_pylist()
-            for doc, text in zip(ids_of, text_bytes(batch.column("text"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))):
                 ids = enc.encode(text) + end
                 total = len(ids) // 4
-                for start, n in cut(total, length, part):
-                    raw = ids[4 * start : 4 * (start + n)]
-                    piece = (doc, start, n, zlib.crc32(raw), total)
-                    if n == length:
-                        rows.append((*piece, base + count, 0, raw if with_ids else None))
-                        count += 1
-                    else:
-                        parts.append((*piece, raw if with_ids else None))
-                        waiting += n
+                for start in range(0, total - length + 1, length):
+                    add(doc, start, ids[4 * start : 4 * (start + length)], total, 0)
+                    count += 1
+                if total % length:
+                    start = total - total % length
+                    rests.append((doc, start, ids[4 * start :], total))
+                    waiting += total % length
                 if waiting >= GROUP * length:
-                    rows += balanced()
-                    parts, waiting = [], 0
+                    balance()
+                    rests.clear()
+                    waiting = 0
                 if len(rows) >= 20_000:
                     yield emit(rows)
-                    rows = []
-        if parts:
-            rows += balanced()
+                    rows.clear()
+        if rests:
+            balance()
         if rows:
             yield emit(rows)
 
