@@ -36,8 +36,8 @@ _STOPS = (b".", b",")
 _LETTERS = regex.compile(r"\p{L}+").fullmatch
 _TWO = (b"  ", b" \n", b"\n ", b"\n\n")
 _GENERAL = regex.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
-CACHE_WORDS = 400_000  # entries of each of the two generations of a worker's word cache
-CACHE_PIECES = 150_000
+CACHE_WORDS = 150_000  # entries of each of the two generations of a worker's word cache
+CACHE_PIECES = 60_000
 CACHE_WORD_BYTES = 48  # longer words are not kept
 
 
@@ -52,7 +52,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool = True):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         letters = _byte_letters()
@@ -71,7 +71,7 @@ class Vocabulary:
         self.token = token
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
-        for r, pair in enumerate(model["merges"]):
+        for r, pair in enumerate(model["merges"] if merges else ()):
             a, b = (self.id_of[to_bytes(x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank[a, b] = r
             self.parts.setdefault(self.id_of[token[a] + token[b]], (a, b, r))
@@ -96,8 +96,18 @@ _LAST = 1 << 60  # the rank of a merge that never comes
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, the form that all callers need."""
 
+    needs_merges = True
+
     def __init__(self, path: str):
-        self.vocabulary = v = Vocabulary(path)
+        self.vocabulary = v = Vocabulary(path, self.needs_merges)
+        self.prepare(v)
+        self.pieces: dict[str, bytes] = {}
+        self.words = _WordCache(self)
+        self.split = regex.compile(PATTERN).findall
+        self.special = regex.compile(b"(" + b"|".join(map(regex.escape, v.special)) + b")") if v.special else None
+
+    def prepare(self, v: Vocabulary) -> None:
+        """The tables of piece()."""
         self.automaton = ahocorasick.Automaton()
         for t, i in v.id_of.items():
             self.automaton.add_word(t.decode("latin-1"), i)
@@ -108,10 +118,6 @@ class Encoder:
         self._compatible: dict[int, bool] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.words = _WordCache(self)
-        self.split = regex.compile(PATTERN).findall
-        self.special = regex.compile(b"(" + b"|".join(map(regex.escape, v.special)) + b")") if v.special else None
 
     def _spine(self, token: int, side: int, have: dict) -> list[tuple[int, int]]:
         """The token and its outermost parts on one side, each with the rank of the merge that uses it up."""
@@ -259,13 +265,12 @@ class _WordCache(dict):
 class RankedEncoder(Encoder):
     """The same ids by a library's ranked merges of single pieces, for operators that only need ids."""
 
-    def __init__(self, path: str):
+    needs_merges = False
+
+    def prepare(self, v: Vocabulary) -> None:
         import tiktoken
 
-        v = Vocabulary(path)
-        core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens={})
-        self._merge = core._encode_single_piece
-        super().__init__(path)
+        self._merge = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=v.id_of, special_tokens={})._encode_single_piece
 
     def piece(self, piece: bytes) -> bytes:
         return array("I", self._merge(piece)).tobytes()
@@ -291,8 +296,8 @@ def default_vocabulary() -> str:
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every text; null is the empty text.
 
-    Narrow: one pass, no shuffle. Extra columns are ignored, repeated rows are encoded each, an empty table
-    gives an empty table.
+    Narrow: one pass, no shuffle. Very long texts are encoded whole. Extra columns, whatever their names, are
+    ignored, repeated rows are encoded each, an empty table gives an empty table.
     """
     path = vocabulary or default_vocabulary()
 
