@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from warpspark.llm import embedding_dedup, ngram_join, substring_dedup
+from warpspark.llm.common import id_filter, passes
 from warpspark.llm.components import components
 
 
@@ -52,9 +53,10 @@ def test_ngram_join_matches_brute_force(docs, n, percent):
     assert got == {i: (len(sets[i]), group[i]) for i in sets}
 
 
-@pytest.mark.parametrize("name,value", [("TILE", 5), ("TILE_BYTES", 5_000)])
+@pytest.mark.parametrize("name,value", [("TILE", 5), ("TILE_BYTES", 5_000), ("CROWD", 20)])
 def test_ngram_join_tiles_of_crowded_groups(docs, monkeypatch, name, value):
     monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "WHOLE", 10)
     monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 100)
     rng = random.Random(1)
     base = prose(rng, 120).split()
@@ -67,9 +69,11 @@ def test_ngram_join_tiles_of_crowded_groups(docs, monkeypatch, name, value):
     assert {r["component_id"] for r in got} == {0}
 
 
-@pytest.mark.parametrize("name,value", [("TILE", 2048), ("TILE", 5), ("TILE_BYTES", 5_000), ("PART", 300)])
+@pytest.mark.parametrize("name,value", [("TILE", 2048), ("TILE", 5), ("TILE_BYTES", 5_000), ("PART", 300), ("CROWD", 5)])
 def test_ngram_join_counts_all_links(docs, monkeypatch, name, value):
     monkeypatch.setattr(ngram_join, name, value)
+    if name != "TILE" or value == 5:
+        monkeypatch.setattr(ngram_join, "WHOLE", 10)
     rng = random.Random(2)
     base = prose(rng, 150).split()
     texts = [t for _, t in corpus()]
@@ -87,6 +91,24 @@ def test_ngram_join_counts_all_links(docs, monkeypatch, name, value):
     assert got == wanted
 
 
+def test_ngram_join_of_words_that_cancel_in_polynomials(docs):
+    one, other = thue_morse(10)
+    rng = random.Random(6)
+    tail = [prose(rng, 3) for _ in range(5)]
+    texts = [" ".join(f"{w} {t}" for t in tail) for w in (one, other)]
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in ngram_join.similar_links(docs([(0, texts[0]), (1, texts[1])])).collect()}
+    assert got == {0: (len(sets_of(texts[0], 4)), 0), 1: (len(sets_of(texts[1], 4)), 0)}
+
+
+def test_id_filter(spark):
+    ids = spark.range(0, 3000, 3)
+    filled, log = id_filter(ids, "id")
+    rows = spark.range(3000).selectExpr("id", "xxhash64(id) h").toPandas()
+    kept = passes(rows["h"].to_numpy(), filled, log)
+    assert kept[::3].all() and kept.sum() < 1250
+    assert not passes(rows["h"].to_numpy(), *id_filter(ids.limit(0), "id")).any()
+
+
 def test_ngram_join_links_of_small_cases(docs):
     rows = [(5, None), (6, ""), (7, "a b"), (3, "A B"), (3, "A B"), (None, "a b"), (None, "x y"), (8, "z")]
     got = sorted((r["doc_id"] or 0, r["n_links"]) for r in ngram_join.similar_links(docs(rows)).collect())

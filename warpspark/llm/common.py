@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -168,3 +169,44 @@ def keyed_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+FILTER_LOG = (16, 29)  # bits of a filter of ids, as powers of two: 64 MB at most
+
+
+def id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A filter of the ids of a column, 16 bits for each of them between the bounds, and the power of two of its bits.
+    Slices of it are made on the executors; a full one lets more rows pass and never fewer."""
+    total = ids.count()
+    log = min(max(int(16 * total).bit_length(), FILTER_LOG[0]), FILTER_LOG[1])
+    each = 1 << (log - 8)
+
+    at = F.shiftrightunsigned(F.xxhash64(column), 64 - log)
+    dealt = ids.select(F.floor(at / each).cast("int").alias("slice"), (at % each).alias("bit")).distinct().repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros((1 << log) // 8, np.uint8)
+    for row in dealt.mapInArrow(lambda batches: keyed_bits(batches, each), "slice int, bits binary").toLocalIterator():
+        a = row["slice"] * each // 8
+        out[a : a + each // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out, log
+
+
+def keyed_bits(batches: Iterator[pa.RecordBatch], each: int) -> Iterator[pa.RecordBatch]:
+    """One packed slice for each run of rows (slice, bit), rows coming in order of slices."""
+    at, bits = None, np.zeros(0, np.uint8)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+    for batch in batches:
+        slices, places = batch.column("slice").to_numpy(), batch.column("bit").to_numpy()
+        for s in np.unique(slices).tolist():
+            if s != at:
+                if at is not None:
+                    yield row()
+                at, bits = s, np.zeros(each, np.uint8)
+            bits[places[slices == s]] = 1
+    if at is not None:
+        yield row()
+
+
+def passes(hashes: np.ndarray, filled: np.ndarray, log: int) -> np.ndarray:
+    """Which rows the filter lets through, by the 64-bit hashes of their ids."""
+    at = (hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)
+    return ((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

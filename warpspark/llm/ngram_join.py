@@ -6,9 +6,11 @@
    say which classes are to be compared at all: their number is chosen so that a pair at the threshold shares
    none with a probability under `MISS`, whatever the input. Each task first joins the classes that meet within
    it, so a key has at most one row for each batch, however many documents share it.
-3. Candidate groups (connected components of those edges) are cut into tiles by set size: a set is compared
-   only with sets whose size allows the threshold, so a tile holds one size band and the next. A band of very
-   many sets is cut further into blocks, and pairs of blocks are tiles.
+   Candidate groups are the connected components of those edges. A group of more than CROWD classes is keyed anew
+   with twice the min-hashes in a key, so that sets which are alike by chance or by a template fall apart.
+3. Candidate groups are cut into tiles by set size: a set is compared only with sets whose size allows the
+   threshold, so a tile holds one size band and the next. A band of many sets is cut further into blocks, and
+   pairs of blocks are tiles; so a crowded group is many tiles, not one.
 4. In a tile each set has a bitmap of the parities of its hashed elements. The bits in which two bitmaps differ
    are at most the elements in which the sets differ, so they bound the overlap from above; only pairs within
    the bound are intersected exactly. Each pair is compared in one tile, and all links are counted there; what
@@ -24,26 +26,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, keyed_runs, mix, text_bytes, written
+from .common import Words, chunks, grams, id_filter, keyed_runs, mix, passes, text_bytes, written
 from .components import components
 
 ROWS = 6
 MISS = 1e-9
 BITS = 1024
-TILE = 2048  # sets of a block; a tile holds two at most
+TILE = 2048  # sets of a block at most; a tile holds two
+WHOLE = 512  # sets of a group that is one tile
+SPLIT = 8  # blocks that a band has at least, if they hold WHOLE / 2 sets each
+CROWD = 32_768  # classes of a candidate group that is keyed anew
 TILE_BYTES = 32 << 20  # of a block's elements, so that long texts don't make a large tile
 PART = 1 << 20  # elements of sets that are intersected with one set at once
 BUCKETS = 128  # groups of band keys, at least
 BUCKET_BYTES = 64 << 20  # of a group's keys and ids
-_FILTER_BITS = 1 << 23  # of the fixed-size filter of candidates
 
 
-def bands(threshold: float) -> int:
+def bands(threshold: float, rows: int = ROWS) -> int:
     """Band keys so that a pair at the threshold shares none with a probability of at most MISS."""
-    return math.ceil(math.log(MISS) / math.log1p(-(threshold**ROWS)))
+    return math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))
 
 
 def gram_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -67,18 +71,18 @@ def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
-def band_keys(elements: np.ndarray, count: int, coefficients: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Keys of the bands; each is a hash of ROWS min-hashes and the band's number."""
+def band_keys(elements: np.ndarray, count: int, coefficients: tuple[np.ndarray, np.ndarray], per_key: int = ROWS) -> np.ndarray:
+    """Keys of the bands; each is a hash of per_key min-hashes and the band's number."""
     mul, add = coefficients
     x = (elements >> np.uint64(32)).astype(np.uint32)
-    least = np.full(count * ROWS, 0xFFFFFFFF, np.uint32)
+    least = np.full(count * per_key, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 4096):  # bounds the temporary for very long texts
         part = np.multiply.outer(mul, x[at : at + 4096])
         part += add[:, None]
         np.minimum(least, part.min(axis=1), out=least)
-    rows = least.reshape(count, ROWS).astype(np.uint64)
+    rows = least.reshape(count, per_key).astype(np.uint64)
     key = np.arange(count, dtype=np.uint64)
-    for j in range(ROWS):
+    for j in range(per_key):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j] + np.uint64(1))
     return key
 
@@ -223,15 +227,6 @@ def link_tile(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     return count_tile(ids, sets, percent)[0]
 
 
-def _candidates_filter(members: DataFrame):
-    """A filter of fixed size that says which documents may be candidates; it only saves work, so nothing is
-    lost when it is full. Made on the executors, one word for each set bit range."""
-    bits = members.select((F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))).alias("h")).distinct()
-    words = bits.select((F.col("h").bitwiseAND(F.lit(63))).alias("r"), (F.shiftright("h", 6)).alias("w"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(r as int))")).alias("v"))
-    return rows
-
-
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """similar_links() without n_links: doc_id, n_shingles, component_id."""
     return similar_links(docs, n, percent).drop("n_links")
@@ -243,8 +238,8 @@ def similar_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     Documents without words, or with a null text, have an empty set and no links. Equal sets always link.
     Repeated rows of one doc_id with equal texts give a row each and count once. A row without a doc_id is no link of
-    others and joins just the class of its own set, whose links it has. An empty table gives an empty table. Other
-    columns are ignored.
+    others and joins just the class of its own set, whose links it has. An empty table gives an empty table. Very
+    long texts are whole sets, hashed and keyed part by part. Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     threshold = percent / 100
@@ -254,9 +249,12 @@ def similar_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     joined = written(sets.select("doc_id", "docs", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "classes")
     reps = joined.filter("doc_id = rep").select("doc_id").distinct()
     keyed = sets.filter("n_shingles > 0").select("doc_id", "keys").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    per_set = 16 * bands(threshold)  # bytes of a set's keys and ids
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets.count() * per_set // BUCKET_BYTES))
-    groups = components(candidate_edges(keyed, buckets))
+    groups = components(candidate_edges(keyed, key_buckets(spark, sets.count(), bands(threshold))))
+    crowds = groups.groupBy("component").count().filter(F.col("count") > CROWD).select("component")
+    if not crowds.isEmpty():
+        inside = written(groups.join(crowds, "component", "left_semi").select("id"), "crowds")
+        again = components(candidate_edges(*stricter_keys(docs, inside, n, threshold)))
+        groups = groups.join(crowds, "component", "left_anti").select("id", "component").unionByName(again)
     copies = joined.filter("doc_id = rep").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     candidates = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group")).join(copies, "doc_id")
     links = written(tile_links(docs, candidates, n, percent), "links")
@@ -268,21 +266,40 @@ def similar_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return each.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), (own + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
+def key_buckets(spark: SparkSession, sets: int, count: int) -> int:
+    """Buckets of band keys so that one holds BUCKET_BYTES of keys and ids."""
+    return max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sets * 16 * count // BUCKET_BYTES))
+
+
+def stricter_keys(docs: DataFrame, ids: DataFrame, n: int, threshold: float) -> tuple[DataFrame, int]:
+    """(doc_id, keys) of these documents with twice the min-hashes in a key, and buckets for them. ids: (id)."""
+    spark, per_key = docs.sparkSession, 2 * ROWS
+    count = bands(threshold, per_key)
+    filled, log = id_filter(ids, "id")
+    sent = spark.sparkContext.broadcast(filled)  # of bounded size, see FILTER_LOG
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coefficients = _coefficients(count * per_key)
+        for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(passes(batch.column("h").to_numpy(), sent.value, log))))
+            keys = [band_keys(s, count, coefficients, per_key).tobytes() if len(s) else b"" for s in gram_sets(text_bytes(batch.column("text")), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary())], ["doc_id", "keys"])
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "doc_id long, keys binary")
+    return keyed.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), key_buckets(spark, ids.count(), count)
+
+
 def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links (a, b, null) within the candidate groups, as spanning forests of their tiles, and (a, null, n): n
     links of a that its tile has. Each pair is in one tile. candidates: (doc_id, group, copies)."""
     spark = docs.sparkSession
     candidates = written(candidates, "candidates")
-    maybe = np.zeros(_FILTER_BITS // 64, np.int64)
-    for row in _candidates_filter(candidates).toLocalIterator():
-        maybe[row["w"]] = row["v"]
-    sent = spark.sparkContext.broadcast(maybe)  # 1 MB, whatever the input
+    filled, log = id_filter(candidates, "doc_id")
+    sent = spark.sparkContext.broadcast(filled)  # of bounded size, see FILTER_LOG
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = sent.value.view(np.uint64)
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            keep = np.flatnonzero((filled[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
+            keep = np.flatnonzero(passes(batch.column("h").to_numpy(), sent.value, log))
             if not len(keep):
                 continue
             batch = batch.take(pa.array(keep))
@@ -292,15 +309,14 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
                 ["doc_id", "size", "elements"],
             )
 
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS)).alias("h")
-    sets = docs.select("doc_id", "text", h).mapInArrow(make, "doc_id long, size long, elements binary")
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(make, "doc_id long, size long, elements binary")
     sets = sets.filter("size > 0").join(candidates, "doc_id")
     sets = written(sets.withColumn("band", F.floor(F.log(F.col("size")) / -math.log(percent / 100)).cast("int")), "members")
-    # The share of a block that a band or group fills, by sets or by bytes of elements.
-    counts = sets.groupBy("group", "band").agg(F.greatest(F.count("*") / TILE, F.sum("size") * 8 / TILE_BYTES).alias("n"))
-    # Blocks of a band: as many as it needs, so no tile holds more than two of them.
-    blocks = counts.select("group", "band", F.ceil("n").cast("int").alias("blocks"))
-    whole = counts.groupBy("group").agg((F.sum("n") <= 1).alias("whole"))
+    counts = sets.groupBy("group", "band").agg(F.count("*").alias("sets"), (F.sum("size") * 8 / TILE_BYTES).alias("filled"))
+    # Blocks of a band: as many as it needs, by sets or by bytes of elements, so no tile holds more than two of them.
+    each = F.least(F.lit(TILE), F.greatest(F.lit(WHOLE // 2), F.ceil(F.col("sets") / SPLIT)))
+    blocks = counts.select("group", "band", F.ceil(F.greatest(F.col("sets") / each, "filled")).cast("int").alias("blocks"))
+    whole = counts.groupBy("group").agg(((F.sum("sets") <= WHOLE) & (F.sum("filled") <= 1)).alias("whole"))
     after = blocks.select("group", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
     before = blocks.select("group", (F.col("band") + 1).alias("band"), F.col("blocks").alias("previous"))
     plan = blocks.join(after, ["group", "band"], "left").join(before, ["group", "band"], "left").join(whole, "group").na.fill(0, ["next", "previous"])
