@@ -7,6 +7,7 @@ character, so cutting the bytes gives the same words as cutting the characters.
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -210,3 +211,18 @@ def passes(hashes: np.ndarray, filled: np.ndarray, log: int) -> np.ndarray:
     """Which rows the filter lets through, by the 64-bit hashes of their ids."""
     at = (hashes.astype(np.int64).view(np.uint64) >> np.uint64(64 - log)).astype(np.int64)
     return ((filled[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def hash_sample(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows with the least hashes of an id, or all if there are fewer. Only about n rows and a little more
+    come to the driver's merge, however many partitions there are: the rest lies above a bound that follows from
+    the count. The sample doesn't depend on order or partitions."""
+    total = rows.count()
+    h = F.xxhash64(column)
+    if total > 2 * n:
+        share = min(1.0, (n + 6 * math.sqrt(n) + 20) / total)
+        bound = int(share * (1 << 64)) - (1 << 63)
+        fewer = rows.filter(h <= F.lit(min(bound, (1 << 63) - 1)))
+        if fewer.limit(n).count() == n:  # ids that repeat may hash above it together
+            rows = fewer
+    return rows.orderBy(h, column).limit(n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_runs, written
+from .common import hash_sample, keyed_runs, written
 from .components import components
 
 SAMPLE = 20_000  # vectors that the rotations are learnt from
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         none = blobs.select("vec_id").withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)})
         return none
     dim, rows = int(top["dim"]), int(top["count"])
-    picked = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").collect()
+    picked = hash_sample(classes.filter(F.col("dim") == dim), "rep", SAMPLE).select("vector").collect()
     sent = spark.sparkContext.broadcast(Index(unit_rows([r["vector"] for r in picked], dtype), rows, threshold))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CONTINUATION, WHITE, Words, chunks, text_bytes, written
+from .common import CONTINUATION, WHITE, Words, chunks, hash_sample, text_bytes, written
 from .quality_rules import line_counts, repeated_words
 
 POSITIVES = 20_000  # documents of the training samples at most, picked by a hash of doc_id
@@ -122,6 +122,16 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(np.min(above(su) / above(sp) * (1 + spread)), 0.05, 0.98))
 
 
+def risk_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:
+    """The slope of the risk by the logits of positives and unlabelled, and whether the negative risk is above 0; if
+    it isn't, the slope is that of its negative alone."""
+    sp, su = _sigmoid(p), _sigmoid(u)
+    rest = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    if rest >= 0:  # d/dz of -log s is s - 1, of -log(1 - s) is s
+        return np.concatenate([prior * (sp - 1) / len(p) - prior * sp / len(p), su / len(u)]), True
+    return np.concatenate([prior * sp / len(p), -su / len(u)]), False
+
+
 def train(p: np.ndarray, u: np.ndarray) -> tuple[Network, float]:
     """The network and the prior; p, u: statistics of positives and unlabelled."""
     prior = estimate_prior(p, u) if min(len(p), len(u)) >= 40 else 0.8
@@ -129,23 +139,18 @@ def train(p: np.ndarray, u: np.ndarray) -> tuple[Network, float]:
     for epoch in range(EPOCHS):
         rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.002
         for a, b in _batches(rng, p, u):
-            sa, sb = _sigmoid(net.logit(a)), _sigmoid(net.logit(b))
-            rest = -np.log1p(-np.minimum(sb, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sa, 1 - 1e-12)).mean()
-            if rest >= 0:  # d/dz of -log s is s - 1, of -log(1 - s) is s
-                slope = np.concatenate([prior * (sa - 1) / len(a) - prior * sa / len(a), sb / len(b)])
-            else:
-                slope = np.concatenate([prior * sa / len(a), -sb / len(b)])
-            net.step(np.concatenate([a, b]), slope, rate)
+            net.step(np.concatenate([a, b]), risk_slopes(net.logit(a), net.logit(b), prior)[0], rate)
     return net, prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFrame:
-    """(doc_id, score) of each row of docs. labels: (doc_id, quality); only those of rows where may_learn, a
-    condition on doc_id, holds are read.
+    """(doc_id, score) of each row of docs. labels: (doc_id, quality); training sees only labels and texts of rows
+    where may_learn, a condition on doc_id, holds: others are neither positives nor unlabelled.
 
-    Null and empty texts have the statistics of an empty text and a score like any other. With no positives or
-    nothing unlabelled, all scores are 0.5. Statistics are written once; training samples are bounded (POSITIVES,
-    UNLABELLED) and picked by a hash, so they don't depend on order or partitions.
+    Null and empty texts have the statistics of an empty text and a score like any other; very long texts are
+    measured whole. With no positives or nothing unlabelled, all scores are 0.5. Repeated rows are scored each, an
+    empty table gives an empty table, other columns are ignored. Statistics are written once; training samples are
+    bounded (POSITIVES, UNLABELLED) and picked by a hash, so they don't depend on order or partitions.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +160,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Data
 
     spark = docs.sparkSession
     measured = written(docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, x array<double>"), "statistics")
-    known = labels.select("doc_id", "quality")
-    positives = measured.join(known.filter(may_learn & (F.col("quality") == 1)).select("doc_id").distinct(), "doc_id", "left_semi")
-    unlabelled = measured.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-    sample = lambda d, n: np.array([r["x"] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("x").collect()])
-    p, u = sample(positives, POSITIVES), sample(unlabelled, UNLABELLED)
+    known = labels.filter(may_learn).select("doc_id", "quality")
+    positives = measured.join(known.filter(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    unlabelled = measured.filter(may_learn).join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+    p, u = (np.array([r["x"] for r in hash_sample(d, "doc_id", n).select("x").collect()]) for d, n in ((positives, POSITIVES), (unlabelled, UNLABELLED)))
     model = spark.sparkContext.broadcast(train(p, u)[0] if len(p) and len(u) else None)  # a few hundred numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
