@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warpspark.llm import queries, quality_classifier, quality_rules, secrets, toxicity
-from warpspark.llm.common import Words, grams
+from warpspark.llm.common import Words, grams, hash_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -261,6 +261,76 @@ def test_scores_do_not_use_labels_of_held_out_rows(spark):
     assert a == b
 
 
+def test_convolutions_match_plain_loops():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.ROWS).astype(np.float32), rng.normal(size=toxicity.ROWS).astype(np.float32))
+    model.out = rng.normal(size=len(model.out)).astype(np.float32)
+    texts = [b"One two THREE four, five", b"", b"x", "ñandú a-b".encode(), b"w " * 300]
+    want = []
+    for text in texts:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+        first, second = toxicity.word_rows(np.array([Words([w]).hash[0] for w in words], np.uint64))
+        x = [np.concatenate([model.table[0][a], model.table[1][b]]) for a, b in zip(first, second)] + [np.concatenate([model.table[0][0], model.table[1][0]])] * toxicity.PAD
+        pooled = []
+        for width, f, bias in zip(toxicity.WIDTHS, model.filters, model.bias):
+            for k in range(toxicity.FILTERS):
+                # A filter that begins in the padding sees what there is of it.
+                answers = [sum(float(x[i + o] @ f[o, :, k]) for o in range(width) if i + o < len(x)) for i in range(len(x))]
+                pooled.append(max(0.0, max(answers) + bias[k]))
+        want.append(np.array(pooled) @ model.out + model.base[0])
+    got = model.logits(toxicity.Tokens.of(texts))
+    assert np.allclose(got[[0, 2, 3, 4]], np.array(want)[[0, 2, 3, 4]], atol=1e-4)
+    rows = toxicity.packed_rows(texts)
+    assert np.array_equal(toxicity.Tokens.unpacked(rows).first, toxicity.Tokens.of(texts).first)
+
+
+def test_thresholds_of_counts():
+    rng = np.random.default_rng(2)
+    z = np.concatenate([rng.normal(-1, 1, 500), rng.normal(2, 1, 60)])
+    y = np.repeat([0, 1], [500, 60])
+    bins = np.floor(z / toxicity.BIN).astype(int)
+    found = toxicity.thresholds([(1, int(t), int(b), 1) for t, b in zip(y, bins)])
+    assert len(set(found)) == 1
+    f1 = lambda t: 2 * (y[z >= t].sum()) / ((z >= t).sum() + y.sum())
+    assert f1(found[0]) >= max(f1(t) for t in z) - 0.02
+    assert toxicity.thresholds([]) == [0.0] * (len(toxicity.LANGUAGES) + 1)
+
+
+def test_training_reads_a_bounded_number_of_words(docs, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 100)
+    rows = docs([(i, "some words " * 5) for i in range(40)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    packed, y = toxicity.training_rows(rows, known)
+    assert len(packed) == len(y) == 10 and all(len(x) == 40 for x in packed)
+
+
+def test_network_slopes_match_differences():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (30, 11)), rng.normal(0, 1, (40, 11))
+    for prior in (0.3, 0.9):
+        net = quality_classifier.Network(np.concatenate([p, u]))
+
+        def risk(net=net, prior=prior):
+            soft = lambda z: np.log1p(np.exp(z))
+            rest = soft(net.logit(u)).mean() - prior * soft(net.logit(p)).mean()
+            return (prior * soft(-net.logit(p)).mean() + rest) if rest >= 0 else -rest
+
+        slopes, _ = quality_classifier.risk_slopes(net.logit(p), net.logit(u), prior)
+        # The slopes by logit, checked through the last bias, which moves all logits alike.
+        net.weights[3][0] += 1e-5
+        up = risk()
+        net.weights[3][0] -= 2e-5
+        assert slopes.sum() == pytest.approx((up - risk()) / 2e-5, abs=1e-4)
+
+
+def test_hash_samples(spark):
+    rows = spark.range(5000).repartition(7)
+    some = {r["id"] for r in hash_sample(rows, "id", 100).collect()}
+    assert some == {r["id"] for r in rows.selectExpr("id", "xxhash64(id) h").orderBy("h").limit(100).collect()}
+    assert hash_sample(rows, "id", 6000).count() == 5000 and hash_sample(rows.limit(0), "id", 5).count() == 0
+    assert hash_sample(rows.selectExpr("id * 0 AS id"), "id", 5).count() == 5
+
+
 def test_prior_and_non_negative_risk():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (2000, len(quality_classifier.FEATURES)))

@@ -3,11 +3,13 @@
 Words are hashed into two small embedding tables with independent hashes; a word's vector is both rows side by
 side, so two words are alike only if they clash in both. Filters of several widths slide over the whole text,
 their largest answer is kept (max pooling), and a linear layer gives the logit. Training starts the first
-coordinate of each row at its log-odds, then runs Adam; only the places that won the pooling take part.
+coordinate of each row at its log-odds; then filters and weights take Adam's steps and the table's rows plain steps
+of bounded size, from the places that won the pooling.
 
-Thresholds are calibrated by language: on labelled rows that training left out, each language's best threshold
-is found and taken off the logit, so that 0.5 is the threshold everywhere. The language is told from the text's
-own function words; the column is no input of a score.
+Thresholds are calibrated by language: a quarter of the labelled rows, by a hash, is no part of training. Counts of
+their logits by language, label and bin are summed over all of them, and each language's best threshold is read off
+and taken off the logit, so that 0.5 is the threshold everywhere. The language is told from the text's own function
+words; the column is no input of a score.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, Words, chunks, text_bytes
+from .common import LETTER, Words, chunks, hash_sample, text_bytes, written
 
 ROWS = 1 << 16  # of each embedding table
 DIM = 4  # of each table
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DOCUMENTS = 12_000  # labelled documents that training reads at most, picked by a hash of doc_id
+WORDS = 8_000_000  # words of those documents at most; each comes to the driver as four bytes
+BIN = 1 / 64  # of logits, for the thresholds
+LEAST = 10  # documents of either label that a language needs for a threshold of its own
 EPOCHS = 4
 BATCH = 64
 PAD = max(WIDTHS) - 1
@@ -56,16 +61,36 @@ def _language_table() -> np.ndarray:
 class Tokens:
     """Table rows of the words of several texts, each text followed by padding."""
 
-    def __init__(self, texts: list[bytes]):
-        words = Words(texts, lower=True, letters=LETTER)
-        n = np.diff(words.first)
-        first, second = word_rows(words.hash)
-        at = np.arange(len(first)) + words.doc_of_word() * PAD
-        total = len(first) + PAD * len(texts)
+    def __init__(self, first: np.ndarray, second: np.ndarray, n: np.ndarray):
+        """Rows of the words of all texts, and how many words each has."""
+        doc = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(first)) + doc * PAD
+        total = len(first) + PAD * len(n)
         self.first, self.second = np.zeros(total, np.int64), np.zeros(total, np.int64)
         self.first[at], self.second[at] = first, second
-        self.start = words.first[:-1] + np.arange(len(texts)) * PAD
-        self.doc = np.repeat(np.arange(len(texts)), n + PAD)
+        self.start = np.cumsum(n + PAD) - (n + PAD)
+        self.doc = np.repeat(np.arange(len(n)), n + PAD)
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
+        words = Words(texts, lower=True, letters=LETTER)
+        return cls(*word_rows(words.hash), np.diff(words.first))
+
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> Tokens:
+        """Of packed rows, as packed_rows() makes them."""
+        both = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, 2)
+        return cls(both[:, 0], both[:, 1], np.array([len(x) // 4 for x in blobs], np.int64))
+
+
+def packed_rows(texts: list[bytes]) -> list[bytes]:
+    """Both rows of each word as 16-bit numbers, one blob for each text."""
+    out = []
+    for a, b in chunks(texts):
+        words = Words(texts[a:b], lower=True, letters=LETTER)
+        both = np.stack(word_rows(words.hash), 1).astype(np.uint16)
+        out += [both[x:y].tobytes() for x, y in zip(words.first[:-1], words.first[1:])]
+    return out
 
 
 class Model:
@@ -82,7 +107,6 @@ class Model:
         self.bias = [np.full(FILTERS, -1.0, np.float32) for _ in WIDTHS]
         self.out = np.full(len(WIDTHS) * FILTERS, 0.3, np.float32)
         self.base = np.zeros(1, np.float32)
-        self.shift = np.zeros(len(LANGUAGES) + 1)
 
     def _answers(self, t: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
         x = np.concatenate([self.table[0][t.first], self.table[1][t.second]], axis=1)
@@ -153,13 +177,13 @@ class _Adam:
         w -= self.rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-7)
 
 
-def log_odds(texts: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(rows: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of both tables, how far the share of toxic documents with it is from the others'."""
     seen = np.zeros((2, 2, ROWS))
-    for a, b in chunks(texts):
-        t = Tokens(texts[a:b])
-        for i, rows in enumerate((t.first, t.second)):
-            pairs = np.unique(t.doc * ROWS + rows)
+    for a, b in chunks(rows):
+        t = Tokens.unpacked(rows[a:b])
+        for i, of in enumerate((t.first, t.second)):
+            pairs = np.unique(t.doc * ROWS + of)
             np.add.at(seen[i], (y[a:b][pairs // ROWS].astype(int), pairs % ROWS), 1)
     n = np.maximum(np.bincount(y.astype(int), minlength=2), 1)
     out = []
@@ -180,74 +204,98 @@ def languages(t: Tokens, table: np.ndarray, n: int) -> np.ndarray:
     return np.where(counts.any(axis=1), counts.argmax(axis=1), 0)
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the highest F1, in the middle of its gap; 0 if there is nothing to tell apart."""
-    if not y.any() or y.all():
+def best_threshold(bins: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The logit with the highest F1, in the middle of its gap; 0 if there is nothing to tell apart. bins: of logits,
+    in any order, with the numbers of clean and of toxic documents."""
+    if not toxic.sum() or not clean.sum():
         return 0.0
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-    at = int(np.argmax(f1))
-    low = z[order[at + 1]] if at + 1 < len(z) else z[order[at]] - 2
-    return float((z[order[at]] + low) / 2)
-
-
-def train(texts: list[bytes], y: np.ndarray, left_out: np.ndarray) -> Model:
-    """left_out: rows that only calibrate."""
-    fit = np.flatnonzero(~left_out)
-    some = [texts[i] for i in fit]
-    model = Model(*log_odds(some, y[fit]))
+    order = np.argsort(-bins, kind="stable")
+    bins, hits, taken = bins[order], np.cumsum(toxic[order]), np.cumsum((clean + toxic)[order])
+    at = int(np.argmax(2 * hits / (taken + toxic.sum())))
+    low = bins[at + 1] + 1 if at + 1 < len(bins) else bins[at] - 2 / BIN
+    return float((bins[at] + low) / 2 * BIN)
+
+
+def train(rows: list[bytes], y: np.ndarray) -> Model:
+    """rows: packed table rows of each document."""
+    model = Model(*log_odds(rows, y))
     adam, rng = _Adam(), np.random.default_rng(2)
-    share = max(y[fit].mean(), 1e-3) if len(fit) else 1
-    weight = np.where(y[fit] > 0, min(1 / share, 10) / 2, 1.0)
+    share = max(y.mean(), 1e-3)
+    weight = np.where(y > 0, min(1 / share, 10) / 2, 1.0)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(fit))
+        order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            model.train_batch(Tokens([some[i] for i in part]), y[fit][part], weight[part], adam)
-    table = _language_table()
-    z, lang = [], []
-    rest = [texts[i] for i in np.flatnonzero(left_out)]
-    for a, b in chunks(rest):
-        t = Tokens(rest[a:b])
-        z.append(model.logits(t))
-        lang.append(languages(t, table, b - a))
-    if z:
-        z, lang, truth = np.concatenate(z), np.concatenate(lang), y[left_out] > 0
-        model.shift[:] = best_threshold(z, truth)
-        for i in range(len(LANGUAGES) + 1):
-            if (truth & (lang == i)).sum() >= 10 and (~truth & (lang == i)).sum() >= 10:
-                model.shift[i] = best_threshold(z[lang == i], truth[lang == i])
+            model.train_batch(Tokens.unpacked([rows[i] for i in part]), y[part], weight[part], adam)
     return model
 
 
+def thresholds(counts: list[tuple[int, int, int, int]]) -> list[float]:
+    """The threshold of each language from (language, toxic, bin, number) rows; of all where there are too few."""
+    rows = np.array(counts, np.int64).reshape(-1, 4)
+
+    def of(some: np.ndarray) -> float:
+        bins, where = np.unique(some[:, 2], return_inverse=True)
+        by = [np.bincount(where, weights=some[:, 3] * (some[:, 1] == y), minlength=len(bins)) for y in (0, 1)]
+        return best_threshold(bins, *by)
+
+    common = of(rows)
+    out = []
+    for i in range(len(LANGUAGES) + 1):
+        own = rows[rows[:, 0] == i]
+        enough = all(own[own[:, 1] == y, 3].sum() >= LEAST for y in (0, 1))
+        out.append(of(own) if enough else common)
+    return out
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Packed table rows and labels of the sample: DOCUMENTS documents, WORDS words at most, in a hash's order."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = packed_rows(text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "toxic", "words", "rows"])
+
+    picked = hash_sample(known, "doc_id", DOCUMENTS)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(pack, "doc_id long, toxic int, words long, rows binary")
+    found = written(found.dropDuplicates(["doc_id"]), "labelled")  # DOCUMENTS rows at most
+    order = found.select("words", F.xxhash64("doc_id").alias("h")).orderBy("h", "words").collect()
+    upto = np.searchsorted(np.cumsum([r["words"] for r in order]), WORDS, "right")
+    if upto < len(order):
+        found = found.filter(F.xxhash64("doc_id") < order[upto]["h"])
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").select("rows", "toxic").collect()
+    return [bytes(r["rows"]) for r in rows], np.array([float(r["toxic"]) for r in rows])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFrame:
     """(doc_id, score) of each row of docs, 0.5 being the threshold. labels: (doc_id, toxic); only those of
-    rows where may_learn, a condition on doc_id, holds are read, DOCUMENTS at most, picked by a hash.
+    rows where may_learn, a condition on doc_id, holds are read. The network is fitted on a bounded sample of three
+    quarters of them (DOCUMENTS, WORDS); all of the last quarter set the thresholds.
 
-    Null and empty texts are scored as padding alone. Without labels of both kinds, all scores are 0.
+    Null and empty texts are scored as padding alone; very long texts are scored whole. Without labels of both kinds,
+    all scores are 0. Repeated rows are scored each (a doc_id with several labels is toxic if one says so), an empty
+    table gives an empty table, other columns are ignored.
     """
     spark = docs.sparkSession
-    known = labels.filter(may_learn & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # DOCUMENTS rows at most
-    sample = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    texts = [(r["text"] or "").encode() for r in sample]
-    y = np.array([float(r["toxic"] == 1) for r in sample])
-    left_out = np.array([(r["doc_id"] * 2654435761 >> 7) % 4 == 0 for r in sample], bool)
-    del rows, sample
-    model = spark.sparkContext.broadcast(train(texts, y, left_out) if len(y) and 0 < y.sum() < len(y) else None)  # 2 MB
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = labels.filter(may_learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(4)) == 0
+    rows, y = training_rows(docs, known.filter(~calibrates))
+    model = spark.sparkContext.broadcast(train(rows, y) if len(y) and 0 < y.sum() < len(y) else None)  # 2 MB
+    del rows
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _language_table()
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            s = np.zeros(len(texts))
-            for a, b in chunks(texts, 1 << 20):
-                if model.value is not None:
-                    t = Tokens(texts[a:b])
-                    z = model.value.logits(t) - model.value.shift[languages(t, table, b - a)]
-                    s[a:b] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+            z, language = np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+            for a, b in chunks(texts):
+                t = Tokens.of(texts[a:b])
+                z[a:b], language[a:b] = model.value.logits(t), languages(t, table, b - a)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z), pa.array(language)], ["doc_id", "z", "language"])
+
+    if model.value is None:
+        return docs.select("doc_id", F.lit(0.0).alias("score"))
+    logits = written(docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, z double, language int"), "logits")
+    counts = logits.join(known.filter(calibrates), "doc_id").groupBy("language", "toxic", F.floor(F.col("z") / BIN).alias("bin")).count()
+    shift = F.element_at(F.array(*map(F.lit, thresholds([tuple(r) for r in counts.collect()]))), F.col("language") + 1)  # counts: of bounded number
+    return logits.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("z") - shift))))).alias("score"))
