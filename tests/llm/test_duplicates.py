@@ -253,6 +253,26 @@ def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0, 0.0], 0)])).collect()[0]["kept"]
 
 
+def test_embedding_dedup_of_two_lengths_and_hard_rows(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FEW", 50)
+    rng = np.random.default_rng(7)
+    rows, wanted = [], {}
+    for first, d in ((0, 16), (1000, 24), (2000, 5)):
+        n = 40 if d == 5 else 150
+        x = rng.normal(size=(n, d)).astype(np.float32)
+        x[n // 2 :] = x[: n - n // 2] * 3 + rng.normal(size=(n - n // 2, d)).astype(np.float32) * 0.1
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        close = (u @ u.T >= 0.95).sum(axis=1) - 1
+        rows += [(first + i, v.tolist(), i) for i, v in enumerate(x)]
+        wanted |= {first + i: int(c) for i, c in enumerate(close)}
+    rows += [rows[3], rows[3]]
+    frame = vectors(spark, rows).selectExpr("vec_id", "embedding", "label AS dim", "label AS codes", "'x' AS digest", "1 AS rep")
+    got = embedding_dedup.near_duplicates(frame.repartition(3)).collect()
+    assert len(got) == len(rows)
+    found = {r["vec_id"]: r["n_links"] for r in got}
+    assert all(found[i] <= n for i, n in wanted.items()) and sum(found.values()) >= 0.97 * sum(wanted.values())
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, i) for i in range(301, 340)] + [(5, 5)]

@@ -30,6 +30,7 @@ SAMPLE = 20_000  # vectors that the rotations are learnt from
 ROUNDS = 25
 MISS = 0.005
 BLOCK = 2048
+FEW = 256  # vectors of one length that are compared without an index
 CODE_BITS = (4, 28)  # bounds of a substring's length
 
 
@@ -129,9 +130,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """One row for each row of vectors: vec_id, n_links, component_id, kept.
 
     Null or zero vectors, and those with null or non-finite components, link with nothing. Vectors of different
-    lengths don't link; vectors of another length than most are compared in full with one another. Rows that
-    repeat a vec_id with the same vector count once. A row without a vec_id links with nothing and is kept. An
-    empty table gives an empty table.
+    lengths don't link; each length has its own index. Rows that repeat a vec_id with the same vector count once, with
+    another vector they are compared each. A row without a vec_id links with nothing and is kept. An empty table gives
+    an empty table. Other columns, whatever their names, are ignored.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType
@@ -142,47 +143,46 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         alike.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector")),
         "vector-classes",
     )
-    top = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    if top is None:
-        none = blobs.select("vec_id").withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id"), "kept": F.lit(True)})
-        return none
-    dim, rows = int(top["dim"]), int(top["count"])
-    picked = hash_sample(classes.filter(F.col("dim") == dim), "rep", SAMPLE).select("vector").collect()
-    sent = spark.sparkContext.broadcast(Index(unit_rows([r["vector"] for r in picked], dtype), rows, threshold))
+    # A row for each length that many vectors have; the vectors of others are one bucket for each length.
+    lengths = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().filter(F.col("count") > FEW).collect()}
+    samples = {d: hash_sample(classes.filter(F.col("dim") == d), "rep", SAMPLE).select("vector").collect() for d in sorted(lengths)}
+    indexes = {d: Index(unit_rows([r["vector"] for r in rows], dtype), lengths[d], threshold) for d, rows in samples.items()}
+    sent = spark.sparkContext.broadcast(indexes)
+    del samples
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             raw = batch.column("vector").to_pylist()
             codes = [b""] * len(raw)
-            main = np.flatnonzero(dims == dim)
-            if len(main):
-                found = index.substrings(unit_rows([raw[i] for i in main], dtype)).astype(np.int32)
-                for i, row in zip(main.tolist(), found):
-                    codes[i] = row.tobytes()
+            for dim in np.unique(dims).tolist():
+                if dim in sent.value:
+                    some = np.flatnonzero(dims == dim).tolist()
+                    found = sent.value[dim].substrings(unit_rows([raw[i] for i in some], dtype)).astype(np.int32)
+                    for i, row in zip(some, found):
+                        codes[i] = row.tobytes()
             places = [np.frombuffer(c, np.int32).tolist() for c in codes]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(places, pa.list_(pa.int32()))], [*batch.schema.names, "codes", "places"])
 
     coded = written(classes.select("rep", "copies", "dim", "vector").mapInArrow(encode, "rep long, copies long, dim int, vector binary, codes binary, places array<int>"), "codes")
-    # The bucket of each table; vectors of another length share one bucket for each length, as table -length.
-    odd = F.array(F.struct((-F.col("dim")).alias("table"), F.lit(0).alias("code")))
+    # The bucket of each table; a length without an index is one bucket, of table 0.
     usual = F.transform("places", lambda c, t: F.struct(t.alias("table"), c.alias("code")))
-    place = F.explode(F.when(F.size("places") > 0, usual).otherwise(odd)).alias("place")
-    dealt = coded.select("rep", "copies", "vector", "codes", place).select("rep", "copies", "vector", "codes", "place.table", "place.code")
+    place = F.explode(F.when(F.size("places") > 0, usual).otherwise(F.array(F.struct(F.lit(0).alias("table"), F.lit(0).alias("code"))))).alias("place")
+    bucket = ["dim", "table", "code"]
+    dealt = coded.select("rep", "copies", "dim", "vector", "codes", place).select("rep", "copies", "dim", "vector", "codes", "place.table", "place.code")
     # Just crowded buckets are cut into blocks. They are few (each has over BLOCK rows) and written first, so Spark
     # knows their size and sends them to the rows if they are small, instead of dealing all rows twice.
-    counts = coded.select(place).groupBy("place.table", "place.code").count().filter(F.col("count") > BLOCK)
-    crowded = written(counts.select("table", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
-    dealt = dealt.join(crowded, ["table", "code"], "left").na.fill(1, ["blocks"])
+    counts = coded.select("dim", place).groupBy("dim", "place.table", "place.code").count().filter(F.col("count") > BLOCK)
+    crowded = written(counts.select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
+    dealt = dealt.join(crowded, bucket, "left").na.fill(1, ["blocks"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     me, other = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
     side = lambda x: F.when(x == me, 0).when(me < x, 1).otherwise(2)
     tiles = F.transform(other, lambda x: F.struct(F.least(me, x).alias("i"), F.greatest(me, x).alias("j"), side(x).alias("side")))
     dealt = dealt.withColumn("tile", F.explode(tiles)).select(
-        F.xxhash64("table", "code", "tile.i", "tile.j").alias("key"), "table", "code", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), F.col("tile.side").alias("side"), "rep", "copies", "vector", "codes"
+        F.xxhash64(*bucket, "tile.i", "tile.j").alias("key"), *bucket, F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), F.col("tile.side").alias("side"), "rep", "copies", "vector", "codes"
     )
-    order = ["key", "table", "code", "i", "j"]
+    order = ["key", *bucket, "i", "j"]
     dealt = dealt.repartition("key").sortWithinPartitions(*order)
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
                 part = whole.slice(a, b - a)
                 codes = np.stack([np.frombuffer(c, np.int32) for c in part.column("codes").to_pylist()])
                 x = unit_rows(part.column("vector").to_pylist(), dtype)
-                edges.append(link_block(part.column("rep").to_numpy(), part.column("side").to_numpy(), codes, part.column("copies").to_numpy(), x, int(named[a, 0]), threshold))
+                edges.append(link_block(part.column("rep").to_numpy(), part.column("side").to_numpy(), codes, part.column("copies").to_numpy(), x, int(named[a, 1]), threshold))
             if len(edges) >= 2000:
                 yield _pairs(edges)
                 edges = []
