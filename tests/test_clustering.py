@@ -37,6 +37,36 @@ def test_distributed_way_agrees(archetypes, monkeypatch):
     assert groups(found) == WANTED and found.inertia < 0.1
 
 
+@pytest.mark.parametrize("options", [{}, {"centroid_method": "ssg"}, {"dba_init": "medoid"}, {"dba_fraction": 0.5}, {"init": "parallel"}, {"elkan": True}])
+def test_both_ways_give_the_same(spark, monkeypatch, options):
+    x = np.random.default_rng(3).normal(size=(40, 8)).cumsum(axis=1)
+    walks = spark.createDataFrame([(7 * i + 3, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")
+    cfg = kmeans.KMeansConfig(k=4, n_init=1, max_iter=3, dba_max_iter=2, **options)
+    found = [kmeans.fit(walks, cfg)]
+    monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
+    found.append(kmeans.fit(walks, cfg))
+    a, b = (sorted((r["id"], r["cluster"]) for r in f.assignments.collect()) for f in found)
+    assert a == b and found[0].centroids == pytest.approx(found[1].centroids, abs=1e-9) and found[0].inertia == pytest.approx(found[1].inertia)
+    assert found[0].skipped == found[1].skipped and found[0].iterations == found[1].iterations
+
+
+def test_mini_batch_is_the_same_both_ways(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(50, 6)).cumsum(axis=1)
+    walks = spark.createDataFrame([(11 * i, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")
+    cfg = minibatch.MiniBatchConfig(k=3, batch_size=10, max_iter=4, n_init=1)
+    a = minibatch.fit(walks, cfg)
+    monkeypatch.setattr(minibatch, "LOCAL_VALUES", 0)
+    b = minibatch.fit(walks.repartition(3), cfg)
+    assert a.centroids == pytest.approx(b.centroids, abs=1e-9) and a.inertia == pytest.approx(b.inertia)
+
+
+def test_medoid_by_batches(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(30, 5))
+    d = np.array([[kernels.dtw(a[None], b[None], 1)[0] for b in x] for a in x])
+    monkeypatch.setattr(kernels, "BATCH", 4)
+    assert kernels.medoid(x, 1) == int(np.argmin(d.sum(axis=1)))
+
+
 @pytest.mark.parametrize("options", [{}, {"centroid_method": "ssg"}, {"dba_init": "medoid"}, {"dba_fraction": 0.5}])
 def test_distributed_way_honours_options(archetypes, monkeypatch, options):
     cfg = kmeans.KMeansConfig(k=3, n_init=2, max_iter=6, dba_max_iter=1, **options)

@@ -35,6 +35,15 @@ def test_samples_dealt_by_shuffle(table, monkeypatch):
     assert forest.oob_score(m, table)[0] > 0.8
 
 
+@pytest.mark.parametrize("share", [1.0, 0.5])
+def test_trees_are_the_same_both_ways(table, monkeypatch, share):
+    cfg = forest.ForestConfig(n_trees=4, bootstrap=share)
+    key = lambda m: (sorted((r["tree_id"], r["node_id"], r["feature"], r["threshold"]) for r in m.nodes.collect()), sorted(tuple(r) for r in m.oob.collect()))
+    one = key(forest.train(table, cfg))
+    monkeypatch.setattr(forest, "LOCAL_VALUES", 0)
+    assert one == key(forest.train(table.repartition(5), cfg))
+
+
 def test_samples_dealt_by_shuffle_have_their_share(table, monkeypatch):
     monkeypatch.setattr(forest, "LOCAL_VALUES", 0)
     m = forest.train(table, forest.ForestConfig(n_trees=20, bootstrap=0.5))

@@ -138,20 +138,25 @@ def align_sums(x: np.ndarray, centroid: np.ndarray, radius: int | None) -> tuple
 
 
 def medoid(x: np.ndarray, radius: int | None) -> int:
-    """The row with the least sum of distances to all; of ties the first."""
-    n = len(x)
-    i, j = np.tril_indices(n, -1)
-    d = dtw(x[i], x[j], radius)
-    return int(np.argmin(np.bincount(i, weights=d, minlength=n) + np.bincount(j, weights=d, minlength=n)))
-
-
-def dba(x: np.ndarray, radius: int | None, init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42):
-    """(centroid, converged, iterations, change, mode) of barycenter averaging."""
+    """The row with the least sum of distances to all; of ties the first. Holds BATCH pairs at a time."""
+    total = np.zeros(len(x))
+    for i in range(1, len(x)):
+        for at in range(0, i, BATCH):
+            some = slice(at, min(i, at + BATCH))
+            d = dtw(np.broadcast_to(x[i], x[some].shape), x[some], radius)
+            total[i] += d.sum()
+            total[some] += d
+    return int(np.argmin(total))
+
+
+def dba(x: np.ndarray, radius: int | None, init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, sample=None):
+    """(centroid, converged, iterations, change, mode) of barycenter averaging. sample: gives the rows of each step,
+    from 0 on, below a fraction of 1; else they are drawn from the seed."""
     centroid = x[medoid(x, radius)].copy() if init == "medoid" else x.mean(axis=0)
     take = max(1, int(np.ceil(len(x) * fraction)))
     rng, change, done = np.random.default_rng(seed), INF, 0
     for done in range(1, max_iter + 1):
-        part = x if take >= len(x) else x[rng.permutation(len(x))[:take]]
+        part = x if take >= len(x) else x[sample(done - 1) if sample else rng.permutation(len(x))[:take]]
         sums, counts = align_sums(part, centroid, radius)
         new = np.where(counts > 0, sums / np.maximum(counts, 1), centroid)
         change = float(np.abs(new - centroid).max())
@@ -161,13 +166,14 @@ def dba(x: np.ndarray, radius: int | None, init: str = "mean", max_iter: int = 1
     return centroid, change < tol, done, change, "full" if take >= len(x) else "stochastic"
 
 
-def ssg(x: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42):
+def ssg(x: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42, order=None):
     """(centroid, converged, epochs, steps) of stochastic subgradient averaging: the members one by one, each
-    step of a path pulling its place of the centroid."""
+    step of a path pulling its place of the centroid. order: gives the members' order in each epoch, from 1 on; else
+    it is drawn from the seed."""
     centroid, rng = x.mean(axis=0), np.random.default_rng(seed)
     steps, epoch, converged = 0, 0, False
     for epoch in range(1, max_epochs + 1):
-        steps, largest = ssg_pass(x[rng.permutation(len(x))], centroid, radius, steps, rate, decay)
+        steps, largest = ssg_pass(x[order(epoch) if order else rng.permutation(len(x))], centroid, radius, steps, rate, decay)
         if largest < tol:
             converged = True
             break

@@ -1,8 +1,8 @@
 """Random forest: trees by tasks, everything after that by DataFrame operations over the nodes.
 
 A tree needs its whole bootstrap sample at once. The training table is sent to the executors if it has at most
-LOCAL_VALUES numbers (counted first); beyond that each tree's sample is dealt to its task by a shuffle, drawn
-row by row from keyed numbers.
+LOCAL_VALUES numbers (counted first); beyond that each tree's sample is dealt to its task by a shuffle. Either way it
+is drawn row by row from keyed numbers, so the trees are the same.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import errors
 from ..functions import series as S
-from ..rng import derived_seed, uniform
+from ..rng import derived_seed, uniform, uniform_value
 from .pairwise import matrix
 from .trees import NODE_SCHEMA, Tree, TreeConfig, grow, resolve_max_features
 
@@ -70,11 +70,21 @@ def bootstrap_counts(ids: DataFrame, n_trees: int, seed: int, share: float = 1.0
     own number from the Poisson law of mean share, the limit of share x rows draws with replacement, so no row needs
     the others."""
     u = uniform(seed, "bag", F.col("tree_id"), F.col("id"))
-    steps = np.cumsum([np.exp(-share) * share**k / np.prod(np.arange(1, k + 1, dtype=float)) if k else np.exp(-share) for k in range(12)])
-    n = sum(((u >= float(s)).cast("int") for s in steps), F.lit(0))
+    n = sum(((u >= s).cast("int") for s in poisson_steps(share)), F.lit(0))
     return ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).select("tree_id", "id", n.alias("n"))
 
 
+def poisson_steps(share: float) -> list[float]:
+    """Bounds of the numbers 0, 1, ... of the Poisson law; beyond eleven nothing is left of 32 bits."""
+    terms = np.exp(-share) * np.cumprod([1.0, *(share / k for k in range(1, 12))])
+    return np.cumsum(terms).tolist()
+
+
+def bag_counts(ids: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """bootstrap_counts() of one tree, for these ids."""
+    return np.searchsorted(poisson_steps(share), [uniform_value(seed, "bag", tree, i) for i in ids.tolist()], "right")
+
+
 def bootstrap_draws(spark: SparkSession, n: int, draws: int, n_trees: int, seed: int) -> DataFrame:
     """(tree_id, draw, row_idx): uniform draws of positions 0 .. n - 1 with replacement."""
     space = spark.range(n_trees * draws).select((F.col("id") / draws).cast("int").alias("tree_id"), (F.col("id") % draws).alias("draw"))
@@ -101,19 +111,17 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
     resolve_max_features(cfg.tree.max_features, n_features)
     names = feature_names or [f"f{i}" for i in range(n_features)]
     spark = df.sparkSession
-    draws = int(np.ceil(n * cfg.bootstrap))
+    counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed, cfg.bootstrap)
     if n * (n_features + 1) <= LOCAL_VALUES:
         pdf = df.select("id", "features", "label").toPandas().sort_values("id", kind="stable")
         ids, x, y = pdf["id"].to_numpy(), np.stack(pdf["features"].to_list()), pdf["label"].to_numpy()
         sent = spark.sparkContext.broadcast((x, y))  # LOCAL_VALUES numbers at most
 
-        def bag(tree: int) -> np.ndarray:
-            return np.random.default_rng(derived_seed(cfg.seed, "bag", tree)).integers(0, n, draws)
-
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for tree in batch["id"]:
-                    rows = bag(tree)
+                    rows = np.repeat(np.arange(n), bag_counts(ids, tree, cfg.seed, cfg.bootstrap))
+                    rows = rows if len(rows) else np.arange(n)  # a few rows may all be out of the bag
                     nodes = pd.DataFrame(grow(sent.value[0][rows], sent.value[1][rows], n_classes, cfg.tree, derived_seed(cfg.seed, "tree", tree)))
                     nodes.insert(0, "tree_id", tree)
                     yield nodes
@@ -121,15 +129,7 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
         slices = min(cfg.n_trees, 4 * spark.sparkContext.defaultParallelism)
         nodes = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(run, FOREST_SCHEMA).persist()
 
-        def out_of_bag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for tree in batch["id"]:
-                    rest = np.setdiff1d(np.arange(n), bag(tree))
-                    yield pd.DataFrame({"tree_id": np.full(len(rest), tree, np.int32), "id": ids[rest]})
-
-        oob = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(out_of_bag, "tree_id int, id long")
     else:
-        counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed, cfg.bootstrap)
         used = df.join(counts.filter("n > 0"), "id")
 
         def one(key: tuple, table: pa.Table) -> pa.Table:
@@ -143,7 +143,7 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
 
         nodes_type = spark.createDataFrame([], FOREST_SCHEMA).schema
         nodes = used.groupBy("tree_id").applyInArrow(one, FOREST_SCHEMA).persist()
-        oob = counts.filter("n = 0").select("tree_id", "id")
+    oob = counts.filter("n = 0").select("tree_id", "id")
     return Forest(nodes, cfg.n_trees, n_features, n_classes, names, oob)
 
 

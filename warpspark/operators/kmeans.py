@@ -3,8 +3,9 @@
 Two ways with one meaning. A table of at most LOCAL_VALUES numbers (its size is counted first) is sent to the
 executors, and each restart runs there as one task. A larger one stays where it is: restarts run one after the
 other, each iteration is one pass that assigns and a few that average by the method of the configuration, and
-just centroids and sums come to the driver. Options that are dear stay what they are: medoids compare all pairs of
-a cluster, and the subgradient method takes a cluster's members one by one, in one task for each cluster.
+just centroids and sums come to the driver. All draws (seeds, samples of members, their orders) are keyed by id, so
+both ways give the same result but for the rounding of sums. Options that are dear stay what they are: medoids compare
+all pairs of a cluster, and the subgradient method takes a cluster's members one by one, in one task for each cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions import kernels
 from ..rng import derived_seed
-from . import seeding
+from . import barycenter, seeding
 from .barycenter import dba_distributed, element_mean, medoids, ssg_distributed
 from .pairwise import assign, half_nearest, pairwise
 
@@ -109,12 +110,13 @@ def bound_skips(label: np.ndarray, dist: np.ndarray, centroids: np.ndarray, radi
     return int((dist <= half_nearest(centroids, radius)[1][label]).sum())
 
 
-def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, distances: np.ndarray | None = None) -> tuple:
+def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, distances: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple:
     """(label, dist, centroids, inertia, converged, iterations, skipped) of one restart."""
+    ids = np.arange(len(x)) if ids is None else ids
     if cfg.init == "parallel":
-        start = seeding.parallel_local(x, cfg.k, cfg.radius, seed, cfg.oversample)
+        start = seeding.parallel_local(x, cfg.k, cfg.radius, seed, cfg.oversample, ids)
     else:
-        start = seeding.plus_plus_local(x, cfg.k, cfg.radius, seed, distances)
+        start = seeding.plus_plus_local(x, cfg.k, cfg.radius, seed, distances, ids)
     centroids, before, converged, skipped, step = x[start].copy(), np.inf, False, 0, 0
     for step in range(1, cfg.max_iter + 1):
         label, dist = kernels.nearest(x, centroids, cfg.radius)
@@ -127,9 +129,11 @@ def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, distances: np.ndarra
         before = total
         members = rescue(label, x, centroids, cfg.k, cfg.radius, step)
         if cfg.centroid_method == "ssg":
-            centroids = np.stack([kernels.ssg(x[m], cfg.radius, seed=seed)[0] for m in members])
+            order = lambda m: lambda epoch: np.lexsort((ids[m], seeding.keyed_numbers(ids[m], seed, "ssg", epoch)))
+            centroids = np.stack([kernels.ssg(x[m], cfg.radius, order=order(m))[0] for m in members])
         else:
-            centroids = np.stack([kernels.dba(x[m], cfg.radius, cfg.dba_init, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, seed)[0] for m in members])
+            some = lambda m: lambda step: barycenter.sample_places(ids[m], cfg.dba_fraction, seed, step)
+            centroids = np.stack([kernels.dba(x[m], cfg.radius, cfg.dba_init, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, sample=some(m))[0] for m in members])
     return label, dist, centroids, total, converged, step, skipped
 
 
@@ -160,12 +164,12 @@ def fit(df: DataFrame, cfg: KMeansConfig, distances: np.ndarray | None = None) -
 def _fit_local(df: DataFrame, cfg: KMeansConfig, distances: np.ndarray | None) -> KMeansResult:
     spark = df.sparkSession
     ids, x = gather(df)
-    sent = spark.sparkContext.broadcast((x, distances))  # LOCAL_VALUES numbers at most
+    sent = spark.sparkContext.broadcast((x, distances, ids))  # LOCAL_VALUES numbers at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for restart in batch["id"]:
-                label, dist, centroids, total, converged, steps, skipped = fit_matrix(sent.value[0], cfg, derived_seed(cfg.seed, "restart", restart), sent.value[1])
+                label, dist, centroids, total, converged, steps, skipped = fit_matrix(sent.value[0], cfg, derived_seed(cfg.seed, "restart", restart), *sent.value[1:])
                 yield pd.DataFrame({"restart": [restart], "label": [label.tolist()], "dist": [dist.tolist()], "centroids": [centroids.ravel().tolist()], "inertia": [total], "converged": [converged], "iterations": [steps], "skipped": [skipped]})
 
     runs = spark.range(0, cfg.n_init, numPartitions=cfg.n_init).mapInPandas(run, "restart long, label array<int>, dist array<double>, centroids array<double>, inertia double, converged boolean, iterations long, skipped long").collect()
@@ -211,18 +215,21 @@ def _averaged(members: DataFrame, centroids: np.ndarray, cfg: KMeansConfig, seed
 
 
 def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
-    """The same steps as fit_matrix; draws of samples and orders are keyed by id."""
+    """The same steps as fit_matrix, with the same draws, as those are keyed by id."""
     df = df.select("id", "series").persist()
     best: KMeansResult | None = None
     totals = []
     for restart in range(cfg.n_init):
         seed = derived_seed(cfg.seed, "restart", restart)
-        start = seeding.parallel if cfg.init == "parallel" else seeding.plus_plus
-        centroids, before, converged, step = start(df, cfg.k, cfg.radius, seed), np.inf, False, 0
+        start = (lambda *a: seeding.parallel(*a, cfg.oversample)) if cfg.init == "parallel" else seeding.plus_plus
+        centroids, before, converged, step, skipped = start(df, cfg.k, cfg.radius, seed), np.inf, False, 0, 0
         for step in range(1, cfg.max_iter + 1):
             labelled = assign(df, centroids, cfg.radius, ("series",)).persist()
-            stats = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("dist") * F.col("dist")).alias("d2")).collect()
+            half = half_nearest(centroids, cfg.radius)[1] if cfg.elkan and cfg.k > 1 else np.full(cfg.k, np.inf if cfg.elkan else -1.0)
+            spared = F.col("dist") <= F.get(F.array(*map(F.lit, half.tolist())), F.col("cluster"))
+            stats = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("dist") * F.col("dist")).alias("d2"), F.sum(spared.cast("long")).alias("spared")).collect()
             total = sum(r["d2"] for r in stats)
+            skipped += sum(r["spared"] for r in stats)
             if step > 1 and abs(before - total) < cfg.tol:
                 converged = True
                 labelled.unpersist()
@@ -234,7 +241,7 @@ def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
         totals.append(total)
         if best is None or total < best.inertia:
             final = centroids if converged else used
-            best = KMeansResult(assign(df, final, cfg.radius), centroids, total, converged, step, cfg.n_init, cfg)
+            best = KMeansResult(assign(df, final, cfg.radius), centroids, total, converged, step, cfg.n_init, cfg, skipped)
     best.restarts = totals
     return best
 

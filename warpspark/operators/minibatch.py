@@ -50,21 +50,21 @@ def update(centroids: np.ndarray, counts: np.ndarray, x: np.ndarray, radius: int
 
 def fit(df: DataFrame, cfg: MiniBatchConfig) -> KMeansResult:
     """Steps see batch_size rows each. A table of bounded size is gathered once; else each step draws its batch
-    in a job. The last assignment is distributed either way."""
+    in a job. Draws are keyed by id, so both ways see the same batches. The last assignment is distributed."""
     n, length = _validated(df, cfg.k)
     local = gather(df) if n * length <= LOCAL_VALUES else None
-    df = df.persist()
+    df = df if local is not None else df.persist()  # stays for the result's assignment
     best = None
     for restart in range(cfg.n_init):
         seed = derived_seed(cfg.seed, "mini", restart)
         if local is not None:
-            centroids = local[1][seeding.plus_plus_local(local[1], cfg.k, cfg.radius, seed)].copy()
+            centroids = local[1][seeding.plus_plus_local(local[1], cfg.k, cfg.radius, seed, ids=local[0])].copy()
         else:
             centroids = seeding.plus_plus(df, cfg.k, cfg.radius, seed)
-        counts, step, converged, rng = np.zeros(cfg.k), 0, False, np.random.default_rng(seed)
+        counts, step, converged = np.zeros(cfg.k), 0, False
         for step in range(1, cfg.max_iter + 1):
             if local is not None:
-                x = local[1][rng.permutation(n)[: cfg.batch_size]]
+                x = local[1][np.lexsort((local[0], seeding.keyed_numbers(local[0], seed, "batch", step)))[: cfg.batch_size]]
             else:
                 x = np.array([r["series"] for r in sample(df, cfg.batch_size, seed, step).collect()])
             if update(centroids, counts, x, cfg.radius) < cfg.tol:

@@ -1,4 +1,5 @@
-"""Choice of first centroids. All draws are uniform numbers keyed by (seed, round, id)."""
+"""Choice of first centroids. All draws are uniform numbers keyed by (seed, round, id), so the ways for a matrix
+and for a DataFrame choose the same rows."""
 
 from __future__ import annotations
 
@@ -99,46 +100,51 @@ def reduce_weighted(x: np.ndarray, weight: np.ndarray, k: int, radius: int | Non
     return chosen
 
 
-def plus_plus_local(x: np.ndarray, k: int, radius: int | None, seed: int, distances: np.ndarray | None = None) -> list[int]:
-    """D-squared seeding of a matrix of series; with distances (n, n), none is computed."""
-    n = len(x)
-    chosen = [min(int(uniform_value(seed, "first") * n), n - 1)]
-    best = np.full(n, np.inf)
+def keyed_numbers(ids: np.ndarray, seed: int, *key) -> np.ndarray:
+    """uniform() of each id."""
+    return np.array([uniform_value(seed, *key, i) for i in ids.tolist()])
+
+
+def plus_plus_local(x: np.ndarray, k: int, radius: int | None, seed: int, distances: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[int]:
+    """plus_plus() of a matrix of series in the order of ids: the same draws, so the same rows. With distances (n, n),
+    none is computed."""
+    ids = np.arange(len(x)) if ids is None else ids
+    chosen = [int(np.lexsort((ids, keyed_numbers(ids, seed, "first")))[0])]
+    best = np.full(len(x), np.inf)
     for r in range(1, k):
         last = chosen[-1]
         d = distances[last] if distances is not None else kernels.dtw(x, np.broadcast_to(x[last], x.shape), radius)
         best = np.minimum(best, d)
-        w = best**2
-        w[chosen] = 0
-        run = np.cumsum(w)
-        if run[-1] == 0:
-            chosen.append(next(i for i in range(n) if i not in chosen))
+        open_ = np.flatnonzero(best > 0)
+        if len(open_):
+            time = -np.log(1 - keyed_numbers(ids[open_], seed, "race", r)) / best[open_] ** 2
+            chosen.append(int(open_[np.lexsort((ids[open_], time))[0]]))
         else:
-            chosen.append(min(int(np.searchsorted(run, uniform_value(seed, "draw", r) * run[-1], "right")), n - 1))
+            chosen.append(next(i for i in range(len(x)) if i not in chosen))
     return chosen
 
 
-def parallel_local(x: np.ndarray, k: int, radius: int | None, seed: int, oversample: float = 2.0) -> list[int]:
-    n = len(x)
-    found = {min(int(uniform_value(seed, "first") * n), n - 1)}
+def parallel_local(x: np.ndarray, k: int, radius: int | None, seed: int, oversample: float = 2.0, ids: np.ndarray | None = None) -> list[int]:
+    """parallel() of a matrix of series in the order of ids: the same draws, so the same rows."""
+    ids = np.arange(len(x)) if ids is None else ids
     near = lambda c: kernels.dtw(x, np.broadcast_to(x[c], x.shape), radius)
+    found = {int(np.lexsort((ids, keyed_numbers(ids, seed, "first")))[0])}
     best = near(next(iter(found)))
     for r in range(max(1, math.ceil(math.log2(k)))):
         cost = (best**2).sum()
         if cost == 0:
             break
-        p = np.minimum(1, oversample * best**2 / cost)
-        new = [i for i in np.flatnonzero(p > 0).tolist() if uniform_value(seed, "bernoulli", r, i) < p[i]]
-        for i in set(new) - found:
+        new = set(np.flatnonzero(keyed_numbers(ids, seed, "bernoulli", r) < np.minimum(1, oversample * best**2 / cost)).tolist()) - found
+        for i in new:
             best = np.minimum(best, near(i))
-        found |= set(new)
-    for i in range(n):
+        found |= new
+    for i in range(len(x)):
         if len(found) >= k:
             break
         found.add(i)
-    ids = sorted(found)
-    if len(ids) == k:
-        return ids
-    d = np.stack([near(i) for i in ids])
-    weight = np.bincount(d.argmin(axis=0), minlength=len(ids)).astype(float)
-    return [ids[i] for i in reduce_weighted(x[ids], weight, k, radius, seed)]
+    rows = sorted(found)
+    if len(rows) == k:
+        return rows
+    d = np.stack([near(i) for i in rows])
+    weight = np.bincount(d.argmin(axis=0), minlength=len(rows)).astype(float)
+    return [rows[i] for i in reduce_weighted(x[rows], weight, k, radius, seed)]
