@@ -72,7 +72,7 @@ def test_distributed_way_honours_options(archetypes, monkeypatch, options):
     cfg = kmeans.KMeansConfig(k=3, n_init=2, max_iter=6, dba_max_iter=1, **options)
     labelled = archetypes.selectExpr("id", "int(id / 3) as cluster", "series")
     x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
-    got = kmeans._averaged(labelled, np.zeros((3, 4)), cfg, 7)
+    got = kmeans._averaged(labelled, cfg, 7)
     sampled = [(0, 1), (0, 2), (1, 2)]
     for c in range(3):
         own = x[3 * c : 3 * c + 3]

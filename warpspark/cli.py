@@ -6,6 +6,7 @@ import argparse
 import json
 import logging
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from .operators.kmeans import KMeansConfig
@@ -78,8 +79,10 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.ERROR if a.quiet else logging.INFO)
-    cores = a.threads or "*"
-    spark = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").getOrCreate()
+    builder = SparkSession.builder.config("spark.ui.enabled", "false")
+    if not SparkConf().contains("spark.master"):  # spark-submit names the master of a cluster
+        builder = builder.master(f"local[{a.threads or '*'}]")
+    spark = builder.getOrCreate()
     import sys
 
     print(json.dumps(run(spark, sys.argv[1:] if argv is None else argv)))

@@ -1,4 +1,4 @@
-"""Averages of series under warping: one task for each group, or partial sums over all tasks."""
+"""Averages of series under warping, by partial sums over all tasks."""
 
 from __future__ import annotations
 
@@ -21,23 +21,52 @@ def element_mean(df: DataFrame, group: str) -> DataFrame:
     return df.select(F.col(group).alias("group"), F.posexplode("series").alias("pos", "v")).groupBy("group", "pos").agg(F.avg("v").alias("value"))
 
 
-def averages(df: DataFrame, group: str, radius: int | None = None, method: str = "dba", **options) -> DataFrame:
-    """(group, centroid, converged, iterations, change, mode) of each group by its own task. For groups that fit
-    into a task; align_partials() has no such limit. options go to kernels.dba or kernels.ssg."""
-    if method not in ("dba", "ssg"):
-        raise errors.InvalidConfig(method=method)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        x = matrix(table.sort_by("id").column("series").combine_chunks())
-        if method == "ssg":
-            c, converged, rounds, _ = kernels.ssg(x, radius, **options)
-            change, mode = 0.0, "ssg"
-        else:
-            c, converged, rounds, change, mode = kernels.dba(x, radius, **options)
-        return pa.table({"group": [key[0].as_py()], "centroid": [c.tolist()], "converged": [bool(converged)], "iterations": [rounds], "change": [float(change)], "mode": [mode]})
-
-    source = df.select(F.col(group).cast("long").alias("group"), "id", "series")
-    return source.groupBy("group").applyInArrow(run, "group long, centroid array<double>, converged boolean, iterations long, change double, mode string")
+def averages(df: DataFrame, group: str, radius: int | None = None, method: str = "dba", init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, max_epochs: int = 20) -> DataFrame:
+    """(group, centroid, converged, iterations, change, mode) of each group, by the steps over partial sums below, so
+    a group may hold any share of the rows. There is a centroid for each group, so groups are to be few."""
+    if method not in ("dba", "ssg") or init not in ("mean", "medoid"):
+        raise errors.InvalidConfig(method=method, init=init)
+    spark = df.sparkSession
+    names = [r["group"] for r in df.select(F.col(group).alias("group")).distinct().orderBy("group").collect()]
+    number = spark.createDataFrame(list(enumerate(names)), "cluster int, group long")
+    members = df.select("id", F.col(group).cast("long").alias("group"), "series").join(F.broadcast(number), "group").select("id", "cluster", "series").persist()
+    start = means(members, len(names)) if init == "mean" or method == "ssg" else series_of(members, medoids(members, radius), len(names))
+    if method == "ssg":
+        steps = Steps(len(names))
+        centroids = ssg_distributed(members, start, radius, max_epochs, tol=tol, seed=seed, record=steps)
+        steps.change[:] = 0.0
+    else:
+        steps = Steps(len(names))
+        centroids = dba_distributed(members, start, radius, max_iter, tol, fraction, seed, record=steps)
+    members.unpersist()
+    mode = "ssg" if method == "ssg" else "full" if fraction >= 1 else "stochastic"
+    rows = [(int(g), centroids[c].tolist(), bool(steps.converged[c]), int(steps.done[c]), float(steps.change[c]), mode) for c, g in enumerate(names)]
+    return spark.createDataFrame(rows, "group long, centroid array<double>, converged boolean, iterations long, change double, mode string")
+
+
+class Steps:
+    """What became of each cluster: steps taken, whether it settled, the last change."""
+
+    def __init__(self, k: int):
+        self.done, self.converged, self.change = np.zeros(k, np.int64), np.zeros(k, bool), np.full(k, np.inf)
+
+
+def means(members: DataFrame, k: int) -> np.ndarray:
+    """The element means of clusters 0 .. k - 1, one row of numbers for each."""
+    rows = element_mean(members, "cluster").collect()
+    out = np.zeros((k, 1 + max((r["pos"] for r in rows), default=0)))
+    for r in rows:
+        out[r["group"], r["pos"]] = r["value"]
+    return out
+
+
+def series_of(members: DataFrame, ids: DataFrame, k: int) -> np.ndarray:
+    """The series of one member (medoid) of each of k clusters."""
+    rows = members.join(F.broadcast(ids.withColumnRenamed("medoid", "id")), "id").select("cluster", "series").collect()
+    out = np.zeros((k, len(rows[0]["series"]) if rows else 0))
+    for r in rows:
+        out[r["cluster"]] = r["series"]
+    return out
 
 
 def align_partials(df: DataFrame, centroids: np.ndarray, radius: int | None = None) -> DataFrame:
@@ -102,7 +131,7 @@ def _any(conditions: list) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42) -> np.ndarray:
+def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, record: Steps | None = None) -> np.ndarray:
     """Averaging steps over a (cached) DataFrame until no centroid moves; only centroids come to the driver. As in
     kernels.dba each cluster stops by itself. Below a fraction of 1 each step is over a sample of the members."""
     centroids = centroids.copy()
@@ -116,13 +145,16 @@ def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | No
             new[r["cluster"], r["pos"]] = r["total"] / r["n"]
         change = np.abs(new - centroids).max(axis=1)
         centroids = new
+        if record:
+            some = sorted(going)
+            record.done[some], record.change[some], record.converged[some] = round_no + 1, change[some], change[some] < tol
         going = {c for c in going if change[c] >= tol}
         if not going:
             break
     return centroids
 
 
-def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42) -> np.ndarray:
+def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42, record: Steps | None = None) -> np.ndarray:
     """kernels.ssg of each cluster from the given means. The method takes members one after the other, so each
     cluster is one task's stream, in an order drawn anew for each epoch; the task holds a batch of it at a time."""
     centroids = centroids.copy()
@@ -150,6 +182,8 @@ def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | No
         for r in dealt.mapInArrow(run, "cluster int, centroid array<double>, steps long, largest double").collect():  # k centroids
             centroids[r["cluster"]] = r["centroid"]
             steps[r["cluster"]] = r["steps"]
+            if record:
+                record.done[r["cluster"]], record.converged[r["cluster"]] = epoch, r["largest"] < tol
             if r["largest"] < tol:
                 going.discard(r["cluster"])
         if not going:
@@ -158,9 +192,5 @@ def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | No
 
 
 def medoids(members: DataFrame, radius: int | None = None) -> DataFrame:
-    """(medoid) of each cluster: just pairs within a cluster are compared."""
-    found = None
-    for c in sorted(r["cluster"] for r in members.select("cluster").distinct().collect()):
-        one = medoid(members.filter(F.col("cluster") == c), "cluster", radius).select(F.col("group").alias("cluster"), "medoid")
-        found = one if found is None else found.unionByName(one)
-    return found.drop("cluster")
+    """(medoid) of each cluster."""
+    return medoid(members, "cluster", radius).select("medoid")

@@ -22,7 +22,7 @@ from .. import errors
 from ..functions import kernels
 from ..rng import derived_seed
 from . import barycenter, seeding
-from .barycenter import dba_distributed, element_mean, medoids, ssg_distributed
+from .barycenter import dba_distributed, medoids, ssg_distributed
 from .pairwise import assign, half_nearest, pairwise
 
 LOCAL_VALUES = 8_000_000  # 64 MB
@@ -198,17 +198,12 @@ def _rescued(labelled: DataFrame, stats: list, k: int, step: int) -> DataFrame:
     return labelled.select("id", label.cast("int").alias("cluster"), "series")
 
 
-def _averaged(members: DataFrame, centroids: np.ndarray, cfg: KMeansConfig, seed: int) -> np.ndarray:
+def _averaged(members: DataFrame, cfg: KMeansConfig, seed: int) -> np.ndarray:
     """The average of each cluster's members (id, cluster, series), by the method that cfg names."""
-    centroids = centroids.copy()
     if cfg.centroid_method == "dba" and cfg.dba_init == "medoid":
-        start = members.join(F.broadcast(medoids(members, cfg.radius).withColumnRenamed("medoid", "id")), "id").select("cluster", "series")
-        for r in start.collect():  # k centroids
-            centroids[r["cluster"]] = r["series"]
+        centroids = barycenter.series_of(members, medoids(members, cfg.radius), cfg.k)
     else:
-        means = element_mean(members, "cluster")
-        for r in means.collect():  # k centroids
-            centroids[r["group"], r["pos"]] = r["value"]
+        centroids = barycenter.means(members, cfg.k)
     if cfg.centroid_method == "ssg":
         return ssg_distributed(members, centroids, cfg.radius, seed=seed)
     return dba_distributed(members, centroids, cfg.radius, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, seed)
@@ -236,7 +231,7 @@ def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
                 break
             before = total
             used = centroids
-            centroids = _averaged(_rescued(labelled, stats, cfg.k, step), centroids, cfg, seed)
+            centroids = _averaged(_rescued(labelled, stats, cfg.k, step), cfg, seed)
             labelled.unpersist()
         totals.append(total)
         if best is None or total < best.inertia:
@@ -278,4 +273,5 @@ def optimize(df: DataFrame, min_k: int, max_k: int, cfg: KMeansConfig, cache_dis
         i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
         distances[i, j] = distances[j, i] = pdf["dist"]
     results = [(k, fit(df, replace(cfg, k=k), distances).inertia) for k in range(min_k, max_k + 1)]
+    df.unpersist()
     return results, best_k(results)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import kernels
 
@@ -19,22 +20,30 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series: str = "series") -> DataFrame:
-    """(i, j, dist) of all pairs with i > j. The work grows with the square of the rows, and so it is dealt:
-    series are hashed into blocks, each block goes to the tasks of its pairs of blocks, and a task turns two
-    blocks into distances batch by batch. The least number of tasks keeps all cores busy on small inputs."""
-    spark = df.sparkSession
-    n = df.count()
-    blocks = max(1, -(-n // BLOCK), min(8, n // 16))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series: str = "series", within: str | None = None) -> DataFrame:
+    """(i, j, dist) of all pairs with i > j; within: (group, i, j, dist) of pairs of equal values of that column only.
+    The work grows with the square of the rows (of a group), and so it is dealt: series are hashed into blocks, each
+    block goes to the tasks of its pairs of blocks, and a task turns two blocks into distances batch by batch. The
+    least number of tasks keeps all cores busy on small inputs."""
+    names = [F.col(key).cast("long").alias("id"), F.col(series).alias("series")]
+    if within is None:
+        n = df.count()
+        blocks = max(1, -(-n // BLOCK), min(8, n // 16))
+        rows = df.select(*names, F.lit(0).alias("group"), F.lit(blocks).alias("blocks"))
+        tasks = blocks * (blocks + 1) // 2
+    else:
+        sizes = df.groupBy(F.col(within).alias("group")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = df.select(*names, F.col(within).alias("group")).join(sizes, "group")
+        tasks = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tiles = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda x: F.struct((F.greatest(x, F.col("block")) * blocks + F.least(x, F.col("block"))).alias("tile"), F.when(x == F.col("block"), 0).when(F.col("block") > x, 1).otherwise(2).alias("side")),
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct((F.greatest(x, F.col("block")).cast("long") * F.col("blocks") + F.least(x, F.col("block"))).alias("tile"), F.when(x == F.col("block"), 0).when(F.col("block") > x, 1).otherwise(2).alias("side")),
     )
-    dealt = df.select(F.col(key).cast("long").alias("id"), F.col(series).alias("series"), block.alias("block")).withColumn("t", F.explode(tiles))
-    dealt = dealt.select("t.tile", "t.side", "id", "series")
+    dealt = rows.withColumn("t", F.explode(tiles)).select("group", "t.tile", "t.side", "id", "series")
+    kind = dealt.schema["group"].dataType
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
         side, ids, x = table.column("side").to_numpy(), table.column("id").to_numpy(), matrix(table.column("series").combine_chunks())
         if (side == 0).all():
             i, j = np.tril_indices(len(ids), -1)
@@ -45,9 +54,11 @@ def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series:
             s = slice(at, at + kernels.BATCH)
             d[s] = kernels.dtw(x[i[s]], x[j[s]], radius)
         a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
-        return pa.table({"i": a, "j": b, "dist": d})
+        return pa.table({"group": pa.array([key[0].as_py()] * len(a), to_arrow_type(kind)), "i": a, "j": b, "dist": d})
 
-    return dealt.repartition(max(1, min(blocks * (blocks + 1) // 2, 10_000)), "tile").groupBy("tile").applyInArrow(compare, "i long, j long, dist double")
+    dealt = dealt.repartition(max(1, min(int(tasks), 10_000)), "group", "tile")
+    found = dealt.groupBy("group", "tile").applyInArrow(compare, f"group {kind.simpleString()}, i long, j long, dist double")
+    return found if within else found.drop("group")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -55,14 +66,14 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def medoid(df: DataFrame, group: str, radius: int | None = None) -> DataFrame:
-    """(group, medoid, total): the member with the least sum of distances to its group; of ties the least id."""
-    keyed = df.select(F.col("id").cast("long").alias("id"), F.col(group).alias("group"))
-    pairs = both_ways(pairwise(df, radius)).join(keyed.toDF("i", "gi"), "i").join(keyed.toDF("j", "gj"), "j").filter("gi = gj")
-    sums = pairs.groupBy("gi", "i").agg(F.sum("dist").alias("total"))
-    best = F.min(F.struct("total", "i")).alias("b")
-    found = sums.groupBy(F.col("gi").alias("group")).agg(best).select("group", F.col("b.i").alias("medoid"), F.col("b.total").alias("total"))
-    alone = keyed.groupBy("group").agg(F.count("*").alias("n"), F.min("id").alias("medoid")).filter("n = 1").select("group", "medoid", F.lit(0.0).alias("total"))
-    return found.unionByName(alone)
+    """(group, medoid, total): the member with the least sum of distances to its group; of ties the least id. Just
+    pairs within a group are compared; a group without pairs is a single member."""
+    pairs = pairwise(df, radius, within=group)
+    ends = pairs.select("group", F.explode(F.array("i", "j")).alias("i"), "dist")
+    sums = ends.groupBy("group", "i").agg(F.sum("dist").alias("total"))
+    best = sums.groupBy("group").agg(F.min(F.struct("total", "i")).alias("b")).select("group", F.col("b.i").alias("medoid"), F.col("b.total").alias("total"))
+    alone = df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("medoid"))
+    return best.unionByName(alone.filter("n = 1").select("group", "medoid", F.lit(0.0).alias("total")))
 
 
 def against(df: DataFrame, centroids: np.ndarray, radius: int | None = None) -> DataFrame:

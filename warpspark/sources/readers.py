@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -52,11 +53,13 @@ def _read(spark: SparkSession, path: str, attributes: bool) -> tuple[DataFrame,
         raise errors.EmptyDataset(path=path)
     bad = raw.filter("_bad is not null").orderBy("row").head(1)
     if bad:
-        got = len(bad[0]["_bad"].split(","))
+        got = len(next(csv.reader([bad[0]["_bad"]])))
         raise errors.InconsistentRowLength(row=_position(raw, bad[0]["row"]), id=bad[0]["c0"], expected=len(header), got=got)
     if raw.filter("c0 is null or c0 = ''").head(1):
         raise errors.EmptyId(path=path)
-    twice = raw.groupBy("c0").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.get(F.sort_array(F.collect_list("row")), F.lit(1)).alias("second")).filter("n > 1").orderBy("second").head(1)
+    first = raw.groupBy("c0").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1")
+    later = raw.select("c0", "row").join(first, "c0").filter("row > first")
+    twice = later.groupBy("c0", "first").agg(F.min("row").alias("second")).orderBy("second").head(1)
     if twice:
         raise errors.DuplicateId(id=twice[0]["c0"], first=_position(raw, twice[0]["first"]), second=_position(raw, twice[0]["second"]))
     values = F.array(*[F.struct(F.lit(i).alias("col"), F.coalesce(F.col(c), F.lit("")).alias("raw"), _number(F.col(c)).alias("value")) for i, c in enumerate(cells[1:])])
