@@ -25,6 +25,16 @@ def accuracy(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col("label") == F.col("predicted")).cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
+def fold_stats(folds: DataFrame) -> DataFrame:
+    """(mean, std) of the folds' accuracies, std of the population. folds: (fold, accuracy)."""
+    return folds.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
+
+
+def fold_accuracies(df: DataFrame, fold: str = "fold") -> DataFrame:
+    """(fold, accuracy). df: (fold, label, predicted)."""
+    return df.groupBy(F.col(fold).alias("fold")).agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+
+
 def class_metrics(matrix: DataFrame) -> DataFrame:
     """(class, precision, recall, f1, support) of a dense confusion table; 0 where there is nothing to divide by."""
     hit = F.when(F.col("true_class") == F.col("pred_class"), F.col("n")).otherwise(0)
@@ -60,8 +70,9 @@ def cross_validate(df: DataFrame, cfg: RF.ForestConfig, n_folds: int = 5, featur
         shifted = model.nodes.withColumn("tree_id", F.col("tree_id") + k * cfg.n_trees)
         nodes = shifted if nodes is None else nodes.unionByName(shifted)
     found = found.persist()
-    by_fold = [r["accuracy"] for r in found.groupBy("fold").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy")).orderBy("fold").collect()]
-    mean = sum(by_fold) / len(by_fold)
-    std = (sum((a - mean) ** 2 for a in by_fold) / len(by_fold)) ** 0.5
+    each = fold_accuracies(found)
+    by_fold = [r["accuracy"] for r in each.orderBy("fold").collect()]
+    mean, std = fold_stats(each).first()
     matrix = confusion(found, n_classes)
+    folds.unpersist()
     return {"fold_accuracies": by_fold, "mean": mean, "std": std, "confusion": matrix, "metrics": class_metrics(matrix), "importances": RF.importances(nodes, model.feature_names), "n_classes": n_classes}

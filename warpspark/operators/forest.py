@@ -288,6 +288,26 @@ def threshold_splits(df: DataFrame, thresholds: DataFrame, features: list[str],
     return sums.select("feature", "threshold", decrease.alias("decrease"))
 
 
+def feature_ranges(df: DataFrame, node: str, feature: str) -> DataFrame:
+    """(node, n, low, high): the rows of each node and the range of a feature among them."""
+    return df.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("n"), F.min(feature).alias("low"), F.max(feature).alias("high"))
+
+
+def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
+    """(id, v): the column's values dealt out anew, in the order of keyed numbers. Both orders are range-partitioned
+    and numbered by partition offsets, so no task holds all rows."""
+
+    def numbered(rows: DataFrame, *order) -> DataFrame:
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
+        placed = placed.withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("long"), 33)).persist()
+        sizes = {r["p"]: r["count"] for r in placed.groupBy("p").count().collect()}  # a row for each partition
+        before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0)))])
+        return placed.withColumn("n", F.col("i") + F.get(F.array(*map(F.lit, before.tolist())), F.col("p"))).drop("p", "i")
+
+    drawn = numbered(df.select("id", F.col(column).alias("v"), uniform(seed, "permute", F.col("id")).alias("u")), "u", "id").select("n", "v")
+    return drawn.join(numbered(df.select("id"), "id"), "n").select("id", "v")
+
+
 def random_thresholds(df: DataFrame, features: list[str], seed: int) -> DataFrame:
     """(feature, threshold): one keyed draw in [min, max) for each feature that is not constant."""
     stats = df.agg(*[x for f in features for x in (F.min(F.col(f).cast("double")).alias(f"lo_{f}"), F.max(F.col(f).cast("double")).alias(f"hi_{f}"))])

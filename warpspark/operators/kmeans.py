@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -241,6 +241,13 @@ def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
     return best
 
 
+def moved_bounds(lower: Column, upper: Column, own: Column, moves: Column) -> Column:
+    """Struct (lower, upper) of bounds after the centroids moved by `moves`: each lower bound falls by its centroid's
+    move, to 0 at least, and the upper one rises by that of the row's own centroid."""
+    low = F.zip_with(lower, moves, lambda x, m: F.greatest(F.lit(0.0), x - m))
+    return F.struct(low.alias("lower"), (upper + F.get(moves, own)).alias("upper"))
+
+
 def best_k(results: list[tuple[int, float]]) -> int | None:
     """The k of the largest second difference; of ties the last; with two or fewer, the first."""
     results = sorted(results)

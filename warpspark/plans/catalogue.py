@@ -7,7 +7,6 @@ Series A are the embeddings (64 values), B a supplier's monthly revenue, C a use
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..functions import dtw as D
 from ..functions import series as S
 from ..operators import align, barycenter, evaluation, forest, kmeans, minibatch, pairwise, seeding, silhouette
 from ..operators.trees import TreeConfig
-from ..rng import uniform, uniform_sql
+from ..rng import uniform_sql
 from ..sources import readers, writers
 
 R = 2  # band radius of all queries
@@ -226,7 +225,22 @@ def a10_dtw_pruned(spark, d):
     return rows.select("id", "c", _finite(F.col("dist")).alias("dist"))
 
 
-@query()
+# Cells of the warping matrix by row t and offset o = j - t, and the way back from the last one: the diagonal before
+# the cell above, that before the left one.
+_PATH = f"""WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT cluster AS i, id AS j FROM a), {dtw_cte("pairs", "cent_id", "a")},
+  cells AS (SELECT i, j, t, n, [c0, c1, c2, c3, c4] AS c FROM dist_rows),
+  back AS (SELECT i, j, n AS t, 0 AS o FROM cells WHERE t = n
+    UNION ALL
+    SELECT i, j, CASE WHEN way = 2 THEN t ELSE t - 1 END, CASE way WHEN 0 THEN o WHEN 1 THEN o + 1 ELSE o - 1 END FROM (
+      SELECT b.i, b.j, b.t, b.o, CASE WHEN b.t = 1 THEN 2 WHEN b.t + b.o = 1 THEN 1
+        WHEN p.c[b.o + 3] <= coalesce(p.c[b.o + 4], 'Infinity') AND (b.o = -2 OR p.c[b.o + 3] <= h.c[b.o + 2]) THEN 0
+        WHEN b.o = -2 OR coalesce(p.c[b.o + 4], 'Infinity') <= h.c[b.o + 2] THEN 1 ELSE 2 END AS way
+      FROM back b JOIN cells h ON h.i = b.i AND h.j = b.j AND h.t = b.t LEFT JOIN cells p ON p.i = b.i AND p.j = b.j AND p.t = b.t - 1
+      WHERE b.t > 1 OR b.o > 0)),
+  path AS (SELECT i AS cluster, j AS id, t - 1 AS a, t + o - 1 AS b, row_number() OVER (PARTITION BY j ORDER BY t, o) - 1 AS step FROM back)"""
+
+
+@query(f"{_PATH} SELECT id, step::INT AS step, a::INT AS a, b::INT AS b FROM path")
 def a11_dtw_path(spark, d):
     c = label_centroids(spark, d)
     own = F.array(*[F.array(*map(F.lit, map(float, row))) for row in c])
@@ -329,8 +343,8 @@ def g09_class_metrics(spark, d):
 
 @query(f"WITH {_PRED}, f AS (SELECT label AS fold, avg((label = predicted)::INT) AS a FROM p GROUP BY label) SELECT {_out('avg(a)')} AS mean, {_out('stddev_pop(a)')} AS std FROM f")
 def g10_fold_stats(spark, d):
-    folds = _predicted(spark, d).groupBy("label").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("a"))
-    return folds.agg(_r(F.avg("a")).alias("mean"), _r(F.stddev_pop("a")).alias("std"))
+    stats = evaluation.fold_stats(evaluation.fold_accuracies(_predicted(spark, d), "label"))
+    return stats.select(_r("mean").alias("mean"), _r("std").alias("std"))
 
 
 _ELBOW = "e AS (SELECT month(o_orderdate)::INT AS k, sum(o_totalprice) AS inertia FROM orders GROUP BY 1)"
@@ -344,7 +358,7 @@ def g22_best_k(spark, d):
 
 @query("SELECT p_brand AS node, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY p_brand")
 def g20_feature_range(spark, d):
-    return _t(spark, d, "part").groupBy(F.col("p_brand").alias("node")).agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    return forest.feature_ranges(_t(spark, d, "part"), "p_brand", "p_retailprice")
 
 
 # Joins and pairs
@@ -450,9 +464,9 @@ def c04_half_nearest(spark, d):
 def c05_update_bounds(spark, d):
     rows = pairwise.against(series_a(spark, d), label_centroids(spark, d), R)
     by = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "dist"))), lambda s: s["dist"]).alias("lb"), F.min(F.struct("dist", "cluster")).alias("best"))
-    moved = F.transform("lb", lambda x, c: F.greatest(F.lit(0.0), x - 0.01 * (c + 1)))
-    up = F.col("best.dist") + 0.01 * (F.col("best.cluster") + 1)
-    return by.select("id", up.alias("upper"), F.posexplode(moved).alias("c", "lower")).select("id", "c", _r("lower").alias("lower"), _r("upper").alias("upper"))
+    moves = F.array(*[F.lit(0.01 * (c + 1)) for c in range(len(label_centroids(spark, d)))])
+    after = by.select("id", kmeans.moved_bounds(F.col("lb"), F.col("best.dist"), F.col("best.cluster"), moves).alias("b"))
+    return after.select("id", "b.upper", F.posexplode("b.lower").alias("c", "lower")).select("id", "c", _r("lower").alias("lower"), _r("upper").alias("upper"))
 
 
 _D2 = f"{_TO_CENT}, w AS (SELECT i AS id, min(dist) ** 2 AS d2 FROM dist GROUP BY i)"
@@ -502,12 +516,12 @@ def c09_stochastic_dba(spark, d):
 
 @query()
 def c10_ssg(spark, d):
-    return barycenter.averages(series_a(spark, d), "cluster", R, method="ssg", max_epochs=2)
+    return barycenter.averages(series_a(spark, d), "cluster", R, method="ssg")
 
 
-@query()
+@query(f"{_PATH} SELECT p.cluster::INT AS cluster, p.a::INT AS pos, {_out('sum(a.s[p.b + 1])')} AS total, count(*)::DOUBLE AS n FROM path p JOIN a ON a.id = p.id GROUP BY ALL")
 def g06_align_partials(spark, d):
-    return barycenter.align_partials(series_a(spark, d), label_centroids(spark, d), R)
+    return barycenter.align_partials(series_a(spark, d), label_centroids(spark, d), R).withColumn("total", _r("total"))
 
 
 def _months(spark, d) -> DataFrame:
@@ -588,6 +602,17 @@ def w10_bootstrap(spark, d):
     return forest.bootstrap_draws(spark, n, n, 5, SEED)
 
 
+def _bag_sql(trees: int, share: float = 1.0) -> str:
+    u = uniform_sql(SEED, "'bag'", "k", "id")
+    counted = " + ".join(f"(u >= {s!r})::INT" for s in forest.poisson_steps(share))
+    return f"bag AS (SELECT tree_id, id, {counted} AS n FROM (SELECT k AS tree_id, id, {u} AS u FROM p, (SELECT i AS k FROM range({trees}) r(i))))"
+
+
+@query(f"WITH {_PART}, {_bag_sql(5)} SELECT tree_id::INT AS tree_id, id, n::INT AS n FROM bag")
+def w10b_bag_counts(spark, d):
+    return forest.bootstrap_counts(parts(spark, d).select("id"), 5, SEED)
+
+
 @query(f"WITH {_PART} SELECT id, label, ((row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(SEED, chr(39) + 'fold' + chr(39), 'id')}, id) - 1) % 5)::INT AS fold FROM p")
 def w11_stratified_folds(spark, d):
     return evaluation.stratified_folds(parts(spark, d), 5, SEED).select("id", "label", "fold")
@@ -595,12 +620,7 @@ def w11_stratified_folds(spark, d):
 
 @query(f"WITH {_PART}, x AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY {uniform_sql(SEED, chr(39) + 'permute' + chr(39), 'id')}, id) AS n FROM p), y AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM p) SELECT id, v FROM x JOIN y USING (n)")
 def w13_permutation(spark, d):
-    from pyspark.sql import Window as W
-
-    p = parts(spark, d)
-    x = p.select(F.col("p_retailprice").alias("v"), F.row_number().over(W.orderBy(uniform(SEED, "permute", F.col("id")), "id")).alias("n"))
-    y = p.select("id", F.row_number().over(W.orderBy("id")).alias("n"))
-    return x.join(y, "n").select("id", "v")
+    return forest.permuted(parts(spark, d), "p_retailprice", SEED)
 
 
 def _training(spark, d) -> DataFrame:
@@ -613,7 +633,6 @@ NAMES = ["mean", "std", "low", "high", "v0", "v1", "v2", "v3"]
 FOREST = forest.ForestConfig(n_trees=20, tree=TreeConfig(max_depth=8))
 
 
-@cache
 def _model(spark: SparkSession, d: str) -> forest.Forest:
     return forest.train(_training(spark, d), FOREST, NAMES)
 
@@ -662,3 +681,81 @@ def f13_permutation_importances(spark, d):
 def f14_cross_validation(spark, d):
     cv = evaluation.cross_validate(_training(spark, d), forest.ForestConfig(n_trees=5, tree=TreeConfig(max_depth=6)), 3, NAMES)
     return spark.createDataFrame([(i, a) for i, a in enumerate(cv["fold_accuracies"])], "fold int, accuracy double")
+
+
+# What a given forest says: three trees over the parts, written down, so that SQL can follow them.
+
+#: (tree_id, node_id, feature, threshold, left, right, n_samples, decrease, distribution); feature -1 in leaves.
+GIVEN = [
+    (0, 0, 1, 1400.0, 1, 2, 100, 8.0, [0.4, 0.3, 0.2, 0.1]),
+    (0, 1, 0, 20.0, 3, 4, 60, 3.5, [0.5, 0.2, 0.2, 0.1]),
+    (0, 2, -1, 0.0, -1, -1, 40, 0.0, [0.1, 0.6, 0.2, 0.1]),
+    (0, 3, -1, 0.0, -1, -1, 30, 0.0, [0.7, 0.1, 0.1, 0.1]),
+    (0, 4, -1, 0.0, -1, -1, 30, 0.0, [0.3, 0.3, 0.3, 0.1]),
+    (1, 0, 0, 35.0, 1, 2, 100, 5.0, [0.4, 0.3, 0.2, 0.1]),
+    (1, 1, -1, 0.0, -1, -1, 70, 0.0, [0.2, 0.2, 0.5, 0.1]),
+    (1, 2, 1, 1250.5, 3, 4, 30, 1.25, [0.3, 0.3, 0.2, 0.2]),
+    (1, 3, -1, 0.0, -1, -1, 10, 0.0, [0.0, 0.5, 0.5, 0.0]),
+    (1, 4, -1, 0.0, -1, -1, 20, 0.0, [0.1, 0.1, 0.1, 0.7]),
+    (2, 0, -1, 0.0, -1, -1, 100, 0.0, [0.4, 0.3, 0.2, 0.1]),
+]
+_NODES = "node(tree_id, node_id, feature, threshold, l, r, n_samples, decrease, distribution) AS (VALUES " + ", ".join(f"({', '.join(map(str, x))})" for x in GIVEN) + ")"
+_LEAVES = f"""WITH RECURSIVE {_PART}, {_NODES}, walk AS (SELECT id, label, p_size, p_retailprice, t.tree_id, 0 AS node_id FROM p, (SELECT DISTINCT tree_id FROM node) t
+    UNION ALL SELECT id, label, p_size, p_retailprice, w.tree_id, CASE WHEN (CASE feature WHEN 0 THEN p_size ELSE p_retailprice END) <= threshold THEN l ELSE r END
+    FROM walk w JOIN node n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE feature >= 0),
+  leaf AS (SELECT id, label, w.tree_id, distribution, list_position(list_reverse(distribution), list_max(distribution)) AS back FROM walk w JOIN node n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE feature < 0),
+  vote AS (SELECT id, label, tree_id, distribution, (4 - back)::INT AS vote FROM leaf)"""
+
+
+def given_forest(spark: SparkSession, d: str) -> forest.Forest:
+    rows = [(t, i, f < 0, f, th, l, r, 0.0, n, gain, 3 - p[::-1].index(max(p)), p) for t, i, f, th, l, r, n, gain, p in GIVEN]
+    unseen = parts(spark, d).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tree_id")).filter((F.col("id") + F.col("tree_id")) % 4 < 2)
+    return forest.Forest(spark.createDataFrame(rows, forest.FOREST_SCHEMA), 3, 2, 4, FEATURES, unseen.select("tree_id", "id"))
+
+
+def _part_rows(spark, d) -> DataFrame:
+    return parts(spark, d).select("id", F.array("p_size", "p_retailprice").alias("features"), "label")
+
+
+@query(f"""{_LEAVES}, cls AS (SELECT id, unnest(range(4)) AS class, unnest(distribution) AS p FROM vote), m AS (SELECT id, class, avg(p) AS p FROM cls GROUP BY ALL)
+  SELECT id, class::INT AS class, {_out('p')} AS probability, (SELECT arg_max(class, (round(p, 9), class)) FROM m x WHERE x.id = m.id)::INT AS predicted FROM m""")
+def f11b_given_forest(spark, d):
+    found = forest.predict_proba(given_forest(spark, d), _part_rows(spark, d)).withColumn("even", F.transform("distribution", lambda x: F.round(x, 9)))
+    rows = found.withColumn("predicted", S.predicted_class(F.col("even")).cast("int")).select("id", "predicted", F.posexplode("distribution").alias("class", "p"))
+    return rows.select("id", "class", _r("p").alias("probability"), "predicted")
+
+
+@query(f"{_LEAVES} SELECT tree_id, id, label, vote FROM vote WHERE (id + tree_id) % 4 < 2")
+def f07_given_tree_votes(spark, d):
+    f = given_forest(spark, d)
+    return forest.tree_votes(f, _part_rows(spark, d), f.oob)
+
+
+@query(f"{_LEAVES}, n AS (SELECT id, label, vote, count(*) AS n FROM vote WHERE (id + tree_id) % 4 < 2 GROUP BY ALL) SELECT id, label, arg_max(vote, (n, vote)) AS predicted FROM n GROUP BY id, label")
+def f10b_given_oob(spark, d):
+    return forest.oob_predictions(given_forest(spark, d), _part_rows(spark, d))
+
+
+@query(f"WITH {_NODES} SELECT tree_id, count(*) AS n_nodes, sum((feature < 0)::BIGINT)::BIGINT AS n_leaves FROM node GROUP BY tree_id")
+def f08b_given_stats(spark, d):
+    return given_forest(spark, d).stats()
+
+
+@query(f"""WITH {_NODES}, g AS (SELECT tree_id, feature, sum(decrease) AS g FROM node WHERE feature >= 0 GROUP BY ALL), s AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree_id) AS g FROM g), t AS (SELECT feature, sum(g) AS g FROM s GROUP BY feature)
+  SELECT CASE feature WHEN 0 THEN 'p_size' ELSE 'p_retailprice' END AS name, {_out('g / sum(g) OVER ()')} AS importance, row_number() OVER (ORDER BY g DESC, feature)::INT AS rank FROM t""")
+def f12b_given_importances(spark, d):
+    return forest.importances(given_forest(spark, d).nodes, FEATURES).withColumn("importance", _r("importance"))
+
+
+@query(f"""WITH {_PART}, {_bag_sql(5)}, long AS (SELECT tree_id, p.id, label, n, unnest([0, 1]) AS feature, unnest([p_size, p_retailprice]) AS value FROM bag JOIN p ON p.id = bag.id WHERE n > 0),
+  tot AS (SELECT tree_id, feature, label, sum(n) AS t FROM long GROUP BY ALL), vals AS (SELECT tree_id, feature, value, lead(value) OVER (PARTITION BY tree_id, feature ORDER BY value) AS nxt FROM (SELECT DISTINCT tree_id, feature, value FROM long)),
+  cnt AS (SELECT tree_id, feature, value, label, sum(n) AS n FROM long GROUP BY ALL),
+  cum AS (SELECT v.tree_id, v.feature, v.value, v.nxt, tot.label, tot.t, sum(coalesce(c.n, 0)) OVER (PARTITION BY v.tree_id, v.feature, tot.label ORDER BY v.value ROWS UNBOUNDED PRECEDING) AS l
+    FROM vals v JOIN tot ON tot.tree_id = v.tree_id AND tot.feature = v.feature LEFT JOIN cnt c ON c.tree_id = v.tree_id AND c.feature = v.feature AND c.value = v.value AND c.label = tot.label),
+  s AS (SELECT tree_id, feature, (value + nxt) / 2 AS threshold, {_TERM} AS decrease FROM cum WHERE nxt IS NOT NULL GROUP BY ALL)
+  SELECT tree_id::INT AS tree_id, arg_max(feature, round(decrease, 9))::INT AS feature, {_out('arg_max(threshold, round(decrease, 9))')} AS threshold, {_out('max(decrease)')} AS decrease FROM s GROUP BY tree_id""")
+def f09d_stumps(spark, d):
+    """The first split of each tree of a trained forest, its sample drawn as SQL draws it."""
+    cfg = forest.ForestConfig(5, TreeConfig(max_depth=1, max_features="all"), seed=SEED)
+    roots = forest.train(_part_rows(spark, d), cfg, FEATURES).nodes.filter("node_id = 0")
+    return roots.select("tree_id", "feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
