@@ -70,5 +70,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_ngram_jaccard, op4_quality_classifier, op5_toxicity, op6_secret_scans, op7_token_counts, op8_substring_dedup, op9_embedding_dedup, op10_packing)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+#: All pairs that share a shingle, counted; then what each document can reach.
+_OP3 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  e AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM e JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+  both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON b.x = r.other),
+  c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id), k AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x)
+  SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+#: Every window that also begins earlier, and the words that such windows cover.
+_OP8 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+  win AS (SELECT doc_id, i - 1 AS start, array_to_string(w[i:i+19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+  later AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS nth FROM win) WHERE nth > 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM later),
+  word AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+  kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.pos) AS text, count(*) AS n FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.pos = word.pos WHERE gone.pos IS NULL GROUP BY word.doc_id)
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on trained models, tokenizers, sketches or bounded search, which tests hold against brute force."""
+    return {"op3_ngram_jaccard": _OP3, "op8_substring_dedup": _OP8}
