@@ -41,7 +41,14 @@ def weighted_draw(weights: DataFrame, threshold: float) -> DataFrame:
 
 
 def plus_plus(df: DataFrame, k: int, radius: int | None, seed: int) -> np.ndarray:
-    """k series by D-squared weights, one job for each. With nothing but copies left, the least unchosen id."""
+    """k series by D-squared weights."""
+    return plus_plus_ids(df, k, radius, seed)[1]
+
+
+def plus_plus_ids(df: DataFrame, k: int, radius: int | None, seed: int) -> tuple[list[int], np.ndarray]:
+    """Ids and series of k rows by D-squared weights, one job for each. With nothing but copies left, the least
+    unchosen id."""
+
     def values(i):
         return np.array(df.filter(F.col("id") == i).first()["series"])
 
@@ -51,7 +58,7 @@ def plus_plus(df: DataFrame, k: int, radius: int | None, seed: int) -> np.ndarra
         row = exponential_race(least_squares(df, np.stack(chosen), radius), seed, r).first()
         ids.append(row["id"] if row["id"] is not None else df.filter(~F.col("id").isin(ids)).agg(F.min("id")).first()[0])
         chosen.append(values(ids[-1]))
-    return np.stack(chosen)
+    return ids, np.stack(chosen)
 
 
 def bernoulli_round(weights: DataFrame, oversample: float, seed: int, round_: int) -> DataFrame:

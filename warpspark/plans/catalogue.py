@@ -227,8 +227,10 @@ def a10_dtw_pruned(spark, d):
 
 # Cells of the warping matrix by row t and offset o = j - t, and the way back from the last one: the diagonal before
 # the cell above, that before the left one.
-_PATH = f"""WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT cluster AS i, id AS j FROM a), {dtw_cte("pairs", "cent_id", "a")},
-  cells AS (SELECT i, j, t, n, [c0, c1, c2, c3, c4] AS c FROM dist_rows),
+def path_cte(pairs: str, left: str) -> str:
+    """CTEs of the paths (cluster, id, a, b, step) of pairs (i, j) of `left` and the series."""
+    return f"""{dtw_cte(pairs, left, "a", "way")},
+  cells AS (SELECT i, j, t, n, [c0, c1, c2, c3, c4] AS c FROM way_rows),
   back AS (SELECT i, j, n AS t, 0 AS o FROM cells WHERE t = n
     UNION ALL
     SELECT i, j, CASE WHEN way = 2 THEN t ELSE t - 1 END, CASE way WHEN 0 THEN o WHEN 1 THEN o + 1 ELSE o - 1 END FROM (
@@ -240,6 +242,11 @@ _PATH = f"""WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT cl
   path AS (SELECT i AS cluster, j AS id, t - 1 AS a, t + o - 1 AS b, row_number() OVER (PARTITION BY j ORDER BY t, o) - 1 AS step FROM back)"""
 
 
+_PATH = f"WITH RECURSIVE {_A}, {_AX}, {_CENT}, {_CENT_ID}, pairs AS (SELECT cluster AS i, id AS j FROM a), {path_cte('pairs', 'cent_id')}"
+_STEP = f"SELECT p.cluster::INT AS cluster, p.a::INT AS pos, {_out('avg(a.s[p.b + 1])')} AS value FROM path p JOIN a ON a.id = p.id GROUP BY ALL"
+_MEAN = "mean AS (SELECT cluster AS id, list(v ORDER BY pos) AS s FROM (SELECT cluster, pos, avg(v) AS v FROM ax GROUP BY ALL) GROUP BY cluster)"
+
+
 @query(f"{_PATH} SELECT id, step::INT AS step, a::INT AS a, b::INT AS b FROM path")
 def a11_dtw_path(spark, d):
     c = label_centroids(spark, d)
@@ -391,9 +398,9 @@ def j02_missing(spark, d):
     return align.missing(orders, _t(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT c_custkey AS id, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def j03_extra(spark, d):
-    orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    orders = _t(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
     return align.extra(orders, _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"))
 
 
@@ -499,6 +506,46 @@ def c19_silhouette(spark, d):
     return rows.select("id", "cluster", _r("a").alias("a"), _r("b").alias("b"), _r("score").alias("score"))
 
 
+def _averaged_once(spark, d, **options) -> DataFrame:
+    rows = barycenter.averages(series_a(spark, d), "cluster", R, max_iter=1, **options)
+    return rows.select(F.col("group").cast("int").alias("cluster"), F.posexplode("centroid").alias("pos", "value")).withColumn("value", _r("value"))
+
+
+@query(f"WITH RECURSIVE {_A}, {_AX}, {_MEAN}, pairs AS (SELECT cluster AS i, id AS j FROM a), {path_cte('pairs', 'mean')} {_STEP}")
+def c08c_dba_step(spark, d):
+    """The first step of averaging, from the mean."""
+    return _averaged_once(spark, d)
+
+
+@query(f"""WITH RECURSIVE {_A}, {_AX}, {_MEAN}, drawn AS (SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY {uniform_sql(SEED, "'members'", "'0'", "id")}, id) AS nth, count(*) OVER (PARTITION BY cluster) AS n FROM a),
+  pairs AS (SELECT cluster AS i, id AS j FROM drawn WHERE nth <= greatest(1, ceil(n * 0.5))), {path_cte("pairs", "mean")} {_STEP}""")
+def c09b_stochastic_step(spark, d):
+    """The same over a drawn half of each group."""
+    return _averaged_once(spark, d, fraction=0.5)
+
+
+@query(f"{_TO_CENT}, {_NEAREST}, own AS (SELECT cluster AS i, id AS j FROM nearest), {path_cte('own', 'cent_id')} {_STEP}")
+def c14_em_step(spark, d):
+    """One step of K-means: the nearest centroids, then the averages of those that chose them."""
+    centroids = label_centroids(spark, d)
+    labelled = pairwise.assign(series_a(spark, d), centroids, R, ("series",))
+    parts_ = barycenter.align_partials(labelled, centroids, R)
+    return parts_.select("cluster", "pos", _r(F.col("total") / F.col("n")).alias("value"))
+
+
+_RACE = lambda w, r: f"(SELECT arg_min(id, (-ln(1 - {uniform_sql(SEED, chr(39) + 'race' + chr(39), chr(39) + str(r) + chr(39), 'id')}) / d2, id)) FROM {w} WHERE d2 > 0)"
+
+
+@query(f"""WITH RECURSIVE {_A}, one AS (SELECT id FROM a ORDER BY {uniform_sql(SEED, "'first'", "id")}, id LIMIT 1), pairs1 AS (SELECT a.id AS i, one.id AS j FROM a, one), {dtw_cte("pairs1", "a", "a", "d1")},
+  w1 AS (SELECT i AS id, dist ** 2 AS d2 FROM d1), two AS (SELECT {_RACE("w1", 1)} AS id), pairs2 AS (SELECT a.id AS i, two.id AS j FROM a, two), {dtw_cte("pairs2", "a", "a", "d2")},
+  w2 AS (SELECT d1.i AS id, least(d1.dist, d2.dist) ** 2 AS d2 FROM d1 JOIN d2 ON d1.i = d2.i)
+  SELECT 0 AS nth, id FROM one UNION ALL SELECT 1, id FROM two UNION ALL SELECT 2, {_RACE("w2", 2)}""")
+def c11b_plus_plus(spark, d):
+    """All draws of K-means++ for three centroids."""
+    ids = seeding.plus_plus_ids(series_a(spark, d), 3, R, SEED)[0]
+    return spark.createDataFrame(list(enumerate(ids)), "nth int, id long")
+
+
 @query()
 def c08_dba(spark, d):
     return barycenter.averages(series_a(spark, d), "cluster", R)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +27,30 @@ class ResultWriter:
             json.dump({"experiment": self.experiment, **value}, f, indent=2)
         return path
 
+    def _stream(self, kind: str, value: dict, name: str, entries: Iterator[str], brackets: str) -> str:
+        """Like _write(), with one more entry whose items come one by one, so that no list of all rows is held."""
+        path = os.path.join(self.directory, f"{self.experiment}_{kind}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(json.dumps({"experiment": self.experiment, **value}, indent=2)[:-2] + f',\n  "{name}": {brackets[0]}')
+            for i, entry in enumerate(entries):
+                f.write(("," if i else "") + "\n    " + entry)
+            f.write(f"\n  {brackets[1]}\n}}")
+        return path
+
     @property
     def model_path(self) -> str:
         return os.path.join(self.directory, f"{self.experiment}_model")
 
     def write_cluster(self, result, names: DataFrame) -> str:
-        """names: (id, name). The artifact holds every assignment, so it is for results of one machine's size;
-        larger ones are written with `result.assignments.write`."""
-        rows = result.assignments.join(names, "id").select("name", "cluster").collect()
+        """names: (id, name). Assignments are in the order of names, one partition at a time on the driver; results for
+        other programs of a cluster are written with `result.assignments.write`."""
+        rows = result.assignments.join(names, "id").select("name", "cluster").orderBy("name").toLocalIterator()
         sizes = [r["n"] for r in result.sizes().orderBy("cluster").collect()]
-        return self._write("cluster", {
+        value = {
             "k": result.config.k, "inertia": result.inertia, "converged": result.converged, "iterations": result.iterations, "n_init_used": result.n_init,
-            "assignments": dict(sorted((r["name"], r["cluster"]) for r in rows)), "centroids": result.centroids.tolist(), "cluster_sizes": sizes,
-        })
+            "centroids": result.centroids.tolist(), "cluster_sizes": sizes,
+        }
+        return self._stream("cluster", value, "assignments", (f"{json.dumps(r['name'])}: {r['cluster']}" for r in rows), "{}")
 
     def write_optimize(self, n: int, best: int | None, results: list[tuple[int, float]], silhouette: float | None = None) -> str:
         value = {"n_basins": n, "best_k": best, "results": [{"k": k, "inertia": v} for k, v in results]}
@@ -56,8 +68,8 @@ class ResultWriter:
 
     def write_predictions(self, predictions: DataFrame, top: int) -> str:
         """predictions: (name, distribution)."""
-        rows = [r.asDict(True) for r in ranked(predictions, top).collect()]
-        return self._write("predict", {"n_basins": len(rows), "predictions": rows})
+        rows = ranked(predictions, top)
+        return self._stream("predict", {"n_basins": predictions.count()}, "predictions", (json.dumps(r.asDict(True)) for r in rows.toLocalIterator()), "[]")
 
 
 def ranked(predictions: DataFrame, top: int) -> DataFrame:
