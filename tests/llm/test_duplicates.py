@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from warpspark.llm import embedding_dedup, ngram_join, substring_dedup
-from warpspark.llm.common import id_filter, passes
+from warpspark.llm.common import drop_scratch, id_filter, passes, written
 from warpspark.llm.components import components
 
 
@@ -100,6 +100,12 @@ def test_ngram_join_of_words_that_cancel_in_polynomials(docs):
     assert got == {0: (len(sets_of(texts[0], 4)), 0), 1: (len(sets_of(texts[1], 4)), 0)}
 
 
+def test_scratch_tables_can_be_dropped(spark):
+    drop_scratch(spark)
+    kept = written(spark.range(5), "scratch-test")
+    assert kept.count() == 5 and drop_scratch(spark) == 1 and drop_scratch(spark) == 0
+
+
 def test_id_filter(spark):
     ids = spark.range(0, 3000, 3)
     filled, log = id_filter(ids, "id")

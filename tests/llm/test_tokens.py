@@ -79,6 +79,15 @@ def test_token_counts_of_given_sections(spark):
     assert sum(r["n_tokens"] for r in rows[:3]) == rows[0]["doc_tokens"]
 
 
+def test_repeated_and_nameless_rows_are_encoded_each(docs):
+    rows = docs([(7, "same text"), (7, "same text"), (7, "other"), (None, "no name"), (None, None)])
+    assert bpe.digest_documents(rows).count() == 5
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.count_tokens(rows).collect()) == [(0, 0), (0, 2), (7, 1), (7, 2), (7, 2)]
+    packed = packing.pack_documents(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in packed) == [(0, 1), (0, 3), (7, 2), (7, 3), (7, 3)]
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == 5
+
+
 def test_packing(docs, reference):
     cases = CASES + [(10 + i, "word " * (7 * i % 300)) for i in range(400)]
     rows = [r.asDict() for r in packing.pack_documents(docs(cases)).collect()]

@@ -45,14 +45,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. small: of rows
+    that are few and cheap to make, so they go to one file for each core and not to one for each partition."""
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/warpspark-{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that written() made in this program, once no result that reads them is needed; their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that df has no column of (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is the empty text."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, keyed_runs, mix, text_bytes, written
+from .common import Words, chunks, fresh, grams, keyed_runs, mix, text_bytes, written
 
 WINDOW = 20
 ANCHOR = 10
@@ -481,9 +481,11 @@ def removed_words(places: bytes | None, n_words: int, window: int) -> np.ndarray
     return np.cumsum(change[:-1]) > 0
 
 
-def with_places(docs: DataFrame, window: int) -> DataFrame:
-    places = repeat_places(docs, window).select(F.col("doc_id").alias("__place_doc"), F.col("places").alias("__places"))
-    return docs.join(places, docs["doc_id"] == places["__place_doc"], "left").drop("__place_doc")
+def with_places(docs: DataFrame, window: int, name: str) -> DataFrame:
+    """docs with a column of that name for the places of repeats."""
+    key = fresh(docs, "__place_doc")
+    places = repeat_places(docs, window).select(F.col("doc_id").alias(key), F.col("places").alias(name))
+    return docs.join(places, docs["doc_id"] == places[key], "left").drop(key)
 
 
 def digest_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -510,7 +512,7 @@ def digest_kept(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = with_places(docs.select("doc_id", "text"), window).select("doc_id", "text", "__places")
+    rows = with_places(docs.select("doc_id", "text"), window, "__places").select("doc_id", "text", "__places")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -523,7 +525,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             raw = batch.column(at).cast(pa.large_binary()).to_pylist()
-            places = batch.column("__places").to_pylist()
+            places = batch.column(name).to_pylist()
             out = []
             for text, found in zip(raw, places):
                 if text and found:
@@ -535,7 +537,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = batch.columns
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             names = batch.schema.names
-            keep = [i for i, name in enumerate(names) if name != "__places"]
+            keep = [i for i, n in enumerate(names) if n != name]
             yield pa.RecordBatch.from_arrays([columns[i] for i in keep], [names[i] for i in keep])
 
-    return with_places(docs, window).mapInArrow(run, docs.schema)
+    name = fresh(docs, "__places")
+    return with_places(docs, window, name).mapInArrow(run, docs.schema)

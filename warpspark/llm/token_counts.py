@@ -51,7 +51,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, sections: str |
     Sections are the lines of `text`, or, with `sections`, an array<int> column of the rising code points at
     which sections begin (0 is added if missing, values beyond the text or null are left out). Null text is
     the empty text: one section without tokens. Sections that begin at the same place are one. Narrow: one
-    pass, no shuffle; a document's rows come from the task that read it. Repeated rows are counted each.
+    pass, no shuffle; a document's rows come from the task that read it. Very long texts are encoded whole. Repeated
+    rows are counted each, an empty table gives an empty table, other columns, whatever their names, are ignored.
     """
     path = vocabulary or default_vocabulary()
 
