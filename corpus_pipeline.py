@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written and read again.
 All but the last return the columns of `documents`; where a stage changes `text`, `n_chars` follows. Rows without a
 doc_id are judged as all others in the first two stages; the third takes no passages from them. Of rows that repeat a
-doc_id with its text one stays. Null texts have no words, so they fail the base rules.
+doc_id with its text one stays. Null texts have no words, so they fail the base rules. Very long texts are judged,
+compared, cut and packed whole. An empty table gives an empty result; further columns, whatever their names, pass
+through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from warpspark.llm import ngram_join, packing, quality_rules, secrets, substring_dedup
-from warpspark.llm.common import written
+from warpspark.llm.common import fresh, written
 
 
 def _resized(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -27,22 +29,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie beyond the adaptive cutoffs go. A verdict is of an id, a text, a
     language and a source, by a digest of them, so rows without an id and rows that repeat one have their own."""
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    marked = docs.withColumn("__row", F.md5(F.concat_ws("\0", F.md5("text"), *map(text_of, ("doc_id", "lang", "source")))))
-    kept = quality_rules.judge(marked, ("__row",)).filter("kept").select("__row").distinct()
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "__row")
+    marked = docs.withColumn(row, F.md5(F.concat_ws("\0", F.md5("text"), *map(text_of, ("doc_id", "lang", "source")))))
+    kept = quality_rules.judge(marked, (row,)).filter("kept").select(row).distinct()
+    return marked.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays, and one
     row of those with its text. Rows without an id are named by their text's hash, above all usual ids."""
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    named = docs.withColumn("__id", F.coalesce("doc_id", unnamed))
-    groups = ngram_join.similar_groups(named.select(F.col("__id").alias("doc_id"), "text"), n=5, percent=80)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    name, text, nth = (fresh(docs, c) for c in ("__id", "__text", "__nth"))
+    named = docs.withColumn(name, F.coalesce("doc_id", unnamed))
+    groups = ngram_join.similar_groups(named.select(F.col(name).alias("doc_id"), "text"), n=5, percent=80)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    alike = Window.partitionBy("__id", "__text").orderBy(*([F.xxhash64(*others)] if others else ["__id"]))
-    rows = named.join(kept, "__id", "left_semi").withColumn("__text", F.md5("text"))
-    return rows.withColumn("__nth", F.row_number().over(alike)).filter("__nth = 1").select(*docs.columns)
+    alike = Window.partitionBy(name, text).orderBy(*([F.xxhash64(*others)] if others else [name]))
+    rows = named.join(kept, name, "left_semi").withColumn(text, F.md5("text"))
+    return rows.withColumn(nth, F.row_number().over(alike)).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
