@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 _MAX_ROUNDS = 60
+_ROWS = 100_000  # edges of a checkpoint's file, about
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -43,13 +44,14 @@ def components(edges: DataFrame) -> DataFrame:
     shared_dir(edges.sparkSession)
     now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter(F.col("a") != F.col("b"))
     now = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
+    before, most = None, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(_MAX_ROUNDS):
         state = _state(now)
         if state == before or state[0] == 0:
             break
         before = state
-        now = _star(_star(now, True), False).checkpoint()
+        # The number of edges doesn't rise, so few edges are few files.
+        now = _star(_star(now, True), False).coalesce(min(most, 1 + state[0] // _ROWS)).checkpoint()
     else:
         raise RuntimeError("components did not settle")
     found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))

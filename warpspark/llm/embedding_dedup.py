@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     # Just crowded buckets are cut into blocks. They are few (each has over BLOCK rows) and written first, so Spark
     # knows their size and sends them to the rows if they are small, instead of dealing all rows twice.
     counts = coded.select("dim", place).groupBy("dim", "place.table", "place.code").count().filter(F.col("count") > BLOCK)
-    crowded = written(counts.select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded")
+    crowded = written(counts.select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "crowded", small=True)
     dealt = dealt.join(crowded, bucket, "left").na.fill(1, ["blocks"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     me, other = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)

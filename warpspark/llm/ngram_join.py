@@ -252,7 +252,7 @@ def similar_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     groups = components(candidate_edges(keyed, key_buckets(spark, sets.count(), bands(threshold))))
     crowds = groups.groupBy("component").count().filter(F.col("count") > CROWD).select("component")
     if not crowds.isEmpty():
-        inside = written(groups.join(crowds, "component", "left_semi").select("id"), "crowds")
+        inside = written(groups.join(crowds, "component", "left_semi").select("id"), "crowds", small=True)
         again = components(candidate_edges(*stricter_keys(docs, inside, n, threshold)))
         groups = groups.join(crowds, "component", "left_anti").select("id", "component").unionByName(again)
     copies = joined.filter("doc_id = rep").groupBy("doc_id").agg(F.max("copies").alias("copies"))
@@ -293,7 +293,7 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     """Exact links (a, b, null) within the candidate groups, as spanning forests of their tiles, and (a, null, n): n
     links of a that its tile has. Each pair is in one tile. candidates: (doc_id, group, copies)."""
     spark = docs.sparkSession
-    candidates = written(candidates, "candidates")
+    candidates = written(candidates, "candidates", small=True)
     filled, log = id_filter(candidates, "doc_id")
     sent = spark.sparkContext.broadcast(filled)  # of bounded size, see FILTER_LOG
 
@@ -322,7 +322,7 @@ def tile_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     plan = blocks.join(after, ["group", "band"], "left").join(before, ["group", "band"], "left").join(whole, "group").na.fill(0, ["next", "previous"])
     # Written first: the join then has plain shuffles on both sides, so Spark can deal a crowded band out anew, or sends
     # the plan to the sets if it is small.
-    plan = written(plan, "tiles")
+    plan = written(plan, "tiles", small=True)
     placed = sets.join(plan, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda band, kind, i, j, side: F.struct(band.alias("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))

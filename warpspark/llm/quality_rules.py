@@ -194,7 +194,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "word_length": F.col("word_chars") / n,
     })
     measured = written(counted, "rules")
-    cut = written(thresholds(sketches(measured)), "cutoffs")
+    cut = written(thresholds(sketches(measured)), "cutoffs", small=True)
     inside = F.lit(True)
     for m in METRICS:
         inside &= F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))

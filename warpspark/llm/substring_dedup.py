@@ -306,7 +306,7 @@ def _anchor_bits(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
     by = 1 << int(8 * total // (buckets * BUCKET_BYTES)).bit_length()
     if by > 1:
         anchors, buckets = split_buckets(anchors, buckets, by), buckets * by
-    return anchor_filter(written(recurring(anchors), "recurring"), buckets)
+    return anchor_filter(written(recurring(anchors), "recurring", small=True), buckets)
 
 
 class _Unit:
@@ -365,7 +365,7 @@ def plan(docs: DataFrame, window: int, sent, shift: np.uint64) -> tuple[Prefixes
             )
 
         rows = docs.select("doc_id", "text").mapInArrow(count, "prefix long, later boolean, n long").groupBy("prefix", "later").agg(F.sum("n").alias("n"))
-        rows = written(rows, "prefixes")
+        rows = written(rows, "prefixes", small=True)
         if before == 0:
             got = rows.groupBy("later").agg(F.sum("n")).collect()
             places = sum(r[1] for r in got)
