@@ -292,7 +292,7 @@ def test_thresholds_of_counts():
     y = np.repeat([0, 1], [500, 60])
     bins = np.floor(z / toxicity.BIN).astype(int)
     found = toxicity.thresholds([(1, int(t), int(b), 1) for t, b in zip(y, bins)])
-    assert len(set(found)) == 1
+    assert max(found) - min(found) < 1e-9
     f1 = lambda t: 2 * (y[z >= t].sum()) / ((z >= t).sum() + y.sum())
     assert f1(found[0]) >= max(f1(t) for t in z) - 0.02
     assert toxicity.thresholds([]) == [0.0] * (len(toxicity.LANGUAGES) + 1)

@@ -24,6 +24,7 @@ from .quality_rules import line_counts, repeated_words
 POSITIVES = 20_000  # documents of the training samples at most, picked by a hash of doc_id
 UNLABELLED = 20_000
 EPOCHS = 60
+SPLITS = 3  # of the samples into halves, for the prior
 HIDDEN = 12
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = b"!?"
@@ -107,19 +108,25 @@ def _batches(rng: np.random.Generator, p: np.ndarray, u: np.ndarray, size: int =
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The share of positives among the unlabelled: no set of documents can hold a smaller share of the
     unlabelled than the prior times its share of the positives, so the least ratio over the sets above a score
-    (of a classifier of the one sample against the other, judged on held-out halves) bounds it."""
-    rng = np.random.default_rng(5)
-    net = Network(np.concatenate([p[::2], u[::2]]))
-    for _ in range(20):
-        for a, b in _batches(rng, p[::2], u[::2]):
-            x = np.concatenate([a, b])
-            y = np.repeat([1.0, 0.0], [len(a), len(b)])
-            net.step(x, (_sigmoid(net.logit(x)) - y) / np.repeat([len(a), len(b)], [len(a), len(b)]))
-    sp, su = np.sort(net.logit(p[1::2])), np.sort(net.logit(u[1::2]))
-    cuts = np.quantile(sp, np.linspace(0.0, 0.9, 50))
-    above = lambda s: 1 - np.searchsorted(s, cuts) / len(s)
-    spread = 1 / np.sqrt(len(su) * np.maximum(above(su), 1e-9))
-    return float(np.clip(np.min(above(su) / above(sp) * (1 + spread)), 0.05, 0.98))
+    (of a classifier of the one sample against the other, judged on the half that it hasn't seen, one error of the
+    ratio added) bounds it. The median over both halves of SPLITS splits."""
+    rng, found = np.random.default_rng(5), []
+    for _ in range(SPLITS):
+        p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+        for seen in (0, 1):
+            x, y = p[seen::2], u[seen::2]
+            net = Network(np.concatenate([x, y]))
+            for _ in range(20):
+                for a, b in _batches(rng, x, y):
+                    each = np.repeat([len(a), len(b)], [len(a), len(b)])
+                    both = np.concatenate([a, b])
+                    net.step(both, (_sigmoid(net.logit(both)) - np.repeat([1.0, 0.0], [len(a), len(b)])) / each)
+            sp, su = np.sort(net.logit(p[1 - seen :: 2])), np.sort(net.logit(u[1 - seen :: 2]))
+            cuts = np.quantile(sp, np.linspace(0.0, 0.9, 50))
+            ap, au = (np.maximum(1 - np.searchsorted(s, cuts) / len(s), 1e-9) for s in (sp, su))
+            error = np.sqrt((1 - au) / (len(su) * au) + (1 - ap) / (len(sp) * ap))
+            found.append(np.min(au / ap * (1 + error)))
+    return float(np.clip(np.median(found), 0.05, 0.98))
 
 
 def risk_slopes(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, bool]:

@@ -30,7 +30,7 @@ FILTERS = 8
 DOCUMENTS = 12_000  # labelled documents that training reads at most, picked by a hash of doc_id
 WORDS = 8_000_000  # words of those documents at most; each comes to the driver as four bytes
 BIN = 1 / 64  # of logits, for the thresholds
-LEAST = 10  # documents of either label that a language needs for a threshold of its own
+LEAN = 20  # toxic documents that the common threshold counts for in a language's own
 EPOCHS = 4
 BATCH = 64
 PAD = max(WIDTHS) - 1
@@ -231,7 +231,7 @@ def train(rows: list[bytes], y: np.ndarray) -> Model:
 
 
 def thresholds(counts: list[tuple[int, int, int, int]]) -> list[float]:
-    """The threshold of each language from (language, toxic, bin, number) rows; of all where there are too few."""
+    """The threshold of each language from (language, toxic, bin, number) rows; it leans on that of all."""
     rows = np.array(counts, np.int64).reshape(-1, 4)
 
     def of(some: np.ndarray) -> float:
@@ -243,8 +243,8 @@ def thresholds(counts: list[tuple[int, int, int, int]]) -> list[float]:
     out = []
     for i in range(len(LANGUAGES) + 1):
         own = rows[rows[:, 0] == i]
-        enough = all(own[own[:, 1] == y, 3].sum() >= LEAST for y in (0, 1))
-        out.append(of(own) if enough else common)
+        toxic, clean = (own[own[:, 1] == y, 3].sum() for y in (1, 0))
+        out.append((toxic * of(own) + LEAN * common) / (toxic + LEAN) if toxic and clean else common)
     return out
 
 
