@@ -41,7 +41,7 @@ def test_distributed_way_agrees(archetypes, monkeypatch):
 def test_both_ways_give_the_same(spark, monkeypatch, options):
     x = np.random.default_rng(3).normal(size=(40, 8)).cumsum(axis=1)
     walks = spark.createDataFrame([(7 * i + 3, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")
-    cfg = kmeans.KMeansConfig(k=4, n_init=1, max_iter=3, dba_max_iter=2, **options)
+    cfg = kmeans.KMeansConfig(k=4, n_init=1, max_iter=2, dba_max_iter=2, **options)
     found = [kmeans.fit(walks, cfg)]
     monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
     found.append(kmeans.fit(walks, cfg))
@@ -69,7 +69,7 @@ def test_medoid_by_batches(monkeypatch):
 
 @pytest.mark.parametrize("options", [{}, {"centroid_method": "ssg"}, {"dba_init": "medoid"}, {"dba_fraction": 0.5}])
 def test_distributed_way_honours_options(archetypes, monkeypatch, options):
-    cfg = kmeans.KMeansConfig(k=3, n_init=2, max_iter=6, dba_max_iter=1, **options)
+    cfg = kmeans.KMeansConfig(k=3, n_init=2, max_iter=4, dba_max_iter=1, **options)
     labelled = archetypes.selectExpr("id", "int(id / 3) as cluster", "series")
     x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
     got = kmeans._averaged(labelled, cfg, 7)
