@@ -35,7 +35,8 @@ from .common import Words, chunks, fresh, grams, keyed_runs, mix, text_bytes, wr
 
 WINDOW = 20
 ANCHOR = 10
-GROUP = 1 << 19  # suffixes of a group
+GROUP = 1 << 16  # suffixes of a group
+DEALT = 4 << 20  # bytes of suffixes and places that a task gets, about
 LETTERS = 8  # words with a letter of their own
 LEVELS = (2, 4, 6, 8)  # words of the prefixes that are counted, each time for those that are crowded so far
 LOG_BITS = (20, 29)  # of the anchor filter: 64 MB at most
@@ -306,7 +307,7 @@ def _anchor_bits(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
     by = 1 << int(8 * total // (buckets * BUCKET_BYTES)).bit_length()
     if by > 1:
         anchors, buckets = split_buckets(anchors, buckets, by), buckets * by
-    return anchor_filter(written(recurring(anchors), "recurring", small=True), buckets)
+    return anchor_filter(written(recurring(anchors), "recurring"), buckets)
 
 
 class _Unit:
@@ -335,10 +336,10 @@ class _Unit:
         self.first = first[may[first]]
 
 
-def plan(docs: DataFrame, window: int, sent, shift: np.uint64) -> tuple[Prefixes, int]:
-    """The groups of suffixes that pass the filter, and the number of places that may be found."""
+def plan(docs: DataFrame, window: int, sent, shift: np.uint64) -> tuple[Prefixes, int, int]:
+    """The groups of suffixes that pass the filter, the number of these, and of places found within units."""
     spark = docs.sparkSession
-    heavy, bounds, sizes, places, before = np.empty(0, np.uint64), [], [], 0, 0
+    heavy, bounds, sizes, suffixes, places, before = np.empty(0, np.uint64), [], [], 0, 0, 0
     for level in LEVELS:
         above = spark.sparkContext.broadcast(heavy)  # one number for each GROUP of suffixes at most
         down, up = np.uint64(64 - 8 * level), np.uint64(64 - 8 * before)
@@ -367,8 +368,8 @@ def plan(docs: DataFrame, window: int, sent, shift: np.uint64) -> tuple[Prefixes
         rows = docs.select("doc_id", "text").mapInArrow(count, "prefix long, later boolean, n long").groupBy("prefix", "later").agg(F.sum("n").alias("n"))
         rows = written(rows, "prefixes", small=True)
         if before == 0:
-            got = rows.groupBy("later").agg(F.sum("n")).collect()
-            places = sum(r[1] for r in got)
+            got = {r["later"]: r["n"] for r in rows.groupBy("later").agg(F.sum("n").alias("n")).collect()}
+            suffixes, places = got.get(False, 0), got.get(True, 0)
         # Prefixes of eight words are signed here; their order within a parent is kept by flipping the sign.
         unsigned = F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))) if level == LETTERS else F.col("prefix")
         parent = F.shiftrightunsigned("prefix", 8 * (level - before)) if before else F.lit(0)
@@ -386,7 +387,7 @@ def plan(docs: DataFrame, window: int, sent, shift: np.uint64) -> tuple[Prefixes
     parts = np.array([max(1, -(-table[k] // GROUP)) for k in keys], np.int64)
     last = set((int(k) << (64 - 8 * before)) for k in heavy.tolist())
     parts[[k not in last for k in keys]] = 1
-    return Prefixes(np.array(keys, np.uint64), np.minimum(parts, _PARTS)), places
+    return Prefixes(np.array(keys, np.uint64), np.minimum(parts, _PARTS)), suffixes, places
 
 
 def _summed(prefixes: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -401,9 +402,11 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     bits, log = _anchor_bits(docs, window)
     sent, shift = spark.sparkContext.broadcast(bits), np.uint64(64 - log)  # of bounded size, see LOG_BITS
-    prefixes, places = plan(docs, window, sent, shift)
+    prefixes, suffixes, places = plan(docs, window, sent, shift)
     planned = spark.sparkContext.broadcast(prefixes)  # 16 bytes for each GROUP of suffixes
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-12 * places // BUCKET_BYTES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, least, -(-12 * (suffixes + places) // BUCKET_BYTES))
+    tasks = max(least, -(-(28 * suffixes + 12 * places) // DEALT))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = planned.value
@@ -441,7 +444,7 @@ def repeat_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield _place_rows(*(np.concatenate(x) for x in zip(*held)), buckets)
 
     def trees(dealt: DataFrame, last: bool) -> DataFrame:
-        return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: grow(batches, last), _SCHEMA)
+        return dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda batches: grow(batches, last), _SCHEMA)
 
     found = trees(docs.mapInArrow(deal, _SCHEMA), False)
     if (prefixes.parts > 1).any():
