@@ -263,27 +263,81 @@ def test_scores_do_not_use_labels_of_held_out_rows(spark):
     assert a == b
 
 
-def test_convolutions_match_plain_loops():
+TEXTS = [b"One two THREE four, five", b"", b"x", "ñandú a-b".encode(), b"w " * 300, b"", b"two five two"]
+
+
+def plain_pools(model, text):
+    """Each filter's largest answer over a text's own words and padding, and where it is."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+    first, second = toxicity.word_rows(np.array([Words([w]).hash[0] for w in words], np.uint64))
+    rows = [*zip(first, second)] + [(0, 0)] * toxicity.PAD
+    x = [np.concatenate([model.table[0][a], model.table[1][b]]) for a, b in rows]
+    # A filter that begins in the padding sees what there is of it.
+    return [max(sum(float(x[i + o] @ f[o, :, k]) for o in range(width) if i + o < len(x)) for i in range(len(x))) for width, f in zip(toxicity.WIDTHS, model.filters) for k in range(toxicity.FILTERS)]
+
+
+@pytest.fixture
+def random_model():
     rng = np.random.default_rng(1)
     model = toxicity.Model(rng.normal(size=toxicity.ROWS).astype(np.float32), rng.normal(size=toxicity.ROWS).astype(np.float32))
+    for table in model.table:
+        table[1:] = rng.normal(size=table[1:].shape)
     model.out = rng.normal(size=len(model.out)).astype(np.float32)
-    texts = [b"One two THREE four, five", b"", b"x", "ñandú a-b".encode(), b"w " * 300]
-    want = []
-    for text in texts:
-        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
-        first, second = toxicity.word_rows(np.array([Words([w]).hash[0] for w in words], np.uint64))
-        x = [np.concatenate([model.table[0][a], model.table[1][b]]) for a, b in zip(first, second)] + [np.concatenate([model.table[0][0], model.table[1][0]])] * toxicity.PAD
-        pooled = []
-        for width, f, bias in zip(toxicity.WIDTHS, model.filters, model.bias):
-            for k in range(toxicity.FILTERS):
-                # A filter that begins in the padding sees what there is of it.
-                answers = [sum(float(x[i + o] @ f[o, :, k]) for o in range(width) if i + o < len(x)) for i in range(len(x))]
-                pooled.append(max(0.0, max(answers) + bias[k]))
-        want.append(np.array(pooled) @ model.out + model.base[0])
-    got = model.logits(toxicity.Tokens.of(texts))
-    assert np.allclose(got[[0, 2, 3, 4]], np.array(want)[[0, 2, 3, 4]], atol=1e-4)
-    rows = toxicity.packed_rows(texts)
-    assert np.array_equal(toxicity.Tokens.unpacked(rows).first, toxicity.Tokens.of(texts).first)
+    return model
+
+
+@pytest.mark.parametrize("bias", [-1.0, 0.0, 0.4])
+def test_convolutions_match_plain_loops(random_model, bias):
+    model = random_model
+    model.bias = [np.full_like(b, bias) for b in model.bias]
+    want = [np.maximum(0, np.array(plain_pools(model, t)) + bias) @ model.out + model.base[0] for t in TEXTS]
+    assert len(set(np.round(want, 3))) >= 5
+    assert np.allclose(model.logits(toxicity.Tokens.of(TEXTS)), want, atol=1e-4)
+    rows = toxicity.packed_rows(TEXTS)
+    assert np.array_equal(toxicity.Tokens.unpacked(rows).first, toxicity.Tokens.of(TEXTS).first)
+    alone = np.concatenate([model.logits(toxicity.Tokens.of([t])) for t in TEXTS])
+    for order in (np.arange(7), np.array([4, 1, 0, 5, 6, 2, 3]), np.arange(7)[::-1]):
+        assert np.allclose(model.logits(toxicity.Tokens.of([TEXTS[i] for i in order])), alone[order], atol=1e-8, rtol=0)
+
+
+def test_training_slopes_match_differences(random_model):
+    """Slopes of the loss that the plain loops give, by moving single numbers of the model."""
+    model = random_model
+    model.table, model.filters, model.bias = ([a.astype(float) for a in x] for x in (model.table, model.filters, model.bias))
+    model.out, model.base = model.out.astype(float), model.base.astype(float)
+    model.bias = [np.full_like(b, 0.2) for b in model.bias]
+    y, weight = np.array([1.0, 1, 0, 0, 1, 0, 1]), np.linspace(0.5, 2, 7)
+
+    def loss():
+        z = np.array([np.maximum(0, np.array(plain_pools(model, t)) + 0.2 + shift()) @ model.out + model.base[0] for t in TEXTS])
+        return (weight * (np.log1p(np.exp(z)) - y * z)).mean()
+
+    shift = lambda: np.concatenate(model.bias) - 0.2
+    by = model.slopes(toxicity.Tokens.of(TEXTS), y, weight)
+    spots = [(model.out, by["out"], 3), (model.out, by["out"], 20), (model.base, by["base"], 0), (model.bias[2], by["bias"][2], 1)]
+    spots += [(f, g, (o, d, k)) for f, g in zip(model.filters, by["filters"]) for o in range(len(f)) for d, k in ((0, 1), (7, 6))]
+    for table, (rows, values) in zip(model.table, by["table"]):
+        assert not values[rows == 0].any()
+        full = np.zeros_like(table)
+        full[rows] = values
+        spots += [(table, full, (r, 2)) for r in rows[rows > 0]]
+    for place, slope, at in spots:
+        keep = place[at]
+        place[at] = keep + 1e-6
+        up = loss()
+        place[at] = keep - 1e-6
+        down = loss()
+        place[at] = keep
+        assert slope[at] == pytest.approx((up - down) / 2e-6, abs=2e-5), at
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, labels, ~held).collect()} for d in (docs_, docs_.orderBy(F.desc("doc_id")).repartition(7)))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-6
+    assert max(a.values()) - min(a.values()) > 0.2
 
 
 def test_thresholds_of_counts():

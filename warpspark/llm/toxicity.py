@@ -68,6 +68,8 @@ class Tokens:
         total = len(first) + PAD * len(n)
         self.first, self.second = np.zeros(total, np.int64), np.zeros(total, np.int64)
         self.first[at], self.second[at] = first, second
+        self.padding = np.ones(total, bool)
+        self.padding[at] = False
         self.start = np.cumsum(n + PAD) - (n + PAD)
         self.doc = np.repeat(np.arange(len(n)), n + PAD)
 
@@ -108,58 +110,68 @@ class Model:
         self.out = np.full(len(WIDTHS) * FILTERS, 0.3, np.float32)
         self.base = np.zeros(1, np.float32)
 
-    def _answers(self, t: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
-        x = np.concatenate([self.table[0][t.first], self.table[1][t.second]], axis=1)
+    def _answers(self, t: Tokens, kind: type) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Vectors of all places, and each filter's answer to the words from each place on. A filter reads at most PAD
+        places beyond a word, which is that text's own padding; from the padding itself on it sees nothing."""
+        x = np.concatenate([self.table[0][t.first], self.table[1][t.second]], axis=1).astype(kind)
         out = []
         for w, f in zip(WIDTHS, self.filters):
+            f = f.astype(kind)
             y = x @ f[0]
             for o in range(1, w):
                 y[:-o] += (x @ f[o])[o:]
+            y[t.padding] = 0
             out.append(y)
         return x, out
 
     def logits(self, t: Tokens) -> np.ndarray:
+        """In double precision and rounded, so that the order of sums, which depends on the batch's shape, doesn't show."""
         if not len(t.start):
             return np.empty(0)
-        _, answers = self._answers(t)
+        _, answers = self._answers(t, np.float64)
         pooled = [np.maximum(np.maximum.reduceat(y, t.start, axis=0) + b, 0) for y, b in zip(answers, self.bias)]
-        return (np.concatenate(pooled, axis=1) @ self.out + self.base[0]).astype(np.float64)
-
-    def train_batch(self, t: Tokens, y: np.ndarray, weight: np.ndarray, adam: _Adam) -> None:
-        x, answers = self._answers(t)
-        n = len(y)
-        ends = np.append(t.start[1:], len(t.doc))
-        pooled, won = [], []
-        for a, b in zip(answers, self.bias):
-            best = np.stack([s + a[s:e].argmax(axis=0) for s, e in zip(t.start, ends)])
-            won.append(best)
-            pooled.append(np.take_along_axis(a, best, axis=0) + b)
-        z = np.concatenate(pooled, axis=1)
+        return np.round(np.concatenate(pooled, axis=1) @ self.out.astype(np.float64) + float(self.base[0]), 9)
+
+    def slopes(self, t: Tokens, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Derivatives of the batch's mean weighted log loss: by weights, base, biases and filters, and by those table
+        rows that won a pooling, as (rows, values)."""
+        kind = self.out.dtype
+        x, answers = self._answers(t, kind)
+        last = np.append(t.start[1:], len(t.doc)) - 1
+        won = [np.stack([s + a[s : e + 1].argmax(axis=0) for s, e in zip(t.start, last)]) for a in answers]
+        z = np.concatenate([np.take_along_axis(a, best, axis=0) + b for a, best, b in zip(answers, won, self.bias)], axis=1)
         h = np.maximum(z, 0)
-        slope = ((1 / (1 + np.exp(-np.clip(h @ self.out + self.base[0], -30, 30))) - y) * weight / n).astype(np.float32)
+        slope = ((1 / (1 + np.exp(-np.clip(h @ self.out + self.base[0], -30, 30))) - y) * weight / len(y)).astype(kind)
         back = np.outer(slope, self.out) * (z > 0)
-        adam.step(self.out, h.T @ slope)
-        adam.step(self.base, slope.sum(keepdims=True))
-        grad_x: dict[int, list] = {0: [], 1: []}
+        found: dict = {"out": h.T @ slope, "base": slope.sum(keepdims=True), "bias": [], "filters": [], "table": []}
+        rows: dict[int, list] = {0: [], 1: []}
         for k, (w, f, best) in enumerate(zip(WIDTHS, self.filters, won)):
             g = back[:, k * FILTERS : (k + 1) * FILTERS]
-            adam.step(self.bias[k], g.sum(axis=0))
+            found["bias"].append(g.sum(axis=0))
             change = np.zeros_like(f)
             for o in range(w):
-                at = np.minimum(best + o, len(x) - 1)
+                at = np.minimum(best + o, last[:, None])  # a place that won in the padding stays there
                 for j in range(FILTERS):
                     change[o, :, j] = x[at[:, j]].T @ g[:, j]
                     wide = np.outer(g[:, j], f[o, :, j])
-                    grad_x[0].append((t.first[at[:, j]], wide[:, :DIM]))
-                    grad_x[1].append((t.second[at[:, j]], wide[:, DIM:]))
-            adam.step(f, change)
-        for i, table in enumerate(self.table):
-            rows = np.concatenate([r for r, _ in grad_x[i]])
-            values = np.concatenate([v for _, v in grad_x[i]])
-            used, where = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(used), DIM), np.float32)
-            np.add.at(total, where, values)
+                    rows[0].append((t.first[at[:, j]], wide[:, :DIM]))
+                    rows[1].append((t.second[at[:, j]], wide[:, DIM:]))
+            found["filters"].append(change)
+        for i in (0, 1):
+            used, where = np.unique(np.concatenate([r for r, _ in rows[i]]), return_inverse=True)
+            total = np.zeros((len(used), DIM), kind)
+            np.add.at(total, where, np.concatenate([v for _, v in rows[i]]))
             total[used == 0] = 0
+            found["table"].append((used, total))
+        return found
+
+    def train_batch(self, t: Tokens, y: np.ndarray, weight: np.ndarray, adam: _Adam) -> None:
+        by = self.slopes(t, y, weight)
+        adam.step(self.out, by["out"])
+        adam.step(self.base, by["base"])
+        for own, change in zip([*self.bias, *self.filters], [*by["bias"], *by["filters"]]):
+            adam.step(own, change)
+        for table, (used, total) in zip(self.table, by["table"]):
             table[used] -= np.clip(20 * total, -0.05, 0.05)
 
 
