@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,37 @@ def test_trees_are_the_same_both_ways(table, monkeypatch, share):
     assert one == key(forest.train(table.repartition(5), cfg))
 
 
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_level_trees_are_the_local_trees(spark, table, criterion):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(rng.integers(0, 4)), float(rng.normal()), 5.0, float(i % 7)], int(rng.integers(0, 3))) for i in range(250)]
+    hard = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    few = hard.filter("id < 2")  # of some trees all rows are out of the bag
+    options = [({"max_depth": 3, "bins": 8}, hard, 5), ({"bins": 32, "min_samples_leaf": 4, "max_features": "all"}, hard, 3), ({"max_features": 0.3}, table, 2), ({}, few, 6)]
+    columns = "tree_id node_id is_leaf feature threshold left right n_samples prediction depth".split()
+    for options, rows, trees in options:
+        cfg = forest.ForestConfig(trees, TreeConfig(split="histogram", criterion=criterion, **options))
+        found = []
+        for way in (False, True):
+            model = forest.train(rows.repartition(5) if way else rows, replace(cfg, distributed=way))
+            found.append(model.nodes.orderBy("tree_id", "node_id").collect())
+        assert [[r[c] for c in columns] for r in found[0]] == [[r[c] for c in columns] for r in found[1]]
+        for a, b in zip(*found):
+            assert np.allclose(a["distribution"], b["distribution"]) and a["decrease"] == pytest.approx(b["decrease"], abs=1e-6) and a["impurity"] == pytest.approx(b["impurity"], abs=1e-9)
+    assert max(r["depth"] for r in found[1]) <= 1
+
+
+def test_depth_is_the_longest_way(model):
+    parent = {(r["tree_id"], c): r["node_id"] for r in model.nodes.collect() for c in (r["left"], r["right"]) if c >= 0}
+    depth = {}
+    for r in model.nodes.orderBy("tree_id", "node_id").collect():  # parents first
+        at = (r["tree_id"], r["node_id"])
+        depth[at] = depth[(at[0], parent[at])] + 1 if at in parent else 0
+        assert depth[at] == r["depth"]
+    stats = {r["tree_id"]: r["depth"] for r in model.stats().collect()}
+    assert stats == {t: max(v for (u, _), v in depth.items() if u == t) for t in stats} and max(stats.values()) >= 2
+
+
 def test_samples_dealt_by_shuffle_have_their_share(table, monkeypatch):
     monkeypatch.setattr(forest, "LOCAL_VALUES", 0)
     m = forest.train(table, forest.ForestConfig(n_trees=20, bootstrap=0.5))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +13,20 @@ from . import kernels, series
 STEPS = "array<struct<a: int, b: int>>"
 
 
-def _groups(a: pd.Series, b: pd.Series):
-    """Rows of equal lengths together, as matrices."""
-    shape = pd.Series(list(zip(a.map(len), b.map(len))), index=a.index)
-    for _, rows in shape.groupby(shape, sort=False):
-        at = a.index.get_indexer(rows.index)
-        yield at, np.stack(a.iloc[at].to_list()), np.stack(b.iloc[at].to_list())
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all rows, where each row begins)."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False).astype(float, copy=False), offsets
+
+
+def groups(a: pa.Array, b: pa.Array):
+    """(rows, matrix of a, matrix of b) of rows of equal lengths; rows with a null are in none."""
+    (va, oa), (vb, ob) = _flat(a), _flat(b)
+    there = ~(a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False))
+    shapes = np.stack([np.diff(oa), np.diff(ob)], 1)
+    for n, m in np.unique(shapes[there], axis=0).tolist():
+        at = np.flatnonzero(there & (shapes == (n, m)).all(axis=1))
+        yield at, va[oa[at][:, None] + np.arange(n)], vb[ob[at][:, None] + np.arange(m)]
 
 
 def _require_band(x: np.ndarray, y: np.ndarray, radius: int | None) -> None:
@@ -26,14 +34,21 @@ def _require_band(x: np.ndarray, y: np.ndarray, radius: int | None) -> None:
         raise ValueError("the band is narrower than the difference of the lengths")
 
 
+def _doubles(found: np.ndarray, a: pa.Array, b: pa.Array) -> pa.Array:
+    missing = a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(found, pa.float64(), mask=missing)
+
+
 def dtw(a: Column, b: Column, radius: int | None = None) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.empty(len(a))
-        for at, x, y in _groups(a, b):
+    """Null if a series is."""
+
+    @F.arrow_udf(T.DoubleType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.full(len(a), np.nan)
+        for at, x, y in groups(a, b):
             _require_band(x, y, radius)
             out[at] = kernels.dtw(x, y, radius)
-        return pd.Series(out)
+        return _doubles(out, a, b)
 
     return run(a, b)
 
@@ -41,38 +56,62 @@ def dtw(a: Column, b: Column, radius: int | None = None) -> Column:
 def dtw_cutoff(a: Column, b: Column, cutoff: Column, radius: int | None = None) -> Column:
     """The distance, or infinity if it is above the cutoff."""
 
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        out = np.empty(len(a))
-        for at, x, y in _groups(a, b):
+    @F.arrow_udf(T.DoubleType())
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        out, limit = np.full(len(a), np.nan), c.to_numpy(zero_copy_only=False).astype(float)
+        for at, x, y in groups(a, b):
+            _require_band(x, y, radius)
+            out[at] = kernels.dtw(x, y, radius, limit[at])
+        return _doubles(out, a, b)
+
+    return run(a, b, cutoff.cast("double"))
+
+
+def dtw_cascade(a: Column, b: Column, cutoff: Column, radius: int | None = None) -> Column:
+    """struct<distance, settled>: infinity if a bound already reaches the cutoff, else as dtw_cutoff, and what settled
+    the pair (kernels.SETTLED). Spark runs Python functions on all rows below a CASE, so the bounds are tried inside."""
+
+    @F.arrow_udf("struct<distance: double, settled: string>")
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        out, by, limit = np.full(len(a), np.nan), np.zeros(len(a), np.int8), c.to_numpy(zero_copy_only=False).astype(float)
+        for at, x, y in groups(a, b):
             _require_band(x, y, radius)
-            out[at] = kernels.dtw(x, y, radius, c.to_numpy()[at])
-        return pd.Series(out)
+            out[at], by[at] = kernels.cascade(x, y, radius, limit[at])
+        return pa.StructArray.from_arrays([_doubles(out, a, b), pa.array(kernels.SETTLED).take(pa.array(by))], ["distance", "settled"])
 
-    return run(a, b, cutoff)
+    return run(a, b, cutoff.cast("double"))
 
 
 def dtw_pruned(a: Column, b: Column, cutoff: Column, radius: int | None = None) -> Column:
-    """Infinity if a bound already reaches the cutoff, else as dtw_cutoff. Bounds are native and true ones."""
-    env = series.envelope(b, radius)
-    bound = F.when(series.lb_keogh(a, env) >= cutoff, F.lit(True)).otherwise(series.lb_two_pass(a, b, env, radius) >= cutoff)
-    return F.when(bound, F.lit(float("inf"))).otherwise(dtw_cutoff(a, b, cutoff, radius))
+    """Infinity if a bound already reaches the cutoff, else as dtw_cutoff."""
+    return dtw_cascade(a, b, cutoff, radius)["distance"]
 
 
-def dtw_path(a: Column, b: Column, radius: int | None = None) -> Column:
-    @F.pandas_udf(STEPS)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out: list = [None] * len(a)
-        for at, x, y in _groups(a, b):
+def _paths(a: pa.Array, b: pa.Array, radius_of) -> pa.Array:
+    """An array of steps for each row; null if a series is. radius_of: rows -> (rows, radius) parts."""
+    count, steps = np.zeros(len(a), np.int64), []
+    for at, x, y in groups(a, b):
+        for part, radius in radius_of(at):
+            where = np.searchsorted(at, part)
             _require_band(x, y, radius)
-            for low in range(0, len(at), 512):
-                part = at[low : low + 512]
-                _, row, i, j = kernels.paths(x[low : low + 512], y[low : low + 512], radius)
-                cut = np.searchsorted(row, np.arange(len(part) + 1))
-                for k, place in enumerate(part):
-                    s = slice(cut[k], cut[k + 1])
-                    out[place] = [{"a": int(p), "b": int(q)} for p, q in zip(i[s], j[s])]
-        return pd.Series(out)
+            size = kernels.path_batch(x.shape[1], y.shape[1], radius)
+            for low in range(0, len(part), size):
+                some = where[low : low + size]
+                _, row, i, j = kernels.paths(x[some], y[some], radius)
+                count[at[some]] = np.bincount(row, minlength=len(some))
+                steps.append((at[some][row], i, j))
+    row, i, j = (np.concatenate(v) for v in zip(*steps)) if steps else (np.empty(0, np.int64),) * 3
+    order = np.argsort(row, kind="stable")
+    values = pa.StructArray.from_arrays([pa.array(i[order], pa.int32()), pa.array(j[order], pa.int32())], ["a", "b"])
+    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    missing = np.append(a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing if missing.any() else None), values)
+
+
+def dtw_path(a: Column, b: Column, radius: int | None = None) -> Column:
+    @F.arrow_udf(STEPS)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _paths(a, b, lambda at: [(at, radius)])
 
     return run(a, b)
 
@@ -98,27 +137,29 @@ def dtw_native(a: Column, b: Column, radius: int | None = None) -> Column:
 def register(spark: SparkSession) -> None:
     """dtw, dtw_path, z_normalize and derivative for SQL strings; radius is the third argument, 0 for none."""
 
-    @F.pandas_udf(T.DoubleType())
-    def distance(a: pd.Series, b: pd.Series, r: pd.Series) -> pd.Series:
-        out = np.empty(len(a))
-        for radius in set(r):
-            at = np.flatnonzero(r.to_numpy() == radius)
-            for part, x, y in _groups(a.iloc[at].reset_index(drop=True), b.iloc[at].reset_index(drop=True)):
-                out[at[part]] = kernels.dtw(x, y, int(radius) or None)
-        return pd.Series(out)
-
-    @F.pandas_udf(STEPS)
-    def path(a: pd.Series, b: pd.Series, r: pd.Series) -> pd.Series:
-        steps = []
-        for x, y, radius in zip(a, b, r):
-            _, _, i, j = kernels.paths(np.array(x)[None, :], np.array(y)[None, :], int(radius) or None)
-            steps.append([{"a": int(p), "b": int(q)} for p, q in zip(i, j)])
-        return pd.Series(steps)
+    def by_radius(r: pa.Array):
+        radii = r.to_numpy(zero_copy_only=False)
+        return lambda at: [(at[radii[at] == k], int(k) or None) for k in np.unique(radii[at])]
+
+    @F.arrow_udf(T.DoubleType())
+    def distance(a: pa.Array, b: pa.Array, r: pa.Array) -> pa.Array:
+        out, parts = np.full(len(a), np.nan), by_radius(r)
+        for at, x, y in groups(a, b):
+            for part, radius in parts(at):
+                where = np.searchsorted(at, part)
+                _require_band(x, y, radius)
+                out[part] = kernels.dtw(x[where], y[where], radius)
+        return _doubles(out, a, b)
+
+    @F.arrow_udf(STEPS)
+    def path(a: pa.Array, b: pa.Array, r: pa.Array) -> pa.Array:
+        return _paths(a, b, by_radius(r))
 
     spark.udf.register("dtw", distance)
     spark.udf.register("dtw_path", path)
+    # A value that is used twice is bound by a lambda over an array of one.
     mean = "aggregate(s, 0D, (a, x) -> a + x) / size(s)"
-    std = f"sqrt(aggregate(s, 0D, (a, x) -> a + (x - {mean}) * (x - {mean})) / size(s))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION z_normalize(s ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(s, x -> (x - {mean}) / {std})")
+    moments = f"transform(array({mean}), m -> struct(m, sqrt(aggregate(s, 0D, (a, x) -> a + (x - m) * (x - m)) / size(s)) AS d))[0]"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION z_normalize(s ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(array({moments}), v -> transform(s, x -> (x - v.m) / v.d))[0]")
     slope = "((get(s, i) - get(s, i - 1)) + (get(s, i + 1) - get(s, i - 1)) / 2) / 2"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION derivative(s ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(sequence(1, size(s) - 2), i -> {slope})")

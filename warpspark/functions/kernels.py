@@ -1,14 +1,18 @@
 """Dynamic time warping on batches of pairs, in numpy.
 
-Rows of a batch are independent; each cell of the warping matrix is one vector operation over the batch, so a
-band of radius r costs n (2r + 1) operations whatever the batch. Arrays are laid out (time, batch).
+Rows of a batch are independent, and arrays are laid out (time, batch). Of the warping matrix two rows are kept, and of
+those the band: a cell's place is its distance from the band's left edge, so with a radius r a row has 2 r + 1 cells
+whatever the length, and time is linear in it. The cells' costs and the smaller of the two cells above are made for a
+whole row at once; just the step from the left goes cell by cell. Batches are cut by what their buffers take.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BATCH = 4096
+BATCH = 4096  # pairs of a batch, at most
+BUFFER = 16 << 20  # bytes of a batch's buffers, about
+MOVES = 64 << 20  # bytes of the moves that a batch of paths keeps, about
 INF = np.inf
 
 
@@ -16,41 +20,98 @@ def _row(i: int, m: int, radius: int | None) -> tuple[int, int]:
     return (0, m) if radius is None else (max(0, i - radius), min(m, i + radius + 1))
 
 
+def band(n: int, m: int, radius: int | None) -> tuple[int, int]:
+    """(radius, width): a band that is wider than the matrix is all of it."""
+    radius = max(n, m) if radius is None else min(radius, max(n, m))
+    return radius, min(m, 2 * radius + 1)
+
+
+def batch_size(n: int, m: int, radius: int | None) -> int:
+    return max(1, min(BATCH, BUFFER // (8 * (n + m + 5 * (band(n, m, radius)[1] + 2)))))
+
+
+def path_batch(n: int, m: int, radius: int | None) -> int:
+    """Pairs whose moves, a byte for each cell of the band, fit into MOVES."""
+    return max(1, min(batch_size(n, m, radius), MOVES // (n * band(n, m, radius)[1])))
+
+
 def dtw(a: np.ndarray, b: np.ndarray, radius: int | None, cutoff: np.ndarray | None = None) -> np.ndarray:
     """Distances of the rows of a (B, n) and b (B, m): root of the least sum of squared differences along a
     path of steps down, right and diagonal. With cutoff (B,), infinite where the distance is above it; rows
     whose best cell is above it are dropped early."""
     out = np.empty(len(a))
-    for at in range(0, len(a), BATCH):
-        s = slice(at, at + BATCH)
+    step = batch_size(a.shape[1], b.shape[1], radius)
+    for at in range(0, len(a), step):
+        s = slice(at, at + step)
         out[s] = _dtw(a[s], b[s], radius, None if cutoff is None else cutoff[s])
     return out
 
 
+class _Band:
+    """Two rows of the matrix. Cell j of a row that begins at column lo is held at j - lo + 1; the places around
+    are infinite."""
+
+    def __init__(self, width: int, size: int):
+        self.before, self.now = np.full((width + 2, size), INF), np.full((width + 2, size), INF)
+        self.best, self.cost = np.empty((width, size)), np.empty((width, size))
+        self.lo, self.hi = 0, 0  # of the row before
+
+    def first(self, a: np.ndarray, b: np.ndarray, hi: int) -> None:
+        """The top row: all steps come from the left."""
+        cost = self.cost[:hi]
+        np.subtract(a[0], b[:hi], out=cost)
+        np.multiply(cost, cost, out=cost)
+        np.cumsum(cost, axis=0, out=self.before[1 : hi + 1])
+        self.lo, self.hi = 0, hi
+
+    def above(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(diagonal, above): the cells of the row before that end in columns lo..hi - 1, one to the left and straight."""
+        at = lo - self.lo
+        return self.before[at : at + hi - lo], self.before[at + 1 : at + 1 + hi - lo]
+
+    def turn(self, lo: int, hi: int) -> None:
+        self.now[0] = INF
+        self.now[hi - lo + 1 :] = INF
+        self.before, self.now, self.lo, self.hi = self.now, self.before, lo, hi
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.before = np.ascontiguousarray(self.before[:, rows])
+        size = self.before.shape[1]
+        self.now, self.best, self.cost = np.full((len(self.now), size), INF), np.empty((len(self.best), size)), np.empty((len(self.cost), size))
+
+
 def _dtw(a, b, radius, cutoff):
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     n, m, size = len(a), len(b), a.shape[1]
+    radius, width = band(n, m, radius)
     limit = None if cutoff is None else np.where(cutoff < 0, -1.0, cutoff * cutoff)
     alive = np.arange(size)
     out = np.full(size, INF)
-    before = np.full((m + 1, size), INF)
-    before[0] = 0.0
+    rows = _Band(width, size)
+    rows.first(a, b, _row(0, m, radius)[1])
     for i in range(n):
         lo, hi = _row(i, m, radius)
-        now = np.full((m + 1, before.shape[1]), INF)
-        for j in range(lo, hi):
-            best = np.minimum(before[j], before[j + 1])
-            np.minimum(best, now[j], out=best)
-            d = a[i] - b[j]
-            now[j + 1] = best + d * d
-        before = now
+        if hi <= lo:  # the band has left the matrix
+            return out
+        if i:
+            diagonal, above = rows.above(lo, hi)
+            best, cost, now = rows.best[: hi - lo], rows.cost[: hi - lo], rows.now
+            np.minimum(diagonal, above, out=best)
+            np.subtract(a[i], b[lo:hi], out=cost)
+            np.multiply(cost, cost, out=cost)
+            now[0] = INF
+            for k in range(hi - lo):
+                np.minimum(best[k], now[k], out=best[k])
+                np.add(best[k], cost[k], out=now[k + 1])
+            rows.turn(lo, hi)
         if limit is not None and i < n - 1:
-            keep = now[lo + 1 : hi + 1].min(axis=0) <= limit
+            keep = rows.before[1 : hi - lo + 1].min(axis=0) <= limit
             if keep.sum() < len(keep) / 2:
-                a, b, before, limit, alive = a[:, keep], b[:, keep], before[:, keep], limit[keep], alive[keep]
+                a, b, limit, alive = np.ascontiguousarray(a[:, keep]), np.ascontiguousarray(b[:, keep]), limit[keep], alive[keep]
+                rows.keep(keep)
                 if not len(alive):
                     return out
-    total = before[m]
+    total = rows.before[m - rows.lo] if rows.hi == m else np.full(len(alive), INF)
     if limit is not None:
         total = np.where(total > limit, INF, total)
     out[alive] = np.sqrt(total)
@@ -59,32 +120,56 @@ def _dtw(a, b, radius, cutoff):
 
 def paths(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distance, row, i, j): the steps of all pairs from (0, 0) on, ordered by row and step. Where several
-    predecessors are equal the diagonal goes before the one above, and that before the left one."""
+    predecessors are equal the diagonal goes before the one above, and that before the left one. Keeps a byte for each
+    cell of the band (see path_batch())."""
     a_t, b_t = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     n, m, size = len(a_t), len(b_t), a_t.shape[1]
-    move = np.zeros((n, m, size), np.uint8)  # 0 diagonal, 1 above, 2 left
-    before = np.full((m + 1, size), INF)
-    before[0] = 0.0
-    for i in range(n):
-        now = np.full((m + 1, size), INF)
-        for j in range(*_row(i, m, radius)):
-            diagonal, above, left = before[j], before[j + 1], now[j]
-            best = np.minimum(np.minimum(diagonal, above), left)
-            move[i, j] = np.where(diagonal <= best, 0, np.where(above <= best, 1, 2))
-            d = a_t[i] - b_t[j]
-            now[j + 1] = best + d * d
-        before = now
+    radius, width = band(n, m, radius)
+    move = np.zeros((n, width, size), np.uint8)  # of the band's cells: 0 diagonal, 1 above, 2 left
+    rows = _Band(width, size)
+    rows.first(a_t, b_t, _row(0, m, radius)[1])
+    move[0] = 2
+    for i in range(1, n):
+        lo, hi = _row(i, m, radius)
+        diagonal, above = rows.above(lo, hi)
+        best, cost, now = rows.best[: hi - lo], rows.cost[: hi - lo], rows.now
+        np.minimum(diagonal, above, out=best)
+        np.subtract(a_t[i], b_t[lo:hi], out=cost)
+        np.multiply(cost, cost, out=cost)
+        np.copyto(move[i, : hi - lo], above < diagonal)
+        now[0] = INF
+        for k in range(hi - lo):
+            left = now[k] < best[k]
+            np.minimum(best[k], now[k], out=best[k])
+            move[i, k][left] = 2
+            np.add(best[k], cost[k], out=now[k + 1])
+        rows.turn(lo, hi)
+    distance = np.sqrt(rows.before[m - rows.lo])
     row, i, j = np.arange(size), np.full(size, n - 1), np.full(size, m - 1)
     found = []
     while len(row):
         found.append((row, i, j))
         go = (i > 0) | (j > 0)
         row, i, j = row[go], i[go], j[go]
-        step = np.where(i == 0, 2, np.where(j == 0, 1, move[i, j, row]))
+        step = np.where(i == 0, 2, np.where(j == 0, 1, move[i, j - np.maximum(0, i - radius), row]))
         i, j = i - (step != 2), j - (step != 1)
-    rows, ii, jj = (np.concatenate(x)[::-1] for x in zip(*found))
-    order = np.argsort(rows, kind="stable")
-    return np.sqrt(before[m]), rows[order], ii[order], jj[order]
+    rows_, ii, jj = (np.concatenate(x)[::-1] for x in zip(*found))
+    order = np.argsort(rows_, kind="stable")
+    return distance, rows_[order], ii[order], jj[order]
+
+
+def _window(x: np.ndarray, radius: int, of: np.ufunc, rest: float) -> np.ndarray:
+    """The ufunc over 2 radius + 1 neighbours: blocks of that width, running from their left and from their right, so a
+    place costs the same whatever the radius."""
+    count, n = x.shape
+    width = 2 * radius + 1
+    blocks = -(-(n + 2 * radius) // width)
+    padded = np.full((count, blocks * width), rest)
+    padded[:, radius : radius + n] = x
+    cut = padded.reshape(count, blocks, width)
+    left = of.accumulate(cut, axis=2).reshape(count, -1)
+    right = of.accumulate(cut[:, :, ::-1], axis=2)[:, :, ::-1].reshape(count, -1)
+    return of(right[:, :n], left[:, width - 1 : width - 1 + n])
 
 
 def envelopes(x: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +177,7 @@ def envelopes(x: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray
     n = x.shape[1]
     if radius is None or radius >= n:
         return np.repeat(x.max(axis=1, keepdims=True), n, 1), np.repeat(x.min(axis=1, keepdims=True), n, 1)
-    pad = lambda v: np.pad(x, ((0, 0), (radius, radius)), constant_values=v)
-    view = lambda p: np.lib.stride_tricks.sliding_window_view(p, 2 * radius + 1, axis=1)
-    return view(pad(-INF)).max(axis=2), view(pad(INF)).min(axis=2)
+    return _window(x, radius, np.maximum, -INF), _window(x, radius, np.minimum, INF)
 
 
 def lb_keogh(q: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -103,9 +186,28 @@ def lb_keogh(q: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def lb_two_pass(q: np.ndarray, c: np.ndarray, upper: np.ndarray, lower: np.ndarray, radius: int | None) -> np.ndarray:
-    """Lemire's bound of rows q against one series c with its envelope; never above the distance."""
+    """Lemire's bound of rows q against one series c, or a row of c each, with its envelope; never above the distance."""
     clipped_upper, clipped_lower = envelopes(np.clip(q, lower, upper), radius)
-    return np.hypot(lb_keogh(q, upper, lower), lb_keogh(c[None, :], clipped_upper, clipped_lower))
+    return np.hypot(lb_keogh(q, upper, lower), lb_keogh(c, clipped_upper, clipped_lower))
+
+
+#: What settled a pair of cascade(): each of both bounds, the distance beyond the cutoff, or within it.
+SETTLED = ("keogh", "two_pass", "cutoff", "distance")
+
+
+def cascade(a: np.ndarray, b: np.ndarray, radius: int | None, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, which of SETTLED) of rows a and b with their cutoffs: infinite if a bound reaches the cutoff, and only
+    what both bounds let pass is warped. Bounds hold for equal lengths; other pairs are all warped."""
+    out, by = np.full(len(a), INF), np.zeros(len(a), np.int8)
+    at = np.arange(len(a))
+    if a.shape[1] == b.shape[1]:
+        upper, lower = envelopes(b, radius)
+        at = np.flatnonzero(lb_keogh(a, upper, lower) < cutoff)
+        by[at] = 1
+        at = at[lb_two_pass(a[at], b[at], upper[at], lower[at], radius) < cutoff[at]]
+    out[at] = dtw(a[at], b[at], radius, cutoff[at])
+    by[at] = np.where(np.isfinite(out[at]), 3, 2)
+    return out, by
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +230,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[n
 def align_sums(x: np.ndarray, centroid: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the centroid, the sum and number of the values that the rows' paths bring there."""
     sums, counts = np.zeros(len(centroid)), np.zeros(len(centroid))
-    step = max(1, min(BATCH, 32_000_000 // (len(centroid) * x.shape[1])))
+    step = path_batch(len(centroid), x.shape[1], radius)
     for at in range(0, len(x), step):
         part = x[at : at + step]
         _, row, i, j = paths(np.broadcast_to(centroid, (len(part), len(centroid))), part, radius)

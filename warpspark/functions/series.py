@@ -66,12 +66,45 @@ def derivative(s: Column) -> Column:
     return let(s, slopes)
 
 
+NARROW = 3  # radii up to which a place's neighbours are looked at one by one
+
+
+def _block_scans(s: Column, width: int, of) -> Column:
+    """struct<left, right>: the extreme of each place's block so far, from the block's left end and from its right."""
+
+    def scan(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<double>"), lambda done, x: F.concat(done, F.array(of(F.get(done, F.size(done) - 1), x))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / width).cast("int")), lambda b: F.slice(s, b * width + 1, width))
+    return let(blocks, lambda cut: F.struct(F.flatten(F.transform(cut, scan)).alias("left"), F.flatten(F.transform(cut, lambda x: F.reverse(scan(F.reverse(x))))).alias("right")))
+
+
+def _sliding(s: Column, radius: int, of) -> Column:
+    """The extreme of 2 radius + 1 neighbours, by two scans of blocks of that width: a window is the end of one block and the
+    beginning of the next, so a place costs the same for every radius."""
+    width = 2 * radius + 1
+
+    def place(v: Column):
+        def one(i: Column) -> Column:
+            low, high = F.greatest(i - radius, F.lit(0)), F.least(i + radius, F.size(v["left"]) - 1)
+            first = F.floor(low / width) == 0
+            same = F.floor(low / width) == F.floor(high / width)
+            left, right = F.get(v["left"], high), F.get(v["right"], low)
+            return F.when((low == 0) & (first & same), left).when(same, right).otherwise(of(left, right))
+
+        return one
+
+    return let(_block_scans(s, width, of), lambda v: F.transform(_positions(v["left"]), place(v)))
+
+
 def envelope(s: Column, radius: int | None) -> Column:
     """struct<upper, lower>: the largest and least value within radius of each place (of all, if None)."""
 
     def of(s: Column) -> Column:
         if radius is None:
             high, low = F.array_repeat(F.array_max(s), F.size(s)), F.array_repeat(F.array_min(s), F.size(s))
+        elif radius > NARROW:
+            high, low = _sliding(s, radius, F.greatest), _sliding(s, radius, F.least)
         else:
             first = lambda i: F.greatest(i - radius, F.lit(0))
             part = lambda i: F.slice(s, first(i) + 1, F.least(i + radius, F.size(s) - 1) - first(i) + 1)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..rng import uniform
 from . import forest as RF
+from .running import ranked
 
 
 def confusion(df: DataFrame, n_classes: int) -> DataFrame:
@@ -47,9 +47,9 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, n_folds: int, seed: int, label: str = "label") -> DataFrame:
-    """df with fold: rows of each class in keyed order, dealt round robin."""
-    w = W.partitionBy(label).orderBy(uniform(seed, "fold", F.col("id")), "id")
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % n_folds).cast("int"))
+    """df with fold: rows of each class in keyed order, dealt round robin. A class may hold nearly all rows."""
+    nth = ranked(df.withColumn("__u", uniform(seed, "fold", F.col("id"))), [label], ["__u", "id"], "__nth")
+    return nth.select(*df.columns, ((F.col("__nth") - 1) % n_folds).cast("int").alias("fold"))
 
 
 def cross_validate(df: DataFrame, cfg: RF.ForestConfig, n_folds: int = 5, feature_names: list[str] | None = None) -> dict:

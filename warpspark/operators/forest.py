@@ -1,14 +1,18 @@
-"""Random forest: trees by tasks, everything after that by DataFrame operations over the nodes.
+"""Random forest: trees by tasks or level by level, everything after that by DataFrame operations over the nodes.
 
-A tree needs its whole bootstrap sample at once. The training table is sent to the executors if it has at most
-LOCAL_VALUES numbers (counted first); beyond that each tree's sample is dealt to its task by a shuffle. Either way it
-is drawn row by row from keyed numbers, so the trees are the same.
+The training table is sent to the executors if it has at most LOCAL_VALUES numbers (counted first), and each tree grows
+in a task. Beyond that, histogram trees grow level by level over the distributed table (levels.py), with no more of a
+tree in a task than a node's counts; exact and extra-trees splits need a node's values, so each tree's sample is dealt
+to its task by a shuffle. Samples, and the features of a histogram tree's nodes, are drawn from keyed numbers, so the
+trees are the same either way.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,11 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import errors
 from ..functions import series as S
 from ..rng import derived_seed, uniform, uniform_value
+from .levels import bin_edges, grow_levels
 from .pairwise import matrix
-from .trees import NODE_SCHEMA, Tree, TreeConfig, grow, resolve_max_features
+from .running import inner_edges, running_sums
+from .trees import NODE_SCHEMA, Tree, TreeConfig, feature_edges, grow, keyed_features, resolve_max_features
 
 LOCAL_VALUES = 16_000_000
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2  # 2: nodes have a depth
 FOREST_SCHEMA = f"tree_id int, {NODE_SCHEMA}"
 
 
@@ -37,6 +43,7 @@ class ForestConfig:
     bootstrap: float = 1.0
     oob: bool = False
     seed: int = 42
+    distributed: bool | None = None  # whether the training table stays where it is; by its size if None
 
     def __post_init__(self):
         if self.n_trees < 1:
@@ -55,8 +62,8 @@ class Forest:
     oob: DataFrame | None = None  # (tree_id, id)
 
     def stats(self) -> DataFrame:
-        """(tree_id, n_nodes, n_leaves)."""
-        return self.nodes.groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"))
+        """(tree_id, n_nodes, n_leaves, depth); a tree that is one leaf has depth 0."""
+        return self.nodes.groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.max("depth").alias("depth"))
 
     def trees(self) -> dict[int, Tree]:
         by: dict[int, list] = {}
@@ -112,23 +119,28 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
     names = feature_names or [f"f{i}" for i in range(n_features)]
     spark = df.sparkSession
     counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed, cfg.bootstrap)
-    if n * (n_features + 1) <= LOCAL_VALUES:
+    histogram = cfg.tree.split == "histogram"
+    if n * (n_features + 1) <= LOCAL_VALUES if cfg.distributed is None else not cfg.distributed:
         pdf = df.select("id", "features", "label").toPandas().sort_values("id", kind="stable")
         ids, x, y = pdf["id"].to_numpy(), np.stack(pdf["features"].to_list()), pdf["label"].to_numpy()
-        sent = spark.sparkContext.broadcast((x, y))  # LOCAL_VALUES numbers at most
+        edges = [feature_edges(x[:, f], cfg.tree.bins) for f in range(n_features)] if histogram else None
+        sent = spark.sparkContext.broadcast((x, y, edges))  # LOCAL_VALUES numbers at most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, y, edges = sent.value
             for batch in batches:
                 for tree in batch["id"]:
                     rows = np.repeat(np.arange(n), bag_counts(ids, tree, cfg.seed, cfg.bootstrap))
                     rows = rows if len(rows) else np.arange(n)  # a few rows may all be out of the bag
-                    nodes = pd.DataFrame(grow(sent.value[0][rows], sent.value[1][rows], n_classes, cfg.tree, derived_seed(cfg.seed, "tree", tree)))
+                    chosen = keyed_features(cfg.seed, tree, n_features, cfg.tree) if histogram else None
+                    nodes = pd.DataFrame(grow(x[rows], y[rows], n_classes, cfg.tree, derived_seed(cfg.seed, "tree", tree), edges, chosen))
                     nodes.insert(0, "tree_id", tree)
                     yield nodes
 
         slices = min(cfg.n_trees, 4 * spark.sparkContext.defaultParallelism)
         nodes = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(run, FOREST_SCHEMA).persist()
-
+    elif histogram:
+        nodes = grow_levels(df.select("id", "features", "label"), counts, bin_edges(df, n_features, cfg.tree.bins), cfg.n_trees, n_classes, cfg.tree, cfg.seed)
     else:
         used = df.join(counts.filter("n > 0"), "id")
 
@@ -259,29 +271,43 @@ def load(spark: SparkSession, path: str) -> Forest:
 # Splits of one node over a whole table: native.
 
 
+def _long(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(label, feature, value): a row for each feature of each row."""
+    every = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    return df.select(F.col(label).alias("label"), F.explode(every).alias("v")).select("label", "v.*")
+
+
 def exact_splits(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, threshold, decrease) of each feature's best Gini split. Values are counted by class first, so
-    the running counts go over distinct values; features are partitions of the windows."""
-    long = df.select(F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("v"))
-    counts = long.groupBy("v.feature", "v.value", "label").agg(F.count("*").alias("n"))
-    by_class = W.partitionBy("feature", "label").orderBy("value")
-    classes = counts.select("feature", "label").distinct()
-    grid = counts.select("feature", "value").distinct().join(classes, "feature").join(counts, ["feature", "value", "label"], "left").na.fill(0, ["n"])
-    left = grid.withColumn("l", F.sum("n").over(by_class)).withColumn("t", F.sum("n").over(W.partitionBy("feature", "label")))
-    sums = left.groupBy("feature", "value").agg(F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("l2"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("t2"), F.sum((F.col("t") - F.col("l")) * (F.col("t") - F.col("l"))).alias("r2"))
-    after = F.lead("value").over(W.partitionBy("feature").orderBy("value"))
+    """(feature, threshold, decrease) of each feature's best Gini split. Values are counted by class first; the counts
+    run over distinct values, range by range (running_sums), so a feature's values need not meet in one task."""
+    long = _long(df, features, label)
+    classes = sorted(r["label"] for r in long.select("label").distinct().collect())  # classes
+    own = [f"c{i}" for i in range(len(classes))]
+    by_class = [F.sum((F.col("label") == c).cast("long")).alias(name) for name, c in zip(own, classes)]
+    counts = long.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(*by_class)
+    runs = running_sums(counts, ["feature"], ["value"], own, ("value",)).filter(F.col("before_value").isNotNull())
+    totals = counts.groupBy("feature").agg(*[F.sum(c).alias(f"t_{c}") for c in own])  # a row for each feature
+    left = [F.col(f"run_{c}") - F.col(c) for c in own]
+    total = [F.col(f"t_{c}") for c in own]
+    add = lambda parts: functools.reduce(operator.add, parts)
+    n, nl = add(total), add(left)
+    nr = n - nl
     # n I = n - sum(c^2) / n for Gini.
-    nr = F.col("n") - F.col("nl")
-    decrease = F.try_divide("l2", "nl") + F.try_divide(F.col("r2"), nr) - F.col("t2") / F.col("n")
-    rows = sums.withColumn("threshold", (F.col("value") + after) / 2).filter(F.col("threshold").isNotNull()).withColumn("decrease", decrease)
+    decrease = add([x * x for x in left]) / nl + add([(t - x) * (t - x) for t, x in zip(total, left)]) / nr - add([t * t for t in total]) / n
+    rows = runs.join(F.broadcast(totals), "feature").select("feature", ((F.col("before_value") + F.col("value")) / 2).alias("threshold"), decrease.alias("decrease"))
     best = F.max_by(F.struct("threshold", "decrease"), F.struct(F.round("decrease", 9), -F.col("threshold"))).alias("b")
     return rows.groupBy("feature").agg(best).select("feature", "b.threshold", "b.decrease")
 
 
+def histogram_thresholds(df: DataFrame, features: list[str], bins: int) -> DataFrame:
+    """(feature, threshold): the inner quantiles of each feature, exact and without a state that grows with its values."""
+    edges = inner_edges(_long(df.withColumn("__none", F.lit(0)), features, "__none").filter(F.col("value").isNotNull()), bins)
+    return edges.select("feature", F.explode("edges").alias("threshold"))
+
+
 def threshold_splits(df: DataFrame, thresholds: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, threshold, decrease) of given thresholds (feature, threshold); few of them for each feature."""
-    long = df.select(F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("v"))
-    counts = long.groupBy("v.feature", "v.value", "label").agg(F.count("*").alias("n"))
+    counts = _long(df, features, label).groupBy("feature", "value", "label").agg(F.count("*").alias("n"))
     sides = counts.join(thresholds, "feature").groupBy("feature", "threshold", "label").agg(F.sum(F.when(F.col("value") <= F.col("threshold"), F.col("n")).otherwise(0)).alias("l"), F.sum("n").alias("t"))
     sums = sides.groupBy("feature", "threshold").agg(F.sum("l").alias("nl"), F.sum(F.col("l") * F.col("l")).alias("l2"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("t2"), F.sum((F.col("t") - F.col("l")) * (F.col("t") - F.col("l"))).alias("r2"))
     decrease = F.try_divide("l2", "nl") + F.try_divide(F.col("r2"), F.col("n") - F.col("nl")) - F.col("t2") / F.col("n")

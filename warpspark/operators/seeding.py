@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..rng import uniform, uniform_value
 from .pairwise import against
+from .running import running_sums
 
 
 def first_choice(df: DataFrame, seed: int) -> int:
@@ -32,12 +33,10 @@ def exponential_race(weights: DataFrame, seed: int, round_: int) -> DataFrame:
 
 def weighted_draw(weights: DataFrame, threshold: float) -> DataFrame:
     """(id): the first id at which the running sum of weights, by id, is above the threshold (a share of the
-    total). The running sum orders all rows in one place; exponential_race() is the way for many rows."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    run = weights.select("id", F.sum("w").over(w).alias("run"), F.sum("w").over(Window.partitionBy()).alias("all"))
-    return run.filter(F.col("run") > threshold * F.col("all")).agg(F.min("id").alias("id"))
+    total). weights: (id, w), none below 0. exponential_race() draws with one aggregate and is what seeding uses."""
+    runs = running_sums(weights.select("id", "w"), [], ["id"], ["w"])
+    total = runs.agg(F.max("run_w")).first()[0]
+    return runs.filter(F.col("run_w") > F.lit(threshold) * F.lit(total)).agg(F.min("id").alias("id"))
 
 
 def plus_plus(df: DataFrame, k: int, radius: int | None, seed: int) -> np.ndarray:

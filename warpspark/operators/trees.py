@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
 from .. import errors
+from ..rng import uniform_value
 
 SPLITS = ("exact", "extra-trees", "histogram")
 
@@ -64,10 +66,25 @@ def feature_edges(column: np.ndarray, bins: int) -> np.ndarray:
     low, high = column.min(), column.max()
     if low == high:
         return np.empty(0)
-    edges = np.unique(np.quantile(column, np.arange(1, bins) / bins))
+    values = np.sort(column)
+    place = (len(values) - 1) * np.arange(1, bins) / bins
+    floor = np.floor(place).astype(np.int64)
+    a, b, t = values[floor], values[np.minimum(floor + 1, len(values) - 1)], place - floor
+    edges = np.unique(np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t))
     return edges[(edges > low) & (edges < high)]
 
 
+def keyed_features(seed: int, tree: int, n_features: int, cfg: TreeConfig) -> Callable[[str], np.ndarray]:
+    """The features that a node may split by, in order, from numbers keyed by tree and the node's path ('' for the
+    root, then L and R), so that they don't depend on the order in which nodes are made."""
+    take = resolve_max_features(cfg.max_features, n_features)
+
+    def chosen(path: str) -> np.ndarray:
+        return np.array(sorted(range(n_features), key=lambda f: (uniform_value(seed, "feature", tree, path, f), f))[:take])
+
+    return chosen
+
+
 def _cuts(onehot: np.ndarray, groups: np.ndarray, n_groups: int) -> np.ndarray:
     """Running class counts after each group."""
     out = np.zeros((n_groups, onehot.shape[1]))
@@ -107,6 +124,8 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
         if not allowed.any():
             continue
         gain = np.where(allowed, parent - n_left * impurity(left, cfg.criterion) - n_right * impurity(right, cfg.criterion), -np.inf)
+        if cfg.split == "histogram":
+            gain = np.round(gain, 9)  # so that ties are ties, however the counts were summed
         at = int(np.argmax(gain))
         if best is None or gain[at] > best[2]:
             best = (int(f), float(thresholds[at]), float(gain[at]))
@@ -114,29 +133,34 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
 
 
 #: Columns of a tree's nodes; feature is -1 in leaves.
-NODE_SCHEMA = "node_id int, is_leaf boolean, feature int, threshold double, left int, right int, impurity double, n_samples long, decrease double, prediction int, distribution array<double>"
+NODE_SCHEMA = "node_id int, is_leaf boolean, feature int, threshold double, left int, right int, impurity double, n_samples long, decrease double, prediction int, distribution array<double>, depth int"
 
 
-def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: int) -> list[dict]:
-    """Nodes in pre-order, the root first. Leaves predict the commonest class, of ties the greatest."""
+def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: int, edges: list[np.ndarray] | None = None, chosen: Callable[[str], np.ndarray] | None = None) -> list[dict]:
+    """Nodes in pre-order, the root first. Leaves predict the commonest class, of ties the greatest. edges: of each
+    feature's bins, from these rows if not given; chosen: gives the features of a node by its path, drawn from the
+    seed if not given."""
     rng = np.random.default_rng(seed)
     take = resolve_max_features(cfg.max_features, x.shape[1])
-    edges = [feature_edges(x[:, f], cfg.bins) for f in range(x.shape[1])] if cfg.split == "histogram" else None
+    if edges is None and cfg.split == "histogram":
+        edges = [feature_edges(x[:, f], cfg.bins) for f in range(x.shape[1])]
     onehot = np.eye(n_classes)[y]
     nodes: list[dict] = []
-    waiting = [(np.arange(len(x)), 0, -1, "")]
+    waiting = [(np.arange(len(x)), "", -1, "")]
     while waiting:
-        rows, depth, parent, side = waiting.pop()
+        rows, path, parent, side = waiting.pop()
+        depth = len(path)
         counts = onehot[rows].sum(axis=0)
         pure = float(impurity(counts, cfg.criterion))
         node = {"node_id": len(nodes), "is_leaf": True, "feature": -1, "threshold": 0.0, "left": -1, "right": -1, "impurity": pure, "n_samples": len(rows), "decrease": 0.0}
-        node |= {"prediction": int(n_classes - 1 - np.argmax(counts[::-1])), "distribution": (counts / len(rows)).tolist()}
+        node |= {"prediction": int(n_classes - 1 - np.argmax(counts[::-1])), "distribution": (counts / len(rows)).tolist(), "depth": depth}
         nodes.append(node)
         if parent >= 0:
             nodes[parent][side] = node["node_id"]
         if len(rows) < cfg.min_samples_split or pure == 0 or (cfg.max_depth is not None and depth >= cfg.max_depth):
             continue
-        found = best_split(x[rows], onehot[rows], rng.permutation(x.shape[1])[:take], cfg, rng, edges)
+        features = chosen(path) if chosen else rng.permutation(x.shape[1])[:take]
+        found = best_split(x[rows], onehot[rows], features, cfg, rng, edges)
         if found is None:
             continue
         f, threshold, gain = found
@@ -144,8 +168,8 @@ def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: in
         if goes_left.all() or not goes_left.any():
             continue
         node |= {"is_leaf": False, "feature": f, "threshold": threshold, "decrease": gain}
-        waiting.append((rows[~goes_left], depth + 1, node["node_id"], "right"))
-        waiting.append((rows[goes_left], depth + 1, node["node_id"], "left"))
+        waiting.append((rows[~goes_left], path + "R", node["node_id"], "right"))
+        waiting.append((rows[goes_left], path + "L", node["node_id"], "left"))
     return nodes
 
 

@@ -91,8 +91,8 @@ def _dlist(s: str) -> str:
     return f"list_transform(range(2, len({s})), lambda i: (({s}[i] - {s}[i-1]) + ({s}[i+1] - {s}[i-1]) / 2) / 2)"
 
 
-def _envelope(s: str, what: str) -> str:
-    return f"list_transform(range(1, len({s}) + 1), lambda i: list_{what}({s}[greatest(i-{R}, 1):least(i+{R}, len({s}))]))"
+def _envelope(s: str, what: str, r: int = R) -> str:
+    return f"list_transform(range(1, len({s}) + 1), lambda i: list_{what}({s}[greatest(i-{r}, 1):least(i+{r}, len({s}))]))"
 
 
 def _gap(x: str, up: str, low: str) -> str:
@@ -149,7 +149,17 @@ def a04_preprocess(spark, d):
 
 @query(f"WITH {_A} SELECT id, unnest(range(len(u))) AS pos, {_out('unnest(u)')} AS upper, {_out('unnest(l)')} AS lower FROM (SELECT id, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM a)")
 def a05_envelope(spark, d):
-    env = S.envelope(F.col("series"), R)
+    return _envelopes(spark, d, R)
+
+
+@query(f"WITH {_A} SELECT id, unnest(range(len(u))) AS pos, {_out('unnest(u)')} AS upper, {_out('unnest(l)')} AS lower FROM (SELECT id, {_envelope('s', 'max', 20)} AS u, {_envelope('s', 'min', 20)} AS l FROM a)")
+def a05b_wide_envelope(spark, d):
+    """By scans of blocks, as for every radius above three."""
+    return _envelopes(spark, d, 20)
+
+
+def _envelopes(spark, d, radius: int) -> DataFrame:
+    env = S.envelope(F.col("series"), radius)
     zipped = series_a(spark, d).select("id", F.arrays_zip(env["upper"].alias("u"), env["lower"].alias("l")).alias("z"))
     rows = zipped.select("id", F.posexplode("z").alias("pos", "z"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), _r("z.u").alias("upper"), _r("z.l").alias("lower"))
@@ -225,6 +235,17 @@ def a10_dtw_pruned(spark, d):
     return rows.select("id", "c", _finite(F.col("dist")).alias("dist"))
 
 
+@query(f"""{_TO_CENT}, cut AS (SELECT i, round(median(dist), 3) AS m FROM dist GROUP BY i), ce AS (SELECT c, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM cent),
+  clipped AS (SELECT a.id, c, a.s AS q, ce.s AS s, u, l, list_transform(range(1, len(a.s) + 1), lambda i: greatest(least(a.s[i], u[i]), l[i])) AS h FROM a, ce),
+  h AS (SELECT *, {_envelope('h', 'max')} AS hu, {_envelope('h', 'min')} AS hl, list_sum(list_transform(range(1, len(q) + 1), lambda i: {_gap('q[i]', 'u[i]', 'l[i]')} ** 2)) AS one FROM clipped),
+  b AS (SELECT id, c, sqrt(one) AS keogh, sqrt(one + list_sum(list_transform(range(1, len(q) + 1), lambda i: {_gap('s[i]', 'hu[i]', 'hl[i]')} ** 2))) AS both FROM h)
+  SELECT CASE WHEN keogh >= m THEN 'keogh' WHEN both >= m THEN 'two_pass' WHEN dist > m THEN 'cutoff' ELSE 'distance' END AS settled, count(*) AS n FROM b JOIN dist ON i = id AND j = c JOIN cut USING (i) GROUP BY 1""")
+def a10b_cascade(spark, d):
+    """What settled each pair of a10: the first bound, the second, or (cutoff, distance) a warping, whose number it counts."""
+    rows = _cutoffs(spark, d).select(D.dtw_cascade(F.col("series"), F.col("centroid"), F.col("cutoff"), R)["settled"].alias("settled"))
+    return rows.groupBy("settled").agg(F.count("*").alias("n"))
+
+
 # Cells of the warping matrix by row t and offset o = j - t, and the way back from the last one: the diagonal before
 # the cell above, that before the left one.
 def path_cte(pairs: str, left: str) -> str:
@@ -292,7 +313,7 @@ _EDGES = "e AS (SELECT list_distinct(quantile_cont(p_retailprice, list_transform
 
 @query(f"WITH {_EDGES} SELECT {_out('edge')} AS edge FROM edges WHERE edge > lo AND edge < hi")
 def g21_quantile_edges(spark, d):
-    return _t(spark, d, "part").agg(S.quantile_edges(F.col("p_retailprice"), 16).alias("e")).select(F.explode("e").alias("edge")).select(_r("edge").alias("edge"))
+    return forest.histogram_thresholds(_t(spark, d, "part"), ["p_retailprice"], 16).select(_r("threshold").alias("edge"))
 
 
 @query(f"WITH {_EDGES}, ok AS (SELECT round(edge, 6) AS edge FROM edges WHERE edge > lo AND edge < hi), p AS (SELECT round(p_retailprice, 6) AS v FROM part), b AS (SELECT (SELECT count(*) FROM ok WHERE edge < v) AS bin FROM p) SELECT bin, count(*) AS n FROM b GROUP BY bin")
@@ -637,9 +658,7 @@ def f02_extra_trees_split(spark, d):
 @query(f"WITH {_LONG}, e AS (SELECT feature, min(value) AS lo, max(value) AS hi, list_distinct(quantile_cont(value, list_transform(range(1, 16), lambda i: i / 16.0))) AS raw FROM long GROUP BY feature), th AS (SELECT feature, threshold FROM (SELECT feature, lo, hi, unnest(raw) AS threshold FROM e) WHERE threshold > lo AND threshold < hi), {_SPLIT_AT}")
 def f03_histogram_split(spark, d):
     p = parts(spark, d)
-    edges = p.agg(*[S.quantile_edges(F.col(f), 16).alias(f) for f in FEATURES])
-    th = edges.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("e")) for f in FEATURES])).alias("s")).select("s.feature", F.explode("s.e").alias("threshold"))
-    rows = forest.threshold_splits(p, th, FEATURES, "label")
+    rows = forest.threshold_splits(p, forest.histogram_thresholds(p, FEATURES, 16), FEATURES, "label")
     return rows.select("feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"))
 
 
@@ -730,6 +749,45 @@ def f14_cross_validation(spark, d):
     return spark.createDataFrame([(i, a) for i, a in enumerate(cv["fold_accuracies"])], "fold int, accuracy double")
 
 
+def _level_sql(k: int) -> str:
+    """CTEs: the open nodes of level k, the feature that each draws, its best split, and the rows of level k + 1."""
+    u = uniform_sql(SEED, "'feature'", "tree_id", "path", "f")
+    return f"""n{k} AS (SELECT tree_id, path, sum(n) AS total FROM p{k} GROUP BY ALL), o{k} AS (SELECT tree_id, path FROM p{k} GROUP BY ALL HAVING count(DISTINCT label) > 1 AND sum(n) >= 2),
+  f{k} AS (SELECT tree_id, path, arg_min(f, ({u}, f)) AS f FROM o{k}, (SELECT unnest([0, 1]) AS f) GROUP BY ALL),
+  l{k} AS (SELECT r.tree_id, r.path, c.f, th.bin, th.threshold, label, sum(CASE WHEN bins[c.f + 1] <= th.bin THEN n ELSE 0 END) AS l, sum(n) AS t FROM p{k} r JOIN f{k} c USING (tree_id, path) JOIN th ON th.f = c.f GROUP BY ALL),
+  g{k} AS (SELECT tree_id, path, f, bin, threshold, {_TERM} AS decrease FROM l{k} GROUP BY ALL HAVING sum(l) > 0 AND sum(t - l) > 0),
+  s{k} AS (SELECT tree_id, path, arg_max(f, (round(decrease, 9), -bin)) AS f, arg_max(bin, (round(decrease, 9), -bin)) AS bin, arg_max(threshold, (round(decrease, 9), -bin)) AS threshold, arg_max(decrease, (round(decrease, 9), -bin)) AS decrease FROM g{k} GROUP BY ALL),
+  p{k + 1} AS (SELECT r.tree_id, r.path || CASE WHEN bins[s.f + 1] <= s.bin THEN 'L' ELSE 'R' END AS path, label, n, bins FROM p{k} r JOIN s{k} s ON s.tree_id = r.tree_id AND s.path = r.path)"""
+
+
+_LEVELS = f"""WITH {_PART}, {_bag_sql(3)}, v AS (SELECT 0 AS f, p_size AS v FROM p UNION ALL SELECT 1, p_retailprice FROM p),
+  q AS (SELECT f, min(v) AS lo, max(v) AS hi, list_distinct(quantile_cont(v, list_transform(range(1, 16), lambda i: i / 16.0))) AS raw FROM v GROUP BY f),
+  th AS (SELECT f, threshold, row_number() OVER (PARTITION BY f ORDER BY threshold) - 1 AS bin FROM (SELECT f, lo, hi, unnest(raw) AS threshold FROM q) WHERE threshold > lo AND threshold < hi),
+  b AS (SELECT id, label, [(SELECT count(*) FROM th WHERE f = 0 AND threshold < p_size), (SELECT count(*) FROM th WHERE f = 1 AND threshold < p_retailprice)] AS bins FROM p),
+  p0 AS (SELECT tree_id, '' AS path, label, n, bins FROM b JOIN bag USING (id) WHERE n > 0), {_level_sql(0)}, {_level_sql(1)}, n2 AS (SELECT tree_id, path, sum(n) AS total FROM p2 GROUP BY ALL),
+  node AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS node_id FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2)), s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
+LEVELS = forest.ForestConfig(3, TreeConfig(split="histogram", max_depth=2, max_features=1, bins=16), seed=SEED, distributed=True)
+
+
+@query(f"{_LEVELS} SELECT node.tree_id::INT AS tree_id, node_id::INT AS node_id, coalesce(f, -1)::INT AS feature, {_out('coalesce(threshold, 0.0)')} AS threshold, {_out('coalesce(decrease, 0.0)')} AS decrease, total::BIGINT AS n_samples, len(node.path)::INT AS depth FROM node LEFT JOIN s ON s.tree_id = node.tree_id AND s.path = node.path")
+def f09e_level_trees(spark, d):
+    """Two levels of trees that grow over the distributed table, each node splitting by the feature it draws."""
+    nodes = forest.train(_part_rows(spark, d), LEVELS, FEATURES).nodes
+    return nodes.select("tree_id", "node_id", "feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"), "n_samples", "depth")
+
+
+@query(f"{_LEVELS} SELECT node.tree_id::INT AS tree_id, count(*) AS n_nodes, sum((s.f IS NULL)::BIGINT)::BIGINT AS n_leaves, max(len(node.path))::INT AS depth FROM node LEFT JOIN s ON s.tree_id = node.tree_id AND s.path = node.path GROUP BY ALL")
+def f08b_tree_stats(spark, d):
+    return forest.train(_part_rows(spark, d), LEVELS, FEATURES).stats()
+
+
+@query(f"""{_LEVELS}, g AS (SELECT tree_id, f, sum(decrease) AS g FROM s GROUP BY ALL), share AS (SELECT f, g / sum(g) OVER (PARTITION BY tree_id) AS g FROM g), t AS (SELECT f, sum(g) AS g FROM share GROUP BY f)
+  SELECT CASE x.f WHEN 0 THEN 'p_size' ELSE 'p_retailprice' END AS name, {_out('coalesce(g, 0.0) / sum(g) OVER ()')} AS importance, row_number() OVER (ORDER BY coalesce(g, 0.0) DESC, x.f)::INT AS rank FROM (SELECT unnest([0, 1]) AS f) x LEFT JOIN t ON t.f = x.f""")
+def f12b_importances(spark, d):
+    nodes = forest.train(_part_rows(spark, d), LEVELS, FEATURES).nodes
+    return forest.importances(nodes, FEATURES).withColumn("importance", _r("importance"))
+
+
 # What a given forest says: three trees over the parts, written down, so that SQL can follow them.
 
 #: (tree_id, node_id, feature, threshold, left, right, n_samples, decrease, distribution); feature -1 in leaves.
@@ -755,7 +813,10 @@ _LEAVES = f"""WITH RECURSIVE {_PART}, {_NODES}, walk AS (SELECT id, label, p_siz
 
 
 def given_forest(spark: SparkSession, d: str) -> forest.Forest:
-    rows = [(t, i, f < 0, f, th, l, r, 0.0, n, gain, 3 - p[::-1].index(max(p)), p) for t, i, f, th, l, r, n, gain, p in GIVEN]
+    depth: dict[tuple[int, int], int] = {}
+    for t, i, _, _, l, r, *_ in GIVEN:  # parents stand before their children
+        depth |= {(t, c): depth.get((t, i), 0) + 1 for c in (l, r)}
+    rows = [(t, i, f < 0, f, th, l, r, 0.0, n, gain, 3 - p[::-1].index(max(p)), p, depth.get((t, i), 0)) for t, i, f, th, l, r, n, gain, p in GIVEN]
     unseen = parts(spark, d).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("tree_id")).filter((F.col("id") + F.col("tree_id")) % 4 < 2)
     return forest.Forest(spark.createDataFrame(rows, forest.FOREST_SCHEMA), 3, 2, 4, FEATURES, unseen.select("tree_id", "id"))
 
@@ -783,17 +844,6 @@ def f10b_given_oob(spark, d):
     return forest.oob_predictions(given_forest(spark, d), _part_rows(spark, d))
 
 
-@query(f"WITH {_NODES} SELECT tree_id, count(*) AS n_nodes, sum((feature < 0)::BIGINT)::BIGINT AS n_leaves FROM node GROUP BY tree_id")
-def f08b_given_stats(spark, d):
-    return given_forest(spark, d).stats()
-
-
-@query(f"""WITH {_NODES}, g AS (SELECT tree_id, feature, sum(decrease) AS g FROM node WHERE feature >= 0 GROUP BY ALL), s AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree_id) AS g FROM g), t AS (SELECT feature, sum(g) AS g FROM s GROUP BY feature)
-  SELECT CASE feature WHEN 0 THEN 'p_size' ELSE 'p_retailprice' END AS name, {_out('g / sum(g) OVER ()')} AS importance, row_number() OVER (ORDER BY g DESC, feature)::INT AS rank FROM t""")
-def f12b_given_importances(spark, d):
-    return forest.importances(given_forest(spark, d).nodes, FEATURES).withColumn("importance", _r("importance"))
-
-
 @query(f"""WITH {_PART}, {_bag_sql(5)}, long AS (SELECT tree_id, p.id, label, n, unnest([0, 1]) AS feature, unnest([p_size, p_retailprice]) AS value FROM bag JOIN p ON p.id = bag.id WHERE n > 0),
   tot AS (SELECT tree_id, feature, label, sum(n) AS t FROM long GROUP BY ALL), vals AS (SELECT tree_id, feature, value, lead(value) OVER (PARTITION BY tree_id, feature ORDER BY value) AS nxt FROM (SELECT DISTINCT tree_id, feature, value FROM long)),
   cnt AS (SELECT tree_id, feature, value, label, sum(n) AS n FROM long GROUP BY ALL),
