@@ -360,23 +360,60 @@ def test_training_reads_a_bounded_number_of_words(docs, spark, monkeypatch):
     assert len(packed) == len(y) == 10 and all(len(x) == 40 for x in packed)
 
 
-def test_network_slopes_match_differences():
-    rng = np.random.default_rng(3)
-    p, u = rng.normal(1, 1, (30, 11)), rng.normal(0, 1, (40, 11))
-    for prior in (0.3, 0.9):
-        net = quality_classifier.Network(np.concatenate([p, u]))
+def plain_risk(net, p, u, prior):
+    """The non-negative risk by loops over rows, as the paper writes it; below 0, what the step then goes down on."""
+
+    def logit(x):
+        z = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(x, net.mean, net.spread)]
+        h = [np.tanh(sum(a * w for a, w in zip(z, net.weights[0][:, k])) + net.weights[1][k]) for k in range(len(net.weights[2]))]
+        return sum(a * w for a, w in zip(h, net.weights[2])) + net.weights[3][0]
+
+    soft = lambda z: np.log1p(np.exp(z))
+    positive = sum(soft(-logit(x)) for x in p) / len(p)
+    rest = sum(soft(logit(x)) for x in u) / len(u) - prior * sum(soft(logit(x)) for x in p) / len(p)
+    return prior * positive + rest if rest >= 0 else -rest
 
-        def risk(net=net, prior=prior):
-            soft = lambda z: np.log1p(np.exp(z))
-            rest = soft(net.logit(u)).mean() - prior * soft(net.logit(p)).mean()
-            return (prior * soft(-net.logit(p)).mean() + rest) if rest >= 0 else -rest
 
-        slopes, _ = quality_classifier.risk_slopes(net.logit(p), net.logit(u), prior)
-        # The slopes by logit, checked through the last bias, which moves all logits alike.
-        net.weights[3][0] += 1e-5
-        up = risk()
-        net.weights[3][0] -= 2e-5
-        assert slopes.sum() == pytest.approx((up - risk()) / 2e-5, abs=1e-4)
+def test_risk_slopes_match_differences_of_the_plain_risk():
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(1, 1, (9, 11)), rng.normal(0, 1, (14, 11))
+    signs = set()
+    for prior, shift in ((0.3, 0.0), (0.95, 4.0)):
+        net = quality_classifier.Network(u.mean(axis=0), u.std(axis=0))
+        net.weights[3][0] = -shift
+        x = u - shift / 2 if shift else u
+        slopes, positive = quality_classifier.risk_slopes(net, p + shift / 4, quality_classifier.risk_sums(net)(x), prior)
+        signs.add(positive)
+        at = 0
+        for w in net.weights:
+            flat = w.reshape(-1)
+            for k in range(0, len(flat), 17):
+                keep = flat[k]
+                flat[k] = keep + 1e-5
+                up = plain_risk(net, p + shift / 4, x, prior)
+                flat[k] = keep - 1e-5
+                down = plain_risk(net, p + shift / 4, x, prior)
+                flat[k] = keep
+                assert slopes[at + k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+            at += len(flat)
+    assert signs == {True, False}
+
+
+def test_sums_over_tasks_train_the_same_classifier(spark, docs, monkeypatch):
+    rng = np.random.default_rng(4)
+    word = lambda good: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) + ("" if good or rng.random() < 0.5 else "#$")
+    texts = [(i, " ".join(word(i % 4 != 0) for _ in range(rng.integers(20, 60)))) for i in range(240)]
+    rows = docs([*texts, (240, None), (241, "")])
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_classifier, "EPOCHS", 2)
+    monkeypatch.setattr(quality_classifier, "PRIOR_EPOCHS", 1)
+    found = []
+    for most in (1000, 0):
+        monkeypatch.setattr(quality_classifier, "LOCAL_ROWS", most)
+        some = rows.repartition(5) if not most else rows
+        found.append({r["doc_id"]: r["score"] for r in quality_classifier.score_quality(some, labels, F.col("doc_id") % 10 != 3).collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 242
+    assert max(abs(found[0][i] - found[1][i]) for i in found[0]) < 1e-6 and np.std(list(found[0].values())) > 0.01
 
 
 def test_hash_samples(spark):
@@ -391,6 +428,8 @@ def test_prior_and_non_negative_risk():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (2000, len(quality_classifier.FEATURES)))
     u = np.concatenate([rng.normal(1.5, 1, (1400, p.shape[1])), rng.normal(-1.5, 1, (600, p.shape[1]))])
-    net, prior = quality_classifier.train(p, u)
+    net, prior = quality_classifier.train(p, quality_classifier.LocalRows(u))
     assert abs(prior - 0.7) < 0.1
     assert ((net.logit(u) > 0) == (np.arange(2000) < 1400)).mean() > 0.95
+    few = quality_classifier.train(p[:1], quality_classifier.LocalRows(u[:3]))[1]
+    assert 0.25 <= few <= 0.75

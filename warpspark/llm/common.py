@@ -45,15 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+def written(df: DataFrame, tag: str, small: bool = False, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. small: of rows
-    that are few and cheap to make, so they go to one file for each core and not to one for each partition."""
+    that are few and cheap to make, so they go to one file for each core and not to one for each partition. by: a column
+    (the last) that has a folder for each value, so a filter by it reads no others."""
     spark = df.sparkSession
     if small:
         df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/warpspark-{tag}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
