@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,56 @@ def test_both_ways_give_the_same(spark, monkeypatch, options):
     assert found[0].skipped == found[1].skipped and found[0].iterations == found[1].iterations
 
 
+def test_kept_bounds_change_no_result(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(30, 10)).cumsum(axis=1) + 8 * g for g in range(4)])
+    walks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")
+    for values in (kmeans.LOCAL_VALUES, 0):
+        monkeypatch.setattr(kmeans, "LOCAL_VALUES", values)
+        cfg = kmeans.KMeansConfig(k=4, n_init=1, max_iter=6, dba_max_iter=3)
+        a, b = kmeans.fit(walks, cfg), kmeans.fit(walks, replace(cfg, elkan=True))
+        assert np.allclose(a.centroids, b.centroids, atol=1e-9) and a.iterations == b.iterations
+        assert sorted(map(tuple, a.assignments.select("id", "cluster").collect())) == sorted(map(tuple, b.assignments.select("id", "cluster").collect()))
+        assert b.skipped > 0 and b.warped < 120 * 4 * b.iterations and a.warped == a.skipped == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"method": "ssg", "max_epochs": 3}, {"init": "medoid"}, {"fraction": 0.5}])
+def test_whole_groups_and_partial_sums_average_alike(spark, monkeypatch, options):
+    x = np.random.default_rng(9).normal(size=(36, 7)).cumsum(axis=1)
+    rows = spark.createDataFrame([(5 * i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, g int, series array<double>").repartition(4)
+    found = []
+    for values in (4_000_000, 0, 12 * 7):
+        monkeypatch.setattr(barycenter, "GROUP_VALUES", values)
+        some = rows if values != 84 else rows.unionByName(rows.filter("g = 1 and id < 100").selectExpr("id + 1000 AS id", "g", "series"))
+        found.append({r["group"]: r for r in barycenter.averages(some, "g", 2, max_iter=4, **options).collect()})
+    for g in range(3):
+        a, b = found[0][g], found[1][g]
+        assert np.allclose(a["centroid"], b["centroid"], atol=1e-9) and (a["iterations"], a["converged"], a["mode"]) == (b["iterations"], b["converged"], b["mode"])
+    assert np.allclose(found[0][0]["centroid"], found[2][0]["centroid"]) and not np.allclose(found[0][1]["centroid"], found[2][1]["centroid"])  # one of three is large
+
+
+def test_sweep_draws_once_and_needs_no_square(spark, archetypes, monkeypatch):
+    cfg = kmeans.KMeansConfig(k=1, n_init=3, max_iter=4)
+    pairs = pairwise.pairwise(archetypes, cfg.radius)
+    one = kmeans.optimize(archetypes, 2, 5, cfg)
+    assert one[0] == [(k, pytest.approx(kmeans.fit(archetypes, replace(cfg, k=k)).inertia)) for k in range(2, 6)]
+    assert kmeans.optimize(archetypes, 2, 5, cfg, pairs) == one
+    monkeypatch.setattr(kmeans, "LOCAL_VALUES", 0)
+    two = kmeans.optimize(archetypes, 2, 4, replace(cfg, n_init=2), pairs)
+    monkeypatch.undo()
+    assert two[0] == [(k, pytest.approx(v)) for k, v in kmeans.optimize(archetypes, 2, 4, replace(cfg, n_init=2))[0]]
+    x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
+    assert seeding.plus_plus_cached(archetypes, pairs, 5, [7, 8]) == [seeding.plus_plus_local(x, 5, cfg.radius, s) for s in (7, 8)]
+
+
+def test_silhouette_sums_match_pairs(spark):
+    x = np.random.default_rng(10).normal(size=(60, 6))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3 if i else 9) for i, v in enumerate(x)], "id long, series array<double>, cluster int")
+    a = silhouette.samples(pairwise.pairwise(df, 1), df.select("id", "cluster")).orderBy("id").collect()
+    b = silhouette.scores(pairwise.cluster_distances(df, 1)).orderBy("id").collect()
+    assert [(r["id"], r["cluster"]) for r in a] == [(r["id"], r["cluster"]) for r in b] and np.allclose([r["score"] for r in a], [r["score"] for r in b]) and len(b) == 60
+
+
 def test_mini_batch_is_the_same_both_ways(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=(50, 6)).cumsum(axis=1)
     walks = spark.createDataFrame([(11 * i, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>")

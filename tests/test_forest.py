@@ -106,6 +106,20 @@ def test_importances_and_persistence(table, model, spark, tmp_path):
         forest.predict(model, spark.createDataFrame([(0, [1.0])], "id long, features array<double>"))
 
 
+def test_rows_walk_through_a_forest_that_is_not_sent(table, model, monkeypatch):
+    rows = table.unionByName(table.filter("id < 9").selectExpr("id + 1000 AS id", "features", "label"))  # copies
+    found = []
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(forest, "SENT_NODES", most)
+        proba = {r["id"]: r["distribution"] for r in forest.predict_proba(model, rows).collect()}
+        votes = sorted(tuple(r) for r in forest.tree_votes(model, table, model.oob).collect())
+        drops = {r["name"]: (r["importance"], r["std"]) for r in forest.permutation_importances(model, table, 3).collect()}
+        found.append((proba, votes, drops))
+    (p, v, d), (p2, v2, d2) = found
+    assert len(p) == 309 and p.keys() == p2.keys() and all(np.allclose(p[i], p2[i]) for i in p) and v == v2 and v
+    assert d.keys() == d2.keys() and all(np.allclose(d[i], d2[i]) for i in d)
+
+
 def test_trees():
     xor = grow(np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]]), np.array([0, 1, 1, 0]), 2, TreeConfig(max_features="all"), 1)
     assert len(xor) == 7 and (Tree(xor).predict(np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]])) == [0, 1, 1, 0]).all()

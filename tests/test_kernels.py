@@ -85,3 +85,60 @@ def test_barycenter(base):
     c, *_ = K.ssg(x, None)
     assert np.allclose(c, base, atol=0.2)
     assert K.dba(x, None, init="medoid")[4] == "full" and K.dba(x, None, fraction=0.4)[4] == "stochastic"
+
+
+def test_envelopes_are_those_of_each_neighbourhood():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 30):
+        x = rng.normal(size=(3, n))
+        for r in (0, 1, 2, 5, 29, 40, None):
+            up, low = K.envelopes(x, r)
+            for i in range(n):
+                part = x if r is None else x[:, max(0, i - r) : i + r + 1]
+                assert np.array_equal(up[:, i], part.max(axis=1)) and np.array_equal(low[:, i], part.min(axis=1))
+
+
+def test_buffers_follow_the_band_and_not_the_matrix():
+    assert K.path_batch(3000, 3000, 2) * 3000 * 5 <= K.MOVES and K.path_batch(3000, 3000, None) * 9_000_000 <= K.MOVES
+    assert K.batch_size(3000, 3000, 2) * 8 * 6000 <= K.BUFFER and K.batch_size(64, 64, 2) > 1000
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(3, 5000)), rng.normal(size=(3, 5001))
+    d, row, i, j = K.paths(a, b, 2)
+    assert np.allclose(np.sqrt(np.bincount(row, weights=(a[row, i] - b[row, j]) ** 2)), d) and np.array_equal(d, K.dtw(a, b, 2))
+    assert np.isinf(K.dtw(a[:, :5], b[:, :9], 2)).all()  # a band that doesn't reach the end
+
+
+def test_cascade_warps_only_what_bounds_let_pass(monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(400, 16)).cumsum(axis=1), rng.normal(size=(400, 16)).cumsum(axis=1)
+    full = K.dtw(a, b, 2)
+    cut = np.full(400, np.median(full))
+    seen = []
+    dtw = K.dtw
+    monkeypatch.setattr(K, "dtw", lambda a, *rest: (seen.append(len(a)), dtw(a, *rest))[1])
+    found, by = K.cascade(a, b, 2, cut)
+    assert np.array_equal(found, np.where(full <= cut, full, np.inf))
+    assert sum(seen) == np.isin(by, (2, 3)).sum() < 300 and (by == 0).any() and (by == 3).sum() == 200
+    found, by = K.cascade(a[:, :9], b, 8, cut)
+    assert set(by) <= {2, 3}
+
+
+def test_kept_bounds_are_true_and_spare_distances():
+    rng = np.random.default_rng(7)
+    for r in (0, 2, None):
+        x = np.concatenate([rng.normal(size=(60, 24)).cumsum(axis=1) + 6 * g for g in range(5)])
+        c = np.stack([x[60 * g : 60 * g + 60].mean(axis=0) for g in range(5)])
+        label, lower, moves, made = np.zeros(300, int), np.zeros((300, 5)), np.zeros(5), []
+        for step in range(5):
+            kept = np.maximum(lower - moves, 0)
+            every = np.stack([K.dtw(x, np.broadcast_to(k, x.shape), r) for k in c], 1)
+            assert (kept <= every + 1e-12).all()
+            label, dist, lower, warped, spared = K.nearest_bounded(x, c, r, label, kept)
+            assert np.array_equal(label, every.argmin(axis=1)) and np.array_equal(dist, every.min(axis=1)) and (lower <= every + 1e-12).all()
+            made.append((int(warped.sum()), int(spared.sum())))
+            moved = c + rng.normal(size=c.shape) * 0.1 / (step + 1)
+            moves, c = K.bound_moves(c, moved, r), moved
+        assert made[0][1] == 0 and made[-1][1] > 300 and made[-1][0] < 1500 * 0.6
+    # Ties go to the least centroid, whichever was the last one.
+    label = K.nearest_bounded(np.zeros((2, 4)), np.stack([np.ones(4), -np.ones(4)]), 2, np.array([1, 0]), np.zeros((2, 2)))[0]
+    assert label.tolist() == [0, 0]

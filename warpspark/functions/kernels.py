@@ -167,8 +167,8 @@ def _window(x: np.ndarray, radius: int, of: np.ufunc, rest: float) -> np.ndarray
     padded = np.full((count, blocks * width), rest)
     padded[:, radius : radius + n] = x
     cut = padded.reshape(count, blocks, width)
-    left = of.accumulate(cut, axis=2).reshape(count, -1)
-    right = of.accumulate(cut[:, :, ::-1], axis=2)[:, :, ::-1].reshape(count, -1)
+    left = of.accumulate(cut, axis=2).reshape(padded.shape)
+    right = of.accumulate(cut[:, :, ::-1], axis=2)[:, :, ::-1].reshape(padded.shape)
     return of(right[:, :n], left[:, width - 1 : width - 1 + n])
 
 
@@ -227,6 +227,54 @@ def nearest(x: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[n
     return label, best
 
 
+def bound_moves(before: np.ndarray, now: np.ndarray, radius: int | None) -> np.ndarray:
+    """How much the distance of any series to each centroid can have changed as the centroids moved. Along the best path
+    to the one centroid, the other costs as much more as the root of the sum of squared moves over the path's steps;
+    a band of radius r lets 2 r + 1 steps share a place. (The triangle inequality doesn't hold under warping.) What
+    rounding may add is added."""
+    n = now.shape[1]
+    width = n if radius is None else min(n, 2 * radius + 1)
+    moved = np.sqrt(width * ((now - before) ** 2).sum(axis=1))
+    return moved * (1 + 1e-9) + 1e-9
+
+
+def nearest_bounded(x: np.ndarray, centroids: np.ndarray, radius: int | None, label: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(centroid, distance, lower bounds, warped, spared) of each row, the first two as of nearest(): the distance to the last
+    label's centroid is made first, and kept lower bounds (B, k) that are above it spare the others. Where they don't,
+    Keogh's and Lemire's bounds are tried, and what they let pass is warped. The bounds that come back are distances, where
+    those were made, or the best of all bounds."""
+    rows, k = len(x), len(centroids)
+    label, lower = label.astype(np.int64), lower.copy()
+    best = np.empty(rows)
+    for c in np.unique(label):
+        at = np.flatnonzero(label == c)
+        best[at] = dtw(x[at], np.broadcast_to(centroids[c], (len(at), x.shape[1])), radius)
+    first, every = label.copy(), np.arange(rows)
+    lower[every, first] = best
+    warped, spared = np.ones(rows, np.int32), np.zeros(rows, np.int32)
+    sure = lambda bound: bound * (1 - 1e-9) - 1e-9  # noqa: E731  what rounding may have added is taken off
+
+    for c in range(k):
+        other = first != c
+        open_ = lambda at: at[(lower[at, c] < best[at]) | ((lower[at, c] == best[at]) & (c < label[at]))]  # noqa: B023, E731
+        at = open_(np.flatnonzero(other))
+        spared += other
+        spared[at] -= 1
+        if not len(at):
+            continue
+        up, low = (e[0] for e in envelopes(centroids[c][None, :], radius))
+        lower[at, c] = np.maximum(lower[at, c], sure(lb_keogh(x[at], up, low)))
+        at = open_(at)
+        lower[at, c] = np.maximum(lower[at, c], sure(lb_two_pass(x[at], centroids[c], up, low, radius)))
+        at = open_(at)
+        d = dtw(x[at], np.broadcast_to(centroids[c], (len(at), x.shape[1])), radius, best[at])
+        warped[at] += 1
+        lower[at, c] = np.where(np.isfinite(d), d, best[at])
+        won = (d < best[at]) | ((d == best[at]) & (c < label[at]))
+        best[at[won]], label[at[won]] = d[won], c
+    return label, best, lower, warped, spared
+
+
 def align_sums(x: np.ndarray, centroid: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the centroid, the sum and number of the values that the rows' paths bring there."""
     sums, counts = np.zeros(len(centroid)), np.zeros(len(centroid))

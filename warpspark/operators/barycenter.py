@@ -15,33 +15,71 @@ from ..functions import kernels
 from ..rng import uniform, uniform_value
 from .pairwise import matrix, medoid
 
+GROUP_VALUES = 4_000_000  # numbers of a group that a task averages whole: 32 MB
+
 
 def element_mean(df: DataFrame, group: str) -> DataFrame:
     """(group, pos, value): the mean at each place; native."""
     return df.select(F.col(group).alias("group"), F.posexplode("series").alias("pos", "v")).groupBy("group", "pos").agg(F.avg("v").alias("value"))
 
 
+AVERAGE_SCHEMA = "group long, centroid array<double>, converged boolean, iterations long, change double, mode string"
+
+
 def averages(df: DataFrame, group: str, radius: int | None = None, method: str = "dba", init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, max_epochs: int = 20) -> DataFrame:
-    """(group, centroid, converged, iterations, change, mode) of each group, by the steps over partial sums below, so
-    a group may hold any share of the rows. There is a centroid for each group, so groups are to be few."""
+    """(group, centroid, converged, iterations, change, mode) of each group. A group of at most GROUP_VALUES numbers (all
+    groups are counted first) is one task from the first step to the last; a larger one, which may hold any share of the
+    rows, takes its steps over partial sums, one job each. Draws are keyed by id, so both ways give the same but for the
+    rounding of sums. Larger groups are to be few, as their centroids go over the driver."""
     if method not in ("dba", "ssg") or init not in ("mean", "medoid"):
         raise errors.InvalidConfig(method=method, init=init)
-    spark = df.sparkSession
-    names = [r["group"] for r in df.select(F.col(group).alias("group")).distinct().orderBy("group").collect()]
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col(group).cast("long").alias("group"), "series")
+    sizes = rows.groupBy("group").agg((F.sum(F.size("series")) <= GROUP_VALUES).alias("small")).persist()
+    options = (radius, method, init, max_iter, tol, fraction, seed, max_epochs)
+    found = None
+    large = [r["group"] for r in sizes.filter("not small").orderBy("group").collect()]  # groups of over GROUP_VALUES numbers
+    if large:
+        found = _large_averages(rows.filter(F.col("group").isin(large)), large, *options)
+        rows = rows.filter(~F.col("group").isin(large))
+    small = _small_averages(rows, *options)
+    sizes.unpersist()
+    return small if found is None else small.unionByName(found)
+
+
+def _mode(method: str, fraction: float) -> str:
+    return "ssg" if method == "ssg" else "full" if fraction >= 1 else "stochastic"
+
+
+def _small_averages(rows: DataFrame, radius: int | None, method: str, init: str, max_iter: int, tol: float, fraction: float, seed: int, max_epochs: int) -> DataFrame:
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, x = table.column("id").to_numpy(), matrix(table.column("series").combine_chunks())
+        if method == "ssg":
+            order = lambda epoch: np.lexsort((ids, keyed_numbers(ids, seed, "ssg", epoch)))
+            centroid, converged, done, _ = kernels.ssg(x, radius, max_epochs, tol=tol, order=order)
+            change = 0.0
+        else:
+            centroid, converged, done, change, _ = kernels.dba(x, radius, init, max_iter, tol, fraction, sample=lambda step: sample_places(ids, fraction, seed, step))
+        found = [table.column("group")[0].as_py(), centroid.tolist(), bool(converged), int(done), float(change), _mode(method, fraction)]
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(found, (pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.float64(), pa.string()))], ["group", "centroid", "converged", "iterations", "change", "mode"])
+
+    return rows.groupBy("group").applyInArrow(one, AVERAGE_SCHEMA)
+
+
+def _large_averages(rows: DataFrame, names: list[int], radius: int | None, method: str, init: str, max_iter: int, tol: float, fraction: float, seed: int, max_epochs: int) -> DataFrame:
+    spark = rows.sparkSession
     number = spark.createDataFrame(list(enumerate(names)), "cluster int, group long")
-    members = df.select("id", F.col(group).cast("long").alias("group"), "series").join(F.broadcast(number), "group").select("id", "cluster", "series").persist()
+    members = rows.join(F.broadcast(number), "group").select("id", "cluster", "series").persist()
     start = means(members, len(names)) if init == "mean" or method == "ssg" else series_of(members, medoids(members, radius), len(names))
+    steps = Steps(len(names))
     if method == "ssg":
-        steps = Steps(len(names))
         centroids = ssg_distributed(members, start, radius, max_epochs, tol=tol, seed=seed, record=steps)
         steps.change[:] = 0.0
     else:
-        steps = Steps(len(names))
         centroids = dba_distributed(members, start, radius, max_iter, tol, fraction, seed, record=steps)
     members.unpersist()
-    mode = "ssg" if method == "ssg" else "full" if fraction >= 1 else "stochastic"
-    rows = [(int(g), centroids[c].tolist(), bool(steps.converged[c]), int(steps.done[c]), float(steps.change[c]), mode) for c, g in enumerate(names)]
-    return spark.createDataFrame(rows, "group long, centroid array<double>, converged boolean, iterations long, change double, mode string")
+    found = [(int(g), centroids[c].tolist(), bool(steps.converged[c]), int(steps.done[c]), float(steps.change[c]), _mode(method, fraction)) for c, g in enumerate(names)]
+    return spark.createDataFrame(found, AVERAGE_SCHEMA)
 
 
 class Steps:
@@ -121,6 +159,11 @@ def members_sample(labelled: DataFrame, fraction: float, seed: int, round_no: in
     return keyed.filter(taken).select("id", "cluster", "series")
 
 
+def keyed_numbers(ids: np.ndarray, seed: int, *key) -> np.ndarray:
+    """uniform() of each id."""
+    return np.array([uniform_value(seed, *key, i) for i in ids.tolist()])
+
+
 def sample_places(ids: np.ndarray, fraction: float, seed: int, round_no: int) -> np.ndarray:
     """members_sample() of one cluster's members: their places."""
     u = np.floor(np.array([uniform_value(seed, "members", round_no, i) for i in ids.tolist()]) * float(1 << 32))

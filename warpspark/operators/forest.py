@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,12 +27,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import errors
 from ..functions import series as S
 from ..rng import derived_seed, uniform, uniform_value
+from ..scratch import written
 from .levels import bin_edges, grow_levels
 from .pairwise import matrix
-from .running import inner_edges, running_sums
+from .running import inner_edges, ranked, running_sums
 from .trees import NODE_SCHEMA, Tree, TreeConfig, feature_edges, grow, keyed_features, resolve_max_features
 
 LOCAL_VALUES = 16_000_000
+SENT_NODES = 1_000_000  # some 100 MB as arrays
 FORMAT_VERSION = 2  # 2: nodes have a depth
 FOREST_SCHEMA = f"tree_id int, {NODE_SCHEMA}"
 
@@ -65,6 +68,10 @@ class Forest:
         """(tree_id, n_nodes, n_leaves, depth); a tree that is one leaf has depth 0."""
         return self.nodes.groupBy("tree_id").agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.max("depth").alias("depth"))
 
+    def sent(self, spark: SparkSession) -> Broadcast | None:
+        """All trees, sent to the executors; None if they have over SENT_NODES nodes (counted first), which walk() is for."""
+        return spark.sparkContext.broadcast(self.trees()) if self.nodes.limit(SENT_NODES + 1).count() <= SENT_NODES else None
+
     def trees(self) -> dict[int, Tree]:
         by: dict[int, list] = {}
         for r in self.nodes.collect():  # the model
@@ -159,42 +166,81 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
     return Forest(nodes, cfg.n_trees, n_features, n_classes, names, oob)
 
 
+def walk(forest: Forest, rows: DataFrame) -> DataFrame:
+    """rows with the leaf's `prediction` and `distribution`, for a forest of any size. rows: (tree_id, features, ...). Nodes
+    stay a table: a step joins each row with its node and moves it on; rows that reach a leaf are done. Each step is written."""
+    inner = ("is_leaf", "feature", "threshold", "left", "right", "prediction", "distribution")
+    nodes = written(forest.nodes.select("tree_id", F.col("node_id").alias("__node"), *[F.col(c).alias(f"__{c}") for c in inner]), "nodes")
+    depth = forest.nodes.agg(F.max("depth")).first()[0] or 0
+    at, done = rows.withColumn("__node", F.lit(0)), []
+    goes_left = F.get("features", F.col("__feature")) <= F.col("__threshold")
+    for step in range(depth + 1):
+        here = at.join(nodes, ["tree_id", "__node"])
+        here = written(here, "walk") if step < depth else here
+        done.append(here.filter("__is_leaf").select(*rows.columns, F.col("__prediction").alias("prediction"), F.col("__distribution").alias("distribution")))
+        at = here.filter("not __is_leaf").select(*rows.columns, F.when(goes_left, F.col("__left")).otherwise(F.col("__right")).alias("__node"))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
 def predict_proba(forest: Forest, df: DataFrame) -> DataFrame:
-    """df with `distribution`: the mean of the trees' leaf distributions. The forest goes along broadcast."""
+    """df with `distribution`: the mean of the trees' leaf distributions. A forest of at most SENT_NODES nodes goes along
+    broadcast; rows walk through a larger one by joins, and their leaves are added up by position, class by class."""
     width = df.agg(F.max(F.size("features"))).first()[0]
     if width is not None and width != forest.n_features:
         raise errors.PredictionFeatureMismatch(expected=forest.n_features, got=width)
-    sent = df.sparkSession.sparkContext.broadcast(list(forest.trees().values()))  # the model
+    sent = forest.sent(df.sparkSession)
+    if sent is None:
+        return _walked_proba(forest, df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [sent.value[t] for t in sorted(sent.value)]
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("features"))
-                mean = sum(t.distribution[t.leaves(x)] for t in sent.value) / len(sent.value)
+                mean = sum(t.distribution[t.leaves(x)] for t in trees) / len(trees)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean.tolist(), pa.list_(pa.float64()))], [*batch.schema.names, "distribution"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("distribution", T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(run, schema)
 
 
+def _walked_proba(forest: Forest, df: DataFrame) -> DataFrame:
+    """Rows are named by a digest of their features, so copies walk once."""
+    key = F.xxhash64("features").alias("__row"), F.xxhash64(F.lit(1), "features").alias("__row2")
+    rows = written(df.select("*", *key), "to-predict")
+    each = rows.groupBy("__row", "__row2").agg(F.first("features").alias("features"))
+    each = each.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(forest.n_trees - 1))))
+    leaves = walk(forest, each)
+    mean = F.array(*[F.sum(F.get("distribution", F.lit(c))) / forest.n_trees for c in range(forest.n_classes)])
+    return rows.join(leaves.groupBy("__row", "__row2").agg(mean.alias("distribution")), ["__row", "__row2"]).select(*df.columns, "distribution")
+
+
 def predict(forest: Forest, df: DataFrame) -> DataFrame:
     return predict_proba(forest, df).withColumn("predicted", S.predicted_class(F.col("distribution")).cast("int"))
 
 
 def tree_votes(forest: Forest, df: DataFrame, where: DataFrame) -> DataFrame:
     """(tree_id, id, label, vote) of the (tree_id, id) pairs in where."""
-    sent = df.sparkSession.sparkContext.broadcast(forest.trees())
-
-    @F.pandas_udf("int")
-    def vote(tree: pd.Series, features: pd.Series) -> pd.Series:
-        out = np.zeros(len(tree), np.int32)
-        x = np.stack(features.to_list()) if len(features) else np.empty((0, 0))
-        for t in np.unique(tree):
-            at = np.flatnonzero(tree.to_numpy() == t)
+    return _votes(forest, where.join(df.select("id", "features", "label"), "id").select("tree_id", "id", "label", "features"))
+
+
+def _votes(forest: Forest, rows: DataFrame) -> DataFrame:
+    """rows with `vote` for `features`. rows: (tree_id, features, ...)."""
+    keep = [c for c in rows.columns if c != "features"]
+    sent = forest.sent(rows.sparkSession)
+    if sent is None:
+        return walk(forest, rows).select(*keep, F.col("prediction").alias("vote"))
+
+    @F.arrow_udf("int")
+    def vote(tree: pa.Array, features: pa.Array) -> pa.Array:
+        out, trees = np.zeros(len(tree), np.int32), tree.to_numpy()
+        x = matrix(features) if len(features) else np.empty((0, 0))
+        for t in np.unique(trees):
+            at = np.flatnonzero(trees == t)
             out[at] = sent.value[int(t)].predict(x[at])
-        return pd.Series(out)
+        return pa.array(out)
 
-    return where.join(df, "id").select("tree_id", "id", "label", vote("tree_id", "features").alias("vote"))
+    return rows.select(*keep, vote("tree_id", "features").alias("vote"))
 
 
 def majority(votes: DataFrame) -> DataFrame:
@@ -230,28 +276,22 @@ def importances(nodes: DataFrame, feature_names: list[str]) -> DataFrame:
 
 def permutation_importances(forest: Forest, df: DataFrame, seed: int = 42) -> DataFrame:
     """(name, importance, std, rank): mean drop of each tree's accuracy on its unseen rows when one feature is
-    shuffled among them. A task has one tree's unseen rows."""
-    sent = df.sparkSession.sparkContext.broadcast(forest.trees())
-    n_features = forest.n_features
-
-    def drops(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        tree = key[0].as_py()
-        x = table.column("features").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        y, model = table.column("label").to_numpy(), sent.value[tree]
-        base = (model.predict(x) == y).mean()
-        out = []
-        for f in range(n_features):
-            changed = x.copy()
-            changed[:, f] = x[np.random.default_rng(derived_seed(seed, "permute", tree, f)).permutation(len(x)), f]
-            out.append(base - (model.predict(changed) == y).mean())
-        return pa.table({"feature": pa.array(range(n_features), pa.int32()), "drop": pa.array(out)})
-
-    rows = forest.oob.join(df.select("id", "features", "label"), "id").groupBy("tree_id").applyInArrow(drops, "feature int, drop double")
-    stats = rows.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
+    shuffled among them. Of a tree's unseen rows, the n-th by id gets the value of the n-th by numbers keyed with tree,
+    feature and id; both numberings are running counts over ranges, so no task has all rows of a tree."""
+    unseen = forest.oob.join(df.select("id", "features", "label"), "id").select("tree_id", "id", "label", "features")
+    right = F.avg((F.col("label") == F.col("vote")).cast("double"))
+    base = _votes(forest, unseen).groupBy("tree_id").agg(right.alias("base"))
+    each = unseen.select("tree_id", "id", F.posexplode("features").alias("feature", "v"))
+    drawn = ranked(each.withColumn("u", uniform(seed, "permute", F.col("tree_id"), F.col("feature"), F.col("id"))), ["tree_id", "feature"], ["u", "id"], "n")
+    placed = ranked(each.select("tree_id", "feature", "id"), ["tree_id", "feature"], ["id"], "n")
+    dealt = placed.join(drawn.select("tree_id", "feature", "n", "v"), ["tree_id", "feature", "n"]).select("tree_id", "id", "feature", "v")
+    changed = dealt.join(unseen, ["tree_id", "id"])
+    changed = changed.select("tree_id", "feature", "label", F.transform("features", lambda x, i: F.when(i == F.col("feature"), F.col("v")).otherwise(x)).alias("features"))
+    after = _votes(forest, changed).groupBy("tree_id", "feature").agg(right.alias("after"))
+    stats = after.join(base, "tree_id").groupBy("feature").agg(F.avg(F.col("base") - F.col("after")).alias("importance"), F.stddev_pop(F.col("base") - F.col("after")).alias("std"))
     names = df.sparkSession.createDataFrame(list(enumerate(forest.feature_names)), "feature int, name string")
     full = names.join(stats, "feature", "left").na.fill(0.0, ["importance", "std"])
-    return full.select("name", "importance", "std", F.row_number().over(W.orderBy(F.desc("importance"), "feature")).alias("rank"))
+    return full.select("name", "importance", "std", F.row_number().over(W.orderBy(F.desc(F.round("importance", 12)), "feature")).alias("rank"))
 
 
 def save(forest: Forest, path: str) -> None:
@@ -320,18 +360,11 @@ def feature_ranges(df: DataFrame, node: str, feature: str) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, seed: int) -> DataFrame:
-    """(id, v): the column's values dealt out anew, in the order of keyed numbers. Both orders are range-partitioned
-    and numbered by partition offsets, so no task holds all rows."""
-
-    def numbered(rows: DataFrame, *order) -> DataFrame:
-        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
-        placed = placed.withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("long"), 33)).persist()
-        sizes = {r["p"]: r["count"] for r in placed.groupBy("p").count().collect()}  # a row for each partition
-        before = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0)))])
-        return placed.withColumn("n", F.col("i") + F.get(F.array(*map(F.lit, before.tolist())), F.col("p"))).drop("p", "i")
-
-    drawn = numbered(df.select("id", F.col(column).alias("v"), uniform(seed, "permute", F.col("id")).alias("u")), "u", "id").select("n", "v")
-    return drawn.join(numbered(df.select("id"), "id"), "n").select("id", "v")
+    """(id, v): the column's values dealt out anew: the n-th row by id gets the value of the n-th by keyed numbers. Both
+    orders are numbered by running counts over ranges, so no task holds all rows."""
+
+    drawn = ranked(df.select("id", F.col(column).alias("v"), uniform(seed, "permute", F.col("id")).alias("u")), [], ["u", "id"], "n").select("n", "v")
+    return drawn.join(ranked(df.select("id"), [], ["id"], "n"), "n").select("id", "v")
 
 
 def random_thresholds(df: DataFrame, features: list[str], seed: int) -> DataFrame:

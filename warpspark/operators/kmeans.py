@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions import kernels
 from ..rng import derived_seed
-from . import barycenter, seeding
+from ..scratch import written
+from . import barycenter, pairwise, seeding
 from .barycenter import dba_distributed, medoids, ssg_distributed
-from .pairwise import assign, half_nearest, pairwise
 
 LOCAL_VALUES = 8_000_000  # 64 MB
 
@@ -63,7 +63,8 @@ class KMeansResult:
     iterations: int
     n_init: int
     config: KMeansConfig
-    skipped: int = 0
+    skipped: int = 0  # distances that bounds kept between steps made needless (elkan)
+    warped: int = 0  # distances that were made all the same (elkan)
     restarts: list[float] = field(default_factory=list)
 
     def sizes(self) -> DataFrame:
@@ -102,39 +103,38 @@ def rescue(label: np.ndarray, x: np.ndarray, centroids: np.ndarray, k: int, radi
     return members
 
 
-def bound_skips(label: np.ndarray, dist: np.ndarray, centroids: np.ndarray, radius: int | None) -> int:
-    """Rows that half the distance to the nearest other centroid would settle without more distances. Warping
-    breaks the triangle inequality, so this is a figure only and never decides."""
-    if len(centroids) < 2:
-        return len(label)
-    return int((dist <= half_nearest(centroids, radius)[1][label]).sum())
-
-
-def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, distances: np.ndarray | None = None, ids: np.ndarray | None = None) -> tuple:
-    """(label, dist, centroids, inertia, converged, iterations, skipped) of one restart."""
+def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, ids: np.ndarray | None = None, start: list[int] | None = None) -> tuple:
+    """(label, dist, centroids, inertia, converged, iterations, skipped, warped) of one restart. start: places of the first
+    centroids, drawn by the seed if not given."""
     ids = np.arange(len(x)) if ids is None else ids
-    if cfg.init == "parallel":
+    if start is not None:
+        start = start[: cfg.k]
+    elif cfg.init == "parallel":
         start = seeding.parallel_local(x, cfg.k, cfg.radius, seed, cfg.oversample, ids)
     else:
-        start = seeding.plus_plus_local(x, cfg.k, cfg.radius, seed, distances, ids)
-    centroids, before, converged, skipped, step = x[start].copy(), np.inf, False, 0, 0
+        start = seeding.plus_plus_local(x, cfg.k, cfg.radius, seed, ids)
+    centroids, before, converged, skipped, warped, step = x[start].copy(), np.inf, False, 0, 0, 0
+    label, lower, moves = np.zeros(len(x), np.int64), np.zeros((len(x), cfg.k)), np.zeros(cfg.k)
     for step in range(1, cfg.max_iter + 1):
-        label, dist = kernels.nearest(x, centroids, cfg.radius)
-        total = float((dist * dist).sum())
         if cfg.elkan:
-            skipped += bound_skips(label, dist, centroids, cfg.radius)
+            label, dist, lower, made, spared = kernels.nearest_bounded(x, centroids, cfg.radius, label, np.maximum(lower - moves, 0.0))
+            skipped, warped = skipped + int(spared.sum()), warped + int(made.sum())
+        else:
+            label, dist = kernels.nearest(x, centroids, cfg.radius)
+        total = float((dist * dist).sum())
         if step > 1 and abs(before - total) < cfg.tol:
             converged = True
             break
-        before = total
+        before, used = total, centroids
         members = rescue(label, x, centroids, cfg.k, cfg.radius, step)
         if cfg.centroid_method == "ssg":
-            order = lambda m: lambda epoch: np.lexsort((ids[m], seeding.keyed_numbers(ids[m], seed, "ssg", epoch)))
+            order = lambda m: lambda epoch: np.lexsort((ids[m], barycenter.keyed_numbers(ids[m], seed, "ssg", epoch)))
             centroids = np.stack([kernels.ssg(x[m], cfg.radius, order=order(m))[0] for m in members])
         else:
             some = lambda m: lambda step: barycenter.sample_places(ids[m], cfg.dba_fraction, seed, step)
             centroids = np.stack([kernels.dba(x[m], cfg.radius, cfg.dba_init, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, sample=some(m))[0] for m in members])
-    return label, dist, centroids, total, converged, step, skipped
+        moves = kernels.bound_moves(used, centroids, cfg.radius)
+    return label, dist, centroids, total, converged, step, skipped, warped
 
 
 def _validated(df: DataFrame, k: int) -> tuple[int, int]:
@@ -152,32 +152,32 @@ def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["id"].to_numpy(), np.stack(pdf["series"].to_list())
 
 
-def fit(df: DataFrame, cfg: KMeansConfig, distances: np.ndarray | None = None) -> KMeansResult:
-    """df: (id long, series array<double>), ids unique. Of all restarts the one of least inertia, of ties the
-    first. distances: (n, n) in the order of ids, for seeding."""
+def fit(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
+    """df: (id long, series array<double>), ids unique. Of all restarts the one of least inertia, of ties the first."""
     n, length = _validated(df, cfg.k)
     if n * length <= LOCAL_VALUES:
-        return _fit_local(df, cfg, distances)
+        return _fit_local(df, cfg)
     return _fit_distributed(df, cfg)
 
 
-def _fit_local(df: DataFrame, cfg: KMeansConfig, distances: np.ndarray | None) -> KMeansResult:
+def _fit_local(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
     spark = df.sparkSession
     ids, x = gather(df)
-    sent = spark.sparkContext.broadcast((x, distances, ids))  # LOCAL_VALUES numbers at most
+    sent = spark.sparkContext.broadcast((x, ids))  # LOCAL_VALUES numbers at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for restart in batch["id"]:
-                label, dist, centroids, total, converged, steps, skipped = fit_matrix(sent.value[0], cfg, derived_seed(cfg.seed, "restart", restart), *sent.value[1:])
-                yield pd.DataFrame({"restart": [restart], "label": [label.tolist()], "dist": [dist.tolist()], "centroids": [centroids.ravel().tolist()], "inertia": [total], "converged": [converged], "iterations": [steps], "skipped": [skipped]})
+                label, dist, centroids, total, converged, steps, skipped, warped = fit_matrix(sent.value[0], cfg, derived_seed(cfg.seed, "restart", restart), sent.value[1])
+                yield pd.DataFrame({"restart": [restart], "label": [label.tolist()], "dist": [dist.tolist()], "centroids": [centroids.ravel().tolist()], "inertia": [total], "converged": [converged], "iterations": [steps], "skipped": [skipped], "warped": [warped]})
 
-    runs = spark.range(0, cfg.n_init, numPartitions=cfg.n_init).mapInPandas(run, "restart long, label array<int>, dist array<double>, centroids array<double>, inertia double, converged boolean, iterations long, skipped long").collect()
+    schema = "restart long, label array<int>, dist array<double>, centroids array<double>, inertia double, converged boolean, iterations long, skipped long, warped long"
+    runs = spark.range(0, cfg.n_init, numPartitions=cfg.n_init).mapInPandas(run, schema).collect()
     best = min(runs, key=lambda r: (r["inertia"], r["restart"]))
     rows = pd.DataFrame({"id": ids, "cluster": np.array(best["label"], np.int32), "dist": np.array(best["dist"])})
     assignments = spark.createDataFrame(rows, "id long, cluster int, dist double")
     by_restart = [r["inertia"] for r in sorted(runs, key=lambda r: r["restart"])]
-    return KMeansResult(assignments, np.array(best["centroids"]).reshape(cfg.k, -1), best["inertia"], best["converged"], best["iterations"], cfg.n_init, cfg, best["skipped"], by_restart)
+    return KMeansResult(assignments, np.array(best["centroids"]).reshape(cfg.k, -1), best["inertia"], best["converged"], best["iterations"], cfg.n_init, cfg, best["skipped"], best["warped"], by_restart)
 
 
 def _rescued(labelled: DataFrame, stats: list, k: int, step: int) -> DataFrame:
@@ -209,22 +209,29 @@ def _averaged(members: DataFrame, cfg: KMeansConfig, seed: int) -> np.ndarray:
     return dba_distributed(members, centroids, cfg.radius, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, seed)
 
 
-def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
-    """The same steps as fit_matrix, with the same draws, as those are keyed by id."""
+def _fit_distributed(df: DataFrame, cfg: KMeansConfig, starts: list[np.ndarray] | None = None) -> KMeansResult:
+    """The same steps as fit_matrix, with the same draws, as those are keyed by id. starts: first centroids of each restart,
+    as many as cfg.k or more."""
     df = df.select("id", "series").persist()
     best: KMeansResult | None = None
     totals = []
     for restart in range(cfg.n_init):
         seed = derived_seed(cfg.seed, "restart", restart)
-        start = (lambda *a: seeding.parallel(*a, cfg.oversample)) if cfg.init == "parallel" else seeding.plus_plus
-        centroids, before, converged, step, skipped = start(df, cfg.k, cfg.radius, seed), np.inf, False, 0, 0
+        first = (lambda *a: seeding.parallel(*a, cfg.oversample)) if cfg.init == "parallel" else seeding.plus_plus
+        centroids = starts[restart][: cfg.k] if starts else first(df, cfg.k, cfg.radius, seed)
+        before, converged, step, skipped, warped = np.inf, False, 0, 0, 0
+        state, moves = pairwise.start_bounds(df, cfg.k), np.zeros(cfg.k)
         for step in range(1, cfg.max_iter + 1):
-            labelled = assign(df, centroids, cfg.radius, ("series",)).persist()
-            half = half_nearest(centroids, cfg.radius)[1] if cfg.elkan and cfg.k > 1 else np.full(cfg.k, np.inf if cfg.elkan else -1.0)
-            spared = F.col("dist") <= F.get(F.array(*map(F.lit, half.tolist())), F.col("cluster"))
-            stats = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("dist") * F.col("dist")).alias("d2"), F.sum(spared.cast("long")).alias("spared")).collect()
+            if cfg.elkan:  # the bounds of a step rest on those before, so each step is written
+                labelled = state = written(pairwise.assign_bounded(state, centroids, moves, cfg.radius), "bounds")
+                counts = [F.sum("spared").alias("spared"), F.sum("warped").alias("warped")]
+            else:
+                labelled = pairwise.assign(df, centroids, cfg.radius, ("series",)).persist()
+                counts = []
+            stats = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("dist") * F.col("dist")).alias("d2"), *counts).collect()
             total = sum(r["d2"] for r in stats)
-            skipped += sum(r["spared"] for r in stats)
+            if cfg.elkan:
+                skipped, warped = skipped + sum(r["spared"] for r in stats), warped + sum(r["warped"] for r in stats)
             if step > 1 and abs(before - total) < cfg.tol:
                 converged = True
                 labelled.unpersist()
@@ -232,12 +239,14 @@ def _fit_distributed(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
             before = total
             used = centroids
             centroids = _averaged(_rescued(labelled, stats, cfg.k, step), cfg, seed)
+            moves = kernels.bound_moves(used, centroids, cfg.radius)
             labelled.unpersist()
         totals.append(total)
         if best is None or total < best.inertia:
             final = centroids if converged else used
-            best = KMeansResult(assign(df, final, cfg.radius), centroids, total, converged, step, cfg.n_init, cfg, skipped)
+            best = KMeansResult(pairwise.assign(df, final, cfg.radius), centroids, total, converged, step, cfg.n_init, cfg, skipped, warped)
     best.restarts = totals
+    df.unpersist()
     return best
 
 
@@ -266,19 +275,55 @@ def best_k_table(inertias: DataFrame) -> DataFrame:
     return bend.agg(F.coalesce(F.max_by("k", F.when(F.col("bend").isNotNull(), F.struct("bend", "k"))), F.min("k")).alias("best_k"))
 
 
-def optimize(df: DataFrame, min_k: int, max_k: int, cfg: KMeansConfig, cache_distances: bool = True) -> tuple[list[tuple[int, float]], int | None]:
-    """Inertia of each k, and the elbow. Distances of all pairs are made once for seeding if there are few rows."""
+def optimize(df: DataFrame, min_k: int, max_k: int, cfg: KMeansConfig, distances: DataFrame | None = None) -> tuple[list[tuple[int, float]], int | None]:
+    """Inertia of each k, and the elbow. First centroids are drawn once for each restart: the first k of those for max_k
+    are those for k. A table of at most LOCAL_VALUES numbers takes two jobs, one for these draws and one in which every
+    (k, restart) is a task; on a larger one the fits follow one another, each spread over the cluster. distances:
+    (i, j, dist) of all pairs, for the draws."""
     if not 1 <= min_k <= max_k:
         raise errors.InvalidKRange(min_k=min_k, max_k=max_k)
     n, length = _validated(df, max_k)
-    distances = None
+    seeds = [derived_seed(cfg.seed, "restart", r) for r in range(cfg.n_init)]
+    chosen = seeding.plus_plus_cached(df, distances, max_k, seeds) if distances is not None and cfg.init == "kpp" else None
+    if n * length <= LOCAL_VALUES:
+        results = _sweep_local(df, range(min_k, max_k + 1), cfg, seeds, chosen)
+        return results, best_k(results)
     df = df.persist()
-    if cache_distances and n * length <= LOCAL_VALUES and n * n <= LOCAL_VALUES and cfg.init == "kpp":
-        ids = np.array([r["id"] for r in df.select("id").orderBy("id").collect()])
-        pdf = pairwise(df, cfg.radius).toPandas()
-        distances = np.zeros((n, n))
-        i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
-        distances[i, j] = distances[j, i] = pdf["dist"]
-    results = [(k, fit(df, replace(cfg, k=k), distances).inertia) for k in range(min_k, max_k + 1)]
+    starts = None
+    if cfg.init == "kpp":
+        if chosen is None:
+            starts = [seeding.plus_plus(df, max_k, cfg.radius, seed) for seed in seeds]
+        else:
+            by = {r["id"]: np.array(r["series"]) for r in df.filter(F.col("id").isin(sorted({i for ids in chosen for i in ids}))).collect()}  # max_k for each restart
+            starts = [np.stack([by[i] for i in ids]) for ids in chosen]
+    results = [(k, _fit_distributed(df, replace(cfg, k=k), starts).inertia) for k in range(min_k, max_k + 1)]
     df.unpersist()
     return results, best_k(results)
+
+
+def _sweep_local(df: DataFrame, ks: range, cfg: KMeansConfig, seeds: list[int], chosen: list[list[int]] | None) -> list[tuple[int, float]]:
+    """(k, least inertia): the draws of all restarts are one job, the fits of all k and restarts another."""
+    spark = df.sparkSession
+    ids, x = gather(df)
+    sent = spark.sparkContext.broadcast((x, ids))  # LOCAL_VALUES numbers at most
+    starts: dict[int, list[int]] = {}
+    if chosen is not None:
+        starts = {r: np.searchsorted(ids, some).tolist() for r, some in enumerate(chosen)}
+    elif cfg.init == "kpp":
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch["id"]:
+                    yield pd.DataFrame({"restart": [r], "places": [seeding.plus_plus_local(sent.value[0], max(ks), cfg.radius, seeds[r], sent.value[1])]})
+
+        starts = {r["restart"]: r["places"] for r in spark.range(0, len(seeds), numPartitions=len(seeds)).mapInPandas(draw, "restart long, places array<long>").collect()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number in batch["id"]:
+                k, r = ks[number // len(seeds)], number % len(seeds)
+                found = fit_matrix(sent.value[0], replace(cfg, k=k), seeds[r], sent.value[1], starts.get(r))
+                yield pd.DataFrame({"k": [k], "inertia": [found[3]]})
+
+    fits = spark.range(0, len(ks) * len(seeds), numPartitions=len(ks) * len(seeds)).mapInPandas(run, "k int, inertia double")
+    return sorted((r["k"], r["inertia"]) for r in fits.groupBy("k").agg(F.min("inertia").alias("inertia")).collect())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions import kernels
 from ..rng import derived_seed, uniform
-from . import seeding
+from . import barycenter, seeding
 from .kmeans import LOCAL_VALUES, KMeansConfig, KMeansResult, _validated, gather, inertia
 from .pairwise import assign
 
@@ -64,7 +64,7 @@ def fit(df: DataFrame, cfg: MiniBatchConfig) -> KMeansResult:
         counts, step, converged = np.zeros(cfg.k), 0, False
         for step in range(1, cfg.max_iter + 1):
             if local is not None:
-                x = local[1][np.lexsort((local[0], seeding.keyed_numbers(local[0], seed, "batch", step)))[: cfg.batch_size]]
+                x = local[1][np.lexsort((local[0], barycenter.keyed_numbers(local[0], seed, "batch", step)))[: cfg.batch_size]]
             else:
                 x = np.array([r["series"] for r in sample(df, cfg.batch_size, seed, step).collect()])
             if update(centroids, counts, x, cfg.radius) < cfg.tol:

@@ -20,12 +20,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series: str = "series", within: str | None = None) -> DataFrame:
-    """(i, j, dist) of all pairs with i > j; within: (group, i, j, dist) of pairs of equal values of that column only.
-    The work grows with the square of the rows (of a group), and so it is dealt: series are hashed into blocks, each
-    block goes to the tasks of its pairs of blocks, and a task turns two blocks into distances batch by batch. The
-    least number of tasks keeps all cores busy on small inputs."""
-    names = [F.col(key).cast("long").alias("id"), F.col(series).alias("series")]
+def _tiles(df: DataFrame, within: str | None, keep: tuple[str, ...] = (), key: str = "id", series: str = "series") -> DataFrame:
+    """(group, tile, side, id, series, *keep): series are hashed into blocks, and each block goes to the tasks of its
+    pairs of blocks; side is 0 in a block's pair with itself, else 1 or 2. The least number of tasks keeps all cores
+    busy on small inputs."""
+    names = [F.col(key).cast("long").alias("id"), F.col(series).alias("series"), *keep]
     if within is None:
         n = df.count()
         blocks = max(1, -(-n // BLOCK), min(8, n // 16))
@@ -40,27 +39,62 @@ def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series:
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda x: F.struct((F.greatest(x, F.col("block")).cast("long") * F.col("blocks") + F.least(x, F.col("block"))).alias("tile"), F.when(x == F.col("block"), 0).when(F.col("block") > x, 1).otherwise(2).alias("side")),
     )
-    dealt = rows.withColumn("t", F.explode(tiles)).select("group", "t.tile", "t.side", "id", "series")
+    dealt = rows.withColumn("t", F.explode(tiles)).select("group", "t.tile", "t.side", "id", "series", *keep)
+    return dealt.repartition(max(1, min(int(tasks), 10_000)), "group", "tile")
+
+
+def _compared(table: pa.Table, radius: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): places of all pairs of a tile."""
+    side, x = table.column("side").to_numpy(), matrix(table.column("series").combine_chunks())
+    if (side == 0).all():
+        i, j = np.tril_indices(len(x), -1)
+    else:
+        i, j = (v.ravel() for v in np.meshgrid(np.flatnonzero(side == 1), np.flatnonzero(side == 2), indexing="ij"))
+    d = np.empty(len(i))
+    step = kernels.batch_size(x.shape[1], x.shape[1], radius)
+    for at in range(0, len(i), step):
+        s = slice(at, at + step)
+        d[s] = kernels.dtw(x[i[s]], x[j[s]], radius)
+    return i, j, d
+
+
+def pairwise(df: DataFrame, radius: int | None = None, key: str = "id", series: str = "series", within: str | None = None) -> DataFrame:
+    """(i, j, dist) of all pairs with i > j; within: (group, i, j, dist) of pairs of equal values of that column only.
+    The work grows with the square of the rows (of a group), and so it is dealt: a task turns two blocks into distances
+    batch by batch."""
+    dealt = _tiles(df, within, key=key, series=series)
     kind = dealt.schema["group"].dataType
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        side, ids, x = table.column("side").to_numpy(), table.column("id").to_numpy(), matrix(table.column("series").combine_chunks())
-        if (side == 0).all():
-            i, j = np.tril_indices(len(ids), -1)
-        else:
-            i, j = (v.ravel() for v in np.meshgrid(np.flatnonzero(side == 1), np.flatnonzero(side == 2), indexing="ij"))
-        d = np.empty(len(i))
-        for at in range(0, len(i), kernels.BATCH):
-            s = slice(at, at + kernels.BATCH)
-            d[s] = kernels.dtw(x[i[s]], x[j[s]], radius)
+        ids = table.column("id").to_numpy()
+        i, j, d = _compared(table, radius)
         a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
         return pa.table({"group": pa.array([key[0].as_py()] * len(a), to_arrow_type(kind)), "i": a, "j": b, "dist": d})
 
-    dealt = dealt.repartition(max(1, min(int(tasks), 10_000)), "group", "tile")
     found = dealt.groupBy("group", "tile").applyInArrow(compare, f"group {kind.simpleString()}, i long, j long, dist double")
     return found if within else found.drop("group")
 
 
+def cluster_distances(df: DataFrame, radius: int | None = None) -> DataFrame:
+    """(id, cluster, other, total, n): the sum and number of each row's distances to the (other) rows of each cluster. df:
+    (id, series, cluster). A tile adds up its own pairs, so what leaves it is a row for each of its rows and clusters and
+    not for each pair."""
+    dealt = _tiles(df.withColumn("cluster", F.col("cluster").cast("int")), None, ("cluster",))
+
+    def sums(key: tuple, table: pa.Table) -> pa.Table:
+        ids, label = table.column("id").to_numpy(), table.column("cluster").to_numpy()
+        i, j, d = _compared(table, radius)
+        clusters, code = np.unique(label, return_inverse=True)
+        k = len(clusters)
+        at, far = np.concatenate([i * k + code[j], j * k + code[i]]), np.concatenate([d, d])
+        total, n = np.bincount(at, weights=far, minlength=len(ids) * k), np.bincount(at, minlength=len(ids) * k)
+        some = np.flatnonzero(n)
+        return pa.table({"id": ids[some // k], "cluster": label[some // k], "other": clusters[some % k], "total": total[some], "n": n[some].astype(np.int64)})
+
+    parts = dealt.groupBy("group", "tile").applyInArrow(sums, "id long, cluster int, other int, total double, n long")
+    return parts.groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
 
@@ -108,6 +142,29 @@ def assign(df: DataFrame, centroids: np.ndarray, radius: int | None = None, keep
     return source.mapInArrow(run, f"id long, cluster int, dist double{extra}")
 
 
+def start_bounds(df: DataFrame, k: int) -> DataFrame:
+    """df with `cluster` and `lower`, an array of k zeros: bounds that say nothing yet."""
+    return df.select(F.col("id").cast("long").alias("id"), "series", F.lit(0).alias("cluster"), F.array_repeat(F.lit(0.0), k).alias("lower"))
+
+
+def assign_bounded(state: DataFrame, centroids: np.ndarray, moves: np.ndarray, radius: int | None = None) -> DataFrame:
+    """assign() with bounds that are kept as a column between steps: (id, series, cluster, lower, dist, warped, spared).
+    state: (id, series, cluster, lower), lower being bounds of the distances to the centroids of the step before, and
+    moves how much each may have fallen since (kernels.bound_moves). warped: distances that were made; spared: those
+    that the kept bounds made needless."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = np.maximum(matrix(batch.column("lower")) - moves, 0.0)
+                label, dist, lower, warped, spared = kernels.nearest_bounded(matrix(batch.column("series")), centroids, radius, batch.column("cluster").to_numpy(), kept)
+                offsets = pa.array(np.arange(0, lower.size + 1, lower.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("series"), pa.array(label.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(lower.ravel())), pa.array(dist), pa.array(warped), pa.array(spared)], names)
+
+    names = ["id", "series", "cluster", "lower", "dist", "warped", "spared"]
+    return state.select("id", "series", "cluster", "lower").mapInArrow(run, "id long, series array<double>, cluster int, lower array<double>, dist double, warped int, spared int")
+
+
 def half_nearest(centroids: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distances between centroids, and half of each one's least."""
     k = len(centroids)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..rng import uniform, uniform_value
+from .barycenter import keyed_numbers
 from .pairwise import against
 from .running import running_sums
 
@@ -60,6 +61,27 @@ def plus_plus_ids(df: DataFrame, k: int, radius: int | None, seed: int) -> tuple
     return ids, np.stack(chosen)
 
 
+def plus_plus_cached(df: DataFrame, distances: DataFrame, k: int, seeds: list[int]) -> list[list[int]]:
+    """plus_plus_ids() for several seeds at once, from distances (i, j, dist) of all pairs that are there already: a round is
+    one job for all seeds, the least distance to the chosen ids by a join with those (few) ids, so no series is
+    compared and the table stays where it is. As each draw has its own number, the first ids are those of a smaller k."""
+    spark = df.sparkSession
+    chosen = [[first_choice(df, seed)] for seed in seeds]
+    number = spark.createDataFrame(list(enumerate(map(str, seeds))), "nth int, seed string")
+    for r in range(1, k):
+        ends = F.broadcast(spark.createDataFrame([(n, i) for n, ids in enumerate(chosen) for i in ids], "nth int, end long"))
+        near = distances.join(ends, F.col("i") == F.col("end")).select("nth", F.col("j").alias("id"), "dist")
+        near = near.unionByName(distances.join(ends, F.col("j") == F.col("end")).select("nth", F.col("i").alias("id"), "dist"))
+        weights = near.groupBy("nth", "id").agg(F.pow(F.min("dist"), 2).alias("d2"))
+        taken = ends.select("nth", F.col("end").alias("id"))
+        weights = weights.join(taken, ["nth", "id"], "left_anti").filter("d2 > 0").join(F.broadcast(number), "nth")
+        time = -F.ln(1 - uniform(F.col("seed"), "race", r, F.col("id"))) / F.col("d2")
+        drawn = {row["nth"]: row["id"] for row in weights.groupBy("nth").agg(F.min_by("id", F.struct(time, F.col("id"))).alias("id")).collect()}
+        for n, ids in enumerate(chosen):
+            ids.append(drawn[n] if n in drawn else df.filter(~F.col("id").isin(ids)).agg(F.min("id")).first()[0])
+    return chosen
+
+
 def bernoulli_round(weights: DataFrame, oversample: float, seed: int, round_: int) -> DataFrame:
     """(id): each row by itself with chance min(1, oversample * d2 / sum of d2)."""
     total = weights.agg(F.sum("d2").alias("cost"))  # one row
@@ -106,21 +128,14 @@ def reduce_weighted(x: np.ndarray, weight: np.ndarray, k: int, radius: int | Non
     return chosen
 
 
-def keyed_numbers(ids: np.ndarray, seed: int, *key) -> np.ndarray:
-    """uniform() of each id."""
-    return np.array([uniform_value(seed, *key, i) for i in ids.tolist()])
-
-
-def plus_plus_local(x: np.ndarray, k: int, radius: int | None, seed: int, distances: np.ndarray | None = None, ids: np.ndarray | None = None) -> list[int]:
-    """plus_plus() of a matrix of series in the order of ids: the same draws, so the same rows. With distances (n, n),
-    none is computed."""
+def plus_plus_local(x: np.ndarray, k: int, radius: int | None, seed: int, ids: np.ndarray | None = None) -> list[int]:
+    """plus_plus() of a matrix of series in the order of ids: the same draws, so the same rows."""
     ids = np.arange(len(x)) if ids is None else ids
     chosen = [int(np.lexsort((ids, keyed_numbers(ids, seed, "first")))[0])]
     best = np.full(len(x), np.inf)
     for r in range(1, k):
         last = chosen[-1]
-        d = distances[last] if distances is not None else kernels.dtw(x, np.broadcast_to(x[last], x.shape), radius)
-        best = np.minimum(best, d)
+        best = np.minimum(best, kernels.dtw(x, np.broadcast_to(x[last], x.shape), radius))
         open_ = np.flatnonzero(best > 0)
         if len(open_):
             time = -np.log(1 - keyed_numbers(ids[open_], seed, "race", r)) / best[open_] ** 2

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dtw as D
+from ..functions import kernels
 from ..functions import series as S
 from ..operators import align, barycenter, evaluation, forest, kmeans, minibatch, pairwise, seeding, silhouette
 from ..operators.trees import TreeConfig
@@ -522,8 +523,7 @@ def w09_batch_sample(spark, d):
 
 @query(f"{_ALL_PAIRS}, {_BOTH}, m AS (SELECT i, a.cluster AS cj, avg(dist) AS m FROM both_ways JOIN a ON a.id = j GROUP BY ALL), s AS (SELECT i AS id, b.cluster, coalesce(max(CASE WHEN cj = b.cluster THEN m END), 0.0) AS a, min(CASE WHEN cj <> b.cluster THEN m END) AS b FROM m JOIN a b ON b.id = i GROUP BY ALL) SELECT id, cluster, {_out('a')} AS a, {_out('b')} AS b, {_out('CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END')} AS score FROM s")
 def c19_silhouette(spark, d):
-    a = series_a(spark, d)
-    rows = silhouette.samples(pairwise.pairwise(a, R), a.select("id", "cluster"))
+    rows = silhouette.scores(pairwise.cluster_distances(series_a(spark, d), R))
     return rows.select("id", "cluster", _r("a").alias("a"), _r("b").alias("b"), _r("score").alias("score"))
 
 
@@ -554,6 +554,23 @@ def c14_em_step(spark, d):
     return parts_.select("cluster", "pos", _r(F.col("total") / F.col("n")).alias("value"))
 
 
+_MOVED = f"""{_TO_CENT}, {_NEAREST}, own AS (SELECT cluster AS i, id AS j FROM nearest), {path_cte('own', 'cent_id')},
+  moved AS (SELECT c AS id, list(v ORDER BY pos) AS s FROM (SELECT p.cluster AS c, p.a AS pos, {_out('avg(a.s[p.b + 1])')} AS v FROM path p JOIN a ON a.id = p.id GROUP BY ALL) GROUP BY c),
+  again AS (SELECT a.id AS i, moved.id AS j FROM a, moved), {dtw_cte('again', 'a', 'moved', 'late')}"""
+
+
+@query(f"{_MOVED} SELECT i AS id, arg_min(j, (dist, j))::INT AS cluster, {_out('min(dist)')} AS dist FROM late GROUP BY i")
+def c03_bounded_assign(spark, d):
+    """The labels of a second step, by bounds that the first one kept: the same as if all distances were made."""
+    df, centroids = series_a(spark, d).select("id", "series"), label_centroids(spark, d)
+    first = pairwise.assign_bounded(pairwise.start_bounds(df, len(centroids)), centroids, np.zeros(len(centroids)), R).persist()
+    moved = centroids.copy()
+    for r in barycenter.align_partials(first, centroids, R).select("cluster", "pos", _r(F.col("total") / F.col("n")).alias("v")).collect():  # ten centroids
+        moved[r["cluster"], r["pos"]] = r["v"]
+    second = pairwise.assign_bounded(first, moved, kernels.bound_moves(centroids, moved, R), R)
+    return second.select("id", "cluster", _r("dist").alias("dist"))
+
+
 _RACE = lambda w, r: f"(SELECT arg_min(id, (-ln(1 - {uniform_sql(SEED, chr(39) + 'race' + chr(39), chr(39) + str(r) + chr(39), 'id')}) / d2, id)) FROM {w} WHERE d2 > 0)"
 
 
@@ -567,6 +584,14 @@ def c11b_plus_plus(spark, d):
     return spark.createDataFrame(list(enumerate(ids)), "nth int, id long")
 
 
+@query(_sql["c11b_plus_plus"])
+def c12_cached_plus_plus(spark, d):
+    """The same draws from a table of all pairs' distances."""
+    a = series_a(spark, d)
+    ids = seeding.plus_plus_cached(a, pairwise.pairwise(a, R).persist(), 3, [SEED])[0]
+    return spark.createDataFrame(list(enumerate(ids)), "nth int, id long")
+
+
 @query()
 def c08_dba(spark, d):
     return barycenter.averages(series_a(spark, d), "cluster", R)
@@ -844,6 +869,21 @@ def f10b_given_oob(spark, d):
     return forest.oob_predictions(given_forest(spark, d), _part_rows(spark, d))
 
 
+_SHUFFLED = f"""{_LEAVES}, r AS (SELECT tree_id, f, id, label, p_size, p_retailprice, row_number() OVER (PARTITION BY tree_id, f ORDER BY id) AS n, row_number() OVER (PARTITION BY tree_id, f ORDER BY {uniform_sql(SEED, "'permute'", "tree_id", "f", "id")}, id) AS m
+    FROM p, (SELECT unnest([0, 1, 2]) AS tree_id) t, (SELECT unnest([0, 1]) AS f) x WHERE (id + tree_id) % 4 < 2),
+  dealt AS (SELECT a.tree_id, a.f, a.label, CASE a.f WHEN 0 THEN b.p_size ELSE a.p_size END AS p_size, CASE a.f WHEN 1 THEN b.p_retailprice ELSE a.p_retailprice END AS p_retailprice FROM r a JOIN r b ON b.tree_id = a.tree_id AND b.f = a.f AND b.m = a.n),
+  again AS (SELECT *, 0 AS node_id FROM dealt UNION ALL SELECT w.tree_id, f, label, p_size, p_retailprice, CASE WHEN (CASE feature WHEN 0 THEN p_size ELSE p_retailprice END) <= threshold THEN l ELSE r END
+    FROM again w JOIN node n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE feature >= 0),
+  late AS (SELECT w.tree_id, f, avg((label = 4 - list_position(list_reverse(distribution), list_max(distribution)))::INT) AS acc FROM again w JOIN node n ON n.tree_id = w.tree_id AND n.node_id = w.node_id WHERE feature < 0 GROUP BY ALL),
+  base AS (SELECT tree_id, avg((label = vote)::INT) AS acc FROM vote WHERE (id + tree_id) % 4 < 2 GROUP BY tree_id), s AS (SELECT f, avg(base.acc - late.acc) AS importance, stddev_pop(base.acc - late.acc) AS std FROM late JOIN base USING (tree_id) GROUP BY f)"""
+
+
+@query(f"{_SHUFFLED} SELECT CASE f WHEN 0 THEN 'p_size' ELSE 'p_retailprice' END AS name, {_out('importance')} AS importance, {_out('std')} AS std, row_number() OVER (ORDER BY round(importance, 12) DESC, f)::INT AS rank FROM s")
+def f13b_given_permutation_importances(spark, d):
+    rows = forest.permutation_importances(given_forest(spark, d), _part_rows(spark, d), SEED)
+    return rows.select("name", _r("importance").alias("importance"), _r("std").alias("std"), "rank")
+
+
 @query(f"""WITH {_PART}, {_bag_sql(5)}, long AS (SELECT tree_id, p.id, label, n, unnest([0, 1]) AS feature, unnest([p_size, p_retailprice]) AS value FROM bag JOIN p ON p.id = bag.id WHERE n > 0),
   tot AS (SELECT tree_id, feature, label, sum(n) AS t FROM long GROUP BY ALL), vals AS (SELECT tree_id, feature, value, lead(value) OVER (PARTITION BY tree_id, feature ORDER BY value) AS nxt FROM (SELECT DISTINCT tree_id, feature, value FROM long)),
   cnt AS (SELECT tree_id, feature, value, label, sum(n) AS n FROM long GROUP BY ALL),

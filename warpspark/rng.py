@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 _SCALE = float(1 << 32)
 
 
-def uniform(seed: int, *keys: Column | str | int) -> Column:
+def uniform(seed: int | Column, *keys: Column | str | int) -> Column:
     """A number in [0, 1) from the first 32 bits of an md5 over seed and keys."""
-    parts = [F.lit(str(seed))] + [(k if isinstance(k, Column) else F.lit(str(k))).cast("string") for k in keys]
+    parts = [(k if isinstance(k, Column) else F.lit(str(k))).cast("string") for k in (seed, *keys)]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / _SCALE
 
 
