@@ -199,7 +199,7 @@ class SharedRows:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = sum(sums(_matrix(batch.column("x"))) for batch in batches if batch.num_rows)
             if np.ndim(total):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.asarray(total, float))], ["place", "v"])
 
         some = self.rows if only is None else self.rows.filter(F.col("shard") == only)
         found = some.select("x").mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect()  # as many as a row of sums has
