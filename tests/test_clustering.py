@@ -6,6 +6,7 @@ import pytest
 from warpspark import errors
 from warpspark.functions import kernels
 from warpspark.operators import align, barycenter, kmeans, minibatch, pairwise, seeding, silhouette
+from warpspark.rng import uniform_value
 
 
 @pytest.fixture(scope="module")
@@ -80,6 +81,30 @@ def test_whole_groups_and_partial_sums_average_alike(spark, monkeypatch, options
     assert np.allclose(found[0][0]["centroid"], found[2][0]["centroid"]) and not np.allclose(found[0][1]["centroid"], found[2][1]["centroid"])  # one of three is large
 
 
+def test_subgradient_parts_are_averaged(spark, monkeypatch):
+    x = np.random.default_rng(12).normal(size=(15, 6)).cumsum(axis=1)
+    rows = spark.createDataFrame([(i, int(i >= 10), v.tolist()) for i, v in enumerate(x)], "id long, cluster int, series array<double>")
+    start = np.stack([x[:10].mean(axis=0), x[10:].mean(axis=0)])
+    monkeypatch.setattr(barycenter, "PART_MEMBERS", 5)  # two parts of the first cluster, one of the second
+    part = {r["id"]: r["p"] for r in rows.selectExpr("id", "pmod(xxhash64(id), 2) AS p").collect()}
+    got = barycenter.ssg_distributed(rows.repartition(3), start, 2, max_epochs=2, seed=7)
+    want, steps = start.copy(), [0, 0]
+    for epoch in (1, 2):
+        new = want.copy()
+        for c, members in ((0, range(10)), (1, range(10, 15))):
+            groups = [[i for i in members if part[i] == q] for q in (0, 1)] if c == 0 else [list(members)]
+            ends = []
+            for own in groups:
+                own = sorted(own, key=lambda i: (uniform_value(7, "ssg", epoch, i), i))  # noqa: B023
+                at = want[c].copy()
+                kernels.ssg_pass(x[own], at, 2, steps[c], 0.1, 0.01)
+                ends.append((len(own), at))
+            new[c] = sum(n * at for n, at in ends) / len(members)
+            steps[c] += max(n for n, _ in ends)
+        want = new
+    assert np.allclose(got, want, atol=1e-9) and min(len(set(part[i] for i in range(10))), 2) == 2
+
+
 def test_sweep_draws_once_and_needs_no_square(spark, archetypes, monkeypatch):
     cfg = kmeans.KMeansConfig(k=1, n_init=3, max_iter=4)
     pairs = pairwise.pairwise(archetypes, cfg.radius)

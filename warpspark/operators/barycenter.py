@@ -15,6 +15,7 @@ from ..functions import kernels
 from ..rng import uniform, uniform_value
 from .pairwise import matrix, medoid
 
+PART_MEMBERS = 50_000  # members that one subgradient pass takes one after the other
 GROUP_VALUES = 4_000_000  # numbers of a group that a task averages whole: 32 MB
 
 
@@ -198,37 +199,46 @@ def dba_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | No
 
 
 def ssg_distributed(labelled: DataFrame, centroids: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42, record: Steps | None = None) -> np.ndarray:
-    """kernels.ssg of each cluster from the given means. The method takes members one after the other, so each
-    cluster is one task's stream, in an order drawn anew for each epoch; the task holds a batch of it at a time."""
+    """kernels.ssg of each cluster from the given means. The method takes members one after the other. A cluster of at most
+    PART_MEMBERS is one stream, in an order drawn anew for each epoch. A larger one is cut into as many parts as it has
+    PART_MEMBERS, by a hash of the id: in an epoch each part goes from the same centroid over its own members, and the mean
+    of what the parts arrive at, weighted by their members, is the next centroid; the step size falls by the steps of the
+    longest part. Tasks hold a batch of a part at a time; the rule depends on the number of members, not on partitions."""
     centroids = centroids.copy()
+    sizes = {r["cluster"]: r["count"] for r in labelled.groupBy("cluster").count().collect()}  # clusters
+    parts = [max(1, -(-sizes.get(c, 0) // PART_MEMBERS)) for c in range(len(centroids))]
+    part = F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, parts)), F.col("cluster") + 1).cast("long")).cast("int")
     steps = dict.fromkeys(range(len(centroids)), 0)
     going = set(steps)
     for epoch in range(1, max_epochs + 1):
         at, before = centroids, dict(steps)
 
         def run(batches: Iterator[pa.RecordBatch], at=at, before=before) -> Iterator[pa.RecordBatch]:
-            state: dict[int, list] = {}
+            state: dict[tuple[int, int], list] = {}
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                label, x = batch.column("cluster").to_numpy(), matrix(batch.column("series"))
-                for c in np.unique(label).tolist():
-                    here = state.setdefault(c, [at[c].copy(), before[c], 0.0])
-                    here[1], largest = kernels.ssg_pass(x[label == c], here[0], radius, here[1], rate, decay)
+                label, own, x = batch.column("cluster").to_numpy(), batch.column("part").to_numpy(), matrix(batch.column("series"))
+                for c, q in np.unique(np.stack([label, own], 1), axis=0).tolist():
+                    here = state.setdefault((c, q), [at[c].copy(), before[c], 0.0])
+                    here[1], largest = kernels.ssg_pass(x[(label == c) & (own == q)], here[0], radius, here[1], rate, decay)
                     here[2] = max(here[2], largest)
-            for c, (centroid, n, largest) in state.items():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([centroid.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64()), pa.array([float(largest)])], ["cluster", "centroid", "steps", "largest"])
+            for (c, _), (centroid, n, largest) in state.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([centroid.tolist()], pa.list_(pa.float64())), pa.array([n - before[c]], pa.int64()), pa.array([float(largest)])], ["cluster", "centroid", "n", "largest"])
 
-        order = labelled.filter(F.col("cluster").isin(list(going))).withColumn("u", uniform(seed, "ssg", epoch, F.col("id")))
-        dealt = order.repartition(max(1, len(going)), "cluster").sortWithinPartitions("cluster", "u", "id").select("cluster", "series")
+        order = labelled.filter(F.col("cluster").isin(list(going))).withColumn("part", part).withColumn("u", uniform(seed, "ssg", epoch, F.col("id")))
+        dealt = order.repartition(max(1, sum(parts[c] for c in going)), "cluster", "part").sortWithinPartitions("cluster", "part", "u", "id").select("cluster", "part", "series")
+        found = dealt.mapInArrow(run, "cluster int, centroid array<double>, n long, largest double").select("cluster", "n", "largest", F.posexplode("centroid").alias("pos", "v"))
+        weighted = found.groupBy("cluster", "pos").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.max("n").alias("n"), F.max("largest").alias("largest"))
         centroids = centroids.copy()
-        for r in dealt.mapInArrow(run, "cluster int, centroid array<double>, steps long, largest double").collect():  # k centroids
-            centroids[r["cluster"]] = r["centroid"]
-            steps[r["cluster"]] = r["steps"]
+        for r in weighted.collect():  # k centroids
+            c = r["cluster"]
+            centroids[c, r["pos"]] = r["v"]
+            steps[c] = before[c] + r["n"]
             if record:
-                record.done[r["cluster"]], record.converged[r["cluster"]] = epoch, r["largest"] < tol
+                record.done[c], record.converged[c] = epoch, r["largest"] < tol
             if r["largest"] < tol:
-                going.discard(r["cluster"])
+                going.discard(c)
         if not going:
             break
     return centroids

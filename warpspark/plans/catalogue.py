@@ -239,8 +239,8 @@ def a10_dtw_pruned(spark, d):
 @query(f"""{_TO_CENT}, cut AS (SELECT i, round(median(dist), 3) AS m FROM dist GROUP BY i), ce AS (SELECT c, s, {_envelope('s', 'max')} AS u, {_envelope('s', 'min')} AS l FROM cent),
   clipped AS (SELECT a.id, c, a.s AS q, ce.s AS s, u, l, list_transform(range(1, len(a.s) + 1), lambda i: greatest(least(a.s[i], u[i]), l[i])) AS h FROM a, ce),
   h AS (SELECT *, {_envelope('h', 'max')} AS hu, {_envelope('h', 'min')} AS hl, list_sum(list_transform(range(1, len(q) + 1), lambda i: {_gap('q[i]', 'u[i]', 'l[i]')} ** 2)) AS one FROM clipped),
-  b AS (SELECT id, c, sqrt(one) AS keogh, sqrt(one + list_sum(list_transform(range(1, len(q) + 1), lambda i: {_gap('s[i]', 'hu[i]', 'hl[i]')} ** 2))) AS both FROM h)
-  SELECT CASE WHEN keogh >= m THEN 'keogh' WHEN both >= m THEN 'two_pass' WHEN dist > m THEN 'cutoff' ELSE 'distance' END AS settled, count(*) AS n FROM b JOIN dist ON i = id AND j = c JOIN cut USING (i) GROUP BY 1""")
+  b AS (SELECT id, c, sqrt(one) AS keogh, sqrt(one + list_sum(list_transform(range(1, len(q) + 1), lambda i: {_gap('s[i]', 'hu[i]', 'hl[i]')} ** 2))) AS two FROM h)
+  SELECT CASE WHEN keogh >= m THEN 'keogh' WHEN two >= m THEN 'two_pass' WHEN dist > m THEN 'cutoff' ELSE 'distance' END AS settled, count(*) AS n FROM b JOIN dist ON i = id AND j = c JOIN cut USING (i) GROUP BY 1""")
 def a10b_cascade(spark, d):
     """What settled each pair of a10: the first bound, the second, or (cutoff, distance) a warping, whose number it counts."""
     rows = _cutoffs(spark, d).select(D.dtw_cascade(F.col("series"), F.col("centroid"), F.col("cutoff"), R)["settled"].alias("settled"))
