@@ -118,10 +118,8 @@ def _dtw(a, b, radius, cutoff):
     return out
 
 
-def paths(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distance, row, i, j): the steps of all pairs from (0, 0) on, ordered by row and step. Where several
-    predecessors are equal the diagonal goes before the one above, and that before the left one. Keeps a byte for each
-    cell of the band (see path_batch())."""
+def _steps_back(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distances, and the steps of all pairs' paths from their ends on: (row, i, j) of each step back."""
     a_t, b_t = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     n, m, size = len(a_t), len(b_t), a_t.shape[1]
     radius, width = band(n, m, radius)
@@ -139,9 +137,8 @@ def paths(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray,
         np.copyto(move[i, : hi - lo], above < diagonal)
         now[0] = INF
         for k in range(hi - lo):
-            left = now[k] < best[k]
+            np.maximum(move[i, k], (now[k] < best[k]).view(np.uint8) << 1, out=move[i, k])
             np.minimum(best[k], now[k], out=best[k])
-            move[i, k][left] = 2
             np.add(best[k], cost[k], out=now[k + 1])
         rows.turn(lo, hi)
     distance = np.sqrt(rows.before[m - rows.lo])
@@ -150,12 +147,21 @@ def paths(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray,
     while len(row):
         found.append((row, i, j))
         go = (i > 0) | (j > 0)
-        row, i, j = row[go], i[go], j[go]
+        if not go.all():
+            row, i, j = row[go], i[go], j[go]
         step = np.where(i == 0, 2, np.where(j == 0, 1, move[i, j - np.maximum(0, i - radius), row]))
         i, j = i - (step != 2), j - (step != 1)
-    rows_, ii, jj = (np.concatenate(x)[::-1] for x in zip(*found))
-    order = np.argsort(rows_, kind="stable")
-    return distance, rows_[order], ii[order], jj[order]
+    return distance, found
+
+
+def paths(a: np.ndarray, b: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, row, i, j): the steps of all pairs from (0, 0) on, ordered by row and step. Where several
+    predecessors are equal the diagonal goes before the one above, and that before the left one. Keeps a byte for each
+    cell of the band (see path_batch())."""
+    distance, found = _steps_back(a, b, radius)
+    rows, i, j = (np.concatenate(x)[::-1] for x in zip(*found))
+    order = np.argsort(rows, kind="stable")
+    return distance, rows[order], i[order], j[order]
 
 
 def _window(x: np.ndarray, radius: int, of: np.ufunc, rest: float) -> np.ndarray:
@@ -277,14 +283,22 @@ def nearest_bounded(x: np.ndarray, centroids: np.ndarray, radius: int | None, la
 
 def align_sums(x: np.ndarray, centroid: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the centroid, the sum and number of the values that the rows' paths bring there."""
-    sums, counts = np.zeros(len(centroid)), np.zeros(len(centroid))
-    step = path_batch(len(centroid), x.shape[1], radius)
+    sums, counts = align_sums_by(x, np.zeros(len(x), np.int64), centroid[None, :], radius)
+    return sums[0], counts[0]
+
+
+def align_sums_by(x: np.ndarray, label: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """align_sums() of several centroids at once, each by the rows with its label."""
+    k, n = centroids.shape
+    sums, counts = np.zeros(k * n), np.zeros(k * n)
+    step = path_batch(n, x.shape[1], radius)
     for at in range(0, len(x), step):
-        part = x[at : at + step]
-        _, row, i, j = paths(np.broadcast_to(centroid, (len(part), len(centroid))), part, radius)
-        sums += np.bincount(i, weights=part[row, j], minlength=len(centroid))
-        counts += np.bincount(i, minlength=len(centroid))
-    return sums, counts
+        part, own = x[at : at + step], label[at : at + step]
+        row, i, j = (np.concatenate(v) for v in zip(*_steps_back(centroids[own], part, radius)[1]))
+        place = own[row] * n + i
+        sums += np.bincount(place, weights=part[row, j], minlength=k * n)
+        counts += np.bincount(place, minlength=k * n)
+    return sums.reshape(k, n), counts.reshape(k, n)
 
 
 def medoid(x: np.ndarray, radius: int | None) -> int:
@@ -302,18 +316,29 @@ def medoid(x: np.ndarray, radius: int | None) -> int:
 def dba(x: np.ndarray, radius: int | None, init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, sample=None):
     """(centroid, converged, iterations, change, mode) of barycenter averaging. sample: gives the rows of each step,
     from 0 on, below a fraction of 1; else they are drawn from the seed."""
-    centroid = x[medoid(x, radius)].copy() if init == "medoid" else x.mean(axis=0)
-    take = max(1, int(np.ceil(len(x) * fraction)))
-    rng, change, done = np.random.default_rng(seed), INF, 0
-    for done in range(1, max_iter + 1):
-        part = x if take >= len(x) else x[sample(done - 1) if sample else rng.permutation(len(x))[:take]]
-        sums, counts = align_sums(part, centroid, radius)
-        new = np.where(counts > 0, sums / np.maximum(counts, 1), centroid)
-        change = float(np.abs(new - centroid).max())
-        centroid = new
-        if change < tol:
+    take, rng = max(1, int(np.ceil(len(x) * fraction))), np.random.default_rng(seed)
+    some = sample or (lambda step: rng.permutation(len(x))[:take])
+    centroids, converged, done, change = dba_groups(x, [np.arange(len(x))], radius, init, max_iter, tol, fraction, [some])
+    return centroids[0], bool(converged[0]), int(done[0]), float(change[0]), "full" if take >= len(x) else "stochastic"
+
+
+def dba_groups(x: np.ndarray, members: list[np.ndarray], radius: int | None, init: str, max_iter: int, tol: float, fraction: float, samples: list) -> tuple[np.ndarray, ...]:
+    """(centroids, converged, iterations, change) of several groups of rows, each stopping by itself; the paths of all
+    groups are made in common batches. samples: for each group what gives the rows of each step, by their places in it."""
+    start = lambda m: x[m[medoid(x[m], radius)]] if init == "medoid" else x[m].mean(axis=0)
+    centroids = np.stack([start(m) for m in members])
+    done, change, going = np.zeros(len(members), np.int64), np.full(len(members), INF), np.arange(len(members))
+    for step in range(max_iter):
+        full = [max(1, int(np.ceil(len(m) * fraction))) >= len(m) for m in members]
+        parts = [members[c] if full[c] else members[c][samples[c](step)] for c in going]
+        sums, counts = align_sums_by(x[np.concatenate(parts)], np.repeat(np.arange(len(going)), [len(m) for m in parts]), centroids[going], radius)
+        new = np.where(counts > 0, sums / np.maximum(counts, 1), centroids[going])
+        change[going], done[going] = np.abs(new - centroids[going]).max(axis=1), step + 1
+        centroids[going] = new
+        going = going[change[going] >= tol]
+        if not len(going):
             break
-    return centroid, change < tol, done, change, "full" if take >= len(x) else "stochastic"
+    return centroids, change < tol, done, change
 
 
 def ssg(x: np.ndarray, radius: int | None, max_epochs: int = 20, rate: float = 0.1, decay: float = 0.01, tol: float = 1e-5, seed: int = 42, order=None):

@@ -113,19 +113,14 @@ def align_partials(df: DataFrame, centroids: np.ndarray, radius: int | None = No
     own rows first, so what is shuffled is k rows of centroids for each task, whatever the size of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        sums = counts = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            label, x = batch.column("cluster").to_numpy(), matrix(batch.column("series"))
-            for c in np.unique(label).tolist():
-                s, n = kernels.align_sums(x[label == c], centroids[c], radius)
-                have = sums.setdefault(c, [np.zeros_like(s), np.zeros_like(n)])
-                have[0] += s
-                have[1] += n
-        for c, (s, n) in sums.items():
-            size = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([c] * size, pa.int32()), pa.array(np.arange(size).astype(np.int32)), pa.array(s), pa.array(n)], ["cluster", "pos", "total", "n"])
+            if batch.num_rows:
+                s, n = kernels.align_sums_by(matrix(batch.column("series")), batch.column("cluster").to_numpy().astype(np.int64), centroids, radius)
+                sums, counts = (s, n) if sums is None else (sums + s, counts + n)
+        if sums is not None:
+            c, pos = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(pos, pa.int32()), pa.array(sums[c, pos]), pa.array(counts[c, pos])], ["cluster", "pos", "total", "n"])
 
     part = df.select("cluster", "series").mapInArrow(run, "cluster int, pos int, total double, n double")
     return part.groupBy("cluster", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -132,7 +132,7 @@ def fit_matrix(x: np.ndarray, cfg: KMeansConfig, seed: int, ids: np.ndarray | No
             centroids = np.stack([kernels.ssg(x[m], cfg.radius, order=order(m))[0] for m in members])
         else:
             some = lambda m: lambda step: barycenter.sample_places(ids[m], cfg.dba_fraction, seed, step)
-            centroids = np.stack([kernels.dba(x[m], cfg.radius, cfg.dba_init, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, sample=some(m))[0] for m in members])
+            centroids = kernels.dba_groups(x, members, cfg.radius, cfg.dba_init, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, list(map(some, members)))[0]
         moves = kernels.bound_moves(used, centroids, cfg.radius)
     return label, dist, centroids, total, converged, step, skipped, warped
 
