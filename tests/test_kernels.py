@@ -142,3 +142,12 @@ def test_kept_bounds_are_true_and_spare_distances():
     # Ties go to the least centroid, whichever was the last one.
     label = K.nearest_bounded(np.zeros((2, 4)), np.stack([np.ones(4), -np.ones(4)]), 2, np.array([1, 0]), np.zeros((2, 2)))[0]
     assert label.tolist() == [0, 0]
+
+
+def test_path_of_one_pair_is_that_of_batches():
+    rng = np.random.default_rng(8)
+    for n, m, r in ((7, 7, None), (5, 9, 4), (9, 5, 4), (6, 6, 0), (1, 1, 2), (1, 4, None), (4, 1, 3), (30, 30, 2)):
+        for _ in range(20):
+            a, b = rng.integers(0, 3, n).astype(float), rng.integers(0, 3, m).astype(float)
+            _, _, i, j = K.paths(a[None], b[None], r)
+            assert K.path_of(a, b, r) == list(zip(i.tolist(), j.tolist()))
