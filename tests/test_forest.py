@@ -46,16 +46,18 @@ def test_trees_are_the_same_both_ways(table, monkeypatch, share):
     assert one == key(forest.train(table.repartition(5), cfg))
 
 
-@pytest.mark.parametrize("criterion", ["gini", "entropy"])
-def test_level_trees_are_the_local_trees(spark, table, criterion):
+@pytest.mark.parametrize("split,criterion", [("histogram", "gini"), ("histogram", "entropy"), ("exact", "gini"), ("exact", "entropy"), ("extra-trees", "gini"), ("extra-trees", "entropy")])
+def test_level_trees_are_the_local_trees(spark, table, split, criterion):
     rng = np.random.default_rng(7)
     rows = [(i, [float(rng.integers(0, 4)), float(rng.normal()), 5.0, float(i % 7)], int(rng.integers(0, 3))) for i in range(250)]
     hard = spark.createDataFrame(rows, "id long, features array<double>, label int")
     few = hard.filter("id < 2")  # of some trees all rows are out of the bag
     options = [({"max_depth": 3, "bins": 8}, hard, 5), ({"bins": 32, "min_samples_leaf": 4, "max_features": "all"}, hard, 3), ({"max_features": 0.3}, table, 2), ({}, few, 6)]
     columns = "tree_id node_id is_leaf feature threshold left right n_samples prediction depth".split()
+    if split != "histogram":
+        options = [({"max_depth": 3}, hard, 3), ({"max_depth": 2, "min_samples_leaf": 4, "max_features": "all"}, hard, 2), ({"max_depth": 2, "max_features": 0.3}, table, 2), ({}, few, 6)]
     for options, rows, trees in options if criterion == "gini" else options[1:2] + options[3:]:
-        cfg = forest.ForestConfig(trees, TreeConfig(split="histogram", criterion=criterion, **options))
+        cfg = forest.ForestConfig(trees, TreeConfig(split=split, criterion=criterion, **options))
         found = []
         for way in (False, True):
             model = forest.train(rows.repartition(5) if way else rows, replace(cfg, distributed=way))
@@ -120,6 +122,17 @@ def test_rows_walk_through_a_forest_that_is_not_sent(table, model, monkeypatch):
     assert d.keys() == d2.keys() and all(np.allclose(d[i], d2[i]) for i in d)
 
 
+def test_exact_cut_between_neighbouring_numbers(spark):
+    near = [1.0, float(np.nextafter(1.0, 2)), float(np.nextafter(np.nextafter(1.0, 2), 2))]
+    rows = spark.createDataFrame([(i, [near[i % 3]], int(i % 3 > 1)) for i in range(30)], "id long, features array<double>, label int")
+    found = []
+    for way in (False, True):
+        m = forest.train(rows, forest.ForestConfig(2, TreeConfig(), distributed=way))
+        found.append(sorted(tuple(r) for r in m.nodes.select("tree_id", "node_id", "threshold", "n_samples").collect()))
+        assert evaluation.accuracy(forest.predict(m, rows)).first()[0] == 1
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
 def test_trees():
     xor = grow(np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]]), np.array([0, 1, 1, 0]), 2, TreeConfig(max_features="all"), 1)
     assert len(xor) == 7 and (Tree(xor).predict(np.array([[0, 0], [0, 1], [1, 0], [1, 1.0]])) == [0, 1, 1, 0]).all()

@@ -1,10 +1,9 @@
 """Random forest: trees by tasks or level by level, everything after that by DataFrame operations over the nodes.
 
 The training table is sent to the executors if it has at most LOCAL_VALUES numbers (counted first), and each tree grows
-in a task. Beyond that, histogram trees grow level by level over the distributed table (levels.py), with no more of a
-tree in a task than a node's counts; exact and extra-trees splits need a node's values, so each tree's sample is dealt
-to its task by a shuffle. Samples, and the features of a histogram tree's nodes, are drawn from keyed numbers, so the
-trees are the same either way.
+in a task. Beyond that, trees grow level by level over the distributed table (levels.py), so that no task has a tree's or
+a node's rows. Samples, the features of nodes and where extra-trees cut them are drawn from keyed numbers, so the trees
+are the same either way.
 """
 
 from __future__ import annotations
@@ -28,10 +27,10 @@ from .. import errors
 from ..functions import series as S
 from ..rng import derived_seed, uniform, uniform_value
 from ..scratch import written
-from .levels import bin_edges, grow_levels
+from .levels import grow_levels
 from .pairwise import matrix
 from .running import inner_edges, ranked, running_sums
-from .trees import NODE_SCHEMA, Tree, TreeConfig, feature_edges, grow, keyed_features, resolve_max_features
+from .trees import NODE_SCHEMA, Tree, TreeConfig, feature_edges, grow, keyed_features, keyed_shares, resolve_max_features
 
 LOCAL_VALUES = 16_000_000
 SENT_NODES = 1_000_000  # some 100 MB as arrays
@@ -126,11 +125,10 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
     names = feature_names or [f"f{i}" for i in range(n_features)]
     spark = df.sparkSession
     counts = bootstrap_counts(df.select("id"), cfg.n_trees, cfg.seed, cfg.bootstrap)
-    histogram = cfg.tree.split == "histogram"
     if n * (n_features + 1) <= LOCAL_VALUES if cfg.distributed is None else not cfg.distributed:
         pdf = df.select("id", "features", "label").toPandas().sort_values("id", kind="stable")
         ids, x, y = pdf["id"].to_numpy(), np.stack(pdf["features"].to_list()), pdf["label"].to_numpy()
-        edges = [feature_edges(x[:, f], cfg.tree.bins) for f in range(n_features)] if histogram else None
+        edges = [feature_edges(x[:, f], cfg.tree.bins) for f in range(n_features)] if cfg.tree.split == "histogram" else None
         sent = spark.sparkContext.broadcast((x, y, edges))  # LOCAL_VALUES numbers at most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,29 +137,15 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
                 for tree in batch["id"]:
                     rows = np.repeat(np.arange(n), bag_counts(ids, tree, cfg.seed, cfg.bootstrap))
                     rows = rows if len(rows) else np.arange(n)  # a few rows may all be out of the bag
-                    chosen = keyed_features(cfg.seed, tree, n_features, cfg.tree) if histogram else None
-                    nodes = pd.DataFrame(grow(x[rows], y[rows], n_classes, cfg.tree, derived_seed(cfg.seed, "tree", tree), edges, chosen))
+                    chosen, share = keyed_features(cfg.seed, tree, n_features, cfg.tree), keyed_shares(cfg.seed, tree)
+                    nodes = pd.DataFrame(grow(x[rows], y[rows], n_classes, cfg.tree, derived_seed(cfg.seed, "tree", tree), edges, chosen, share))
                     nodes.insert(0, "tree_id", tree)
                     yield nodes
 
         slices = min(cfg.n_trees, 4 * spark.sparkContext.defaultParallelism)
         nodes = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(run, FOREST_SCHEMA).persist()
-    elif histogram:
-        nodes = grow_levels(df.select("id", "features", "label"), counts, bin_edges(df, n_features, cfg.tree.bins), cfg.n_trees, n_classes, cfg.tree, cfg.seed)
     else:
-        used = df.join(counts.filter("n > 0"), "id")
-
-        def one(key: tuple, table: pa.Table) -> pa.Table:
-            table = table.sort_by("id")
-            times = table.column("n").to_numpy()
-            x = np.repeat(table.column("features").combine_chunks().flatten().to_numpy().reshape(len(table), -1), times, axis=0)
-            y = np.repeat(table.column("label").to_numpy(), times)
-            nodes = pd.DataFrame(grow(x, y, n_classes, cfg.tree, derived_seed(cfg.seed, "tree", key[0].as_py())))
-            nodes.insert(0, "tree_id", key[0].as_py())
-            return pa.Table.from_pandas(nodes, schema=to_arrow_schema(nodes_type), preserve_index=False)
-
-        nodes_type = spark.createDataFrame([], FOREST_SCHEMA).schema
-        nodes = used.groupBy("tree_id").applyInArrow(one, FOREST_SCHEMA).persist()
+        nodes = grow_levels(df.select("id", "features", "label"), counts, n_features, cfg.n_trees, n_classes, cfg.tree, cfg.seed)
     oob = counts.filter("n = 0").select("tree_id", "id")
     return Forest(nodes, cfg.n_trees, n_features, n_classes, names, oob)
 

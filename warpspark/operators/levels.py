@@ -1,10 +1,15 @@
-"""Histogram trees grown level by level over a distributed table, all trees of a block at once.
-
-A row stands once in each tree whose sample it is in, with the number of times it was drawn, its bins and the path of
-its node. A level is one aggregate: counts by (tree, node, feature, bin) and class, of the features that each node drew,
-summed before the shuffle. Counts run over a node's bins (at most 256 rows), the best split of each node is kept, and
-the table of splits is joined to the rows, which move on to a child or end in a leaf. Nothing but node counts leaves
-the executors' tables, and each level is written, so a lost executor costs a level at most.
+"""Trees grown level by level over a distributed table, all trees of a block at once.
+
+A row stands once in each tree whose sample it is in, with the number of times it was drawn, its values (for histograms
+its bins) and the path of its node. A level finds, for each feature that a node drew, the class counts on the left of
+each cut it may make:
+- histogram: counts by (tree, node, feature, bin), summed before the shuffle, run over a node's bins (at most 256 rows);
+- extra-trees: the least and greatest value give the one cut, a second aggregate counts below it;
+- exact: counts by (tree, node, feature, value), summed before the shuffle, run over ranges of values (running.py), so
+  neither a node of all rows nor a feature without repeats is one task's.
+The best split of each node is kept, and the table of splits is joined to the rows, which move on to a child or end in a
+leaf. Nothing but node counts leaves the executors' tables, and each level is written, so a lost executor costs a level
+at most.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import types as T
 from ..rng import uniform
 from ..scratch import written
 from .pairwise import matrix
-from .running import inner_edges, ranked
+from .running import inner_edges, ranked, running_sums
 from .trees import TreeConfig, resolve_max_features
 
 TREES = 16  # trees that grow at once; the rows of a level are as many times the table's
@@ -37,7 +42,7 @@ def bin_edges(df: DataFrame, n_features: int, bins: int) -> list[np.ndarray]:
 
 
 def _binned(df: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """(id, label, bins array<smallint>): how many edges lie below each value."""
+    """(id, label, x array<smallint>): how many edges lie below each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,9 +50,9 @@ def _binned(df: DataFrame, edges: list[np.ndarray]) -> DataFrame:
                 x = matrix(batch.column("features"))
                 bins = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1).astype(np.int16)
                 offsets = pa.array(np.arange(0, bins.size + 1, len(edges)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(bins.ravel()))], ["id", "label", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(bins.ravel()))], ["id", "label", "x"])
 
-    fields = [df.schema["id"], df.schema["label"], T.StructField("bins", T.ArrayType(T.ShortType()))]
+    fields = [df.schema["id"], df.schema["label"], T.StructField("x", T.ArrayType(T.ShortType()))]
     return df.select("id", "features", "label").mapInArrow(run, T.StructType(fields))
 
 
@@ -78,24 +83,51 @@ def _classes(n_classes: int) -> list[Column]:
     return [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).cast("long") for c in range(n_classes)]
 
 
+def _bin_cuts(values: DataFrame, by: list[str], n_classes: int) -> DataFrame:
+    """(*by, cut, left) from counts by bin: a node and feature have no more rows than bins."""
+    upto = W.partitionBy(*by).orderBy("cut").rowsBetween(W.unboundedPreceding, 0)
+    return values.select(*by, "cut", F.array(*[F.sum(f"c{i}").over(upto) for i in range(n_classes)]).alias("left"))
+
+
+def _value_cuts(values: DataFrame, by: list[str], n_classes: int) -> DataFrame:
+    """(*by, cut, left) from counts by value: halfway between each value and the one before it."""
+    names = [f"c{i}" for i in range(n_classes)]
+    runs = running_sums(values, by, ["cut"], names, ("cut",)).filter("before_cut IS NOT NULL")
+    middle = (F.col("before_cut") + F.col("cut")) / 2
+    left = F.array(*[F.col(f"run_{c}") - F.col(c) for c in names])
+    return runs.select(*by, F.when(middle < F.col("cut"), middle).otherwise(F.col("before_cut")).alias("cut"), left.alias("left"))
+
+
+def _random_cuts(each: DataFrame, by: list[str], n_classes: int, seed: int) -> DataFrame:
+    """(*by, cut, left): one cut for each node and feature, somewhere in the node's range of it."""
+    ranges = each.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low < high")
+    share = uniform(seed, "cut", F.col("tree_id"), F.col("path"), F.col("feature"))
+    cuts = ranges.select(*by, (F.col("low") + (F.col("high") - F.col("low")) * share).alias("cut"))
+    below = each.join(cuts, by).withColumn("n", F.when(F.col("x") <= F.col("cut"), F.col("n")).otherwise(0))
+    return below.groupBy(*by, "cut").agg(F.array(*_classes(n_classes)).alias("left"))
+
+
 def level_splits(rows: DataFrame, nodes: DataFrame, cfg: TreeConfig, n_features: int, n_classes: int, seed: int) -> DataFrame:
-    """(tree_id, path, feature, bin, decrease, left): the best split of each open node, `left` being the class counts on its
-    left. rows: (tree_id, path, label, n, bins); nodes: (tree_id, path, counts) of open nodes."""
+    """(tree_id, path, feature, cut, decrease, left): the best split of each open node, `left` being the class counts of its
+    rows whose x is at most the cut (a threshold; for histograms a bin). rows: (tree_id, path, label, n, x); nodes:
+    (tree_id, path, counts) of open nodes."""
     drawn = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda f: F.struct(uniform(seed, "feature", F.col("tree_id"), F.col("path"), f).alias("u"), f.alias("f")))
     features = F.transform(F.slice(F.array_sort(drawn), 1, resolve_max_features(cfg.max_features, n_features)), lambda s: s["f"])
     # Sizes that Spark knows: splits and nodes are written tables, so it sends them to all only below its own bound.
     each = rows.join(nodes.select("tree_id", "path", features.alias("features")), ["tree_id", "path"])
-    each = each.select("tree_id", "path", "label", "n", "bins", F.posexplode("features").alias("nth", "feature"))
-    counts = [c.alias(f"c{i}") for i, c in enumerate(_classes(n_classes))]
-    histogram = each.groupBy("tree_id", "path", "nth", "feature", F.get("bins", F.col("feature")).alias("bin")).agg(*counts)
-    upto = W.partitionBy("tree_id", "path", "nth").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)  # rows of one node and feature: its bins
-    left = F.array(*[F.sum(f"c{i}").over(upto) for i in range(n_classes)])
-    cuts = histogram.select("tree_id", "path", "nth", "feature", "bin", left.alias("left")).join(nodes.select("tree_id", "path", "counts"), ["tree_id", "path"])
+    each = each.select("tree_id", "path", "label", "n", "x", F.posexplode("features").alias("nth", "feature")).withColumn("x", F.get("x", F.col("feature")))
+    by = ["tree_id", "path", "nth", "feature"]
+    if cfg.split == "extra-trees":
+        cuts = _random_cuts(each, by, n_classes, seed)
+    else:
+        values = each.groupBy(*by, F.col("x").alias("cut")).agg(*[c.alias(f"c{i}") for i, c in enumerate(_classes(n_classes))])
+        cuts = _bin_cuts(values, by, n_classes) if cfg.split == "histogram" else _value_cuts(values, by, n_classes)
+    cuts = cuts.join(nodes.select("tree_id", "path", "counts"), ["tree_id", "path"])
     right = F.zip_with("counts", "left", lambda t, c: t - c)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     cuts = cuts.withColumn("right", right).filter((total(F.col("left")) >= cfg.min_samples_leaf) & (total(F.col("right")) >= cfg.min_samples_leaf))
     decrease = _spread(F.col("counts"), cfg.criterion) - _spread(F.col("left"), cfg.criterion) - _spread(F.col("right"), cfg.criterion)
-    best = F.max_by(F.struct("feature", "bin", "decrease", "left"), F.struct(F.round("decrease", 9), -F.col("nth"), -F.col("bin")))
+    best = F.max_by(F.struct("feature", "cut", "decrease", "left"), F.struct(F.round("decrease", 9), -F.col("nth"), -F.col("cut")))
     return cuts.withColumn("decrease", decrease).groupBy("tree_id", "path").agg(best.alias("b")).select("tree_id", "path", "b.*")
 
 
@@ -113,36 +145,40 @@ def _grow_block(rows: DataFrame, cfg: TreeConfig, n_features: int, n_classes: in
         splits.append(found)
         nodes = written(both.select("tree_id", F.explode("children").alias("c")).select("tree_id", "c.*"), "level-nodes")
         levels.append(nodes)
-        where = both.select("tree_id", "path", "feature", "bin", F.get("children", F.lit(0))["open"].alias("l_open"), F.get("children", F.lit(1))["open"].alias("r_open"))
+        where = both.select("tree_id", "path", "feature", "cut", F.get("children", F.lit(0))["open"].alias("l_open"), F.get("children", F.lit(1))["open"].alias("r_open"))
         at = rows.join(where, ["tree_id", "path"])
-        goes_left = F.get("bins", F.col("feature")) <= F.col("bin")
+        goes_left = F.get("x", F.col("feature")) <= F.col("cut")
         at = at.filter(F.when(goes_left, F.col("l_open")).otherwise(F.col("r_open")))
-        rows = written(at.select("tree_id", F.concat("path", F.when(goes_left, "L").otherwise("R")).alias("path"), "label", "n", "bins"), "level-rows")
+        rows = written(at.select("tree_id", F.concat("path", F.when(goes_left, "L").otherwise("R")).alias("path"), "label", "n", "x"), "level-rows")
     return levels, splits
 
 
-def grow_levels(df: DataFrame, counts: DataFrame, edges: list[np.ndarray], n_trees: int, n_classes: int, cfg: TreeConfig, seed: int) -> DataFrame:
-    """The nodes of n_trees trees, as trees.grow() makes them with the same edges and features. df: (id, features,
-    label); counts: (tree_id, id, n), how often each tree's sample has a row. A tree without a row in its sample takes
-    every row once."""
-    spark, n_features = df.sparkSession, len(edges)
-    binned = written(_binned(df, edges), "binned")
+def grow_levels(df: DataFrame, counts: DataFrame, n_features: int, n_trees: int, n_classes: int, cfg: TreeConfig, seed: int) -> DataFrame:
+    """The nodes of n_trees trees, as trees.grow() makes them with the whole table's edges and the same features and
+    shares. df: (id, features, label); counts: (tree_id, id, n), how often each tree's sample has a row. A tree without
+    a row in its sample takes every row once."""
+    spark = df.sparkSession
+    edges = bin_edges(df, n_features, cfg.bins) if cfg.split == "histogram" else []
+    placed = written(_binned(df, edges) if edges else df.select("id", "label", F.col("features").alias("x")), "placed")
     drawn = {r["tree_id"] for r in counts.filter("n > 0").select("tree_id").distinct().collect()}  # trees
     times = F.when(F.col("tree_id").isin([t for t in range(n_trees) if t not in drawn] or [-1]), 1).otherwise(F.col("n"))
     levels, splits = [], []
     for a in range(0, n_trees, TREES):
         some = counts.filter(F.col("tree_id").between(a, a + TREES - 1)).withColumn("n", times).filter("n > 0")
-        rows = binned.join(some, "id").select("tree_id", F.lit("").alias("path"), "label", "n", "bins")
+        rows = placed.join(some, "id").select("tree_id", F.lit("").alias("path"), "label", "n", "x")
         block = _grow_block(rows, cfg, n_features, n_classes, seed)
         levels += block[0]
         splits += block[1]
     nodes = functools.reduce(DataFrame.unionByName, levels)
     nodes = ranked(nodes.select("tree_id", "path", "counts"), ["tree_id"], ["path"], "node_id").withColumn("node_id", (F.col("node_id") - 1).cast("int"))
     ids = nodes.select("tree_id", F.col("path").alias("child"), F.col("node_id").alias("child_id"))
-    schema = "tree_id int, path string, feature int, bin int, decrease double, left array<bigint>"
+    schema = "tree_id int, path string, feature int, cut double, decrease double, left array<bigint>"
     found = functools.reduce(DataFrame.unionByName, splits) if splits else spark.createDataFrame([], schema)
-    at = [(f, b, float(e)) for f, some in enumerate(edges) for b, e in enumerate(some)]  # bins - 1 for each feature
-    found = found.join(F.broadcast(spark.createDataFrame(at, "feature int, bin int, threshold double")), ["feature", "bin"])
+    if edges:
+        at = [(f, b, float(e)) for f, some in enumerate(edges) for b, e in enumerate(some)]  # bins - 1 for each feature
+        found = found.join(F.broadcast(spark.createDataFrame(at, "feature int, cut int, threshold double")), ["feature", "cut"])
+    else:
+        found = found.withColumnRenamed("cut", "threshold")
     child = lambda side, name: ids.withColumn("path", F.expr("substring(child, 1, length(child) - 1)")).filter(F.col("child").endswith(side)).select("tree_id", "path", F.col("child_id").alias(name))
     found = found.select("tree_id", "path", "feature", "threshold", "decrease").join(child("L", "left"), ["tree_id", "path"]).join(child("R", "right"), ["tree_id", "path"])
     n = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)

@@ -85,6 +85,11 @@ def keyed_features(seed: int, tree: int, n_features: int, cfg: TreeConfig) -> Ca
     return chosen
 
 
+def keyed_shares(seed: int, tree: int) -> Callable[[str, int], float]:
+    """Where in its range a node of this path cuts a feature (extra-trees)."""
+    return lambda path, f: uniform_value(seed, "cut", tree, path, f)
+
+
 def _cuts(onehot: np.ndarray, groups: np.ndarray, n_groups: int) -> np.ndarray:
     """Running class counts after each group."""
     out = np.zeros((n_groups, onehot.shape[1]))
@@ -92,9 +97,10 @@ def _cuts(onehot: np.ndarray, groups: np.ndarray, n_groups: int) -> np.ndarray:
     return np.cumsum(out, axis=0)
 
 
-def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: TreeConfig, rng: np.random.Generator, edges: list[np.ndarray] | None):
+def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: TreeConfig, share: Callable[[int], float], edges: list[np.ndarray] | None):
     """(feature, threshold, decrease) with the largest decrease n I - n_left I_left - n_right I_right; of ties
-    the first feature in the given order and its least threshold. None if nothing can be split."""
+    the first feature in the given order and its least threshold. None if nothing can be split. share: where in its
+    range a feature is cut (extra-trees)."""
     total = onehot.sum(axis=0)
     n = len(x)
     parent = n * float(impurity(total, cfg.criterion))
@@ -105,7 +111,7 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
             low, high = column.min(), column.max()
             if low == high:
                 continue
-            thresholds = np.array([rng.uniform(low, high)])
+            thresholds = np.array([low + (high - low) * share(int(f))])
             left = onehot[column <= thresholds[0]].sum(axis=0)[None, :]
         elif cfg.split == "histogram" and edges is not None:
             thresholds = edges[f]
@@ -116,7 +122,8 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
             values, group = np.unique(column, return_inverse=True)
             if len(values) < 2:
                 continue
-            thresholds = (values[:-1] + values[1:]) / 2
+            middle = (values[:-1] + values[1:]) / 2
+            thresholds = np.where(middle < values[1:], middle, values[:-1])  # neighbours may have nothing between them
             left = _cuts(onehot, group, len(values))[:-1]
         right = total - left
         n_left, n_right = left.sum(axis=1), right.sum(axis=1)
@@ -124,8 +131,7 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
         if not allowed.any():
             continue
         gain = np.where(allowed, parent - n_left * impurity(left, cfg.criterion) - n_right * impurity(right, cfg.criterion), -np.inf)
-        if cfg.split == "histogram":
-            gain = np.round(gain, 9)  # so that ties are ties, however the counts were summed
+        gain = np.round(gain, 9)  # so that ties are ties, however the counts were summed
         at = int(np.argmax(gain))
         if best is None or gain[at] > best[2]:
             best = (int(f), float(thresholds[at]), float(gain[at]))
@@ -136,10 +142,10 @@ def best_split(x: np.ndarray, onehot: np.ndarray, features: np.ndarray, cfg: Tre
 NODE_SCHEMA = "node_id int, is_leaf boolean, feature int, threshold double, left int, right int, impurity double, n_samples long, decrease double, prediction int, distribution array<double>, depth int"
 
 
-def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: int, edges: list[np.ndarray] | None = None, chosen: Callable[[str], np.ndarray] | None = None) -> list[dict]:
+def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: int, edges: list[np.ndarray] | None = None, chosen: Callable[[str], np.ndarray] | None = None, share: Callable[[str, int], float] | None = None) -> list[dict]:
     """Nodes in pre-order, the root first. Leaves predict the commonest class, of ties the greatest. edges: of each
-    feature's bins, from these rows if not given; chosen: gives the features of a node by its path, drawn from the
-    seed if not given."""
+    feature's bins, from these rows if not given; chosen and share: give the features of a node by its path, and where
+    it cuts one of them; drawn from the seed if not given."""
     rng = np.random.default_rng(seed)
     take = resolve_max_features(cfg.max_features, x.shape[1])
     if edges is None and cfg.split == "histogram":
@@ -160,7 +166,7 @@ def grow(x: np.ndarray, y: np.ndarray, n_classes: int, cfg: TreeConfig, seed: in
         if len(rows) < cfg.min_samples_split or pure == 0 or (cfg.max_depth is not None and depth >= cfg.max_depth):
             continue
         features = chosen(path) if chosen else rng.permutation(x.shape[1])[:take]
-        found = best_split(x[rows], onehot[rows], features, cfg, rng, edges)
+        found = best_split(x[rows], onehot[rows], features, cfg, lambda f: share(path, f) if share else rng.random(), edges)  # noqa: B023
         if found is None:
             continue
         f, threshold, gain = found

@@ -801,6 +801,44 @@ def f09e_level_trees(spark, d):
     return nodes.select("tree_id", "node_id", "feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"), "n_samples", "depth")
 
 
+def _value_level_sql(k: int, split: str) -> str:
+    """The same as _level_sql() for splits by values: `th` has each node's thresholds, all of them or one at random."""
+    u, cut = uniform_sql(SEED, "'feature'", "tree_id", "path", "f"), uniform_sql(SEED, "'cut'", "tree_id", "path", "f")
+    thresholds = {
+        "exact": f"SELECT tree_id, path, f, (before + v) / 2 AS threshold FROM (SELECT *, lag(v) OVER (PARTITION BY tree_id, path, f ORDER BY v) AS before FROM (SELECT DISTINCT tree_id, path, f, v FROM v{k})) WHERE before IS NOT NULL",
+        "extra-trees": f"SELECT tree_id, path, f, lo + (hi - lo) * {cut} AS threshold FROM (SELECT tree_id, path, f, min(v) AS lo, max(v) AS hi FROM v{k} GROUP BY ALL) WHERE lo < hi",
+    }[split]
+    best = lambda c: f"arg_max({c}, (round(decrease, 9), -threshold)) AS {c}"
+    return f"""n{k} AS (SELECT tree_id, path, sum(n) AS total FROM p{k} GROUP BY ALL), o{k} AS (SELECT tree_id, path FROM p{k} GROUP BY ALL HAVING count(DISTINCT label) > 1 AND sum(n) >= 2),
+  f{k} AS (SELECT tree_id, path, arg_min(f, ({u}, f)) AS f FROM o{k}, (SELECT unnest([0, 1]) AS f) GROUP BY ALL), v{k} AS (SELECT r.tree_id, r.path, c.f, label, n, x[c.f + 1] AS v FROM p{k} r JOIN f{k} c USING (tree_id, path)), th{k} AS ({thresholds}),
+  l{k} AS (SELECT tree_id, path, f, threshold, label, sum(CASE WHEN v <= threshold THEN n ELSE 0 END) AS l, sum(n) AS t FROM v{k} JOIN th{k} USING (tree_id, path, f) GROUP BY ALL),
+  g{k} AS (SELECT tree_id, path, f, threshold, {_TERM} AS decrease FROM l{k} GROUP BY ALL HAVING sum(l) > 0 AND sum(t - l) > 0), s{k} AS (SELECT tree_id, path, {best("f")}, {best("threshold")}, {best("decrease")} FROM g{k} GROUP BY tree_id, path),
+  p{k + 1} AS (SELECT r.tree_id, r.path || CASE WHEN x[s.f + 1] <= s.threshold THEN 'L' ELSE 'R' END AS path, label, n, x FROM p{k} r JOIN s{k} s ON s.tree_id = r.tree_id AND s.path = r.path)"""
+
+
+def _value_levels(split: str) -> str:
+    return f"""WITH {_PART}, {_bag_sql(3)}, p0 AS (SELECT tree_id, '' AS path, label, n, [p_size, p_retailprice] AS x FROM p JOIN bag USING (id) WHERE n > 0), {_value_level_sql(0, split)}, {_value_level_sql(1, split)}, n2 AS (SELECT tree_id, path, sum(n) AS total FROM p2 GROUP BY ALL),
+  node AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY path) - 1 AS node_id FROM (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2)), s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)
+  SELECT node.tree_id::INT AS tree_id, node_id::INT AS node_id, coalesce(f, -1)::INT AS feature, {_out('coalesce(threshold, 0.0)')} AS threshold, {_out('coalesce(decrease, 0.0)')} AS decrease, total::BIGINT AS n_samples, len(node.path)::INT AS depth FROM node LEFT JOIN s ON s.tree_id = node.tree_id AND s.path = node.path"""
+
+
+def _value_trees(spark: SparkSession, d: str, split: str) -> DataFrame:
+    cfg = forest.ForestConfig(3, TreeConfig(split=split, max_depth=2, max_features=1), seed=SEED, distributed=True)
+    nodes = forest.train(_part_rows(spark, d), cfg, FEATURES).nodes
+    return nodes.select("tree_id", "node_id", "feature", _r("threshold").alias("threshold"), _r("decrease").alias("decrease"), "n_samples", "depth")
+
+
+@query(_value_levels("exact"))
+def f09f_level_trees_exact(spark, d):
+    """Two levels by exact splits, class counts running over ranges of a node's values."""
+    return _value_trees(spark, d, "exact")
+
+
+@query(_value_levels("extra-trees"))
+def f09g_level_extra_trees(spark, d):
+    return _value_trees(spark, d, "extra-trees")
+
+
 @query(f"{_LEVELS} SELECT node.tree_id::INT AS tree_id, count(*) AS n_nodes, sum((s.f IS NULL)::BIGINT)::BIGINT AS n_leaves, max(len(node.path))::INT AS depth FROM node LEFT JOIN s ON s.tree_id = node.tree_id AND s.path = node.path GROUP BY ALL")
 def f08b_tree_stats(spark, d):
     return forest.train(_part_rows(spark, d), LEVELS, FEATURES).stats()
