@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -230,6 +231,41 @@ def test_guess_costs_match_brute_force():
         assert secrets.guess_cost(v, ranks) == pytest.approx(plain_cost(v, ranks)), v
 
 
+def plain_repeats(value):
+    """Stretches of every width, but those that one of a divisor of the width covers."""
+    out = []
+    for width in range(1, len(value) // 2 + 1):
+        same = [x == y for x, y in zip(value, value[width:])] + [False]
+        a = 0
+        for i, s in enumerate(same):
+            if not s:
+                if i - a >= width and not any(width % w == 0 and x <= a and i + width <= y for x, y, w in out):
+                    out.append((a, i + width, width))
+                a = i + 1
+    return sorted(out)
+
+
+def test_repeats_are_all_stretches_of_least_width():
+    rng = np.random.default_rng(6)
+    for n in [*range(12), 20, 40, 90] * 6:
+        for letters in ("ab", "abé", "0123456789"):
+            v = "".join(rng.choice(list(letters), n))
+            assert sorted(secrets.repeats(v)) == plain_repeats(v) and sorted(secrets.repeats(v * 3)) == plain_repeats(v * 3), v
+
+
+def test_long_values_and_many_secrets_take_no_squares():
+    t = time.monotonic()
+    long = "".join(np.random.default_rng(7).choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 60_000))
+    assert secrets.guess_cost(long) > 50_000 and secrets.guess_cost("a" * 60_000) == pytest.approx(np.log10(26) + np.log10(60_000))
+    unit = long[:700]
+    assert secrets.guess_cost(unit * 80) == pytest.approx(secrets.guess_cost(unit) + np.log10(80), abs=60)
+    text = " ".join(f"é password=a{i:09d} pwd: 'x9$K{i}q!7zLm'" for i in range(4000)).encode()
+    spans = secrets.scan(text)
+    assert len(spans) == 8000 and [p["start"] for p in secrets._points(text, spans)][:2] == [2, 28]
+    assert [(p["start"], p["end"]) for p in secrets._points(text, spans)][-1] == tuple(len(text[:x].decode()) for x in spans[-1][1:3])
+    assert time.monotonic() - t < 60
+
+
 def test_quality_classifier_tells_held_out_rows(spark):
     rows = queries.op4_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")
     assert rows.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.93

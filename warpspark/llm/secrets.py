@@ -20,8 +20,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
 from .common import text_bytes
+from .periodic_runs import SuffixArray, runs
 
 KINDS = ("assign", "access", "hex", "guess")
 GUESSES = 9.0  # log10 of the guesses from which a value is a secret
@@ -104,19 +107,18 @@ def _alphabet(c: str) -> int:
 def repeats(value: str) -> list[tuple[int, int, int]]:
     """(start, end, width): the stretches of period `width` that hold two units or more and can't be longer. A
     stretch of a shorter period that covers one of a multiple of it stands for both, as its unit is cheaper."""
+    if len(value) < 2:
+        return []
     code = np.fromiter(map(ord, value), np.uint32, len(value))
-    out: list[tuple[int, int, int]] = []
-    for width in range(1, len(value) // 2 + 1):
-        same = np.concatenate([[False], code[width:] == code[:-width], [False]])
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-            if b - a >= width and not any(width % w == 0 and x <= a and b + width <= y for x, y, w in out):
-                out.append((a, b + width, width))
-    return out
+    first = np.array([0, len(code)])
+    start, length, period = runs(SuffixArray(code, first), first, 2, 2)
+    return list(zip(start.tolist(), (start + length).tolist(), period.tolist()))
 
 
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """log10 of the guesses of the cheapest segmentation. Empty: 0."""
+    """log10 of the guesses of the cheapest segmentation. Empty: 0. A start within a repeat or a walk is left out where
+    an earlier one in step with it gives no dearer part to every end, which changes no cost and keeps the work of a long
+    repeat in step with its length."""
     ranks = word_ranks(None) if ranks is None else ranks
     longest = ranks.get("", 0)
     n = len(value)
@@ -126,10 +128,10 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     spelled = np.concatenate([[0.0], np.cumsum(single)])
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
-    begins: dict[int, list[tuple[int, int]]] = {}
+    begins: dict[int, list[tuple[int, int, dict[int, int]]]] = {}
     for a, b, width in repeats(value):
-        begins.setdefault(a, []).append((b, width))
-    running: list[tuple[int, int]] = []
+        begins.setdefault(a, []).append((b, width, {}))
+    running: list[tuple[int, int, dict[int, int]]] = []  # end, width, and the last start kept of each place in the unit
     # The end of the walk that each place is in, and the turns from the first step on.
     near = [_near(a, b) for a, b in zip(low, low[1:])]
     step = [(_PLACE[b][0] - _PLACE[a][0], _PLACE[b][1] - _PLACE[a][1]) if x else None for x, a, b in zip(near, low, low[1:])]
@@ -138,6 +140,7 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     for i in range(n - 2, -1, -1):
         if near[i]:
             walk_end[i] = walk_end[i + 1]
+    walk_of, walk_from = -1, -1  # the end of the walk at hand, and the last start kept in it
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + single[i])
@@ -152,12 +155,18 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
             if rank:
                 twist *= 1 if low[i:j] == value[i:j] else 2
                 best[j] = min(best[j], here + math.log10(rank * twist + 1))
-        if (end := int(walk_end[i])) - i >= 3:
+        end, k = int(walk_end[i]), walk_from
+        if end - i >= 3 and (walk_of != end or best[k] + (turned[i + 1] - turned[k + 1]) * math.log10(6) + math.log10((i - k + 3) / 3) > here):
+            walk_of, walk_from = end, i
             at = np.arange(i + 3, end + 1)
             turns = 1 + turned[at - 1] - turned[i + 1]
             best[at] = np.minimum(best[at], here + math.log10(36) + turns * math.log10(6) + np.log10(at - i))
         running = [x for x in running if x[0] - i >= 2 * x[1]] + begins.get(i, [])
-        for end, width in running:
+        for end, width, kept in running:
+            k = kept.get(i % width)
+            if k is not None and best[k] + math.log10((i - k + 2 * width) / (2 * width)) <= here:
+                continue
+            kept[i % width] = i
             at = np.arange(i + 2 * width, end + 1, width)
             cost = here + spelled[i + width] - spelled[i] + np.log10((at - i) / width)
             at, cost = (at[1:], cost[1:]) if width == 1 else (at, cost)  # two alike are no repeat
@@ -181,12 +190,13 @@ def scan(text: bytes, vocabulary: str | None = None) -> list[tuple[str, int, int
     if _HEX_RUN in text.translate(_HEX_MAP):
         found += [("hex", *m.span(), None) for m in _HEX.finditer(text) if len(m[0]) >= 32]
     if any(w in low for w in _CONTEXT_WORDS):
-        base = [(a, b) for _, a, b, _ in found]
+        base = sorted((a, b) for _, a, b, _ in found)
+        reach = [0, *accumulate((b for _, b in base), max)]  # how far the first base spans go
         for m in _CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
             if m.lastindex == 3:
                 b = a + len(m[3].rstrip(_TAIL))
-            if b > a and not any(x <= a and b <= y for x, y in base) and (cost := _cost(text[a:b], vocabulary)) >= GUESSES:
+            if b > a and reach[bisect_right(base, (a, len(text)))] < b and (cost := _cost(text[a:b], vocabulary)) >= GUESSES:
                 found.append(("guess", a, b, cost))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -195,8 +205,11 @@ def _points(text: bytes, spans: list[tuple]) -> list[dict]:
     """Spans in code points."""
     if text.isascii():
         return [{"kind": k, "start": a, "end": b, "log10_guesses": g} for k, a, b, g in spans]
-    place = lambda at: len(text[:at].decode("utf-8", "replace"))
-    return [{"kind": k, "start": place(a), "end": place(b), "log10_guesses": g} for k, a, b, g in spans]
+    place, count, before = {}, 0, 0
+    for at in sorted({at for _, a, b, _ in spans for at in (a, b)}):
+        count, before = count + len(text[before:at].decode("utf-8", "replace")), at
+        place[at] = count
+    return [{"kind": k, "start": place[a], "end": place[b], "log10_guesses": g} for k, a, b, g in spans]
 
 
 def _redact(text: bytes, spans: list[tuple]) -> bytes:
@@ -218,7 +231,8 @@ def find_secrets(docs: DataFrame, redact: bool = False, vocabulary: str | None =
 
     Spans are code points, end exclusive, by start and then kind; null or empty texts have none (and stay as
     they are). A value in quotes ends at the closing quote, another at white space. Very long texts are searched
-    whole and very long values costed whole (the work grows with the square of a value's length). Repeated rows have
+    whole and very long values costed whole (the work grows with a value's length, but for long walks that keep
+    turning, where it grows with the walk's square). Repeated rows have
     a row each, an empty table gives an empty table; extra columns are ignored, with redact they stay as they are.
     Narrow: one pass, no shuffle. vocabulary: the file with the list of words.
     """
