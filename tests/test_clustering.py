@@ -119,6 +119,17 @@ def test_sweep_draws_once_and_needs_no_square(spark, archetypes, monkeypatch):
     assert seeding.plus_plus_cached(archetypes, pairs, 5, [7, 8]) == [seeding.plus_plus_local(x, 5, cfg.radius, s) for s in (7, 8)]
 
 
+def test_cached_draws_make_only_the_rows_of_drawn_ids(spark, archetypes, monkeypatch):
+    x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
+    made, plain = [], seeding.distances_from
+    monkeypatch.setattr(seeding, "distances_from", lambda df, ids, radius: made.append(ids) or plain(df, ids, radius))
+    found = seeding.plus_plus_cached(archetypes, None, 4, [7, 8, 7], 2)
+    assert found == [seeding.plus_plus_local(x, 4, 2, s) for s in (7, 8, 7)]
+    assert sorted(i for ids in made for i in ids) == sorted({i for ids in found for i in ids[:-1]})  # each once
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)], "id long, series array<double>")
+    assert len(set(seeding.plus_plus_cached(same, None, 3, [1])[0])) == 3
+
+
 def test_silhouette_sums_match_pairs(spark):
     x = np.random.default_rng(10).normal(size=(60, 6))
     df = spark.createDataFrame([(i, v.tolist(), i % 3 if i else 9) for i, v in enumerate(x)], "id long, series array<double>, cluster int")

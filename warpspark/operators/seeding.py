@@ -4,6 +4,7 @@ and for a DataFrame choose the same rows."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..rng import uniform, uniform_value
+from ..scratch import written
 from .barycenter import keyed_numbers
 from .pairwise import against
 from .running import running_sums
@@ -61,17 +63,26 @@ def plus_plus_ids(df: DataFrame, k: int, radius: int | None, seed: int) -> tuple
     return ids, np.stack(chosen)
 
 
-def plus_plus_cached(df: DataFrame, distances: DataFrame, k: int, seeds: list[int]) -> list[list[int]]:
-    """plus_plus_ids() for several seeds at once, from distances (i, j, dist) of all pairs that are there already: a round is
-    one job for all seeds, the least distance to the chosen ids by a join with those (few) ids, so no series is
-    compared and the table stays where it is. As each draw has its own number, the first ids are those of a smaller k."""
+def plus_plus_cached(df: DataFrame, distances: DataFrame | None, k: int, seeds: list[int], radius: int | None = None) -> list[list[int]]:
+    """plus_plus_ids() for several seeds at once from cached distances: a round is one job for all seeds, the least distance
+    to the chosen ids by a join with those (few) ids. As each draw has its own number, the first ids are those of a smaller
+    k. distances: (i, j, dist) of all pairs, if they are there already; without them a round makes those from its new ids
+    to all rows, each id once whatever the number of seeds, so the cache has as many rows as the table for each id drawn."""
     spark = df.sparkSession
     chosen = [[first_choice(df, seed)] for seed in seeds]
     number = spark.createDataFrame(list(enumerate(map(str, seeds))), "nth int, seed string")
+    cached: dict[int, DataFrame] = {}
     for r in range(1, k):
         ends = F.broadcast(spark.createDataFrame([(n, i) for n, ids in enumerate(chosen) for i in ids], "nth int, end long"))
-        near = distances.join(ends, F.col("i") == F.col("end")).select("nth", F.col("j").alias("id"), "dist")
-        near = near.unionByName(distances.join(ends, F.col("j") == F.col("end")).select("nth", F.col("i").alias("id"), "dist"))
+        if distances is None:
+            for some in _chunks(sorted({ids[-1] for ids in chosen} - set(cached)), 64):
+                made = written(distances_from(df, some, radius), "cached")
+                cached |= dict.fromkeys(some, made)
+            every = reduce(DataFrame.unionByName, {id(part): part for part in cached.values()}.values())
+            near = every.join(ends, "end").select("nth", "id", "dist")
+        else:
+            near = distances.join(ends, F.col("i") == F.col("end")).select("nth", F.col("j").alias("id"), "dist")
+            near = near.unionByName(distances.join(ends, F.col("j") == F.col("end")).select("nth", F.col("i").alias("id"), "dist"))
         weights = near.groupBy("nth", "id").agg(F.pow(F.min("dist"), 2).alias("d2"))
         taken = ends.select("nth", F.col("end").alias("id"))
         weights = weights.join(taken, ["nth", "id"], "left_anti").filter("d2 > 0").join(F.broadcast(number), "nth")
@@ -82,6 +93,17 @@ def plus_plus_cached(df: DataFrame, distances: DataFrame, k: int, seeds: list[in
     return chosen
 
 
+def _chunks(some: list, size: int) -> list[list]:
+    return [some[at : at + size] for at in range(0, len(some), size)]
+
+
+def distances_from(df: DataFrame, ids: list[int], radius: int | None = None) -> DataFrame:
+    """(end, id, dist) from each of a few rows, by their ids, to every row."""
+    x = {r["id"]: np.array(r["series"]) for r in df.filter(F.col("id").isin(ids)).select("id", "series").collect()}
+    end = F.element_at(F.array(*[F.lit(i).cast("long") for i in ids]), F.col("cluster") + 1)
+    return against(df, np.stack([x[i] for i in ids]), radius).select(end.alias("end"), "id", "dist")
+
+
 def bernoulli_round(weights: DataFrame, oversample: float, seed: int, round_: int) -> DataFrame:
     """(id): each row by itself with chance min(1, oversample * d2 / sum of d2)."""
     total = weights.agg(F.sum("d2").alias("cost"))  # one row
