@@ -251,6 +251,52 @@ def test_pairwise_blocks_cover_all_pairs(spark, monkeypatch):
     assert got == {(i, j) for i in range(40) for j in range(i)}
 
 
+@pytest.fixture(scope="module")
+def copied(spark):
+    """120 series in 3 groups, a third of them copies."""
+    x = np.random.default_rng(12).normal(size=(80, 6))
+    rows = [(i, x[i if i < 80 else i - 80], i % 3 if i < 80 else (i - 80) % 3 if i % 2 else 0) for i in range(120)]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, v, c in rows], "id long, series array<double>, cluster int")
+    d = np.array([[kernels.dtw(a[1][None], b[1][None], 1)[0] for b in rows] for a in rows])
+    return df, d, np.array([c for *_, c in rows])
+
+
+@pytest.mark.parametrize("block, columns", [(512, 512), (7, 3)])
+def test_tiles_add_up_their_pairs(copied, monkeypatch, block, columns):
+    df, d, label = copied
+    monkeypatch.setattr(pairwise, "BLOCK", block)
+    monkeypatch.setattr(kernels, "PATCH_COLUMNS", columns)
+    got = {(r["id"], r["other"]): (r["cluster"], r["total"], r["n"]) for r in pairwise.cluster_distances(df, 1).collect()}
+    assert len(got) == 360
+    for i in range(120):
+        for c in range(3):
+            assert got[i, c] == (label[i], pytest.approx(d[i, label == c].sum()), (label == c).sum() - (label[i] == c))
+    for r in pairwise.medoid(df, "cluster", 1).collect():
+        own = np.flatnonzero(label == r["group"])
+        sums = d[np.ix_(own, own)].sum(axis=1)
+        assert r["medoid"] == own[np.isclose(sums, sums.min())].min() and r["total"] == pytest.approx(sums.min())
+    pairs = {(r["group"], r["i"], r["j"]): r["dist"] for r in pairwise.pairwise(df, 1, within="cluster").collect()}
+    assert pairs == {(label[i], i, j): d[i, j] for i in range(120) for j in range(i) if label[i] == label[j]}
+
+
+def test_what_tiles_shuffle_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "BLOCK", 2)
+    for n in (60, 240):
+        df = spark.range(n).selectExpr("id", "array(double(id), 1D) AS series", "0 AS cluster")
+        assert pairwise._tiles(df, None).count() == pairwise._tiles(df, "cluster").count() == pairwise.COPIES * n
+
+
+def test_averages_begin_at_medoids_of_tiles(copied, monkeypatch):
+    df, d, label = copied
+    monkeypatch.setattr(kernels, "medoid", None)  # no task compares a whole group
+    for r in barycenter.averages(df, "cluster", 1, init="medoid", max_iter=2).collect():
+        own = np.flatnonzero(label == r["group"])
+        x = np.array([row["series"] for row in df.orderBy("id").collect()])[own]
+        sums = d[np.ix_(own, own)].sum(axis=1)
+        first = x[np.flatnonzero(np.isclose(sums, sums.min()))[0]]
+        assert r["centroid"] == pytest.approx(kernels.dba(x, 1, max_iter=2, start=first)[0])
+
+
 def test_seeding_with_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)], "id long, series array<double>")
     assert seeding.plus_plus(df, 3, None, 1).shape == (3, 2)

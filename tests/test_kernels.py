@@ -151,3 +151,18 @@ def test_path_of_one_pair_is_that_of_batches():
             a, b = rng.integers(0, 3, n).astype(float), rng.integers(0, 3, m).astype(float)
             _, _, i, j = K.paths(a[None], b[None], r)
             assert K.path_of(a, b, r) == list(zip(i.tolist(), j.tolist()))
+
+
+@pytest.mark.parametrize("p, q, n, m, radius", [(30, 40, 9, 9, 2), (5, 3, 4, 4, None), (7, 6, 5, 7, 2), (1, 1, 1, 1, 2), (20, 2, 7, 9, 1)])
+def test_table_is_bit_for_bit_the_distances(monkeypatch, p, q, n, m, radius):
+    monkeypatch.setattr(K, "PATCH_COLUMNS", 8)
+    monkeypatch.setattr(K, "PATCH", 50)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(p, n)), rng.normal(size=(q, m))
+    got, own = np.full((p, q), np.nan), np.zeros((p, p))
+    for rows, columns, d in K.table(x, y, radius):
+        got[rows, columns] = d
+    for rows, columns, d in K.table(x, None, radius):
+        own[rows, columns] += d
+    assert (got == np.stack([K.dtw(np.broadcast_to(v, (q, n)), y, radius) for v in x])).all()
+    assert (own == np.tril(np.stack([K.dtw(np.broadcast_to(v, (p, n)), x, radius) for v in x]), -1)).all()
