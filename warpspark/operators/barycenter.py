@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions import kernels
 from ..rng import uniform, uniform_value
+from ..scratch import written
 from .pairwise import matrix, medoid
 
 PART_MEMBERS = 50_000  # members that one subgradient pass takes one after the other
@@ -30,7 +31,7 @@ AVERAGE_SCHEMA = "group long, centroid array<double>, converged boolean, iterati
 def averages(df: DataFrame, group: str, radius: int | None = None, method: str = "dba", init: str = "mean", max_iter: int = 10, tol: float = 1e-5, fraction: float = 1.0, seed: int = 42, max_epochs: int = 20) -> DataFrame:
     """(group, centroid, converged, iterations, change, mode) of each group. A group of at most GROUP_VALUES numbers (all
     groups are counted first) is one task from the first step to the last; a larger one, which may hold any share of the
-    rows, takes its steps over partial sums, one job each. Draws are keyed by id, so both ways give the same but for the
+    rows, takes its steps over partial sums, one job each. Medoids to start from are found by tiles of pairs. Draws are keyed by id, so both ways give the same but for the
     rounding of sums. Larger groups are to be few, as their centroids go over the driver."""
     if method not in ("dba", "ssg") or init not in ("mean", "medoid"):
         raise errors.InvalidConfig(method=method, init=init)
@@ -54,16 +55,20 @@ def _mode(method: str, fraction: float) -> str:
 def _small_averages(rows: DataFrame, radius: int | None, method: str, init: str, max_iter: int, tol: float, fraction: float, seed: int, max_epochs: int) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
+        start = np.flatnonzero(table.column("first").to_numpy(zero_copy_only=False)) if "first" in table.column_names else None
         ids, x = table.column("id").to_numpy(), matrix(table.column("series").combine_chunks())
         if method == "ssg":
             order = lambda epoch: np.lexsort((ids, keyed_numbers(ids, seed, "ssg", epoch)))
             centroid, converged, done, _ = kernels.ssg(x, radius, max_epochs, tol=tol, order=order)
             change = 0.0
         else:
-            centroid, converged, done, change, _ = kernels.dba(x, radius, init, max_iter, tol, fraction, sample=lambda step: sample_places(ids, fraction, seed, step))
+            centroid, converged, done, change, _ = kernels.dba(x, radius, init, max_iter, tol, fraction, sample=lambda step: sample_places(ids, fraction, seed, step), start=x[start[0]] if start is not None else None)
         found = [table.column("group")[0].as_py(), centroid.tolist(), bool(converged), int(done), float(change), _mode(method, fraction)]
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(found, (pa.int64(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.float64(), pa.string()))], ["group", "centroid", "converged", "iterations", "change", "mode"])
 
+    if method == "dba" and init == "medoid":  # all pairs of a group are many tasks' work, its average is one's
+        first = written(medoid(rows, "group", radius).select("group", "medoid"), "medoids")
+        rows = rows.join(first, "group").select("id", "group", "series", (F.col("id") == F.col("medoid")).alias("first"))
     return rows.groupBy("group").applyInArrow(one, AVERAGE_SCHEMA)
 
 
