@@ -2,9 +2,10 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from warpspark import errors
-from warpspark.operators import evaluation, forest
+from warpspark.operators import evaluation, forest, levels
 from warpspark.operators.trees import Tree, TreeConfig, feature_edges, grow, resolve_max_features
 
 
@@ -167,3 +168,20 @@ def test_input_errors(spark):
         forest.train(spark.createDataFrame([(0, [float("inf")], 0)], schema), forest.ForestConfig(n_trees=1))
     with pytest.raises(errors.FeatureCountMismatch):
         forest.train(spark.createDataFrame([(0, [1.0], 0), (1, [1.0, 2.0], 0)], schema), forest.ForestConfig(n_trees=1))
+
+
+def test_samples_of_levels_draw_a_number_once(spark):
+    """A row's number follows the law's steps, and its digest stands in the plan once, not for each step."""
+    ids = spark.range(200)
+    found = forest.bootstrap_counts(ids, 3, 5, 0.7)
+    for t in range(3):
+        got = [r["n"] for r in found.filter(f"tree_id = {t}").orderBy("id").collect()]
+        assert got == forest.bag_counts(np.arange(200), t, 5, 0.7).tolist()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_samples_of_levels_are_the_drawn_rows(spark):
+    placed = spark.range(50).selectExpr("id", "int(id % 2) AS label", "array(double(id)) AS x")
+    rows = levels._sampled(placed, lambda t, i: F.when(t == 1, 0).otherwise(i % 3).cast("int"), 0, 2)
+    got = sorted((r["tree_id"], int(r["x"][0]), r["n"]) for r in rows.collect())
+    assert got == sorted([(t, i, i % 3) for t in (0, 2) for i in range(50) if i % 3] + [(1, i, 1) for i in range(50)])  # 1 drew none

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,9 +82,13 @@ def bootstrap_counts(ids: DataFrame, n_trees: int, seed: int, share: float = 1.0
     """(tree_id, id, n): how often each row is in each tree's sample, n = 0 being out of bag. Each row draws its
     own number from the Poisson law of mean share, the limit of share x rows draws with replacement, so no row needs
     the others."""
-    u = uniform(seed, "bag", F.col("tree_id"), F.col("id"))
-    n = sum(((u >= s).cast("int") for s in poisson_steps(share)), F.lit(0))
-    return ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).select("tree_id", "id", n.alias("n"))
+    return ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id")).select("tree_id", "id", times_drawn(F.col("tree_id"), F.col("id"), seed, share).alias("n"))
+
+
+def times_drawn(tree: Column, id_: Column, seed: int, share: float) -> Column:
+    """The number of bootstrap_counts(). Its digest is made once and not for each step of the law."""
+    steps = poisson_steps(share)
+    return S.let(uniform(seed, "bag", tree, id_), lambda u: sum(((u >= s).cast("int") for s in steps), F.lit(0)))
 
 
 def poisson_steps(share: float) -> list[float]:
@@ -145,7 +149,8 @@ def train(df: DataFrame, cfg: ForestConfig, feature_names: list[str] | None = No
         slices = min(cfg.n_trees, 4 * spark.sparkContext.defaultParallelism)
         nodes = spark.range(0, cfg.n_trees, numPartitions=slices).mapInPandas(run, FOREST_SCHEMA).persist()
     else:
-        nodes = grow_levels(df.select("id", "features", "label"), counts, n_features, cfg.n_trees, n_classes, cfg.tree, cfg.seed)
+        drawn = lambda tree, id_: times_drawn(tree, id_, cfg.seed, cfg.bootstrap)
+        nodes = grow_levels(df.select("id", "features", "label"), n, drawn, n_features, cfg.n_trees, n_classes, cfg.tree, cfg.seed)
     oob = counts.filter("n = 0").select("tree_id", "id")
     return Forest(nodes, cfg.n_trees, n_features, n_classes, names, oob)
 

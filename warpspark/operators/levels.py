@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from .pairwise import matrix
 from .running import inner_edges, ranked, running_sums
 from .trees import TreeConfig, resolve_max_features
 
+SMALL_ROWS, TASK_ROWS = 10_000, 500_000  # a table of more rows is dealt to all cores, in tasks of that many at most
+SENT_NODES = 100_000  # open nodes of a level at most that are sent to all executors
 TREES = 16  # trees that grow at once; the rows of a level are as many times the table's
 
 
@@ -113,7 +115,7 @@ def level_splits(rows: DataFrame, nodes: DataFrame, cfg: TreeConfig, n_features:
     (tree_id, path, counts) of open nodes."""
     drawn = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda f: F.struct(uniform(seed, "feature", F.col("tree_id"), F.col("path"), f).alias("u"), f.alias("f")))
     features = F.transform(F.slice(F.array_sort(drawn), 1, resolve_max_features(cfg.max_features, n_features)), lambda s: s["f"])
-    # Sizes that Spark knows: splits and nodes are written tables, so it sends them to all only below its own bound.
+    # nodes come with the hint to send them, if they are few.
     each = rows.join(nodes.select("tree_id", "path", features.alias("features")), ["tree_id", "path"])
     each = each.select("tree_id", "path", "label", "n", "x", F.posexplode("features").alias("nth", "feature")).withColumn("x", F.get("x", F.col("feature")))
     by = ["tree_id", "path", "nth", "feature"]
@@ -133,11 +135,12 @@ def level_splits(rows: DataFrame, nodes: DataFrame, cfg: TreeConfig, n_features:
 
 def _grow_block(rows: DataFrame, cfg: TreeConfig, n_features: int, n_classes: int, seed: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(nodes of each level, splits of each level) of the trees in rows."""
-    rows = written(rows, "level-rows")
     nodes = written(rows.groupBy("tree_id", "path").agg(F.array(*_classes(n_classes)).alias("counts")).withColumn("open", _opens(F.col("counts"), 0, cfg)), "level-nodes")
     levels, splits, depth = [nodes], [], 0
-    while nodes.filter("open").limit(1).count():
-        found = written(level_splits(rows, nodes.filter("open"), cfg, n_features, n_classes, seed), "level-splits")
+    while n_open := nodes.filter("open").count():
+        # Few nodes are sent to all, so rows stay where they are: by node, a level's rows may be one task's.
+        sent = F.broadcast if n_open <= SENT_NODES else lambda t: t
+        found = written(level_splits(rows, sent(nodes.filter("open")), cfg, n_features, n_classes, seed), "level-splits")
         both = nodes.join(found, ["tree_id", "path"]).withColumn("right", F.zip_with("counts", "left", lambda t, c: t - c))
         depth += 1
         child = lambda side, counts: F.struct(F.concat("path", F.lit(side)).alias("path"), counts.alias("counts"), _opens(counts, depth, cfg).alias("open"))  # noqa: B023, E731
@@ -146,27 +149,39 @@ def _grow_block(rows: DataFrame, cfg: TreeConfig, n_features: int, n_classes: in
         nodes = written(both.select("tree_id", F.explode("children").alias("c")).select("tree_id", "c.*"), "level-nodes")
         levels.append(nodes)
         where = both.select("tree_id", "path", "feature", "cut", F.get("children", F.lit(0))["open"].alias("l_open"), F.get("children", F.lit(1))["open"].alias("r_open"))
-        at = rows.join(where, ["tree_id", "path"])
+        at = rows.join(sent(where), ["tree_id", "path"])
         goes_left = F.get("x", F.col("feature")) <= F.col("cut")
         at = at.filter(F.when(goes_left, F.col("l_open")).otherwise(F.col("r_open")))
         rows = written(at.select("tree_id", F.concat("path", F.when(goes_left, "L").otherwise("R")).alias("path"), "label", "n", "x"), "level-rows")
     return levels, splits
 
 
-def grow_levels(df: DataFrame, counts: DataFrame, n_features: int, n_trees: int, n_classes: int, cfg: TreeConfig, seed: int) -> DataFrame:
+def _sampled(placed: DataFrame, drawn: Callable[[Column, Column], Column], first: int, last: int) -> DataFrame:
+    """(tree_id, path, label, n, x): the rows of each tree's sample. A row draws its number for each tree where it stands,
+    once, so nothing is joined. A tree without a row in its sample takes every row once."""
+    tree = lambda t: F.struct(t.cast("int").alias("tree_id"), drawn(t, F.col("id")).cast("int").alias("n"))
+    times = F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), tree), lambda t: t["n"] > 0)
+    names = ["tree_id", "path", "label", "n", "x"]
+    rows = written(placed.select("label", "x", F.explode(times).alias("t")).select("t.tree_id", F.lit("").alias("path"), "label", "t.n", "x"), "level-rows")
+    there = {r["tree_id"] for r in rows.select("tree_id").distinct().collect()}  # trees
+    bare = [t for t in range(first, last + 1) if t not in there]
+    if not bare:
+        return rows
+    every = placed.select(F.explode(F.array(*map(F.lit, bare))).cast("int").alias("tree_id"), F.lit("").alias("path"), "label", F.lit(1).alias("n"), "x")
+    return written(rows.select(*names).unionByName(every), "level-rows")
+
+
+def grow_levels(df: DataFrame, n_rows: int, drawn: Callable[[Column, Column], Column], n_features: int, n_trees: int, n_classes: int, cfg: TreeConfig, seed: int) -> DataFrame:
     """The nodes of n_trees trees, as trees.grow() makes them with the whole table's edges and the same features and
-    shares. df: (id, features, label); counts: (tree_id, id, n), how often each tree's sample has a row. A tree without
-    a row in its sample takes every row once."""
+    shares. df: (id, features, label) of n_rows rows; drawn: how often the sample of a tree (a column) has a row (its id)."""
     spark = df.sparkSession
     edges = bin_edges(df, n_features, cfg.bins) if cfg.split == "histogram" else []
-    placed = written(_binned(df, edges) if edges else df.select("id", "label", F.col("features").alias("x")), "placed")
-    drawn = {r["tree_id"] for r in counts.filter("n > 0").select("tree_id").distinct().collect()}  # trees
-    times = F.when(F.col("tree_id").isin([t for t in range(n_trees) if t not in drawn] or [-1]), 1).otherwise(F.col("n"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS))  # a small file would be one task's
+    spread = df.repartition(tasks, "id") if n_rows > SMALL_ROWS else df
+    placed = written(_binned(spread, edges) if edges else spread.select("id", "label", F.col("features").alias("x")), "placed")
     levels, splits = [], []
     for a in range(0, n_trees, TREES):
-        some = counts.filter(F.col("tree_id").between(a, a + TREES - 1)).withColumn("n", times).filter("n > 0")
-        rows = placed.join(some, "id").select("tree_id", F.lit("").alias("path"), "label", "n", "x")
-        block = _grow_block(rows, cfg, n_features, n_classes, seed)
+        block = _grow_block(_sampled(placed, drawn, a, min(a + TREES, n_trees) - 1), cfg, n_features, n_classes, seed)
         levels += block[0]
         splits += block[1]
     nodes = functools.reduce(DataFrame.unionByName, levels)
