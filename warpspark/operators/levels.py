@@ -167,7 +167,7 @@ def _sampled(placed: DataFrame, drawn: Callable[[Column, Column], Column], first
     bare = [t for t in range(first, last + 1) if t not in there]
     if not bare:
         return rows
-    every = placed.select(F.explode(F.array(*map(F.lit, bare))).cast("int").alias("tree_id"), F.lit("").alias("path"), "label", F.lit(1).alias("n"), "x")
+    every = placed.select(F.explode(F.array(*map(F.lit, bare))).alias("tree_id"), F.lit("").alias("path"), "label", F.lit(1).alias("n"), "x")
     return written(rows.select(*names).unionByName(every), "level-rows")
 
 
