@@ -311,3 +311,30 @@ def test_align(spark):
     assert {(r["id"], r["x"]) for r in rows.collect()} == {("a", 2.0), ("b", 1.0)} and dropped == 1
     with pytest.raises(errors.MissingAttributes):
         align.align(labels, attributes.filter("id <> 'a'"))
+
+
+@pytest.mark.parametrize("options", [{}, {"elkan": True}, {"init": "parallel", "elkan": True}])
+def test_restarts_share_their_passes(spark, monkeypatch, options):
+    x = np.random.default_rng(4).normal(size=(60, 6)).cumsum(axis=1)
+    walks = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)], "id long, series array<double>").repartition(3)
+    cfg = kmeans.KMeansConfig(k=3, n_init=3, max_iter=4, dba_max_iter=2, **options)
+    want = kmeans.fit(walks, cfg)
+    passes, plain = [], barycenter._summed
+    monkeypatch.setattr(barycenter, "_summed", lambda *a: passes.append(1) or plain(*a))
+    monkeypatch.setattr(kmeans, "TASK_VALUES", 359)
+    for values in (barycenter.GROUP_VALUES, 0):  # sums added up by the driver, and by a shuffle
+        monkeypatch.setattr(barycenter, "GROUP_VALUES", values)
+        passes.clear()
+        got = kmeans.fit(walks, cfg)
+        assert 0 < len(passes) <= 4 * (1 + 2)  # of one restart, whatever their number
+        assert got.restarts == pytest.approx(want.restarts) and np.allclose(got.centroids, want.centroids, atol=1e-9)
+        assert (got.iterations, got.converged, got.skipped, got.warped) == (want.iterations, want.converged, want.skipped, want.warped)
+        assert sorted(map(tuple, got.assignments.select("id", "cluster").collect())) == sorted(map(tuple, want.assignments.select("id", "cluster").collect()))
+
+
+def test_draws_of_all_seeds_take_a_pass_each(spark, archetypes):
+    x = np.stack([r["series"] for r in archetypes.orderBy("id").collect()])
+    got = seeding.plus_plus_runs(archetypes, 4, 2, [7, 8])
+    assert [g.tolist() for g in got] == [x[seeding.plus_plus_local(x, 4, 2, s)].tolist() for s in (7, 8)]
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)], "id long, series array<double>")
+    assert seeding.plus_plus_runs(same, 3, None, [1])[0].shape == (3, 2)

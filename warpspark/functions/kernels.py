@@ -16,6 +16,7 @@ BATCH = 4096  # pairs of a batch, at most
 BUFFER = 16 << 20  # bytes of a batch's buffers, about
 PATCH, PATCH_COLUMNS = 8192, 512  # pairs that a table of distances makes at once, and columns of those
 MOVES = 64 << 20  # bytes of the moves that a batch of paths keeps, about
+NARROW = 4  # radius up to which all cells of a band cost less than the bounds and indices that spare some
 INF = np.inf
 
 
@@ -249,9 +250,15 @@ def path_of(a: np.ndarray, b: np.ndarray, radius: int | None) -> list[tuple[int,
 
 def _window(x: np.ndarray, radius: int, of: np.ufunc, rest: float) -> np.ndarray:
     """The ufunc over 2 radius + 1 neighbours: blocks of that width, running from their left and from their right, so a
-    place costs the same whatever the radius."""
+    place costs the same whatever the radius. A few neighbours are looked at one by one."""
     count, n = x.shape
     width = 2 * radius + 1
+    if radius <= NARROW:
+        out = x.copy()
+        for s in range(1, min(radius, n - 1) + 1):
+            of(out[:, s:], x[:, :-s], out=out[:, s:])
+            of(out[:, :-s], x[:, s:], out=out[:, :-s])
+        return out
     blocks = -(-(n + 2 * radius) // width)
     padded = np.full((count, blocks * width), rest)
     padded[:, radius : radius + n] = x
@@ -301,8 +308,20 @@ def cascade(a: np.ndarray, b: np.ndarray, radius: int | None, cutoff: np.ndarray
 
 def nearest(x: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(centroid, distance) of each row, exact; of ties the least centroid. Bounds that a centroid cannot
-    beat the best so far spare its distance."""
+    beat the best so far spare its distance. In a narrow band bounds cost more than they spare, and a patch of rows takes
+    all distances at once."""
     best, label = np.full(len(x), INF), np.zeros(len(x), np.int64)
+    k, n = centroids.shape
+    if n == x.shape[1] and band(n, n, radius)[0] <= NARROW:
+        radius, width = band(n, n, radius)
+        turned, step = np.ascontiguousarray(centroids.T)[:, :, None], max(1, PATCH // k)
+        for at in range(0, len(x), step):
+            part = np.ascontiguousarray(x[at : at + step].T)[:, None, :]
+            d = np.sqrt(_last_cell(turned, part, radius, _Band(width, (k, part.shape[2]))))
+            d[np.isnan(d)] = INF
+            label[at : at + step] = d.argmin(axis=0)
+            best[at : at + step] = d.min(axis=0)
+        return label, best
     for c, centroid in enumerate(centroids):
         up, low = (e[0] for e in envelopes(centroid[None, :], radius))
         at = np.flatnonzero(lb_keogh(x, up, low) < best)
@@ -373,6 +392,8 @@ def align_sums(x: np.ndarray, centroid: np.ndarray, radius: int | None) -> tuple
 def align_sums_by(x: np.ndarray, label: np.ndarray, centroids: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
     """align_sums() of several centroids at once, each by the rows with its label."""
     k, n = centroids.shape
+    if n == x.shape[1] and band(n, n, radius)[0] <= NARROW and np.isfinite(x).all() and np.isfinite(centroids).all():
+        return _narrow_sums(x, label, centroids, band(n, n, radius)[0])
     sums, counts = np.zeros(k * n), np.zeros(k * n)
     step = path_batch(n, x.shape[1], radius)
     for at in range(0, len(x), step):
@@ -384,6 +405,68 @@ def align_sums_by(x: np.ndarray, label: np.ndarray, centroids: np.ndarray, radiu
     return sums.reshape(k, n), counts.reshape(k, n)
 
 
+def _narrow_sums(x: np.ndarray, label: np.ndarray, centroids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """align_sums_by() of finite rows as long as the centroids, in a narrow band: paths are marked on all its cells, a row of
+    the matrix at a time, so no step is looked up by itself. Rows are taken by label, and a batch's labels are runs."""
+    k, n = centroids.shape
+    sums, counts = np.zeros((k, n)), np.zeros((k, n))
+    order = np.argsort(label, kind="stable")
+    step = path_batch(n, n, radius)
+    step = -(-len(x) // max(1, -(-len(x) // step))) or 1  # even batches, as a small one costs nearly as much
+    for at in range(0, len(x), step):
+        rows = order[at : at + step]
+        own = label[rows]
+        runs = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        s, c = _marked_sums(np.ascontiguousarray(centroids[own].T), x[rows].T, radius, runs)
+        sums[own[runs]] += s
+        counts[own[runs]] += c
+    return sums, counts
+
+
+def _marked_sums(a: np.ndarray, b: np.ndarray, radius: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts), a row for each run of pairs, of a and b (n, pairs). A cell is held at j - i + radius, so the diagonal
+    step keeps its place, the one above is a place further and the left one a place back."""
+    n, size = a.shape
+    width = 2 * radius + 1
+    padded = np.zeros((n + 2 * radius, size))
+    padded[radius : radius + n] = b
+    above, left = np.zeros((n, width, size), bool), np.zeros((n, width, size), bool)  # the steps back, else diagonal
+    before, now = np.full((width + 1, size), INF), np.full((width + 1, size), INF)
+    best, cost = np.empty((width, size)), np.empty((width, size))
+    for i in range(n):
+        np.subtract(a[i], padded[i : i + width], out=cost)
+        np.multiply(cost, cost, out=cost)
+        cost[: max(0, radius - i)] = INF
+        cost[n - i + radius :] = INF
+        if i:
+            np.less(before[1:], before[:-1], out=above[i])
+            np.minimum(before[1:], before[:-1], out=best)
+        else:
+            best[:] = INF
+            best[radius] = 0.0
+        np.add(best[0], cost[0], out=now[0])
+        for o in range(1, width):
+            np.less(now[o - 1], best[o], out=left[i, o])
+            np.minimum(best[o], now[o - 1], out=best[o])
+            np.add(best[o], cost[o], out=now[o])
+        before, now = now, before
+    sums, counts = np.empty((n, len(runs))), np.empty((n, len(runs)))
+    on, go = np.zeros((width, size), bool), np.empty((width, size), bool)
+    on[radius] = True
+    for i in range(n - 1, -1, -1):
+        for o in range(width - 1, 0, -1):
+            np.logical_and(on[o], left[i, o], out=go[0])
+            np.logical_or(on[o - 1], go[0], out=on[o - 1])
+        np.multiply(padded[i : i + width], on, out=cost)
+        np.add.reduceat(np.add.reduce(cost, axis=0), runs, out=sums[i])
+        np.add.reduceat(np.add.reduce(on.view(np.uint8), axis=0, dtype=np.uint8), runs, dtype=float, out=counts[i])
+        np.greater(on, left[i], out=go)
+        np.logical_and(go, above[i], out=above[i])
+        np.logical_xor(go, above[i], out=on)
+        np.logical_or(on[1:], above[i, :-1], out=on[1:])
+    return sums.T, counts.T
+
+
 def medoid(x: np.ndarray, radius: int | None) -> int:
     """The row with the least sum of distances to all; of ties the first. Holds PATCH pairs at a time."""
     total = np.zeros(len(x))

@@ -14,7 +14,7 @@ from .. import errors
 from ..functions import kernels
 from ..rng import uniform, uniform_value
 from ..scratch import written
-from .pairwise import matrix, medoid
+from .pairwise import integers, matrix, medoid
 
 PART_MEMBERS = 50_000  # members that one subgradient pass takes one after the other
 GROUP_VALUES = 4_000_000  # numbers of a group that a task averages whole: 32 MB
@@ -131,6 +131,77 @@ def align_partials(df: DataFrame, centroids: np.ndarray, radius: int | None = No
     return part.groupBy("cluster", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def _summed(parts: DataFrame, slots: int, length: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts), each (slots, length), of what so many tasks summed: (slot, pos, total, n). The driver adds up at most
+    GROUP_VALUES rows, which spares a shuffle for each pass; more are added up by a shuffle."""
+    if tasks * slots * length > GROUP_VALUES:
+        parts = parts.groupBy("slot", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = parts.toArrow()
+    at = rows.column("slot").to_numpy() * length + rows.column("pos").to_numpy()
+    return tuple(np.bincount(at, weights=rows.column(c).to_numpy(), minlength=slots * length).reshape(slots, length) for c in ("total", "n"))
+
+
+def _slots(sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    slot, pos = np.nonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(pos, pa.int32()), pa.array(sums[slot, pos]), pa.array(counts[slot, pos])], ["slot", "pos", "total", "n"])
+
+
+_SLOTS = "slot int, pos int, total double, n double"
+
+
+def run_sums(labelled: DataFrame, runs: int, k: int, length: int, tasks: int, counters: tuple[str, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(sums of series, members, squared distances, *counters) of the clusters of several runs: (runs, k, length), then
+    (runs, k) each. labelled: (series, clusters, dists, *counters), arrays with a place for each run; tasks: its partitions."""
+    extra = 1 + len(counters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((runs * k, length + extra)), np.zeros((runs * k, length + extra))
+        for batch in batches:
+            if batch.num_rows:
+                label = integers(batch.column("clusters"))
+                more = [matrix(batch.column("dists")) ** 2, *(matrix(batch.column(c)) for c in counters)]
+                x = matrix(batch.column("series"))
+                for r in range(runs):
+                    order = np.argsort(label[:, r], kind="stable")
+                    own = label[order, r]
+                    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    values = np.concatenate([x, *(m[:, r : r + 1] for m in more)], 1)[order]
+                    sums[r * k + own[starts]] += np.add.reduceat(values, starts, axis=0)
+                    counts[r * k : r * k + k] += np.bincount(own, minlength=k)[:, None]
+        yield _slots(sums, counts)
+
+    sums, counts = _summed(labelled.select("series", "clusters", "dists", *counters).mapInArrow(run, _SLOTS), runs * k, length + extra, tasks)
+    return sums[:, :length].reshape(runs, k, length), counts[:, 0].reshape(runs, k), *(sums[:, length + i].reshape(runs, k) for i in range(extra))
+
+
+def dba_runs(labelled: DataFrame, centroids: np.ndarray, open_: np.ndarray, tasks: int, radius: int | None, max_iter: int = 10, tol: float = 1e-5) -> np.ndarray:
+    """dba_distributed() of several runs at once: a step of all of them is one pass over labelled (series, clusters), whose
+    arrays have a place for each run. centroids: (runs, k, length); runs that are not open_ stay."""
+    runs, k, length = centroids.shape
+    flat, going = centroids.reshape(-1, length).copy(), np.repeat(open_, k)
+    chunk = max(1, GROUP_VALUES // length)
+    for _ in range(max_iter):
+        if not going.any():
+            break
+
+        def run(batches: Iterator[pa.RecordBatch], at=flat, going=going) -> Iterator[pa.RecordBatch]:
+            sums, counts = np.zeros(at.shape), np.zeros(at.shape)
+            for batch in batches:
+                if batch.num_rows:
+                    x, slot = matrix(batch.column("series")), integers(batch.column("clusters")) + k * np.arange(runs)
+                    rows, places = np.nonzero(going[slot])
+                    slot = slot[rows, places]
+                    for s in range(0, len(rows), chunk):
+                        found = kernels.align_sums_by(x[rows[s : s + chunk]], slot[s : s + chunk], at, radius)
+                        sums, counts = sums + found[0], counts + found[1]
+            yield _slots(sums, counts)
+
+        sums, counts = _summed(labelled.select("series", "clusters").mapInArrow(run, _SLOTS), len(flat), length, tasks)
+        new = np.where(counts > 0, sums / np.maximum(counts, 1), flat)
+        going, flat = going & (np.abs(new - flat).max(axis=1) >= tol), new
+    return flat.reshape(runs, k, length)
+
+
 def members_sample(labelled: DataFrame, fraction: float, seed: int, round_no: int) -> DataFrame:
     """(id, cluster, series) of ceil(fraction n) members of each cluster, drawn anew for each round: those of the
     least keyed numbers. Cells of these numbers are counted, and finer ones where the sample ends, until what is

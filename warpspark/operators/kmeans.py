@@ -1,11 +1,12 @@
 """K-means under warping.
 
-Two ways with one meaning. A table of at most LOCAL_VALUES numbers (its size is counted first) is sent to the
-executors, and each restart runs there as one task. A larger one stays where it is: restarts run one after the
-other, each iteration is one pass that assigns and a few that average by the method of the configuration, and
-just centroids and sums come to the driver. All draws (seeds, samples of members, their orders) are keyed by id, so
-both ways give the same result but for the rounding of sums. Options that are dear stay what they are: medoids compare
-all pairs of a cluster, and the subgradient method takes a cluster's members one by one, in one task for each cluster.
+Two ways with one meaning. A table of at most TASK_VALUES numbers (its size is counted first) is sent to the
+executors, and each restart runs there as one task (for a sweep over k LOCAL_VALUES counts). A larger one
+stays where it is: all restarts take their steps together, each iteration is one pass that assigns and a few that average by
+the method of the configuration, and just centroids and sums come to the driver. All draws (seeds, samples of members, their
+orders) are keyed by id, so both ways give the same result but for the rounding of sums. Options that are dear stay what they
+are and take their passes for each restart: medoids compare all pairs of a cluster, and the subgradient method takes a
+cluster's members one by one, in one task for each cluster.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from . import barycenter, pairwise, seeding
 from .barycenter import dba_distributed, medoids, ssg_distributed
 
 LOCAL_VALUES = 8_000_000  # 64 MB
+TASK_VALUES = LOCAL_VALUES  # of a table that a restart of fit() goes over in one task; at five millions that took less than shared passes
 
 
 @dataclass(frozen=True)
@@ -154,10 +156,15 @@ def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
     """df: (id long, series array<double>), ids unique. Of all restarts the one of least inertia, of ties the first."""
-    n, length = _validated(df, cfg.k)
-    if n * length <= LOCAL_VALUES:
-        return _fit_local(df, cfg)
-    return _fit_distributed(df, cfg)
+    df = df.select("id", "series").persist()  # may be dear to make
+    try:
+        n, length = _validated(df, cfg.k)
+        if n * length <= min(LOCAL_VALUES, TASK_VALUES):
+            return _fit_local(df, cfg)
+        dealt = _dealt(df, n * length)
+    finally:
+        df.unpersist()
+    return _fit_distributed(dealt, cfg)
 
 
 def _fit_local(df: DataFrame, cfg: KMeansConfig) -> KMeansResult:
@@ -209,45 +216,83 @@ def _averaged(members: DataFrame, cfg: KMeansConfig, seed: int) -> np.ndarray:
     return dba_distributed(members, centroids, cfg.radius, cfg.dba_max_iter, cfg.dba_tol, cfg.dba_fraction, seed)
 
 
+def _dealt(df: DataFrame, values: int) -> DataFrame:
+    """(id, series) of a table of so many numbers, written once, in parts for all cores: what each pass reads."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(F.col("id").cast("long").alias("id"), "series")
+    return written(rows.repartition(max(2 * cores, -(-values // pairwise.VALUES))), "series")
+
+
+@dataclass
+class _Run:
+    """A restart of _fit_distributed()."""
+
+    seed: int
+    centroids: np.ndarray
+    used: np.ndarray | None = None  # those of the last assignment
+    moves: np.ndarray | None = None
+    total: float = np.inf
+    converged: bool = False
+    step: int = 0
+    skipped: int = 0
+    warped: int = 0
+
+
 def _fit_distributed(df: DataFrame, cfg: KMeansConfig, starts: list[np.ndarray] | None = None) -> KMeansResult:
-    """The same steps as fit_matrix, with the same draws, as those are keyed by id. starts: first centroids of each restart,
-    as many as cfg.k or more."""
-    df = df.select("id", "series").persist()
-    best: KMeansResult | None = None
-    totals = []
-    for restart in range(cfg.n_init):
-        seed = derived_seed(cfg.seed, "restart", restart)
-        first = (lambda *a: seeding.parallel(*a, cfg.oversample)) if cfg.init == "parallel" else seeding.plus_plus
-        centroids = starts[restart][: cfg.k] if starts else first(df, cfg.k, cfg.radius, seed)
-        before, converged, step, skipped, warped = np.inf, False, 0, 0, 0
-        state, moves = pairwise.start_bounds(df, cfg.k), np.zeros(cfg.k)
-        for step in range(1, cfg.max_iter + 1):
-            if cfg.elkan:  # the bounds of a step rest on those before, so each step is written
-                labelled = state = written(pairwise.assign_bounded(state, centroids, moves, cfg.radius), "bounds")
-                counts = [F.sum("spared").alias("spared"), F.sum("warped").alias("warped")]
-            else:
-                labelled = pairwise.assign(df, centroids, cfg.radius, ("series",)).persist()
-                counts = []
-            stats = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("dist") * F.col("dist")).alias("d2"), *counts).collect()
-            total = sum(r["d2"] for r in stats)
+    """The same steps as fit_matrix, with the same draws, as those are keyed by id. All restarts take their steps together: a
+    pass over the table serves each of them. df: by _dealt(). starts: first centroids of each restart, as many as cfg.k or
+    more."""
+    df = df.persist()
+    tasks = df.rdd.getNumPartitions()
+    seeds = [derived_seed(cfg.seed, "restart", r) for r in range(cfg.n_init)]
+    if starts is None:
+        starts = [seeding.parallel(df, cfg.k, cfg.radius, seed, cfg.oversample) for seed in seeds] if cfg.init == "parallel" else seeding.plus_plus_runs(df, cfg.k, cfg.radius, seeds)
+    runs = [_Run(seed, start[: cfg.k], moves=np.zeros(cfg.k)) for seed, start in zip(seeds, starts)]
+    going, places = runs, list(range(len(runs)))
+    state = pairwise.start_bounds_runs(df, cfg.k, len(runs))
+    labelled = None
+    for step in range(1, cfg.max_iter + 1):
+        at = np.stack([run.centroids for run in going])
+        last = labelled
+        if cfg.elkan:  # the bounds of a step rest on those before, so each step is written
+            bounded = pairwise.assign_bounded_runs(state, places, at, np.stack([run.moves for run in going]), cfg.radius)
+            labelled = state = written(bounded, "bounds").persist()
+        else:
+            labelled = pairwise.assign_runs(df, at, cfg.radius).persist()
+        sums, n, squares, *counts = barycenter.run_sums(labelled, *at.shape, tasks, ("warped", "spared") if cfg.elkan else ())
+        if last is not None:
+            last.unpersist()
+        for i, run in enumerate(going):
+            before, run.total, run.step, run.used = run.total, float(squares[i].sum()), step, run.centroids
+            run.converged = step > 1 and abs(before - run.total) < cfg.tol
             if cfg.elkan:
-                skipped, warped = skipped + sum(r["spared"] for r in stats), warped + sum(r["warped"] for r in stats)
-            if step > 1 and abs(before - total) < cfg.tol:
-                converged = True
-                labelled.unpersist()
-                break
-            before = total
-            used = centroids
-            centroids = _averaged(_rescued(labelled, stats, cfg.k, step), cfg, seed)
-            moves = kernels.bound_moves(used, centroids, cfg.radius)
-            labelled.unpersist()
-        totals.append(total)
-        if best is None or total < best.inertia:
-            final = centroids if converged else used
-            best = KMeansResult(pairwise.assign(df, final, cfg.radius), centroids, total, converged, step, cfg.n_init, cfg, skipped, warped)
-    best.restarts = totals
+                run.warped, run.skipped = run.warped + int(counts[0][i].sum()), run.skipped + int(counts[1][i].sum())
+        places = [i for i, run in enumerate(going) if not run.converged]
+        if not places:
+            break
+        found = _averaged_runs(labelled, going, places, sums, n, tasks, cfg, step)
+        going = [going[i] for i in places]
+        for run, centroids in zip(going, found):
+            run.moves = kernels.bound_moves(run.used, centroids, cfg.radius)
+            run.centroids = centroids
+    labelled.unpersist()
     df.unpersist()
-    return best
+    best = min(runs, key=lambda run: run.total)  # of ties the first
+    return KMeansResult(pairwise.assign(df, best.used, cfg.radius), best.centroids, best.total, best.converged, best.step, cfg.n_init, cfg, best.skipped, best.warped, [run.total for run in runs])
+
+
+def _averaged_runs(labelled: DataFrame, runs: list[_Run], places: list[int], sums: np.ndarray, n: np.ndarray, tasks: int, cfg: KMeansConfig, step: int) -> list[np.ndarray]:
+    """New centroids of the runs at some places. Full averages from the means take common passes; a run that has an empty
+    cluster, or another method, takes its own."""
+    common = np.zeros(len(runs), bool)
+    if cfg.centroid_method == "dba" and cfg.dba_init == "mean" and cfg.dba_fraction >= 1:
+        common[[i for i in places if (n[i] > 0).all()]] = True
+    found = barycenter.dba_runs(labelled, sums / np.maximum(n, 1)[:, :, None], common, tasks, cfg.radius, cfg.dba_max_iter, cfg.dba_tol)
+    for i in np.setdiff1d(places, np.flatnonzero(common)):
+        own = labelled.select("id", "series", F.get("clusters", F.lit(int(i))).alias("cluster"), F.get("dists", F.lit(int(i))).alias("dist"))
+        stats = [{"cluster": c, "n": int(n[i, c])} for c in np.flatnonzero(n[i]).tolist()]
+        found[i] = _averaged(_rescued(own, stats, cfg.k, step), cfg, runs[i].seed)
+    return [found[i] for i in places]
 
 
 def moved_bounds(lower: Column, upper: Column, own: Column, moves: Column) -> Column:
@@ -288,11 +333,11 @@ def optimize(df: DataFrame, min_k: int, max_k: int, cfg: KMeansConfig, distances
     if n * length <= LOCAL_VALUES:
         results = _sweep_local(df, range(min_k, max_k + 1), cfg, seeds, chosen)
         return results, best_k(results)
-    df = df.persist()
+    df = _dealt(df, n * length).persist()
     starts = None
     if cfg.init == "kpp":
         if chosen is None:
-            starts = [seeding.plus_plus(df, max_k, cfg.radius, seed) for seed in seeds]
+            starts = seeding.plus_plus_runs(df, max_k, cfg.radius, seeds)
         else:
             by = {r["id"]: np.array(r["series"]) for r in df.filter(F.col("id").isin(sorted({i for ids in chosen for i in ids}))).collect()}  # max_k for each restart
             starts = [np.stack([by[i] for i in ids]) for ids in chosen]

@@ -4,9 +4,11 @@ and for a DataFrame choose the same rows."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import kernels
 from ..rng import uniform, uniform_value
 from ..scratch import written
 from .barycenter import keyed_numbers
-from .pairwise import against
+from .pairwise import against, assign, matrix
 from .running import running_sums
 
 
@@ -24,7 +26,7 @@ def first_choice(df: DataFrame, seed: int) -> int:
 
 def least_squares(df: DataFrame, chosen: np.ndarray, radius: int | None) -> DataFrame:
     """(id, d2): squared distance to the nearest of the chosen series."""
-    return against(df, chosen, radius).groupBy("id").agg(F.pow(F.min("dist"), 2).alias("d2"))
+    return assign(df, chosen, radius).select("id", F.pow("dist", F.lit(2)).alias("d2"))
 
 
 def exponential_race(weights: DataFrame, seed: int, round_: int) -> DataFrame:
@@ -63,6 +65,44 @@ def plus_plus_ids(df: DataFrame, k: int, radius: int | None, seed: int) -> tuple
     return ids, np.stack(chosen)
 
 
+def plus_plus_runs(df: DataFrame, k: int, radius: int | None, seeds: list[int]) -> list[np.ndarray]:
+    """plus_plus() for several seeds at once, a pass for each of the k draws: a task finds its own first row in each seed's
+    race, and of these few the first is drawn."""
+    chosen: list[list[np.ndarray]] = [[] for _ in seeds]
+    ids: list[list[int]] = [[] for _ in seeds]
+    for r in range(k):
+
+        def run(batches: Iterator[pa.RecordBatch], r=r, at=[np.stack(c) if c else None for c in chosen]) -> Iterator[pa.RecordBatch]:
+            first: dict[int, tuple] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = batch.column("id").to_numpy(), matrix(batch.column("series"))
+                for n, seed in enumerate(seeds):
+                    if r:
+                        d = kernels.nearest(x, at[n], radius)[1]
+                        open_ = np.flatnonzero(d > 0)
+                        time = -np.log(1 - keyed_numbers(own[open_], seed, "race", r)) / d[open_] ** 2
+                    else:
+                        open_, time = np.arange(len(own)), keyed_numbers(own, seed, "first")
+                    if len(open_):
+                        i = np.lexsort((own[open_], time))[0]
+                        found = float(time[i]), int(own[open_[i]]), x[open_[i]].tolist()
+                        first[n] = min(first.get(n, found), found)
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int32()), *map(pa.array, zip(*first.values()))], ["nth", "time", "id", "series"])
+
+        rows = df.select(F.col("id").cast("long").alias("id"), "series").mapInArrow(run, "nth int, time double, id long, series array<double>").collect()  # one for each seed and task
+        for n in range(len(seeds)):
+            found = min(((row["time"], row["id"], row["series"]) for row in rows if row["nth"] == n), default=None)
+            if found is None:  # nothing but copies is left
+                row = df.filter(~F.col("id").isin(ids[n])).orderBy("id").first()
+                found = 0.0, row["id"], row["series"]
+            ids[n].append(found[1])
+            chosen[n].append(np.array(found[2]))
+    return [np.stack(c) for c in chosen]
+
+
 def plus_plus_cached(df: DataFrame, distances: DataFrame | None, k: int, seeds: list[int], radius: int | None = None) -> list[list[int]]:
     """plus_plus_ids() for several seeds at once from cached distances: a round is one job for all seeds, the least distance
     to the chosen ids by a join with those (few) ids. As each draw has its own number, the first ids are those of a smaller
@@ -118,7 +158,9 @@ def parallel(df: DataFrame, k: int, radius: int | None, seed: int, oversample: f
     series = lambda some: {r["id"]: np.array(r["series"]) for r in df.filter(F.col("id").isin(list(some))).collect()}
     found = series(ids)
     for r in range(max(1, math.ceil(math.log2(k)))):
-        new = {row["id"] for row in bernoulli_round(least_squares(df, np.stack(list(found.values())), radius), oversample, seed, r).collect()} - set(found)
+        weights = least_squares(df, np.stack(list(found.values())), radius).persist()
+        new = {row["id"] for row in bernoulli_round(weights, oversample, seed, r).collect()} - set(found)
+        weights.unpersist()
         if new:
             found |= series(new)
     if len(found) < k:
@@ -127,10 +169,9 @@ def parallel(df: DataFrame, k: int, radius: int | None, seed: int, oversample: f
     ids, x = sorted(found), np.stack([found[i] for i in sorted(found)])
     if len(ids) == k:
         return x
-    near = against(df, x, radius).groupBy("id").agg(F.min_by("cluster", F.struct("dist", "cluster")).alias("c"))
     weight = np.zeros(len(ids))
-    for row in near.groupBy("c").count().collect():
-        weight[row["c"]] = row["count"]
+    for row in assign(df, x, radius).groupBy("cluster").count().collect():
+        weight[row["cluster"]] = row["count"]
     return x[reduce_weighted(x, weight, k, radius, seed)]
 
 
