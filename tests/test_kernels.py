@@ -166,3 +166,28 @@ def test_table_is_bit_for_bit_the_distances(monkeypatch, p, q, n, m, radius):
         own[rows, columns] += d
     assert (got == np.stack([K.dtw(np.broadcast_to(v, (q, n)), y, radius) for v in x])).all()
     assert (own == np.tril(np.stack([K.dtw(np.broadcast_to(v, (p, n)), x, radius) for v in x]), -1)).all()
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5])
+def test_diagonals_give_what_rows_of_the_band_give(monkeypatch, radius):
+    calls, add = [], np.add
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 6, 20):
+        x, y = rng.normal(size=(9, n)), rng.normal(size=(7, n))
+        want = np.stack([K.dtw(np.broadcast_to(v, (7, n)), y, radius) for v in x])
+        with monkeypatch.context() as m:
+            m.setattr(np, "add", lambda *a, **b: calls.append(n) or add(*a, **b))
+            assert [d.tolist() for *_, d in K.table(x, y, radius)] == [want.tolist()]
+        x[4, 0], y[3, n - 1], x[5, n // 2] = np.inf, np.nan, 1e200
+        want = np.stack([K.dtw(np.broadcast_to(v, (7, n)), y, radius) for v in x])
+        assert np.array_equal(next(K.table(x, y, radius))[2], want, equal_nan=True)
+    assert radius > K.NARROW or len([n for n in calls if n == 20]) == (20 if radius == 0 else 39)  # once for a diagonal, not for a cell
+
+
+@pytest.mark.parametrize("n, radius", [(64, 2), (30, 7), (30, None)])
+def test_single_precision_errs_as_little_as_it_says(n, radius):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(60, n)) * 10.0 ** rng.integers(-9, 9, (60, 1))).astype(np.float32).astype(float)
+    for (_, _, rough), (_, _, d) in zip(K.table(x, None, radius, np.float32), K.table(x, None, radius)):
+        assert rough.dtype == np.float32 and (rough != d).any()
+        assert (abs(rough.astype(float) - d) <= K.table_error(n, n) * d).all()
