@@ -251,6 +251,14 @@ def test_pairwise_blocks_cover_all_pairs(spark, monkeypatch):
     assert got == {(i, j) for i in range(40) for j in range(i)}
 
 
+def test_pairs_leave_a_tile_nearest_first(spark):
+    x = np.random.default_rng(14).normal(size=(60, 5))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, series array<double>, one int")
+    found = pairwise.pairwise(df, 1, within="one").collect()
+    assert {(r["i"], r["j"]): r["dist"] for r in found} == {(i, j): kernels.dtw(x[i][None], x[j][None], 1)[0] for i in range(60) for j in range(i)}
+    assert (np.diff([r["dist"] for r in found]) > -1e-9).all()
+
+
 @pytest.fixture(scope="module")
 def copied(spark):
     """120 series in 3 groups, a third of them copies."""
