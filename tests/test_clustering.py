@@ -332,6 +332,14 @@ def test_averages_begin_at_medoids_of_tiles(copied, monkeypatch):
         assert r["centroid"] == pytest.approx(kernels.dba(x, 1, max_iter=2, start=first)[0])
 
 
+def test_averages_begin_at_medoids_by_bounds(copied, monkeypatch):
+    df, _, _ = copied
+    taken, totals = [], pairwise._totals
+    monkeypatch.setattr(pairwise, "_totals", lambda each, chosen, radius: taken.append(chosen) or totals(each, chosen, radius))
+    assert barycenter.averages(df, "cluster", 1, init="medoid", max_iter=1).count() == 3
+    assert len(taken) == 1 and taken[0].count() <= 6  # of 120 rows
+
+
 def test_seeding_with_copies(spark):
     df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)], "id long, series array<double>")
     assert seeding.plus_plus(df, 3, None, 1).shape == (3, 2)
